@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlens.llm import bpe, cnn, planes, ppm, rules, shards, suffixes, urls
+from objectlens.llm import bpe, cnn, minhash, planes, ppm, rules, shards, suffixes, urls
 from objectlens.llm.common import crc_bucket, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)
 
 
+def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
