@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlens.llm import bpe, cnn, minhash, planes, ppm, rules, shards, suffixes, urls
+from objectlens.llm import bpe, cnn, lm, minhash, planes, ppm, rules, shards, suffixes, urls
 from objectlens.llm.common import crc_bucket, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,12 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(docs, public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score_texts(docs, crc_bucket("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)

@@ -69,10 +69,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about ``limit`` bytes, 1024 documents at most."""
+    """Runs of whole documents of about ``limit`` bytes, 1023 documents at most."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), n, lo + 1024)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), n, lo + 1023)
         yield lo, hi
         lo = hi
 
@@ -154,7 +154,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, lut: np.ndarray = SP
     key = np.sort((owner << U64(54)) | (win >> U64(10)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key & U64((1 << 54) - 1), np.searchsorted(key, np.arange(len(per) + 1).astype(U64) << U64(54)) if len(per) < 1024 else np.append(np.searchsorted(key, np.arange(len(per)).astype(U64) << U64(54)), len(key))
+    return key & U64((1 << 54) - 1), np.searchsorted(key, np.arange(len(per) + 1).astype(U64) << U64(54))
 
 
 def with_columns(batch: pa.RecordBatch, names: list[str], **columns: pa.Array) -> pa.RecordBatch:
