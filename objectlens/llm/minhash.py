@@ -10,12 +10,13 @@ No step lists all pairs of a group:
 
 1. Equal sets form one class, found by a 128-bit fingerprint; its least doc_id stands for it.
 2. Each class is compared with one other, the bucket head it shares most buckets with.
-3. Buckets whose classes are then still in several components are gone through in tiles of at
-   most about ``TILE`` classes: signatures are compared inside a tile pair, and a spanning forest
-   of the most similar pairs is confirmed.  Whatever pair across components is left after that
-   with an estimate of at least ``LEAST_ESTIMATE`` is confirmed as well, so the forest saves work
-   and decides nothing.
-4. Components come from large-star and small-star rounds over tables in the shared folder.
+3. Buckets whose classes are then still in several components are gone through in pairs of tiles
+   of about ``TILE`` classes.  Signatures are compared inside a tile pair, and of the pairs that
+   may be similar enough a spanning forest is kept; it ties classes to families, such that any
+   two classes of one bucket that may be linked are in one family.
+4. Families of several components are compared exactly, again by tile pairs: products of incidence
+   matrices give all intersections of a tile pair, and a spanning forest of its links is kept.
+5. Components come from large-star and small-star rounds over tables in the shared folder.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text
 of fewer than k words has its whole sequence as its one shingle; a null doc_id is a component of
@@ -36,7 +37,7 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Standard deviations below the threshold: at 0.8, 128 values have one of 0.035, and 0.64 is 4.5 of them.
 DEVIATIONS = 4.5
-TILE = 512
+TILE = 256
 #: Members that one task compares with their head.
 SALT_ROWS = 2000
 
@@ -157,64 +158,124 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _residual_pairs(rows: DataFrame, least: float, forest: bool) -> DataFrame:
-    """Pairs across components with an estimate of at least ``least`` in the buckets' tile pairs.
+def _tiled(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows dealt to the tile pairs (ti, tj) of their group, t being a row's own tile; each tile meets each."""
+    tiles = F.ceil(F.col(size) / TILE)
+    placed = rows.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), tiles)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)))
+    rest = [c for c in rows.columns if c not in (group, size)]
+    return placed.select(F.col(group).alias("g"), F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", *rest).repartition("g", "ti", "tj").sortWithinPartitions("g", "ti", "tj", "rep")
+
+
+def _groups(batches):
+    """(key, rows) of each run of equal g, ti, tj in a sorted stream; rows are tuples from t on."""
+    key, wait = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != row[:3]:
+                if len(wait) > 1:
+                    yield key, wait
+                key, wait = row[:3], []
+            wait.append(row[3:])
+    if len(wait) > 1:
+        yield key, wait
+
+
+def _forest(pairs, comps: list[int]) -> list[tuple[int, int]]:
+    """The pairs of rows, in the order given, that join components still apart."""
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        if (x := top(comps[a])) != (y := top(comps[b])):
+            parent[x] = y
+            kept.append((a, b))
+    return kept
+
+
+def _across(comps: np.ndarray, tile: np.ndarray, ti: int, tj: int) -> np.ndarray:
+    """Pairs a < b of different components that this tile pair is there for."""
+    meet = np.triu(comps[:, None] != comps[None, :], 1)
+    return meet if ti == tj else meet & (tile[:, None] != tile[None, :])
+
 
-    rows: bucket, rep, comp, sig, n (classes in the bucket).  With ``forest`` only a spanning
-    forest of the best pairs of each tile pair.
+def _edges(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["u", "v"])
+
+
+def _likely(rows: DataFrame, least: float) -> DataFrame:
+    """A forest of the pairs across components whose estimate is at least ``least``, for each bucket's tile pairs.
+
+    rows: bucket, n (its classes), rep, comp, sig.
     """
-    tiles = F.ceil(F.col("n") / TILE)
-    placed = rows.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), tiles)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)))
-    placed = placed.select("bucket", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), F.col("t").alias("t"), "rep", "comp", "sig")
-
-    def compare(reps, comps, tile, ti, tj, sig):
-        found = []
-        for a in range(len(reps) - 1):
-            other = np.flatnonzero((comps[a + 1 :] != comps[a]) & ((tile[a + 1 :] != tile[a]) | (ti == tj))) + a + 1
-            if len(other):
-                same = (sig[other] == sig[a]).mean(1)
-                good = same >= least
-                found += [(float(s), int(reps[a]), int(reps[b]), int(comps[a]), int(comps[b])) for s, b in zip(same[good], other[good], strict=True)]
-        if forest:
-            found.sort(key=lambda f: (-f[0], f[1], f[2]))
-            parent: dict[int, int] = {}
-
-            def top(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            kept = []
-            for f in found:
-                if (x := top(f[3])) != (y := top(f[4])):
-                    parent[x] = y
-                    kept.append(f)
-            found = kept
-        return [(min(f[1], f[2]), max(f[1], f[2])) for f in found]
 
     def run(batches):
-        wait: list = []
-        key = None
+        for (_, ti, tj), rows in _groups(batches):
+            tile, reps, comps = (np.array([r[i] for r in rows]) for i in range(3))
+            if (comps == comps[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+            meet, pairs = _across(comps, tile, ti, tj), []
+            for a in np.flatnonzero(meet.any(1)):
+                other = np.flatnonzero(meet[a])
+                good = other[(sig[other] == sig[a]).mean(1) >= least]
+                pairs += _forest([(int(a), int(b)) for b in good], comps.tolist())
+            if pairs:
+                yield _edges([(int(reps[a]), int(reps[b])) for a, b in _forest(pairs, comps.tolist())])
+
+    return _tiled(rows.select("bucket", "n", "rep", "comp", "sig"), "bucket", "n").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, exactly, as products of slices of the incidence matrix."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    owner, column = owner[common], (np.cumsum(count > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    width = 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [a, a + width])
+        part = np.zeros((n, min(width, int(column[-1]) + 1 - a)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        out += part @ part.T
+    return out
 
-        def done():
-            if len(wait) < 2:
-                return []
-            reps, comps, tile = (np.array([w[i] for w in wait]) for i in range(3))
-            sig = np.frombuffer(b"".join(w[3] for w in wait), np.uint32).reshape(len(wait), -1)
-            return compare(reps, comps, tile, key[1], key[2], sig)
 
-        for batch in batches:
-            out = []
-            for bucket, ti, tj, t, rep, comp, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != (bucket, ti, tj):
-                    out += done()
-                    key, wait = (bucket, ti, tj), []
-                wait.append((rep, comp, t, sig))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["head", "member"])
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["head", "member"])
+def _exact(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """A forest of the links across components inside each family's tile pairs, on full sets.
+
+    rows: family, n (its classes), rep, comp, fa, fb, text.
+    """
 
-    return placed.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj", "rep").mapInArrow(run, "head bigint, member bigint").distinct()
+    def run(batches):
+        for (_, ti, tj), rows in _groups(batches):
+            if len({r[2] for r in rows}) < 2:
+                continue
+            text = pa.array([r[5] for r in rows], pa.large_string())
+            sets = []
+            for lo, hi, data, off in tx.chunks(text):
+                values, at = tx.shingle_sets(data, off, k)
+                prints = fingerprints(values, at)
+                # rows that share a doc_id may have other texts
+                sets += [values[at[i] : at[i + 1]] if (int(prints[i, 0]), int(prints[i, 1])) == rows[lo + i][3:5] else None for i in range(hi - lo)]
+            own = [i for i, x in enumerate(sets) if x is not None]
+            tile, reps, comps = (np.array([rows[i][j] for i in own]) for j in range(3))
+            sizes = np.array([len(sets[i]) for i in own])
+            both = overlaps([sets[i] for i in own])
+            good = _across(comps, tile, ti, tj) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+            pairs = _forest(np.argwhere(good).tolist(), comps.tolist())
+            if pairs:
+                yield _edges([(int(reps[a]), int(reps[b])) for a, b in pairs])
+
+    return _tiled(rows.select("family", "n", "rep", "comp", "fa", "fb", "text"), "family", "n").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,19 +294,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # rows that share a doc_id but not a text join their classes
     twins = linkable.select("id", "fa", "fb").join(classes.select("fa", "fb", "rep"), ["fa", "fb"]).groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
     labels = frozen(components(tested.where("linked").select(F.col("member").alias("u"), F.col("head").alias("v")).unionByName(twins)), "labels")
-    rest_rows = buckets.join(shared.select("bucket", "n"), "bucket")
     least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)) ** 0.5
-    for forest in (True, False):
-        named = rest_rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "n", "rep", F.coalesce("label", "rep").alias("comp"))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-        rest_rows_now = named.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep")
-        more = _residual_pairs(rest_rows_now, least, forest).join(tested.select("head", "member"), ["head", "member"], "left_anti")
-        more = frozen(more, "residual")
-        found = frozen(_confirmed(more, classes, texts, k, percent), "tested")
-        tested = tested.unionByName(found)
-        links = found.where("linked")
-        if not links.isEmpty():
-            labels = frozen(components(links.select(F.col("member").alias("u"), F.col("head").alias("v")).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    inside = buckets.join(shared.select("bucket", "n"), "bucket").join(named.select("rep", "comp"), "rep")
+    mixed = inside.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
+    likely = frozen(_likely(inside.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep"), least), "likely")
+    if not likely.isEmpty():
+        old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        family = frozen(components(likely.unionByName(old)), "families")
+        members = named.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
+        apart = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("family", "n")
+        links = frozen(_exact(members.join(apart, "family").join(texts, F.col("rep") == F.col("id")), k, percent), "links")
+        labels = frozen(components(links.unionByName(old)), "labels")
     known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.coalesce("label", "rep").alias("component"))
     out = told.select("id", "n_shingles", "fa", "fb").join(known, ["fa", "fb"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
