@@ -1,11 +1,464 @@
-"""The registered queries over the reference tables."""
+"""The registered queries over the reference tables, each beside its SQL twin for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from objectlens.functions import geometry as g
+from objectlens.functions import text as tx
+from objectlens.operators import library, metrics, relational, reshape, suppression
+from objectlens.session import table
+from objectlens.sources.views import view, with_views
+from objectlens.streaming import tracks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, *views: str):
+    """Register a function of (view, tab), which give a view or a table by name."""
+
+    def add(f):
+        name = f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda n: view(spark, sf_dir, n), lambda n: table(spark, sf_dir, n))
+
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _box(p: str = "") -> tuple:
+    c = lambda n: F.col(p + n)
+    return c("x1"), c("y1"), c("x1") + c("w"), c("y1") + c("h")
+
+
+def _r(c, places: int = 6):
+    return F.round(c, places)
+
+
+def _pairs(v) -> DataFrame:
+    return v("det").alias("d").join(v("gt").alias("t"), "image_id")
+
+
+_INTER = "greatest(least(d.x1+d.w, t.x1+t.w) - greatest(d.x1, t.x1), 0) * greatest(least(d.y1+d.h, t.y1+t.h) - greatest(d.y1, t.y1), 0)"
+_PAIR = f"p AS (SELECT image_id, det_id, gt_id, {_INTER} AS i, d.w*d.h AS da, t.w*t.h AS ta, (greatest(d.x1+d.w,t.x1+t.w)-least(d.x1,t.x1))*(greatest(d.y1+d.h,t.y1+t.h)-least(d.y1,t.y1)) AS hull, d.score FROM det d JOIN gt t USING (image_id))"
+
+
+# scans, filters, projections
+@_query("SELECT page_id, url FROM pages WHERE url NOT LIKE '%ads%' AND url LIKE '%example%' AND (url LIKE '%/en/%' OR url LIKE '%/fr/%')")
+def media_select(v, t):
+    u = F.col("url")
+    return v("media").where(~u.contains("ads") & u.contains("example") & u.rlike("/en/|/fr/"))
+
+
+@_query("SELECT page_id, split_part(url, '/', 3) AS dataset, split_part(url, '/', 4) AS camera FROM pages")
+def path_parts(v, t):
+    parts = F.split("url", "/")
+    return v("media").select("page_id", F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("dataset"), F.coalesce(F.get(parts, F.lit(3)), F.lit("")).alias("camera"))
+
+
+@_query("SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'failed' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
+def run_status_counts(v, t):
+    return t("orders").groupBy(F.when(F.col("o_orderpriority").startswith("1"), "failed").otherwise(F.col("o_orderstatus")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# geometry
+@_query("SELECT det_id, x1+w AS x2, y1+h AS y2, round(x1 + w/2.0, 6) AS cx, round(y1 + h/2.0, 6) AS cy FROM det", "det")
+def box_convert(v, t):
+    x, y, w, h = map(F.col, ("x1", "y1", "w", "h"))
+    a, c = g.xywh_to_xyxy(x, y, w, h), g.xywh_to_cxcywh(x, y, w, h)
+    return v("det").select("det_id", a[2].alias("x2"), a[3].alias("y2"), _r(c[0]).alias("cx"), _r(c[1]).alias("cy"))
+
+
+@_query("SELECT det_id, w*h AS area FROM det", "det")
+def box_area(v, t):
+    return v("det").select("det_id", g.area(F.col("w"), F.col("h")).alias("area"))
+
+
+@_query(f", {_PAIR} SELECT image_id, det_id, gt_id, round(i * 1.0 / (da + ta - i), 6) AS iou FROM p WHERE i > 0", "det", "gt")
+def pair_iou(v, t):
+    return _pairs(v).where(g.intersection(_box("d."), _box("t.")) > 0).select("image_id", "det_id", "gt_id", _r(g.iou(_box("d."), _box("t."))).alias("iou"))
+
+
+@_query(f", {_PAIR} SELECT image_id, det_id, gt_id, round(i * 1.0 / (da + ta - i) - (hull - (da + ta - i)) * 1.0 / hull, 6) AS giou FROM p", "det", "gt")
+def pair_giou(v, t):
+    return _pairs(v).select("image_id", "det_id", "gt_id", _r(g.giou(_box("d."), _box("t."))).alias("giou"))
+
+
+@_query(f", {_PAIR} SELECT image_id, det_id, gt_id, round(i * 1.0 / ta, 6) AS ioa, round(i * 1.0 / least(da, ta), 6) AS iom FROM p", "det", "gt")
+def pair_ioa(v, t):
+    return _pairs(v).select("image_id", "det_id", "gt_id", _r(g.ioa(_box("d."), _box("t."))).alias("ioa"), _r(g.iom(_box("d."), _box("t."))).alias("iom"))
+
+
+@_query("SELECT det_id, least(x1, 40) AS cx1, least(y1, 30) AS cy1, least(x1 + w, 40) AS cx2, least(y1 + h, 30) AS cy2 FROM det", "det")
+def box_clip(v, t):
+    return v("det").select("det_id", *[c.alias(n) for c, n in zip(g.clip(_box(), F.lit(40), F.lit(30)), ("cx1", "cy1", "cx2", "cy2"), strict=True)])
+
+
+@_query("SELECT det_id, greatest(x1 - w*5//100, 0) AS cx1, greatest(y1 - h*5//100, 0) AS cy1, least(x1 + w + w*5//100, width) AS cx2, least(y1 + h + h*5//100, height) AS cy2 FROM det JOIN img USING (image_id)", "det", "img")
+def box_pad_crop(v, t):
+    return v("det").join(v("img"), "image_id").select("det_id", *[c.alias(n) for c, n in zip(g.padded_crop(_box(), F.col("width"), F.col("height")), ("cx1", "cy1", "cx2", "cy2"), strict=True)])
+
+
+@_query("SELECT det_id, round(score * 1.0 / greatest(w*h, 1), 6) AS ratio FROM det WHERE score * 1.0 / greatest(w*h, 1) < 0.6", "det")
+def occlusion_ratio(v, t):
+    ratio = g.occlusion_ratio(F.col("score"), F.col("w"), F.col("h"))
+    return v("det").where(ratio < 0.6).select("det_id", _r(ratio).alias("ratio"))
+
+
+@_query("SELECT det_id FROM det JOIN img USING (image_id) WHERE NOT ((x1 + w/2.0)/width < 0.1 OR (x1 + w/2.0)/width > 0.9 OR (y1 + h/2.0)/height < 0.1 OR (y1 + h/2.0)/height > 0.9)", "det", "img")
+def boundary_filter(v, t):
+    return v("det").join(v("img"), "image_id").where(~g.near_boundary(_box(), F.col("width"), F.col("height"), 0.1)).select("det_id")
+
+
+@_query("SELECT det_id, round(least(x1*1.0/width, 1), 6) AS nx1, round(least((x1+w)*1.0/width, 1), 6) AS nx2, width - x1 - w AS fx1 FROM det JOIN img USING (image_id)", "det", "img")
+def box_normalise_flip(v, t):
+    n, f = g.normalised(_box(), F.col("width"), F.col("height")), g.horizontal_flip(_box(), F.col("width"))
+    return v("det").join(v("img"), "image_id").select("det_id", _r(n[0]).alias("nx1"), _r(n[2]).alias("nx2"), f[0].alias("fx1"))
+
+
+# relational core
+@_query("SELECT image_id FROM img WHERE image_id NOT IN (SELECT image_id FROM det WHERE score >= 500)", "img", "det")
+def resume_anti(v, t):
+    return relational.resume(v("img").select("image_id"), v("det"), "image_id", retry=F.col("score") < 500)
+
+
+@_query("SELECT det_id FROM det WHERE EXISTS (SELECT 1 FROM gt WHERE gt.image_id = det.image_id AND gt.category_id = det.category_id)", "det", "gt")
+def positive_split_semi(v, t):
+    return relational.positive_split(v("det"), v("gt"), ["image_id", "category_id"]).select("det_id")
+
+
+@_query("SELECT image_id FROM img WHERE exhaustive AND image_id NOT IN (SELECT image_id FROM gt WHERE status = 'F')", "img", "gt")
+def exhaustive_filter(v, t):
+    other = v("gt").select("image_id", (F.col("status") != "F").alias("exhaustive"))
+    return relational.exhaustive_only(v("img"), [other], "image_id", "exhaustive").select("image_id")
+
+
+@_query("SELECT image_id FROM img EXCEPT SELECT image_id FROM det", "img", "det")
+def missing_images(v, t):
+    return v("img").select("image_id").join(v("det").select("image_id").distinct(), "image_id", "left_anti")
+
+
+@_query("SELECT coalesce(r_name, CAST(n_regionkey AS VARCHAR)) AS category, count(*) AS n FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey GROUP BY 1")
+def category_merge_map(v, t):
+    names = t("region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("string").alias("category"), F.col("r_name").alias("target"))
+    rows = t("nation").select(F.col("n_regionkey").cast("string").alias("category"))
+    return relational.merged_categories(rows, names, "category").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT det_id, coalesce(height, 0) AS height, coalesce(width, 0) AS width FROM det LEFT JOIN img USING (image_id)", "det", "img")
+def fill_hw_left(v, t):
+    return v("det").join(v("img"), "image_id", "left").select("det_id", F.coalesce("height", F.lit(0)).alias("height"), F.coalesce("width", F.lit(0)).alias("width"))
+
+
+@_query("SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rank FROM det QUALIFY rank <= 2", "det")
+def topk_per_image(v, t):
+    return relational.top_k(v("det"), "image_id", 2, F.desc("score"), F.asc("det_id")).select("image_id", "det_id", "rank")
+
+
+@_query(", b AS (SELECT image_id, category_id, min(score % 4) AS r FROM det GROUP BY ALL) SELECT det_id FROM det JOIN b USING (image_id, category_id) WHERE score % 4 = r", "det")
+def dedupe_first_rank(v, t):
+    return relational.dedupe_first_rank(v("det").withColumn("rank", F.col("score") % 4), ["image_id", "category_id"], "rank").select("det_id")
+
+
+@_query("SELECT CASE WHEN w*h < 150 THEN 'small' WHEN w*h < 400 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n FROM det GROUP BY 1", "det")
+def area_buckets(v, t):
+    return v("det").groupBy(relational.bucketed(F.col("w") * F.col("h"), [("small", 0, 150), ("medium", 150, 400), ("large", 400, 1e10)]).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT n_nationkey + (SELECT max(CASE WHEN n_nationkey = 0 THEN 1 ELSE 0 END) FROM nation) AS n_nationkey, n_name FROM nation")
+def reindex_one_based(v, t):
+    return relational.one_based(t("nation").select("n_nationkey", "n_name"), "n_nationkey")
+
+
+@_query("SELECT image_id, det_id, dense_rank() OVER (PARTITION BY image_id ORDER BY det_id) - 1 AS new_id FROM det", "det")
+def contiguous_relabel(v, t):
+    return relational.dense_ids(v("det"), "image_id", "det_id", "new_id").select("image_id", "det_id", "new_id")
+
+
+@_query("SELECT video_id, track, count(*) AS n, dense_rank() OVER (ORDER BY video_id, track) AS new_video FROM trk GROUP BY video_id, track", "trk")
+def class_agnostic_remap(v, t):
+    return reshape.class_agnostic(v("trk"), "video_id", "track")
+
+
+@_query("SELECT video_id, frame, event_id FROM trk", "trk")
+def frame_ordinal(v, t):
+    return v("trk").select("video_id", "frame", "event_id")
+
+
+@_query("SELECT video_id, track, score FROM trk WHERE video_id IN (SELECT video_id FROM trk GROUP BY video_id HAVING count(DISTINCT track) <= 3)", "trk")
+def masklet_cap(v, t):
+    return relational.masklet_cap(v("trk"), "video_id", "track", 3).select("video_id", "track", "score")
+
+
+# attributes and library
+@_query("SELECT seq, concat_ws(' ', CASE WHEN category <> 'unknown' THEN category END, CASE WHEN color <> 'Brand#11' THEN color END, material) AS text FROM attr", "attr")
+def attr_text(v, t):
+    return v("attr").select("seq", tx.attribute_text(F.col("category"), F.when(F.col("color") != "Brand#11", F.col("color")).otherwise("unknown"), F.col("material")).alias("text"))
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def fenced_json_parse(v, t):
+    fenced = F.concat(F.lit("text ```json\n"), F.col("props"), F.lit("\n``` tail"))
+    return t("events").select("event_id", F.get_json_object(tx.fenced_json(fenced), "$.k").alias("k"))
+
+
+_VOTE = ", l AS (SELECT label, seq, unnest(['category','color','material']) AS key, unnest([category,color,material]) AS value FROM attr), c AS (SELECT label, key, value, count(*) AS n, min(seq) AS f FROM l GROUP BY ALL), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label, key ORDER BY n DESC, f) = 1), m AS (SELECT label, max(CASE WHEN key='category' THEN value END) AS category, max(CASE WHEN key='color' THEN value END) AS color, max(CASE WHEN key='material' THEN value END) AS material FROM b GROUP BY label)"
+
+
+@_query(_VOTE + " SELECT * FROM m", "attr")
+def majority_vote(v, t):
+    return library.majority(v("attr"), "label", ["category", "color", "material"], "seq")
+
+
+_LIB = _VOTE + ", s AS (SELECT label, count(*) AS instance_count, arg_min(crop_path, seq) AS canonical_path, array_to_string(list(crop_path ORDER BY seq)[1:50], '|') AS instances FROM attr GROUP BY label)"
+
+
+def _library(v) -> DataFrame:
+    return library.library(v("attr"), "label", ["category", "color", "material"], "seq", "crop_path")
+
+
+@_query(_LIB + " SELECT * FROM m JOIN s USING (label)", "attr")
+def object_library(v, t):
+    return _library(v)
+
+
+@_query(_LIB + " SELECT label, category, color, instance_count FROM m JOIN s USING (label) WHERE material = 'm3'", "attr")
+def library_browse(v, t):
+    return library.browse(_library(v), {"category": "", "material": "m3"}, "count").select("label", "category", "color", "instance_count")
+
+
+@_query("SELECT 'category' AS facet, category AS value, count(*) AS n FROM attr GROUP BY 2 UNION ALL SELECT 'color', color, count(*) FROM attr GROUP BY 2 UNION ALL SELECT 'material', material, count(*) FROM attr GROUP BY 2", "attr")
+def facet_counts(v, t):
+    return library.facets(v("attr"), ["category", "color", "material"])
+
+
+@_query("SELECT DISTINCT category AS value FROM attr", "attr")
+def facet_values(v, t):
+    return v("attr").select(F.col("category").alias("value")).distinct().orderBy("value")
+
+
+@_query("SELECT category, count(*) AS n, min(seq) AS first FROM attr GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 15", "attr")
+def top_categories(v, t):
+    return v("attr").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first").limit(15)
+
+
+@_query(_LIB + " SELECT label, '<div class=\"card\"><h3>' || category || '</h3><img src=\"' || canonical_path || '\"><p>' || CAST(instance_count AS VARCHAR) || '</p></div>' AS card FROM m JOIN s USING (label)", "attr")
+def html_cards(v, t):
+    return _library(v).select("label", library.html_card(F.col("category"), F.col("canonical_path"), F.col("instance_count")).alias("card"))
+
+
+_Z = "e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), st AS (SELECT pos, avg(CAST(x AS DOUBLE)) AS m, stddev_pop(CAST(x AS DOUBLE)) AS s FROM e GROUP BY pos), z AS (SELECT vec_id, pos, (x - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z FROM e JOIN st USING (pos))"
+
+
+@_query(f"WITH {_Z} SELECT vec_id, round(sum(z * pos), 4) AS weighted FROM z GROUP BY vec_id")
+def column_zscore(v, t):
+    z = library.standardised(t("embeddings"), "vec_id", "embedding")
+    return z.select("vec_id", _r(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("weighted"))
+
+
+@_query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS first FROM embeddings")
+def l2_normalise(v, t):
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    return t("embeddings").select("vec_id", _r(library.l2_normalised(doubles)[0], 5).alias("first"))
+
+
+_NEAR = f"{_Z}, v AS (SELECT vec_id, list(z ORDER BY pos) AS v FROM z GROUP BY vec_id), n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.6)"
+
+
+def _near(t) -> DataFrame:
+    return library.cosine_neighbours(library.standardised(t("embeddings"), "vec_id", "embedding"), "vec_id", "embedding", 0.6)
+
+
+@_query(f"WITH {_NEAR} SELECT a, b FROM n")
+def cosine_neighbors(v, t):
+    return _near(t).select("a", "b")
+
+
+@_query(f"WITH RECURSIVE {_NEAR}, d AS (SELECT a AS x, b AS y FROM n UNION SELECT b, a FROM n), r(x, y) AS (SELECT x, y FROM d UNION SELECT r.x, d.y FROM r JOIN d ON r.y = d.x) SELECT vec_id, coalesce(l, -1) AS label FROM embeddings LEFT JOIN (SELECT x, least(x, min(y)) AS l FROM r GROUP BY x) ON x = vec_id")
+def dbscan_min2(v, t):
+    return library.clusters(t("embeddings"), _near(t), "vec_id")
+
+
+# metrics
+_IL = ", s AS (SELECT image_id, EXISTS (SELECT 1 FROM gt WHERE gt.image_id = img.image_id) AS g, EXISTS (SELECT 1 FROM det WHERE det.image_id = img.image_id AND score >= 500) AS d FROM img), c AS (SELECT count(*) FILTER (g AND d) AS il_tp, count(*) FILTER (NOT g AND d) AS il_fp, count(*) FILTER (g AND NOT d) AS il_fn, count(*) FILTER (NOT g AND NOT d) AS il_tn FROM s)"
+
+
+def _il(v) -> DataFrame:
+    return metrics.image_counts(v("img"), v("gt"), v("det").where("score >= 500"), "image_id")
+
+
+@_query(_IL + " SELECT * FROM c", "img", "gt", "det")
+def image_level_counts(v, t):
+    return _il(v)
+
+
+@_query(_IL + " SELECT il_tp, il_fp, il_fn, il_tn, round((il_tp::DOUBLE*il_tn - il_fp::DOUBLE*il_fn) / (sqrt((il_tp+il_fp)::DOUBLE*(il_tp+il_fn)*(il_tn+il_fp)*(il_tn+il_fn)) + 1e-6), 6) AS il_mcc, round(il_tp / (il_tp + il_fp + 1e-6), 6) AS il_precision, round(il_tp / (il_tp + il_fn + 1e-6), 6) AS il_recall FROM c", "img", "gt", "det")
+def image_level_mcc(v, t):
+    tp, fp, fn, tn = map(F.col, ("il_tp", "il_fp", "il_fn", "il_tn"))
+    return _il(v).select("il_tp", "il_fp", "il_fn", "il_tn", _r(metrics.mcc(tp, fp, fn, tn)).alias("il_mcc"), _r(tp / (tp + fp + 1e-6)).alias("il_precision"), _r(tp / (tp + fn + 1e-6)).alias("il_recall"))
+
+
+_CURVE = ", h AS (SELECT det_id, category_id, score, EXISTS (SELECT 1 FROM gt WHERE gt_id = det_id) AS hit FROM det), k AS (SELECT category_id, count(*) AS n_gt FROM gt GROUP BY 1), r AS (SELECT h.*, n_gt, sum(hit::INT) OVER w AS tp, row_number() OVER w AS rank FROM h JOIN k USING (category_id) WINDOW w AS (PARTITION BY category_id ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, max(tp * 1.0 / rank) OVER (PARTITION BY category_id ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM r)"
+
+
+def _curve(v) -> DataFrame:
+    n = v("gt").groupBy("category_id").agg(F.count(F.lit(1)).alias("n_gt"))
+    hits = v("det").join(v("gt").select(F.col("gt_id").alias("det_id"), F.lit(True).alias("hit")).distinct(), "det_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return metrics.precision_recall(hits.join(n, "category_id"), "category_id", [F.desc("score"), F.asc("det_id")], "hit", F.col("n_gt"))
+
+
+@_query(_CURVE + " SELECT category_id, det_id, tp::BIGINT AS tp, round(tp * 1.0 / rank, 6) AS prec, round(envelope, 6) AS envelope FROM q", "det", "gt")
+def ap_running_precision(v, t):
+    return _curve(v).select("category_id", "det_id", "tp", _r(F.col("precision")).alias("prec"), _r(F.col("envelope")).alias("envelope"))
+
+
+@_query(_CURVE + ", u AS (SELECT category_id, x, coalesce(max(envelope) FILTER (tp * 1.0 / n_gt >= x / 100.0 - 1e-11), 0) AS p FROM q, range(101) g(x) GROUP BY ALL) SELECT category_id, round(avg(p), 4) AS ap FROM u GROUP BY 1", "det", "gt")
+def ap_101(v, t):
+    return metrics.average_precision(_curve(v), "category_id").select("category_id", _r(F.col("ap"), 4).alias("ap"))
+
+
+def _f1(v) -> DataFrame:
+    det = v("det").where("score >= 500")
+    return metrics.f1_totals(metrics.f1_rows(v("img"), v("gt"), det, suppression.matched(det, v("gt"), "image_id"), "image_id"))
+
+
+@_query()
+def f1_thresholds(v, t):
+    return _f1(v)
+
+
+@_query()
+def cgf1(v, t):
+    tp, fp, fn, tn = map(F.col, ("il_tp", "il_fp", "il_fn", "il_tn"))
+    il = _il(v).select(metrics.mcc(tp, fp, fn, tn).alias("il_mcc"))
+    return _f1(v).crossJoin(F.broadcast(il)).select("threshold", "positive_micro_f1", "il_mcc", (F.col("positive_micro_f1") * F.col("il_mcc")).alias("cgf1"))  # one row
+
+
+def _tracks(v):
+    gt = v("trk").select(F.col("video_id").alias("video"), "frame", F.col("track").alias("gt_id"))
+    det = v("trk").where("score % 5 <> 0").select(F.col("video_id").alias("video"), "frame", F.when(F.col("frame") % 7 == 0, "other").otherwise(F.col("track")).alias("det_id"), (F.col("score") % 100 / 100).alias("sim"))
+    return gt, det, gt.join(det, ["video", "frame"])
+
+
+@_query()
+def hota(v, t):
+    return metrics.hota(*_tracks(v))
+
+
+@_query()
+def hota_combine(v, t):
+    return metrics.hota_combined(metrics.hota(*_tracks(v)))
+
+
+@_query("SELECT video_id, count(*) AS dets, count(DISTINCT track) AS ids, max(frame) + 1 AS frames FROM trk GROUP BY 1", "trk")
+def count_metric(v, t):
+    return v("trk").groupBy("video_id").agg(F.count(F.lit(1)).alias("dets"), F.countDistinct("track").alias("ids"), (F.max("frame") + 1).alias("frames"))
+
+
+# suppression
+@_query()
+def greedy_nms(v, t):
+    return suppression.suppress(v("det"), ["image_id"], 0.5).select("det_id")
+
+
+@_query()
+def frame_nms(v, t):
+    return suppression.suppress(v("det"), ["image_id", "category_id"], 0.3, inclusive=True).select("det_id")
+
+
+@_query()
+def overlap_removal(v, t):
+    return suppression.suppress(v("det"), ["image_id"], 0.3, over="least").select("det_id")
+
+
+# reshape
+@_query("SELECT video_id, track, frame, score AS value FROM trk", "trk")
+def tracks_to_frames(v, t):
+    padded = reshape.frames_to_tracks(v("trk"), "video_id", "track", "frame", "score", F.col("frame") + 1)
+    return reshape.tracks_to_frames(padded, "video_id", "track", "values").select("video_id", "track", F.col("frame").cast("bigint").alias("frame"), "value")
+
+
+@_query("SELECT video_id, track, max(frame) + 1 AS n, count(*) AS seen FROM trk GROUP BY ALL", "trk")
+def frames_to_tracks(v, t):
+    padded = reshape.frames_to_tracks(v("trk"), "video_id", "track", "frame", "score", F.col("frame") + 1)
+    return padded.select("video_id", "track", F.size("values").cast("bigint").alias("n"), F.size(F.filter("values", lambda x: x.isNotNull())).cast("bigint").alias("seen"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN role <> 'geometric' AND lower(trim(role)) IN ('user') THEN 'the ' || role || '.' ELSE role END AS role FROM turns", "turns")
+def text_affix(v, t):
+    return v("turns").select("conv_id", "turn", reshape.text_affix(F.col("role"), "the ", ".", ["User"]).alias("role"))
+
+
+@_query()
+def keep_max_queries(v, t):
+    return reshape.keep_max_queries(v("det"), "image_id", "det_id", 3, F.col("score") >= 500).select("image_id", "det_id")
+
+
+@_query("SELECT image_id, count(*) AS n FROM det GROUP BY 1 HAVING count(*) <= 4", "det")
+def too_many_outputs(v, t):
+    return v("det").groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 4")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber + l_suppkey AS area FROM lineitem")
+def rle_area(v, t):
+    counts = F.array(F.col("l_partkey"), F.col("l_linenumber").cast("bigint"), F.lit(3).cast("bigint"), F.col("l_suppkey"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reshape.rle_area(counts).alias("area"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(least(l_partkey % 20 + 10, 25) - greatest(l_partkey % 20, 15), 0) AS inter FROM lineitem")
+def rle_intersection(v, t):
+    long = lambda c: c.cast("bigint")
+    a = F.array(long(F.col("l_partkey") % 20), long(F.lit(10)), long(F.lit(30)))
+    b = F.array(long(F.lit(15)), long(F.lit(10)), long(F.lit(15)))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reshape.rle_intersection(reshape.rle_spans(a), reshape.rle_spans(b)).alias("inter"))
+
+
+# texts and conversations
+@_query("SELECT conv_id, turn, 'call ' || turn AS call FROM turns WHERE turn % 2 = 0", "turns")
+def tool_call_parse(v, t):
+    made = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x <tool> call "), F.col("turn").cast("string"), F.lit(" </tool> y"))).otherwise(F.col("role"))
+    return v("turns").select("conv_id", "turn", tx.tool_call(made).alias("call")).where("call IS NOT NULL")
+
+
+@_query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Accept' WHEN 1 THEN 'Reject' END AS verdict FROM turns", "turns")
+def verdict_parse(v, t):
+    said = F.element_at(F.array(F.lit("Accept"), F.lit("Reject"), F.lit("Accept or Reject")), (F.col("turn") % 3 + 1).cast("int"))
+    return v("turns").select("conv_id", "turn", tx.verdict(F.concat(F.lit("<verdict>"), said, F.lit("</verdict>"))).alias("verdict"))
+
+
+@_query("SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM turns) WHERE r <= 2 OR l IS NULL OR turn >= l", "turns")
+def message_prune(v, t):
+    return tx.prune_messages(v("turns"), F.col("role") == "assistant").select("conv_id", "turn")
+
+
+@_query("SELECT page_id, trim(regexp_replace(regexp_replace(lower(replace(url, '_', ' ')), '[^a-z0-9 \\n\\t]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def canonical_text(v, t):
+    return t("pages").select("page_id", tx.canonical(F.col("url")).alias("text"))
+
+
+# track state
+@_query(", i AS (SELECT video_id, track, frame, frame - row_number() OVER (PARTITION BY video_id, track ORDER BY frame) AS g FROM trk), s AS (SELECT video_id, track, g, min(frame) AS f, count(*) AS n FROM i GROUP BY ALL HAVING count(*) >= 2) SELECT video_id, track, min(f) + 1 AS confirmed_at FROM s GROUP BY ALL", "trk")
+def confirm_runs(v, t):
+    return reshape.confirmed_runs(v("trk"), "video_id", "track", "frame", 2)
+
+
+@_query()
+def session_tracks(v, t):
+    return tracks.batch(v("trk").select(F.col("video_id").alias("session"), "frame", "track", "score"))
