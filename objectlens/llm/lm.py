@@ -215,15 +215,34 @@ def word_log10(hashes: np.ndarray, count: np.ndarray, base: np.ndarray, n: int,
     return np.where(count > 0, known, novel), seats / SAMPLES
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unpack(column: pa.Array, kind: str) -> np.ndarray:
+    """The packed array of a batch's only row."""
+    return np.frombuffer(zstandard.decompress(column[0].as_py()), kind)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, starts, ends) of a block's distinct words, which stand with a space behind each, sorted by hash."""
+    letters = _unpack(column, "u1")
+    ends = np.flatnonzero(letters == 32)
+    return letters, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends, ends
+
+
+def _hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return tx.span_hash(tx.BYTE_VALUES[letters], starts, ends).view(np.int64)
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Blocks of whole documents: key, ids, flags, token counts, packed texts, and their distinct words."""
 
     def run(batches):
         number = 0
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data_all, off_all = tx.buffers(batch.column(2))
-            for lo, hi in tx.spans(off_all, BLOCK_BYTES):
+            for lo, hi in tx.spans(off_all, BLOCK_BYTES, len(off_all)):
                 texts, offs = [], [np.zeros(1, np.int64)]
                 for a, b in tx.spans(off_all[lo : hi + 1]):
                     t, o = normalised(data_all[off_all[lo + a] : off_all[lo + b]], off_all[lo + a : lo + b + 1] - off_all[lo + a])
@@ -235,28 +254,25 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 owner = np.searchsorted(off, starts, "right") - 1
                 words, first, which = np.unique(h, return_index=True, return_inverse=True)
                 counts = np.bincount(which[train[owner]], minlength=len(words))
-                letters, letter_off = gather(text, starts[first], ends[first])
+                size = ends[first] - starts[first]
+                letters, at = gather(text, starts[first], ends[first])
+                spaced = np.full(len(letters) + len(size), 32, np.uint8)
+                spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
                         "ids": pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                         "train": pa.array([train.tolist()], pa.list_(pa.bool_())),
-                        "off": [off.astype("<i8").tobytes()],
-                        "text": [press.compress(text.tobytes())],
-                        "words": [words.tobytes()],
-                        "counts": [counts.astype("<i8").tobytes()],
-                        "letters": [letters.tobytes()],
-                        "letter_off": [letter_off.astype("<i8").tobytes()],
-                        "histogram": pa.array([np.bincount(letters[np.repeat(counts > 0, np.diff(letter_off))], minlength=256).tolist()], pa.list_(pa.int64())),
+                        "off": [_pack(off.astype("<i8"))],
+                        "text": [_pack(text)],
+                        "counts": [_pack(counts.astype("<i8"))],
+                        "letters": [_pack(spaced)],
+                        "histogram": pa.array([np.bincount(letters[np.repeat(counts > 0, size)], minlength=256).tolist()], pa.list_(pa.int64())),
                     }
                 )
                 number += 1
 
-    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, off binary, text binary, words binary, counts binary, letters binary, letter_off binary, histogram array<bigint>")
-
-
-def _numbers(column: pa.Array, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(column[0].as_py(), kind)
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, off binary, text binary, counts binary, letters binary, histogram array<bigint>")
 
 
 def _single(batches):
@@ -269,10 +285,10 @@ def _single(batches):
 def _word_rows(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for b in _single(batches):
-            words, counts = _numbers(b.column(1)), _numbers(b.column(2))
+            words, counts = _hashes(*_listed(b.column(1))), _unpack(b.column(2), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), b.column(0)[0].as_py())), pa.array(counts)], names=["word", "block", "n"])
 
-    return blocks.select("block", "words", "counts").mapInArrow(run, "word bigint, block bigint, n bigint")
+    return blocks.select("block", "letters", "counts").mapInArrow(run, "word bigint, block bigint, n bigint")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -282,7 +298,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         key, totals, owned = None, [], []
 
         def row():
-            return pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int64()), "total": [np.concatenate(totals).astype("<i8").tobytes()], "owned": [np.concatenate(owned).astype(np.uint8).tobytes()]})
+            return pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int64()), "total": [_pack(np.concatenate(totals).astype("<i8"))], "owned": [_pack(np.concatenate(owned).astype("u1"))]})
 
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -312,7 +328,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     n, v, once, twice = types.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).head()
     discount = float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
     fetched = listed.join(types, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce(F.col("owner") == F.col("block"), F.lit(False)).alias("owned"))
-    known = frozen(blocks.select("block", "words", "letters", "letter_off").join(_packed(fetched), "block"), "lm-known")
+    known = frozen(blocks.select("block", "letters").join(_packed(fetched), "block"), "lm-known")
     histogram = np.zeros(256, np.int64)
     for r in blocks.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         histogram[r["pos"]] = r["n"]
@@ -320,41 +336,44 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def cells(batches):
         symbol = symbols_of(histogram)
         for b in _single(batches):
-            own = np.frombuffer(b.column(4)[0].as_py(), np.uint8).astype(bool)
-            off = _numbers(b.column(2))
-            letters, at = gather(_numbers(b.column(1), np.uint8), off[:-1][own], off[1:][own])
+            own = _unpack(b.column(2), "?")
+            letters, starts, ends = _listed(b.column(0))
+            letters, at = gather(letters, starts[own], ends[own])
             s, code, _, _ = spelled(letters, at, symbol)
             found, number = np.unique(code * SYMBOLS + s, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], names=["code", "n"])
 
-    counted = known.select("block", "letters", "letter_off", "total", "owned").mapInArrow(cells, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+    counted = known.select("letters", "total", "owned").mapInArrow(cells, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     sc = docs.sparkSession.sparkContext
     spelling = sc.broadcast(Spelling(histogram, (counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))))
 
     def seatings(tables: float):
         def run(batches):
             for b in _single(batches):
-                own = np.frombuffer(b.column(4)[0].as_py(), np.uint8).astype(bool)
-                off = _numbers(b.column(2))
-                letters, at = gather(_numbers(b.column(1), np.uint8), off[:-1][own], off[1:][own])
+                own = _unpack(b.column(2), "?")
+                letters, starts, ends = _listed(b.column(0))
+                words = _hashes(letters, starts, ends)[own]
+                letters, at = gather(letters, starts[own], ends[own])
                 base = spelling.value.log10(letters, at)
-                t = word_log10(_numbers(b.column(0))[own], _numbers(b.column(3))[own], base, n, tables, discount)[1]
+                t = word_log10(words, _unpack(b.column(1), "<i8")[own], base, n, tables, discount)[1]
                 yield pa.RecordBatch.from_pydict({"t": [float(t.sum())], "mass": [float(np.power(10.0, base).sum())]})
 
         return run
 
     tables, mass = float(v), 0.0
     for _ in range(WORD_SWEEPS if v else 0):
-        tables, mass = known.select("words", "letters", "letter_off", "total", "owned").mapInArrow(seatings(tables), "t double, mass double").agg(F.sum("t"), F.sum("mass")).head()
+        tables, mass = known.select("letters", "total", "owned").mapInArrow(seatings(tables), "t double, mass double").agg(F.sum("t"), F.sum("mass")).head()
 
     outside = float(np.log10(max(1 - mass, 1e-12)))
 
     def score(batches):
         for b in _single(batches):
-            words, total = _numbers(b.column(4)), _numbers(b.column(7))
-            base = spelling.value.log10(_numbers(b.column(5), np.uint8), _numbers(b.column(6)))
+            total = _unpack(b.column(5), "<i8")
+            letters, starts, ends = _listed(b.column(4))
+            words = _hashes(letters, starts, ends)
+            base = spelling.value.log10(*gather(letters, starts, ends))
             logs = word_log10(words, total, base, n, tables, discount, outside)[0]
-            text, off = np.frombuffer(zstandard.decompress(b.column(3)[0].as_py()), np.uint8), _numbers(b.column(2))
+            text, off = _unpack(b.column(3), "u1"), _unpack(b.column(2), "<i8")
             out: list[list] = [[], [], [], []]
             for lo, hi in tx.spans(off):
                 h, starts, _ = tokens(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
@@ -369,5 +388,5 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             ids, flags = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(len(ids), n)), pa.array(sums[2]), pa.array(sums[3]), pa.array(np.power(10, -sums[3] / sums[0]))], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    whole = blocks.select("block", "ids", "train", "off", "text").join(known, "block").select("ids", "train", "off", "text", "words", "letters", "letter_off", "total")
+    whole = blocks.select("block", "ids", "train", "off", "text").join(known, "block").select("ids", "train", "off", "text", "letters", "total")
     return whole.mapInArrow(score, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)

@@ -68,11 +68,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def spans(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about ``limit`` bytes, 1023 documents at most."""
+def spans(off: np.ndarray, limit: int = CHUNK_BYTES, most: int = 1023) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of about ``limit`` bytes, ``most`` documents at most."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), n, lo + 1023)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), n, lo + most)
         yield lo, hi
         lo = hi
 
