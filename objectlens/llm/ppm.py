@@ -78,7 +78,7 @@ class Trees:
                 scale = np.where(left > 0, total + kinds, np.maximum(total, 1))
                 share = np.where(total > 0, np.where(count > 0, count / np.maximum(scale, 1), free * escape), share)
                 bits[rows[d] : rows[d] + len(codes[d]), :, j] = -np.log2(np.maximum(share, 1e-30))
-        self.bits = bits.reshape(-1, len(self.langs))
+        self.bits = bits.reshape(base * width, len(self.langs))
         # the longest known context: order 3 directly, each further symbol by one more lookup
         root = np.zeros(width**3, np.int64)
         for d in (1, 2, 3):

@@ -5,8 +5,8 @@ host's labels are split into words by unigram Viterbi (a name such as ``cheappil
 separators), the path is cut at everything that is no letter or digit, and a multinomial naive
 Bayes over host words and path tokens tells ``block`` from ``allow``.
 
-Unigrams and class counts are taken over all pages: distinct tokens of hosts and paths with their
-counts, at most ``VOCABULARY`` of them (the most frequent; rarer ones count as unknown, with the
+Unigrams and class counts are taken over all pages: distinct tokens with their counts (unigrams
+from paths and hyphenated names, where separators show the words; classes from hosts and paths), at most ``VOCABULARY`` of them (the most frequent; rarer ones count as unknown, with the
 chance of an unseen word).  The teaching labels are the seed words: a page whose host holds one
 as a separate word teaches ``block``, any other teaches ``allow``.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -71,7 +72,7 @@ class Segmenter:
             options = []
             for start in range(max(0, end - max(self.longest, 24)), end):
                 word = name[start:end]
-                options.append((best[start] + self.cost.get(word, self.unseen + 2.5 * len(word)), start))
+                options.append((best[start] + self.cost.get(word, self.unseen + 1.5 * len(word)), start))
             cost, start = min(options)
             best.append(cost)
             back.append(start)
@@ -117,11 +118,18 @@ def train(pages: DataFrame, url_col: str = "url", vocabulary: int = VOCABULARY)
     strong, weak = F.array(*map(F.lit, STRONG)), F.array(*map(F.lit, SEEDS))
     bad = F.arrays_overlap(words, strong) | (F.size(F.array_intersect(words, weak)) >= 2)
     tokens = F.concat(F.transform(words, lambda w: F.concat(F.lit("h:"), w)), F.transform(F.regexp_extract_all("p", F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda w: F.concat(F.lit("p:"), w)))
+    # separators show words: parts of hyphenated names and path tokens teach the segmentation, whole names don't
+    parts = F.flatten(F.transform(F.filter(F.split("h", r"\\."), lambda x: x.contains("-")), lambda x: F.regexp_extract_all(x, F.lit("([a-z]+|[0-9]+)"), F.lit(1))))
+    tokens = F.concat(tokens, F.transform(parts, lambda w: F.concat(F.lit("u:"), w)))
     marked = rows.select(bad.alias("bad"), tokens.alias("tokens"))
     numbers = {r["bad"]: r["n"] for r in marked.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"), F.sum((~F.col("bad")).cast("long")).alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "t").limit(vocabulary).collect()
-    unigrams = {r["t"][2:]: r["a"] + r["b"] for r in found if r["t"][0] == "h"}
+    unigrams = Counter()
+    for r in found:
+        if r["t"][0] != "h":
+            unigrams[r["t"][2:]] += r["a"] + r["b"]
     most = max(unigrams.values(), default=1)
+    found = [r for r in found if r["t"][0] != "u"]
     unigrams |= {w: max(unigrams.get(w, 0), most // 50 + 1) for w in (*SEEDS, *COMMON)}
     blocked = {r["t"]: r["b"] for r in found if r["b"]}
     # the seeds that no page has yet are known to the classes as well
