@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlens.llm import bpe, cnn, lm, minhash, planes, ppm, rules, shards, suffixes, urls
+from objectlens.llm import bpe, cnn, lm, minhash, planes, ppm, rules, shards, sql, suffixes, urls
 from objectlens.llm.common import crc_bucket, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

@@ -215,3 +215,16 @@ def test_shard_store(spark, docs, tmp_path):
     empty.append(docs.limit(0))
     empty.compact()
     assert empty.read().count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for tab in ("documents", "benchmark", "labels"):
+        db.execute(f"CREATE VIEW {tab} AS SELECT * FROM read_parquet('{SF}/{tab}.parquet')")
+    mine = queries.queries()[name](spark, SF)
+    other = db.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in other.description]
+    assert sorted(columns) == sorted(mine.columns)
+    assert sorted(map(tuple, mine.select(columns).collect())) == sorted(other.fetchall())
