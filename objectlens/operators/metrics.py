@@ -115,3 +115,116 @@ def hota_combined(rows: DataFrame) -> DataFrame:
     total = lambda *c: F.greatest(sum(map(F.col, c[1:]), F.col(c[0])), F.lit(1))
     out = out.withColumn("det_a", F.col("tp") / total("tp", "fn", "fp")).withColumn("det_re", F.col("tp") / total("tp", "fn")).withColumn("det_pr", F.col("tp") / total("tp", "fp"))
     return out.withColumn("hota", F.sqrt(F.col("det_a") * F.col("ass_a"))).withColumn("owta", F.sqrt(F.col("det_re") * F.col("ass_a")))
+
+
+TETA_ALPHAS = [k / 20 for k in range(20)]
+TETA_OUT = ["cls", "alpha", "loc_tp", "loc_fn", "loc_fp", "assoc_a", "assoc_re", "assoc_pr", "cls_tp", "cls_fn", "cls_fp"]
+#: Similarity from which a prediction counts as overlapping a ground truth.
+OVERLAP = 0.5
+
+
+def _alignment(frames: list[tuple], shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Jaccard alignment of ids over all frames, and the number of frames of each id on both sides."""
+    potential, count_g, count_d = np.zeros(shape), np.zeros(shape[0]), np.zeros(shape[1])
+    for g, d, sim in frames:
+        whole = sim.sum(0)[None] + sim.sum(1)[:, None] - sim
+        potential[np.ix_(g, d)] += np.divide(sim, whole, out=np.zeros_like(sim), where=whole > np.finfo(float).eps)
+        count_g[g] += 1
+        count_d[d] += 1
+    return potential / np.maximum(count_g[:, None] + count_d[None] - potential, 1e-12), count_g, count_d
+
+
+def teta(gt: DataFrame, det: DataFrame, similarity: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """Localisation, association and classification by (video, cls, alpha).
+
+    gt: video, frame, gt_id, cls; det: video, frame, det_id, cls; similarity: video, frame, gt_id,
+    det_id, sim.  A class is judged on the predictions that overlap its ground truths in some frame,
+    whatever class they claim; a prediction that the class-free assignment gives to another class's
+    ground truth doesn't count as overlapping.  Classification counts start at alpha 0.5 and are null
+    below it.  A wrong claim is a false positive of the claimed class; with ``exhaustive``, so is each
+    claim that overlaps no ground truth of its class.  Videos are groups of their own.
+    """
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    rows = gt.select("video", "frame", F.lit(0).alias("kind"), text("gt_id").alias("g"), none.alias("d"), text("cls").alias("cls"), F.lit(0.0).alias("sim"))
+    rows = rows.unionByName(det.select("video", "frame", F.lit(1).alias("kind"), none.alias("g"), text("det_id").alias("d"), text("cls").alias("cls"), F.lit(0.0).alias("sim")))
+    rows = rows.unionByName(similarity.select("video", "frame", F.lit(2).alias("kind"), text("gt_id").alias("g"), text("det_id").alias("d"), none.alias("cls"), F.col("sim").cast("double").alias("sim")))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        video, eps = pdf["video"].iloc[0], np.finfo(float).eps
+        gi = {g: i for i, g in enumerate(sorted(pdf.loc[pdf["kind"] == 0, "g"].unique()))}
+        di = {d: i for i, d in enumerate(sorted(pdf.loc[pdf["kind"] == 1, "d"].unique()))}
+        frames = []
+        for _, own in pdf.groupby("frame"):
+            left, right, pair = (own[own["kind"] == k] for k in range(3))
+            g, d = left["g"].map(gi).to_numpy(int), right["d"].map(di).to_numpy(int)
+            sim = np.zeros((len(gi), len(di)))
+            sim[pair["g"].map(gi).to_numpy(int), pair["d"].map(di).to_numpy(int)] = pair["sim"].to_numpy()
+            frames.append((g, left["cls"].to_numpy(), d, right["cls"].to_numpy(), sim[np.ix_(g, d)]))
+        shape = (len(gi), len(di))
+        whole = _alignment([(g, d, s) for g, _, d, _, s in frames], shape)[0]
+        given = [[(i, j) for i, j in assign(whole[np.ix_(g, d)] * s) if s[i, j] >= OVERLAP - eps] for g, _, d, _, s in frames]
+        names = sorted({c for _, gc, _, dc, _ in frames for c in (*gc, *dc) if c is not None})
+        known = {c for _, gc, _, _, _ in frames for c in gc}
+        sums = {c: {k: np.zeros(len(TETA_ALPHAS)) for k in TETA_OUT[2:]} for c in names}
+        for cls in names:
+            own, overlapping = sums[cls], []
+            for (g, gc, d, dc, s), pairs in zip(frames, given, strict=True):
+                near = (s[gc == cls] >= OVERLAP).any(0) if (gc == cls).any() else np.zeros(len(d), bool)
+                near[[j for i, j in pairs if gc[i] != cls]] = False
+                overlapping.append(near)
+                if exhaustive:
+                    own["cls_fp"] += ((dc == cls) & ~near).sum()
+            ids = {int(x) for (_, _, d, _, _), near in zip(frames, overlapping, strict=True) for x in d[near]}
+            if not ids:
+                own["loc_fn"] += sum(int((gc == cls).sum()) for _, gc, _, _, _ in frames)
+                continue
+            cut = []
+            for (g, gc, d, dc, s), near in zip(frames, overlapping, strict=True):
+                mine = np.isin(d, list(ids))
+                cut.append((g[gc == cls], d[mine], dc[mine], near[mine], s[gc == cls][:, mine]))
+            align, count_g, count_d = _alignment([(g, d, s) for g, d, _, _, s in cut], shape)
+            hits = np.zeros((len(TETA_ALPHAS), *shape))
+            for g, d, dc, near, s in cut:
+                if not len(g):
+                    continue
+                pairs = assign(align[np.ix_(g, d)] * s)
+                for a, alpha in enumerate(TETA_ALPHAS):
+                    met = [(i, j) for i, j in pairs if s[i, j] >= alpha - eps]
+                    taken = [j for _, j in met]
+                    own["loc_tp"][a] += len(met)
+                    own["loc_fn"][a] += len(g) - len(met)
+                    own["loc_fp"][a] += len(set(np.flatnonzero(near)) - set(taken))
+                    for i, j in met:
+                        hits[a, g[i], d[j]] += 1
+                    if alpha >= 0.5:
+                        right = sum(dc[j] == cls for j in taken)
+                        own["cls_tp"][a] += right
+                        own["cls_fn"][a] += len(met) - right
+                        for j in taken:
+                            if dc[j] != cls and dc[j] in known:
+                                sums[dc[j]]["cls_fp"][a] += 1
+            for a in range(len(TETA_ALPHAS)):
+                n, tp = hits[a], max(1.0, own["loc_tp"][a])
+                for name, base in (("assoc_a", count_g[:, None] + count_d[None] - n), ("assoc_re", count_g[:, None] + 0 * n), ("assoc_pr", count_d[None] + 0 * n)):
+                    own[name][a] = (n * n / np.maximum(1, base)).sum() / tp
+        out = []
+        for cls in names:
+            for a, alpha in enumerate(TETA_ALPHAS):
+                own = [float(sums[cls][k][a]) for k in TETA_OUT[2:]]
+                out.append((video, cls, alpha, *own[:6], *(own[6:] if alpha >= 0.5 else [None] * 3)))
+        return pd.DataFrame(out, columns=["video", *TETA_OUT])
+
+    kind = gt.schema["video"].dataType.simpleString()
+    return rows.groupBy("video").applyInPandas(one, f"video {kind}, cls string, alpha double, " + ", ".join(f"{c} double" for c in TETA_OUT[2:]))
+
+
+def teta_combined(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Videos, and with by = [] classes too, combined: counts summed, association weighted by matches, means over alpha."""
+    weighted = lambda c: F.sum(F.col(c) * F.col("loc_tp")) / F.greatest(F.sum("loc_tp"), F.lit(1.0))
+    counts = ("loc_tp", "loc_fn", "loc_fp", "cls_tp", "cls_fn", "cls_fp")
+    per = rows.groupBy(*by, "alpha").agg(*[F.sum(c).alias(c) for c in counts], *[weighted(c).alias(c) for c in ("assoc_a", "assoc_re", "assoc_pr")])
+    share = lambda p, *c: F.col(p) / F.greatest(sum(map(F.col, c), F.col(p)), F.lit(1.0))
+    parts = per.select(*by, "alpha", share("loc_tp", "loc_fn", "loc_fp").alias("loc_a"), share("loc_tp", "loc_fn").alias("loc_re"), share("loc_tp", "loc_fp").alias("loc_pr"), "assoc_a", "assoc_re", "assoc_pr", share("cls_tp", "cls_fn", "cls_fp").alias("cls_a"), share("cls_tp", "cls_fn").alias("cls_re"), share("cls_tp", "cls_fp").alias("cls_pr"))
+    out = parts.groupBy(*by).agg(*[F.avg(c).alias(c) for c in parts.columns if c not in (*by, "alpha")])
+    return out.withColumn("teta", (F.col("loc_a") + F.col("assoc_a") + F.col("cls_a")) / 3)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlens.functions import geometry as g
+from objectlens.functions import masks, rotated
 from objectlens.functions import text as tx
-from objectlens.operators import library, metrics, relational, reshape, suppression
+from objectlens.operators import library, matching, metrics, relational, reshape, rollups, suppression
 from objectlens.session import table
 from objectlens.sources.views import view, with_views
 from objectlens.streaming import tracks
@@ -462,3 +463,156 @@ def confirm_runs(v, t):
 @_query()
 def session_tracks(v, t):
     return tracks.batch(v("trk").select(F.col("video_id").alias("session"), "frame", "track", "score"))
+
+
+# masks as spans
+def _mask(start: Column, length: Column) -> Column:
+    """Two spans: ``length`` places from ``start`` on, and 5 more after a gap of 10."""
+    span = lambda a, n: F.struct(a.cast("bigint").alias("start"), (a + n).cast("bigint").alias("end"))
+    return F.array(span(start, length), span(start + length + 10, F.lit(5)))
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_MASK_SQL = "s AS (SELECT " + _LINE + ", l_partkey % 40 AS p, l_linenumber * 3 AS n FROM lineitem), m AS (SELECT *, greatest(least(p + n, 50) - greatest(p, 20), 0) + greatest(least(p + n + 15, 50) - greatest(p + n + 10, 20), 0) AS i FROM s)"
+
+
+def _masks(t) -> DataFrame:
+    fixed = F.array(F.struct(F.lit(20).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end")))
+    return t("lineitem").select(*_LINE.split(", "), _mask(F.col("l_partkey") % 40, F.col("l_linenumber") * 3).alias("a"), fixed.alias("b"))
+
+
+@_query(f"WITH {_MASK_SQL} SELECT {_LINE}, round(i * 1.0 / (n + 35 - i), 6) AS iou, round(i * 1.0 / least(n + 5, 30), 6) AS iom FROM m")
+def mask_iou(v, t):
+    return _masks(t).select(*_LINE.split(", "), _r(masks.mask_iou(F.col("a"), F.col("b"))).alias("iou"), _r(masks.mask_iom(F.col("a"), F.col("b"))).alias("iom"))
+
+
+@_query(f"WITH {_MASK_SQL}, c AS (SELECT *, list_concat(range(p, p + n), range(p + n + 10, p + n + 15)) AS px FROM m) SELECT {_LINE}, list_min([q // 12 FOR q IN px]) AS x1, list_min([q % 12 FOR q IN px]) AS y1, list_max([q // 12 FOR q IN px]) AS x2, list_max([q % 12 FOR q IN px]) AS y2 FROM c")
+def mask_box(v, t):
+    box = masks.mask_box(F.col("a"), F.lit(12))
+    return _masks(t).select(*_LINE.split(", "), *[F.get(box, F.lit(k)).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@_query(f"WITH {_MASK_SQL}, c AS (SELECT l_orderkey, unnest(list_concat(range(p, p + n), range(p + n + 10, p + n + 15))) AS px FROM m) SELECT l_orderkey, count(DISTINCT px) AS area FROM c GROUP BY 1")
+def semantic_union(v, t):
+    return masks.semantic_union(_masks(t), "l_orderkey", "a").select("l_orderkey", masks.span_area(F.col("spans")).alias("area"))
+
+
+@_query()
+def grid_components(v, t):
+    pieces = _masks(t).select(*_LINE.split(", "), masks.grid_components("a", F.lit(12)).alias("pieces"))
+    return pieces.select(*_LINE.split(", "), F.size(masks.without_sprinkles(F.col("pieces"), 5)).alias("kept_pieces"))
+
+
+# rotated boxes
+def _turned(p: str = "") -> tuple:
+    c = lambda n: F.col(p + n).cast("double")
+    return c("x1"), c("y1"), c("w"), c("h"), (F.col(p + "score") - 400).cast("double")
+
+
+@_query("SELECT det_id, CAST((((score - 400) + 180) % 360 + 360) % 360 - 180 AS DOUBLE) AS angle FROM det", "det")
+def rotated_angle(v, t):
+    return v("det").select("det_id", rotated.normalised_angle(_turned()[4]).alias("angle"))
+
+
+@_query("SELECT det_id, round(abs(cos(radians(score - 400))) * w + abs(sin(radians(score - 400))) * h, 6) AS outer_w, round(abs(cos(radians(score - 400))) * h + abs(sin(radians(score - 400))) * w, 6) AS outer_h FROM det", "det")
+def rotated_outer_box(v, t):
+    x1, y1, x2, y2 = rotated.outer_box(*_turned())
+    return v("det").select("det_id", _r(x2 - x1).alias("outer_w"), _r(y2 - y1).alias("outer_h"))
+
+
+@_query()
+def rotated_iou(v, t):
+    own = F.struct(*[c.alias(n) for c, n in zip(_turned("d."), "xywha", strict=True)])
+    other = F.struct(*[F.col(f"t.{n}").cast("double").alias(m) for n, m in zip(("x1", "y1", "w", "h"), "xywh", strict=True)], F.lit(0.0).alias("a"))
+    return _pairs(v).select("image_id", "det_id", "gt_id", _r(rotated.rotated_iou(own, other)).alias("iou"))
+
+
+# matching
+@_query()
+def set_prediction_match(v, t):
+    pred = v("det").select("image_id", "det_id", (F.col("score") / 1000).alias("prob"), *[c.cast("double").alias(n) for c, n in zip(_box(), ("x1", "y1", "x2", "y2"), strict=True)])
+    target = v("gt").select("image_id", "gt_id", *[c.cast("double").alias(n) for c, n in zip(_box(), ("x1", "y1", "x2", "y2"), strict=True)])
+    return matching.set_match(pred, target, "image_id")
+
+
+@_query(
+    f", {_PAIR}, m AS (SELECT image_id, det_id, gt_id, 0.3e0 * (score / 1000.0e0) + 0.7e0 * (i * 1.0e0 / (da + ta - i)) AS mixed FROM p), b AS (SELECT image_id, gt_id, quantile_cont(mixed, 0.0e0) AS low, CASE WHEN count(*) <= 2 THEN quantile_cont(mixed, 0) ELSE list_sort(list(mixed)) [CAST(floor((count(*) - 1) * (1 - 2.0e0 / count(*))) AS BIGINT) + 1] + ((count(*) - 1) * (1 - 2.0e0 / count(*)) - floor((count(*) - 1) * (1 - 2.0e0 / count(*)))) * (list_sort(list(mixed)) [CAST(ceil((count(*) - 1) * (1 - 2.0e0 / count(*))) AS BIGINT) + 1] - list_sort(list(mixed)) [CAST(floor((count(*) - 1) * (1 - 2.0e0 / count(*))) AS BIGINT) + 1]) END AS bar FROM m GROUP BY 1, 2) SELECT image_id, det_id, gt_id, round(mixed, 6) AS mixed FROM m JOIN b USING (image_id, gt_id) WHERE mixed > bar AND mixed > 0.4e0",
+    "det",
+    "gt",
+)
+def one_to_many_match(v, t):
+    pairs = _pairs(v).select("image_id", "det_id", "gt_id", (F.col("score") / 1000).alias("prob"), g.iou(_box("d."), _box("t.")).alias("iou"))
+    return matching.one_to_many(pairs, "image_id", F.col("prob"), F.col("iou"), top=2).select("image_id", "det_id", "gt_id", _r(F.col("mixed")).alias("mixed"))
+
+
+def _association(v) -> dict[str, DataFrame]:
+    trk = v("gt").select("image_id", F.col("gt_id").alias("trk_id"), (F.col("w") % 7 == 0).alias("empty"))
+    overlaps = _pairs(v).select("image_id", "det_id", F.col("gt_id").alias("trk_id"), g.iou(_box("d."), _box("t.")).alias("iou"))
+    return matching.associate(v("det").select("image_id", "det_id", (F.col("score") / 1000).alias("score")), trk, overlaps, ["image_id"], keep_at=0.9)
+
+
+@_query(f", {_PAIR} SELECT det_id FROM det WHERE score >= 700 EXCEPT SELECT det_id FROM p WHERE i * 2 >= da + ta - i", "det", "gt")
+def association_new(v, t):
+    return _association(v)["new"].select("det_id").distinct()
+
+
+@_query(f", {_PAIR} SELECT gt_id AS trk_id FROM gt WHERE w % 7 <> 0 EXCEPT SELECT gt_id FROM p WHERE i * 10 >= 9 * (da + ta - i)", "det", "gt")
+def association_unmatched(v, t):
+    return _association(v)["unmatched"].select("trk_id").distinct()
+
+
+# class and association metric
+def _classes(v) -> tuple:
+    gt, det, sim = _tracks(v)
+    return gt.withColumn("cls", F.col("gt_id")), det.select("video", "frame", "det_id").withColumn("cls", F.when(F.col("frame") % 5 == 0, "click").otherwise(F.col("det_id"))), sim
+
+
+@_query()
+def teta(v, t):
+    return metrics.teta(*_classes(v))
+
+
+@_query()
+def teta_combine(v, t):
+    return metrics.teta_combined(metrics.teta(*_classes(v)), ["cls"])
+
+
+# rollups
+@_query("SELECT b AS bucket, round(avg(score), 6) AS mean FROM (SELECT CAST(category_id AS VARCHAR) AS b, score FROM det) GROUP BY 1 UNION ALL SELECT 'overall', round(avg(m), 6) FROM (SELECT avg(score) AS m FROM det GROUP BY category_id)", "det")
+def rarity_average(v, t):
+    return rollups.bucket_average(v("det").withColumn("bucket", F.col("category_id")), "bucket", "score").select("bucket", _r(F.col("mean")).alias("mean"))
+
+
+@_query("SELECT round(avg(score), 6) AS weighted_mean, (SELECT round(avg(m), 6) FROM (SELECT avg(score) AS m FROM det GROUP BY category_id)) AS category_mean FROM det", "det")
+def category_averages(v, t):
+    return rollups.averages(v("det"), "category_id", "score").select(_r(F.col("weighted_mean")).alias("weighted_mean"), _r(F.col("category_mean")).alias("category_mean"))
+
+
+@_query("SELECT CAST(category_id % 2 AS INT) AS super, CAST(sum(w) AS BIGINT) AS w, CAST(sum(score) AS BIGINT) AS score FROM det GROUP BY 1", "det")
+def super_category_rollup(v, t):
+    mapping = v("det").select("category_id").distinct().withColumn("super", (F.col("category_id") % 2).cast("int"))
+    return rollups.super_categories(v("det"), mapping, "category_id", ["w", "score"])
+
+
+@_query("SELECT video_id, track, round(avg(score), 6) AS score, count(*) AS n FROM trk GROUP BY 1, 2", "trk")
+def track_averages(v, t):
+    sums = v("trk").groupBy("video_id", "track").agg(F.count(F.lit(1)).alias("n"))
+    made = rollups.track_summary(v("trk").withColumn("label", F.col("event_id") % 3), "video_id", "track", "score", "label")
+    return made.join(sums, ["video_id", "track"]).select("video_id", "track", _r(F.col("score")).alias("score"), "n")
+
+
+@_query(
+    f", p AS (SELECT d.image_id, d.category_id AS left_id, t.category_id AS right_id, {_INTER} AS i FROM det d JOIN gt t ON d.image_id = t.image_id AND d.w = t.w), a AS (SELECT image_id, category_id, sum(w*h) AS a FROM det GROUP BY 1, 2), b AS (SELECT image_id, category_id, sum(w*h) AS b FROM gt GROUP BY 1, 2), s AS (SELECT image_id, left_id, right_id, sum(i) AS i FROM p GROUP BY 1, 2, 3) SELECT s.image_id, left_id, right_id, round(i * 1.0e0 / (a + b - i), 6) AS iou FROM s JOIN a ON a.image_id = s.image_id AND a.category_id = left_id JOIN b ON b.image_id = s.image_id AND b.category_id = right_id",
+    "det",
+    "gt",
+)
+def track_iou(v, t):
+    side = lambda n, k: v(n).select("image_id", F.col("w").alias("frame"), F.col("category_id").alias(f"{k}_id"), *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "w", "h")])
+    return rollups.track_iou(side("det", "left"), side("gt", "right"), "image_id", "frame", "left_id", "right_id", g.intersection(_box("left_"), _box("right_")), F.col("left_w") * F.col("left_h"), F.col("right_w") * F.col("right_h")).withColumn("iou", _r(F.col("iou")))
+
+
+@_query("SELECT image_id, round(CASE WHEN d + t > 0 THEN 2.0 * least(d, t) / (2 * least(d, t) + abs(d - t)) ELSE 1 END, 6) AS f1 FROM (SELECT image_id, (SELECT count(*) FROM det x WHERE x.image_id = i.image_id) AS d, (SELECT count(*) FROM gt y WHERE y.image_id = i.image_id) AS t FROM img i)", "det", "gt", "img")
+def pair_f1(v, t):
+    sides = v("img").join(v("det").groupBy("image_id").agg(F.count(F.lit(1)).alias("d")), "image_id", "left").join(v("gt").groupBy("image_id").agg(F.count(F.lit(1)).alias("t")), "image_id", "left").fillna(0, ["d", "t"])
+    tp = F.least("d", "t")
+    return sides.select("image_id", _r(rollups.pair_f1(tp, F.col("d") - tp, F.col("t") - tp)).alias("f1"))
