@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlens.functions import geometry as g
-from objectlens.functions import masks, rotated
+from objectlens.functions import masks, rotated, scalar
 from objectlens.functions import text as tx
-from objectlens.operators import library, matching, metrics, relational, reshape, rollups, suppression
+from objectlens.operators import filters, library, matching, metrics, relational, reshape, rollups, suppression
 from objectlens.session import table
 from objectlens.sources.views import view, with_views
 from objectlens.streaming import tracks
@@ -616,3 +616,94 @@ def pair_f1(v, t):
     sides = v("img").join(v("det").groupBy("image_id").agg(F.count(F.lit(1)).alias("d")), "image_id", "left").join(v("gt").groupBy("image_id").agg(F.count(F.lit(1)).alias("t")), "image_id", "left").fillna(0, ["d", "t"])
     tp = F.least("d", "t")
     return sides.select("image_id", _r(rollups.pair_f1(tp, F.col("d") - tp, F.col("t") - tp)).alias("f1"))
+
+
+# query filters, frame lookups, track bookkeeping
+@_query("SELECT image_id FROM img WHERE phrase NOT IN ('F') AND image_id NOT IN (SELECT image_id FROM gt WHERE w * h < 300)", "img", "gt")
+def query_filters(v, t):
+    kept = filters.without_texts(v("img"), "phrase", ["F"])
+    return filters.without_touching(kept, v("gt"), "image_id", F.col("w") * F.col("h") < 300).select("image_id")
+
+
+@_query("SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY category_id) - 1 AS stage, det_id FROM det WHERE category_id <> 2", "det")
+def stage_remap(v, t):
+    kept = v("det").where("category_id <> 2").withColumn("stage", F.col("category_id"))
+    return filters.renumbered(kept, "image_id", "stage").select("image_id", "stage", "det_id")
+
+
+@_query(
+    f", {_PAIR}, hit AS (SELECT DISTINCT det_id FROM p WHERE i * 2 >= da + ta - i) SELECT det_id FROM det d WHERE det_id IN (SELECT det_id FROM hit) OR ((EXISTS (SELECT 1 FROM gt t WHERE t.image_id = d.image_id AND t.category_id = d.category_id) OR d.category_id IN (1, 2)) AND d.category_id <> 3)",
+    "det",
+    "gt",
+)
+def open_world_filter(v, t):
+    hit = _pairs(v).where(g.iou(_box("d."), _box("t.")) >= 0.5).select("det_id")
+    classes = v("det").select("image_id", "category_id").distinct()
+    return filters.open_world(v("det"), v("gt"), hit, ["image_id"], "category_id", classes.where("category_id IN (1, 2)"), classes.where("category_id = 3")).select("det_id")
+
+
+@_query(f", p AS (SELECT d.image_id, d.det_id AS a, t.det_id AS b, {_INTER} AS i, d.w*d.h AS da, t.w*t.h AS ta FROM det d JOIN det t ON d.image_id = t.image_id AND d.det_id < t.det_id) SELECT image_id, a, b FROM p WHERE i * 2 > da + ta - i", "det")
+def self_pair_overlaps(v, t):
+    pairs = filters.self_pairs(v("det"), ["image_id"], "det_id", ["x1", "y1", "w", "h"])
+    return pairs.where(g.iou(_box("a_"), _box("b_")) > 0.5).select("image_id", F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"))
+
+
+@_query("SELECT video_id, track, min(frame) AS first_frame FROM trk GROUP BY 1, 2", "trk")
+def first_appearance(v, t):
+    return filters.first_appearance(v("trk"), "video_id", "track", "frame")
+
+
+@_query(
+    ", s AS (SELECT *, score % 3 AS det, frame // 2 AS f FROM trk), b AS (SELECT *, min(f) OVER (PARTITION BY video_id, track) AS born FROM s), c AS (SELECT *, first_value(track) OVER (PARTITION BY video_id, f, det ORDER BY born, track) AS first FROM b), n AS (SELECT video_id, first, track, count(DISTINCT f) AS n FROM c WHERE track <> first GROUP BY 1, 2, 3) SELECT DISTINCT video_id, track FROM n WHERE n >= 2",
+    "trk",
+)
+def duplicate_track_removal(v, t):
+    rows = v("trk").withColumn("det", F.col("score") % 3).withColumn("f", F.floor(F.col("frame") / 2))
+    return filters.duplicate_tracks(rows, "video_id", ["det"], "track", "f", 2)
+
+
+@_query(", r AS (SELECT d.*, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS k, (SELECT count(*) FROM gt t WHERE t.image_id = d.image_id) AS held FROM det d) SELECT DISTINCT det_id FROM r WHERE k <= 5 - held", "det", "gt")
+def cap_new_detections(v, t):
+    return filters.under_cap(v("det"), v("gt"), "image_id", "score", "det_id", 5).select("det_id").distinct()
+
+
+@_query("SELECT video_id, frame, track, coalesce(lead(score, 2) OVER w, last_value(score) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS later FROM trk WINDOW w AS (PARTITION BY video_id, track ORDER BY frame)", "trk")
+def look_ahead_status(v, t):
+    return filters.look_ahead(v("trk"), ["video_id", "track"], "frame", "score", 3).select("video_id", "frame", "track", "later")
+
+
+@_query(
+    ", p AS (SELECT a.video_id, a.frame, b.frame AS cond, b.frame < a.frame AS before, abs(b.frame - a.frame) AS far FROM trk a JOIN trk b ON a.video_id = b.video_id AND b.track = 'click'), s AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame, before ORDER BY far) AS side FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY side > 1, far, cond) AS k FROM s) SELECT video_id, frame, cond FROM r WHERE k <= 4",
+    "trk",
+)
+def nearest_condition_frames(v, t):
+    return filters.nearest_frames(v("trk"), v("trk").where("track = 'click'"), "video_id", "frame", 4)
+
+
+@_query("SELECT video_id, CASE WHEN count(DISTINCT video_id) OVER (PARTITION BY track) > 1 THEN concat_ws('@', track, video_id) ELSE track END AS track, frame FROM trk", "trk")
+def unique_tracks(v, t):
+    return filters.unique_tracks(v("trk").select("video_id", "track", "frame"), "video_id", "track")
+
+
+@_query()
+def track_nms(v, t):
+    rows = v("det").select(F.col("image_id").alias("video_id"), F.col("category_id").alias("track"), (F.col("w") % 4).alias("frame"), "score", "x1", "y1", "w", "h")
+    return filters.track_suppression(rows, "video_id", "track", "frame", 0.5)
+
+
+# scalar functions
+@_query("SELECT det_id, round(1 / (1 + exp(-(score - 500) / 250.0e0)) * (1 / (1 + exp(-(w - 15) / 5.0e0))), 6) AS prob, round(greatest(0, 1 - sqrt((x1 - 20) * (x1 - 20) + (y1 - 20) * (y1 - 20)) / 30.0e0), 6) AS near FROM det", "det")
+def score_functions(v, t):
+    prob = scalar.presence_score((F.col("score") - 500) / 250, (F.col("w") - 15) / 5)
+    return v("det").select("det_id", _r(prob).alias("prob"), _r(scalar.euclidean_similarity(F.col("x1"), F.col("y1"), F.lit(20), F.lit(20), 30.0)).alias("near"))
+
+
+@_query("SELECT page_id, 'data:image/jpeg;base64,' || to_base64(encode(url)) AS uri, printf('seg_%02d_crop.jpg', CAST(page_id % 100 AS INT)) AS crop FROM media", "media")
+def text_functions(v, t):
+    return v("media").select("page_id", scalar.data_uri(F.col("url").cast("binary")).alias("uri"), scalar.crop_name((F.col("page_id") % 100).cast("int")).alias("crop"))
+
+
+@_query("SELECT image_id, CASE WHEN width < height THEN CAST(trunc(side * height * 1.0e0 / width) AS BIGINT) ELSE side END AS new_h, CASE WHEN width < height THEN side ELSE CAST(trunc(side * width * 1.0e0 / height) AS BIGINT) END AS new_w FROM (SELECT *, CASE WHEN greatest(width, height) * 1.0e0 / least(width, height) * 80 > 110 THEN CAST(round_even(110.0e0 * least(width, height) / greatest(width, height), 0) AS BIGINT) ELSE 80 END AS side FROM img)", "img")
+def aspect_size(v, t):
+    h, w = scalar.aspect_size(F.col("width"), F.col("height"), 80, 110)
+    return v("img").select("image_id", h.alias("new_h"), w.alias("new_w"))

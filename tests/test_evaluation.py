@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlens.functions import masks, rotated
-from objectlens.operators import matching, metrics, rollups
+from objectlens.operators import filters, matching, metrics, rollups
 from objectlens.sources import files
 
 
@@ -158,3 +158,17 @@ def test_library_files(spark, tmp_path):
 def test_resource_kind(spark):
     df = spark.createDataFrame(pd.DataFrame({"p": ["a/b.JPG", "a/x", "c.mp4", "t.txt"]}))
     assert [r[0] for r in df.select(files.resource_kind(F.col("p"))).collect()] == ["image", "video", "video", None]
+
+
+def test_track_suppression(spark):
+    box = lambda x: (float(x), 0.0, 10.0, 10.0)
+    rows = [(0, "a", f, 0.9, *box(0)) for f in range(2)] + [(0, "b", f, 0.5, *box(1)) for f in range(2)] + [(0, "c", f, 0.4, *box(30)) for f in range(2)] + [(0, "c", 2, 0.4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "video int, track string, frame int, score double, x1 double, y1 double, w double, h double")
+    got = filters.track_suppression(df, "video", "track", "frame", 0.5).collect()
+    assert len(got) == len(rows)
+    assert {(r.track, r.frame) for r in got if r.x1 is None} == {("b", 0), ("b", 1), ("c", 2)}
+
+
+def test_zero_boxes(spark):
+    df = spark.createDataFrame([(0, None), (1, [0.0] * 4), (2, [1.0, 2.0]), (3, [0.0, 0.0, 1.0, 0.0])], "k int, b array<double>")
+    assert [r.k for r in df.where(~filters.zero_box(F.col("b"))).collect()] == [3]
