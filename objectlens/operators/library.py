@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from objectlens.session import written
+
 BLOCK_ROWS = 512
 
 
@@ -49,16 +51,19 @@ def cosine_neighbours(rows: DataFrame, id_col: str, column: str, eps: float, blo
 
 
 def clusters(rows: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    """Density clusters with two members as the least: components of the pairs, label = least member, -1 alone."""
+    """Density clusters with two members as the least: components of the pairs, label = least member, -1 alone.
+
+    Each round reads the last one's labels from a written table, so plans stay small and survive lost executors.
+    """
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache()
+    edges = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = edges.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id"))
     mark = None
     while True:
         least = edges.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("m"))
         hop = labels.join(least, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = hop.select(F.col("id").alias("j"), F.col("label").alias("jl"))
-        labels = hop.join(jump, F.col("label") == F.col("j"), "left").select("id", F.least("label", F.coalesce("jl", "label")).alias("label")).cache()
+        labels = written(hop.join(jump, F.col("label") == F.col("j"), "left").select("id", F.least("label", F.coalesce("jl", "label")).alias("label")), "labels")
         now = tuple(labels.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("decimal(38,0)"))).head())
         if now == mark:
             return rows.select(id_col).join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("label", F.coalesce("label", F.lit(-1)))

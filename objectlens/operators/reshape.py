@@ -17,10 +17,27 @@ def tracks_to_frames(tracks: DataFrame, video: str, track: str, values: str) ->
     return tracks.select(video, track, F.posexplode(values).alias("frame", "value")).where("value IS NOT NULL")
 
 
+def ranked(rows: DataFrame, order: list[str], name: str, ranges: int = 200) -> DataFrame:
+    """Places 1, 2, ... in the order of columns that tell all rows apart, without one task that sees all rows.
+
+    Rows are dealt to ranges of the first column, numbered inside each, and moved by the sizes of the ranges
+    before.  The bounds are ``ranges`` distinct values chosen by hash: all that the driver holds.
+    """
+    first = F.col(order[0])
+    chosen = rows.select(first).where(first.isNotNull()).distinct().orderBy(F.xxhash64(first), first).limit(ranges).collect()
+    bounds = F.array(*[F.lit(r[0]) for r in chosen]) if chosen else F.array().cast(f"array<{rows.schema[order[0]].dataType.simpleString()}>")
+    dealt = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: first.isNotNull() & (b <= first))))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # at most ranges + 1 rows
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_place") + F.col("_before"))).drop("_range", "_place", "_before")
+
+
 def class_agnostic(rows: DataFrame, video: str, category: str) -> DataFrame:
     """(video, category) pairs become videos of their own, numbered in order, with category 1."""
     pairs = rows.groupBy(video, category).agg(F.count(F.lit(1)).alias("n"))
-    return pairs.withColumn("new_video", F.dense_rank().over(Window.orderBy(video, category)))
+    return ranked(pairs, [video, category], "new_video")
 
 
 def keep_max_queries(rows: DataFrame, group: str, key: str, most: int, positive: Column, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlens.functions import masks, rotated
-from objectlens.operators import filters, matching, metrics, rollups
+from objectlens.operators import filters, matching, metrics, reshape, rollups
 from objectlens.sources import files
 
 
@@ -172,3 +172,12 @@ def test_track_suppression(spark):
 def test_zero_boxes(spark):
     df = spark.createDataFrame([(0, None), (1, [0.0] * 4), (2, [1.0, 2.0]), (3, [0.0, 0.0, 1.0, 0.0])], "k int, b array<double>")
     assert [r.k for r in df.where(~filters.zero_box(F.col("b"))).collect()] == [3]
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_ranked(spark, n):
+    rows = [(k % 37 if k % 11 else None, f"c{k}") for k in range(n)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    got = sorted((r.place, r.a, r.b) for r in reshape.ranked(df, ["a", "b"], "place", ranges=7).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [(i, *r) for i, r in enumerate(want, 1)]
