@@ -90,7 +90,7 @@ def under_cap(new: DataFrame, held: DataFrame, video: str, score: str, id_col: s
 def look_ahead(rows: DataFrame, keys: list[str], frame: str, status: str, n: int) -> DataFrame:
     """Status n - 1 rows later of the same key, or at its last row if there are fewer."""
     w = Window.partitionBy(*keys).orderBy(frame)
-    last = F.last(status).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last(status).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.withColumn("later", F.coalesce(F.lead(status, n - 1).over(w), last))
 
 

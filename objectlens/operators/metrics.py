@@ -55,7 +55,9 @@ def precision_recall(det: DataFrame, group: str, order: list[Column], hit: str,
     w = Window.partitionBy(group).orderBy(*order)
     run = det.withColumn("tp", F.sum(F.col(hit).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
     run = run.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / n_gt)
-    return run.withColumn("envelope", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # from the last rank back: a frame that only grows is linear, one that shrinks is computed anew for each row
+    back = Window.partitionBy(group).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return run.withColumn("envelope", F.max("precision").over(back))
 
 
 def average_precision(curve: DataFrame, group: str) -> DataFrame:

@@ -1,14 +1,27 @@
 """Greedy suppression and optimal assignment: a small sequential step inside each group.
 
 Groups are images or (video, frame) pairs, so a group is as large as one image's detections,
-whatever the table's size.  Ties in score go to the smaller id.
+whatever the table's size.  Ties in score go to the smaller id.  Whole groups are dealt to buckets of
+about ``BUCKET_ROWS`` rows, whose number grows with the table, so that one call handles many groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BUCKET_ROWS = 20_000
+
+
+def _bucket(rows: DataFrame, group: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*group), F.lit(max(1, -(-rows.count() // BUCKET_ROWS))))
+
+
+def _runs(code: np.ndarray, n: int) -> np.ndarray:
+    """Where each code's rows begin among sorted codes [n + 1]."""
+    return np.searchsorted(code, np.arange(n + 1))
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, over: str = "union") -> np.ndarray:
@@ -42,11 +55,16 @@ def suppress(det: DataFrame, group: list[str], threshold: float, inclusive: bool
     """The detections that survive greedy suppression within each group."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True])
-        box = _xyxy(pdf)
-        return pdf[greedy(iou_matrix(box, box, over), threshold, inclusive)]
+        pdf = pdf.drop(columns="_bucket")
+        code = pdf.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+        pdf = pdf.assign(_code=code).sort_values(["_code", "score", id_col], ascending=[True, False, True])
+        at, box, keep = _runs(pdf["_code"].to_numpy(), code.max() + 1), _xyxy(pdf), np.ones(len(pdf), bool)
+        for i in np.flatnonzero(np.diff(at) > 1):
+            own = slice(at[i], at[i + 1])
+            keep[own] = greedy(iou_matrix(box[own], box[own], over), threshold, inclusive)
+        return pdf[keep].drop(columns="_code")
 
-    return det.groupBy(*group).applyInPandas(one, det.schema)
+    return det.withColumn("_bucket", _bucket(det, group)).groupBy("_bucket").applyInPandas(one, det.schema)
 
 
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -88,10 +106,18 @@ def matched(det: DataFrame, gt: DataFrame, group: str) -> DataFrame:
     """(group, det_id, gt_id, iou) of the assignment of greatest total IoU in each group that has both sides."""
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("det_id"), right.sort_values("gt_id")
-        gain = iou_matrix(_xyxy(left), _xyxy(right)) if len(left) and len(right) else np.zeros((0, 0))
-        rows = [(left[group].iloc[i], left["det_id"].iloc[i], right["gt_id"].iloc[j], gain[i, j]) for i, j in assign(gain)]
-        return pd.DataFrame(rows, columns=[group, "det_id", "gt_id", "iou"])
-
-    kind = det.schema[group].dataType.simpleString()
-    return det.groupBy(group).cogroup(gt.groupBy(group)).applyInPandas(one, f"{group} {kind}, det_id string, gt_id string, iou double")
+        codes, names = pd.factorize(pd.concat([left[group], right[group]]), use_na_sentinel=False)
+        left, right = left.assign(_code=codes[: len(left)]).sort_values(["_code", "det_id"]), right.assign(_code=codes[len(left) :]).sort_values(["_code", "gt_id"])
+        at, to = _runs(left["_code"].to_numpy(), len(names)), _runs(right["_code"].to_numpy(), len(names))
+        box, other, rows, cols, found = _xyxy(left), _xyxy(right), [], [], []
+        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(to) > 0)):
+            gain = iou_matrix(box[at[k] : at[k + 1]], other[to[k] : to[k + 1]])
+            for i, j in assign(gain):
+                rows.append(at[k] + i)
+                cols.append(to[k] + j)
+                found.append(gain[i, j])
+        return pd.DataFrame({group: left[group].to_numpy()[np.array(rows, int)], "det_id": left["det_id"].to_numpy()[np.array(rows, int)], "gt_id": right["gt_id"].to_numpy()[np.array(cols, int)], "iou": np.array(found, float)})
+
+    kind, bucket = det.schema[group].dataType.simpleString(), _bucket(det, [group])
+    deal = lambda df, id_col: df.select(group, id_col, "x1", "y1", "w", "h").withColumn("_bucket", bucket).groupBy("_bucket")
+    return deal(det, "det_id").cogroup(deal(gt, "gt_id")).applyInPandas(one, f"{group} {kind}, det_id string, gt_id string, iou double")
