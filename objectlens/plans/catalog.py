@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlens.functions import geometry as g
-from objectlens.functions import masks, rotated, scalar
+from objectlens.functions import masks, rotated, scalar, shapes
 from objectlens.functions import text as tx
-from objectlens.operators import filters, library, matching, metrics, relational, reshape, rollups, suppression
+from objectlens.operators import filters, library, matching, metrics, relational, reshape, rollups, selection, suppression
 from objectlens.session import table
 from objectlens.sources.views import view, with_views
-from objectlens.streaming import tracks
+from objectlens.streaming import rules, tracks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -707,3 +707,145 @@ def text_functions(v, t):
 def aspect_size(v, t):
     h, w = scalar.aspect_size(F.col("width"), F.col("height"), 80, 110)
     return v("img").select("image_id", h.alias("new_h"), w.alias("new_w"))
+
+
+# mask shapes
+_GRID = f"WITH {_MASK_SQL}, c AS (SELECT DISTINCT l_partkey % 40 AS p, l_linenumber * 3 AS n FROM lineitem), px AS (SELECT p, n, u.x AS x, v.y AS y, ((x * 12 + y >= p AND x * 12 + y < p + n) OR (x * 12 + y >= p + n + 10 AND x * 12 + y < p + n + 15)) AS m FROM c, range(7) u(x), range(12) v(y))"
+_EDGE = _GRID + ", e AS (SELECT a.p, a.n, a.x, a.y, bool_or(b.m <> a.m) AS edge FROM px a JOIN px b ON a.p = b.p AND a.n = b.n AND b.x IN (a.x, a.x + 1) AND b.y IN (a.y, a.y + 1) GROUP BY ALL)"
+
+
+def _grid(t) -> DataFrame:
+    return _masks(t).select(*_LINE.split(", "), "a")
+
+
+def _span_sum(c: Column, name: str) -> Column:
+    return masks.span_area(c).alias(name)
+
+
+@_query(f"{_EDGE}, r AS (SELECT p, n, count_if(edge) AS boundary FROM e GROUP BY ALL) SELECT {_LINE}, boundary FROM s JOIN r USING (p, n)")
+def mask_boundary(v, t):
+    return _grid(t).select(*_LINE.split(", "), _span_sum(shapes.boundary(F.col("a"), F.lit(12), F.lit(7)), "boundary"))
+
+
+@_query(f"{_GRID}, d AS (SELECT p, n, x, y FROM px a WHERE EXISTS (SELECT 1 FROM px b WHERE b.m AND a.p = b.p AND a.n = b.n AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)), r AS (SELECT p, n, count(*) AS area FROM d GROUP BY ALL) SELECT {_LINE}, area FROM s JOIN r USING (p, n)")
+def mask_dilation(v, t):
+    return _grid(t).select(*_LINE.split(", "), _span_sum(shapes.dilated(F.col("a"), F.lit(12), F.lit(7), 3), "area"))
+
+
+@_query(f"{_GRID}, d AS (SELECT a.p, a.n, a.x, a.y, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS far FROM px a JOIN px b ON a.p = b.p AND a.n = b.n AND a.m AND NOT b.m GROUP BY ALL), r AS (SELECT p, n, max(far) AS depth FROM d GROUP BY ALL) SELECT {_LINE}, depth FROM s JOIN r USING (p, n)")
+def mask_depth(v, t):
+    return _grid(t).select(*_LINE.split(", "), shapes.depth(F.col("a"), F.lit(12), F.lit(7)).alias("depth"))
+
+
+@_query(
+    f"{_EDGE}, g AS (SELECT x, y, (x * 12 + y >= 20 AND x * 12 + y < 50) AS m FROM range(7) u(x), range(12) v(y)), ge AS (SELECT a.x, a.y, bool_or(a.m <> b.m) AS edge FROM g a JOIN g b ON b.x IN (a.x, a.x + 1) AND b.y IN (a.y, a.y + 1) GROUP BY ALL),"
+    " eb AS (SELECT * FROM e WHERE edge), gb AS (SELECT * FROM ge WHERE edge),"
+    " dh AS (SELECT p, n, count(*) AS k FROM eb WHERE EXISTS (SELECT 1 FROM gb WHERE abs(gb.x - eb.x) <= 1 AND abs(gb.y - eb.y) <= 1) GROUP BY ALL), gh AS (SELECT p, n, count(*) AS k FROM (SELECT DISTINCT eb.p, eb.n, gb.x, gb.y FROM gb JOIN eb ON abs(gb.x - eb.x) <= 1 AND abs(gb.y - eb.y) <= 1) GROUP BY ALL),"
+    " q AS (SELECT p, n, coalesce(dh.k, 0) * 1.0e0 / count(*) AS pr, coalesce(gh.k, 0) * 1.0e0 / (SELECT count(*) FROM gb) AS re FROM eb LEFT JOIN dh USING (p, n) LEFT JOIN gh USING (p, n) GROUP BY p, n, dh.k, gh.k)"
+    f" SELECT {_LINE}, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 6) AS f FROM s JOIN q USING (p, n)"
+)
+def boundary_f(v, t):
+    edge = lambda c: shapes.boundary(F.col(c), F.lit(12), F.lit(7))
+    wide = lambda c: shapes.dilated(F.col(c), F.lit(12), F.lit(7), 3)
+    edges = _masks(t).select(*_LINE.split(", "), edge("a").alias("ea"), edge("b").alias("eb"))
+    told = edges.withColumn("wa", wide("ea")).withColumn("wb", wide("eb"))
+    value = shapes.f_measure(masks.span_area(F.col("ea")), masks.span_area(F.col("eb")), reshape.rle_intersection(F.col("ea"), F.col("wb")), reshape.rle_intersection(F.col("eb"), F.col("wa")))
+    return told.select(*_LINE.split(", "), _r(value).alias("f"))
+
+
+@_query()
+def mask_smoothing(v, t):
+    return _grid(t).select(*_LINE.split(", "), _span_sum(shapes.without_small_parts(F.col("a"), F.lit(12), F.lit(7), 5), "area"))
+
+
+@_query()
+def mask_centres(v, t):
+    return _grid(t).select(*_LINE.split(", "), shapes.centres(F.col("a"), F.lit(12), F.lit(7), 2).alias("points"))
+
+
+@_query(f"WITH {_MASK_SQL}, k AS (SELECT *, CAST(floor(CAST('0x' || substr(md5(l_orderkey || ':0'), 1, 12) AS BIGINT) * (n + 5) / 281474976710656.0e0) AS BIGINT) AS k FROM s) SELECT {_LINE}, CASE WHEN k < n THEN p + k ELSE p + k + 10 END AS at FROM k")
+def mask_point_sample(v, t):
+    k = shapes.seeded(F.col("l_orderkey").cast("string"), 0, masks.span_area(F.col("a")))
+    return _grid(t).select(*_LINE.split(", "), shapes.mask_point(F.col("a"), k).alias("at"))
+
+
+@_query(f"WITH {_MASK_SQL}, x AS (SELECT l_orderkey, l_partkey, max(l_linenumber) AS l FROM lineitem GROUP BY 1, 2), o AS (SELECT l_orderkey, l_partkey, l_partkey % 40 AS p, l * 3 AS n FROM x), c AS (SELECT l_orderkey, l_partkey, unnest(list_concat(range(p, p + n), range(p + n + 10, p + n + 15))) AS px FROM o), w AS (SELECT l_orderkey, px, max(l_partkey) AS l_partkey FROM c GROUP BY 1, 2), a AS (SELECT l_orderkey, l_partkey, count(*) AS area FROM w GROUP BY 1, 2) SELECT l_orderkey, l_partkey, coalesce(area, 0) AS area FROM o LEFT JOIN a USING (l_orderkey, l_partkey)")
+def non_overlap(v, t):
+    one = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_linenumber").alias("l"))
+    spans = one.select("l_orderkey", "l_partkey", F.col("l_partkey").alias("score"), _mask(F.col("l_partkey") % 40, F.col("l") * 3).alias("a"))
+    return selection.owned_pixels(spans, "l_orderkey", "l_partkey", "score", "a")
+
+
+# gates, samples, cascades and splits
+@_query("SELECT det_id, w * h * 1.0e0 / (width * height) < 0.05e0 AS needs, w * h >= 100 AND width * height - w * h >= w * h * 0.02e0 AS can FROM det JOIN img USING (image_id)", "det", "img")
+def inpaint_gate(v, t):
+    size = F.col("w") * F.col("h"), F.col("width"), F.col("height")
+    return v("det").join(v("img"), "image_id").select("det_id", selection.needs_inpaint(*size, 0.05).alias("needs"), selection.can_inpaint(*size).alias("can"))
+
+
+@_query("SELECT det_id, round(least(1, (x1 + w / 2.0e0) / width), 6) AS cx, round(least(1, (y1 + h / 2.0e0) / height), 6) AS cy, round(greatest(0.01e0, least(1, w * 1.5e0 / width)), 6) AS hw, round(greatest(0.01e0, least(1, h * 1.5e0 / height)), 6) AS hh, greatest(least(x1 - w / 2.0e0, width), 0) AS sx1, greatest(least(y1 + h * 1.5e0, height), 0) AS sy2 FROM det JOIN img USING (image_id)", "det", "img")
+def box_hint(v, t):
+    hint = selection.box_hint(_box(), F.col("width"), F.col("height"))
+    big = selection.scaled_box(_box(), 2.0, F.col("width").cast("double"), F.col("height").cast("double"))
+    return v("det").join(v("img"), "image_id").select("det_id", *[_r(c).alias(n) for c, n in zip(hint, ("cx", "cy", "hw", "hh"), strict=True)], big[0].alias("sx1"), big[3].alias("sy2"))
+
+
+@_query("SELECT d.det_id FROM det d WHERE d.image_id IN (SELECT image_id FROM img WHERE phrase = 'O') AND (d.category_id = 2 OR d.w <= 20)", "det", "img")
+def availability_cascade(v, t):
+    left = selection.cascade(v("img"), "image_id", v("img").where("phrase = 'O'"), v("det"))[1]
+    limit = F.when(F.col("category_id") != 2, 20)
+    return left.where(selection.compliant(F.col("w"), limit)).select("det_id")
+
+
+@_query(
+    ", n AS (SELECT DISTINCT video_id, frame FROM trk), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM n), q AS (SELECT *, least(3, (n - 1) // 2) AS step FROM r WHERE n >= 3), b AS (SELECT *, k - CAST(floor(CAST('0x' || substr(md5(video_id || ':0'), 1, 12) AS BIGINT) * (n - 2 * step) / 281474976710656.0e0) AS BIGINT) AS o FROM q) SELECT video_id, frame FROM b WHERE o >= 0 AND o <= 2 * step AND o % step = 0",
+    "trk",
+)
+def stage_sampling(v, t):
+    return selection.stage_sample(v("trk").select("video_id", "frame"), "video_id", "frame", 3, 3)
+
+
+@_query(", r AS (SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id) - 1 AS k FROM (SELECT DISTINCT image_id, det_id FROM det)) SELECT image_id, det_id, k % 3 AS chunk, k // 3 AS slot FROM r", "det")
+def round_robin_chunks(v, t):
+    return selection.round_robin(v("det").select("image_id", "det_id").distinct(), "image_id", "det_id", 3)
+
+
+@_query(", l AS (SELECT image_id, list_sort(list(DISTINCT gt_id)) AS ids FROM gt GROUP BY 1), d AS (SELECT *, CAST('0x' || substr(md5(image_id || ':0'), 1, 12) AS BIGINT) / 281474976710656.0e0 AS u, CAST('0x' || substr(md5(image_id || ':1'), 1, 12) AS BIGINT) / 281474976710656.0e0 AS w FROM l) SELECT image_id, CASE WHEN floor(u * 100) < 40 THEN ids[CAST(floor(w * len(ids)) AS BIGINT) + 1] END AS target FROM d", "gt")
+def text_to_visual(v, t):
+    listed = v("gt").groupBy("image_id").agg(F.array_sort(F.collect_set("gt_id")).alias("ids"))
+    return listed.select("image_id", selection.visual_target(F.col("image_id").cast("string"), F.col("ids"), 40).alias("target"))
+
+
+@_query("SELECT det_id, CASE WHEN category_id IN (1, 2, 3) THEN 'known' WHEN category_id = 4 THEN 'distractor' ELSE 'unknown' END AS split FROM det", "det")
+def class_split(v, t):
+    classes = v("det").select("category_id").distinct()
+    return selection.class_split(v("det"), "category_id", classes.where("category_id <= 3"), classes.where("category_id BETWEEN 3 AND 4")).select("det_id", "split")
+
+
+@_query(", l AS (SELECT image_id, list(CAST(score AS VARCHAR) ORDER BY score DESC, det_id) FILTER (WHERE length(CAST(score AS VARCHAR)) > 2) AS masks FROM (SELECT DISTINCT image_id, det_id, score FROM det) GROUP BY 1) SELECT image_id, coalesce(len(masks), 0) AS kept, coalesce(array_to_string(masks, ','), '') AS masks FROM l", "det")
+def long_mask_filter(v, t):
+    order = F.array_sort(F.collect_set(F.struct("det_id", "score")))
+    lists = v("det").groupBy("image_id").agg(order.alias("e"))
+    kept = selection.long_masks(F.col("e.det_id"), F.transform("e.score", lambda s: s.cast("string")), F.col("e.score"), 2)
+    return lists.select("image_id", F.size(kept).cast("bigint").alias("kept"), F.concat_ws(",", kept["mask"]).alias("masks"))
+
+
+@_query(", l AS (SELECT image_id, list_sort(list(DISTINCT category_id)) AS ids FROM det GROUP BY 1) SELECT image_id, CAST([x FOR x IN [1, 2, 5] IF list_contains(ids, x)] AS VARCHAR) AS chosen, len(ids) + greatest(7 - len(ids), 0) AS padded_size FROM l", "det")
+def selected_ids(v, t):
+    listed = v("det").groupBy("image_id").agg(F.collect_set(F.col("category_id").cast("int")).alias("ids"))
+    chosen = selection.chosen_ids(F.array(F.lit(5), F.lit(2), F.lit(2), F.lit(1)), F.col("ids"))
+    return listed.select("image_id", F.concat(F.lit("["), F.concat_ws(", ", chosen.cast("array<string>")), F.lit("]")).alias("chosen"), F.size(selection.padded(F.col("ids"), F.lit(7), F.lit(0))).cast("bigint").alias("padded_size"))
+
+
+# further track rules
+@_query()
+def batched_track_rules(v, t):
+    rows = v("trk").select(F.col("video_id").alias("session"), F.floor(F.col("frame") / 2).alias("frame"), "track", F.when(F.col("score") % 4 > 0, F.col("score") % 3).alias("det"), (F.col("score") % 5 == 0).alias("unmatched"), (F.col("score") % 7 == 0).alias("empty"))
+    return rules.batched_counters(rows, True)
+
+
+@_query()
+def occlusion_suppression(v, t):
+    box = [F.when(F.col("score") % 6 > 0, F.col("score") % 5 + k).alias(n) for k, n in ((0, "x1"), (0, "y1"), (20, "x2"), (20, "y2"))]
+    rows = v("trk").select(F.col("video_id").alias("session"), F.floor(F.col("frame") / 3).alias("frame"), "track", *box, (F.col("score") % 11 == 0).alias("removed"))
+    return rules.recently_occluded(rows)
