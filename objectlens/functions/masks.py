@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,44 +49,70 @@ def semantic_union(rows: DataFrame, group: str, spans: str) -> DataFrame:
     return merged.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def columns_of(spans: list[tuple[int, int]], height: int) -> list[tuple[int, int, int]]:
-    """(column, first row, row after the last) of each span, cut at column ends."""
-    out = []
-    for start, end in spans:
-        while start < end:
-            stop = min(end, (start // height + 1) * height)
-            out.append((start // height, start % height, start % height + stop - start))
-            start = stop
-    return out
+def span_columns(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of spans by row, starts, ends) of a list column; a null has none."""
+    flat = spans.flatten()
+    part = lambda n: pc.struct_field(flat, n).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), part("start"), part("end")
+
+
+def places(begin: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each item of rows that hold ``number`` items from ``begin`` on."""
+    row = np.repeat(np.arange(len(begin)), number)
+    return row, np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
+
+
+def piece_sizes(low: np.ndarray, high: np.ndarray, stride: np.ndarray) -> np.ndarray:
+    """Pixels of the 8-connected component of each column piece.
+
+    low, high: rising ends of pieces that neither overlap nor touch, on a line where every column starts
+    ``stride`` (two more than the height) after the one before; an empty column keeps pictures apart.
+    """
+    first = np.searchsorted(high, low - stride, "left")  # neighbours in the column before
+    number = np.maximum(np.searchsorted(low, high - stride, "right") - first, 0)
+    here, before = places(first, number)
+    label = np.arange(len(low))
+    while True:
+        a, b = label[here], label[before]
+        if (a == b).all():
+            return np.bincount(label, high - low, len(low))[label].astype(np.int64)
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def cut_pieces(number: np.ndarray, start: np.ndarray, end: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces by row, starts, ends, component sizes) of rows of spans, cut at column ends; a row without a height has none."""
+    owner = np.repeat(np.arange(len(number)), number)
+    use = (end > start) & (height[owner] > 0)
+    owner, start, end = owner[use], start[use], end[use]
+    own = height[owner]
+    first = start // own
+    span, column = places(first, (end - 1) // own - first + 1)
+    owner, own = owner[span], own[span]
+    low, high = np.maximum(start[span] - column * own, 0), np.minimum(end[span] - column * own, own)
+    wide = np.zeros(len(number), np.int64)
+    np.maximum.at(wide, owner, column + 2)
+    length = wide * (height + 2)
+    line = (np.cumsum(length) - length)[owner] + (column + 1) * (own + 2)
+    order = np.argsort(line + low, kind="stable")
+    size = piece_sizes((line + low)[order], (line + high)[order], (own + 2)[order])
+    return np.bincount(owner, minlength=len(number)), (column * own + low)[order], (column * own + high)[order], size
 
 
 def component_sizes(spans: list[tuple[int, int]], height: int) -> list[tuple[int, int, int]]:
-    """(start, end, size of its 8-connected component) of every column piece: union-find on neighbouring pieces."""
-    pieces = sorted(columns_of(spans, height))
-    parent = list(range(len(pieces)))
-
-    def top(i):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    j = 0
-    for i, (column, low, high) in enumerate(pieces):
-        while pieces[j][0] < column - 1 or (pieces[j][0] == column - 1 and pieces[j][2] < low):
-            j += 1
-        k = j
-        while pieces[k][0] == column - 1 and pieces[k][1] <= high:
-            parent[top(k)] = top(i)
-            k += 1
-    roots = np.array([top(i) for i in range(len(pieces))], int)
-    size = np.bincount(roots, weights=[h - lo for _, lo, h in pieces], minlength=len(pieces)) if pieces else []
-    return [(c * height + lo, c * height + h, int(size[r])) for (c, lo, h), r in zip(pieces, roots, strict=True)]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "size")])))
-def grid_components(spans: pd.Series, height: pd.Series) -> pd.Series:
-    """Column pieces of a mask with their component's size."""
-    return pd.Series([[{"start": a, "end": b, "size": n} for a, b, n in component_sizes([(s["start"], s["end"]) for s in own], int(h))] if own is not None else [] for own, h in zip(spans, height, strict=True)])
+    """(start, end, size of its 8-connected component) of every column piece of one mask."""
+    start, end = np.array(spans, np.int64).reshape(-1, 2).T
+    found = cut_pieces(np.array([len(start)]), start, end, np.array([height]))[1:]
+    return list(zip(*(c.tolist() for c in found), strict=True))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "size")])))
+def grid_components(spans: pa.Array, height: pa.Array) -> pa.Array:
+    """Column pieces of a mask with their component's size; a null mask or a null height has none."""
+    number, *parts = cut_pieces(*span_columns(spans), height.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    offset = np.concatenate([[0], np.cumsum(number)])
+    return pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in parts], ["start", "end", "size"]))
 
 
 def without_sprinkles(pieces: Column, most: int) -> Column:

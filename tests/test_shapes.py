@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from objectlens.functions import shapes
+from objectlens.functions import masks, shapes
 from objectlens.operators import selection
 from objectlens.streaming import rules
 
@@ -38,6 +38,19 @@ def test_dilation_and_distance():
         shapes.dilated_by(np.zeros((2, 2), bool), 2)
 
 
+def test_mixed_sizes_and_nulls(spark):
+    own = list(pictures(12))
+    rows = [(k, [(s["start"], s["end"]) for s in shapes.spans_of(m)], *m.shape) for k, m in enumerate(own)] + [(50, None, 3, 3), (51, [(0, 2)], None, 3), (52, [], 0, 0)]
+    df = spark.createDataFrame(rows, "k int, spans array<struct<start:long,end:long>>, h int, w int").repartition(2)
+    size = F.col("spans"), F.col("h"), F.col("w")
+    got = {r.k: r for r in df.select("k", shapes.boundary(*size).alias("b"), shapes.depth(*size).alias("d"), shapes.centres(*size, 2).alias("c"), shapes.without_small_parts(*size, 3).alias("s")).collect()}
+    for k, m in enumerate(own):
+        plain = lambda spans: [(s["start"], s["end"]) for s in spans]
+        assert plain(got[k].b) == plain(shapes.spans_of(shapes.boundary_of(m))) and plain(got[k].s) == plain(shapes.spans_of(shapes.smoothed(m[None], 3)[0]))
+        assert got[k].d == max(shapes.squared_distance(m).max(), 0) and len(got[k].c) == min(2, m.sum())
+    assert all((got[k].b, got[k].d, got[k].c, got[k].s) == ([], 0, [], []) for k in (50, 51, 52))
+
+
 def flood(m):
     """Sizes of 8-connected pieces, by pixel."""
     size = np.zeros(m.shape, int)
@@ -59,17 +72,32 @@ def test_smoothing():
     for m in pictures():
         filled = m | ((flood(~m) <= 3) & ~m)
         want = filled & ~(filled & (flood(filled) <= min(3, filled.sum() // 2)))
-        assert (shapes.smoothed(m, 3) == want).all()
-        assert (shapes.smoothed(m, 0) == m).all()
+        assert (shapes.smoothed(m[None], 3)[0] == want).all()
+        assert (shapes.smoothed(m[None], 0)[0] == m).all()
+
+
+def test_component_sizes_by_flood(spark):
+    own = list(pictures(60))
+    rows = [(k, [(s["start"], s["end"]) for s in shapes.spans_of(m)], m.shape[0]) for k, m in enumerate(own)] + [(90, None, 3), (91, [(0, 2)], None), (92, [], 4)]
+    df = spark.createDataFrame(rows, "k int, spans array<struct<start:long,end:long>>, h int").repartition(3)
+    for r in df.select("k", masks.grid_components("spans", "h").alias("p")).collect():
+        if r.k >= 90:
+            assert r.p == []
+            continue
+        size, seen = flood(own[r.k]).T.ravel(), 0
+        for p in r.p:
+            assert (size[p["start"] : p["end"]] == p["size"]).all() and p["start"] // own[r.k].shape[0] == (p["end"] - 1) // own[r.k].shape[0]
+            seen += p["end"] - p["start"]
+        assert seen == own[r.k].sum()
 
 
 def test_centres():
     m = np.zeros((7, 9), bool)
     m[1:6, 2:7] = True
-    assert shapes.centre_points(m, 1) == [{"x": 4, "y": 3}]
-    assert shapes.centre_points(np.ones((3, 3), bool), 1) == [{"x": 1, "y": 1}]
-    assert len(shapes.centre_points(np.eye(2, dtype=bool), 5)) == 2
-    assert shapes.centre_points(np.zeros((2, 2), bool), 3) == []
+    assert shapes.centre_points(m[None], 1) == [[{"x": 4, "y": 3}]]
+    assert shapes.centre_points(np.ones((1, 3, 3), bool), 1) == [[{"x": 1, "y": 1}]]
+    assert len(shapes.centre_points(np.eye(2, dtype=bool)[None], 5)[0]) == 2
+    assert shapes.centre_points(np.zeros((1, 2, 2), bool), 3) == [[]]
 
 
 def test_points_lie_in_mask(spark):
