@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.operators.suppression import assign
+from objectlens.operators.suppression import assign, bucket_of
 
 #: IoU thresholds of the evaluation, in hundredths, so that they compare exactly.
 THRESHOLDS = list(range(50, 100, 5))
@@ -80,34 +80,60 @@ def hota(gt: DataFrame, det: DataFrame, similarity: DataFrame) -> DataFrame:
     rows = rows.unionByName(similarity.select("video", "frame", F.lit(2).alias("kind"), F.col("gt_id").cast("string").alias("g"), F.col("det_id").cast("string").alias("d"), F.col("sim").cast("double")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        video = pdf["video"].iloc[0]
+        pdf = pdf.sort_values("frame", kind="stable")
+        codes, videos = pd.factorize(pdf["video"], use_na_sentinel=False)
+        pdf = pdf.assign(video=codes)
         left, right, pair = (pdf[pdf["kind"] == k] for k in range(3))
-        gi, di = {g: i for i, g in enumerate(sorted(left["g"].unique()))}, {d: i for i, d in enumerate(sorted(right["d"].unique()))}
-        count_g, count_d = np.bincount(left["g"].map(gi), minlength=len(gi)), np.bincount(right["d"].map(di), minlength=len(di))
-        potential, frames = np.zeros((len(gi), len(di))), []
-        for _, own in pair.groupby("frame"):
-            g, d, s = own["g"].map(gi).to_numpy(), own["d"].map(di).to_numpy(), own["sim"].to_numpy()
-            ug, ud = np.unique(g), np.unique(d)
-            sim = np.zeros((len(ug), len(ud)))
-            sim[np.searchsorted(ug, g), np.searchsorted(ud, d)] = s
-            whole = sim.sum(0)[None] + sim.sum(1)[:, None] - sim
-            potential[np.ix_(ug, ud)] += np.divide(sim, whole, out=np.zeros_like(sim), where=whole > 0)
-            frames.append((ug, ud, sim))
-        alignment = potential / np.maximum(count_g[:, None] + count_d[None] - potential, 1e-12) if potential.size else potential
-        matches = [(ug[i], ud[j], sim[i, j]) for ug, ud, sim in frames for i, j in assign(alignment[np.ix_(ug, ud)] * sim)]
+        pair = pair.drop_duplicates(["video", "frame", "g", "d"], keep="last")
+
+        def ids(*sides: tuple[pd.DataFrame, str]) -> list[np.ndarray]:
+            """Numbers of (video, id), in that order, alike on all sides."""
+            number = np.unique(np.concatenate([x[c].to_numpy(str) for x, c in sides]), return_inverse=True)[1]
+            key = np.concatenate([x["video"].to_numpy() for x, _ in sides]) * (len(number) + 1) + number
+            return np.split(np.unique(key, return_inverse=True)[1], np.cumsum([len(x) for x, _ in sides])[:-1])
+
+        (own_g, g), (own_d, d) = ids((left, "g"), (pair, "g")), ids((right, "d"), (pair, "d"))
+        video, sim, frame = pair["video"].to_numpy(), pair["sim"].to_numpy(), pair.groupby(["video", "frame"], sort=False).ngroup().to_numpy()
+        count_g, count_d = (np.bincount(own, minlength=max(x.max(initial=-1), own.max(initial=-1)) + 1) for own, x in ((own_g, g), (own_d, d)))
+
+        def total(key: np.ndarray) -> np.ndarray:
+            at = np.unique(key, return_inverse=True)[1]
+            return np.bincount(at, sim)[at] if len(at) else sim
+
+        whole = total(frame * len(count_g) + g) + total(frame * len(count_d) + d) - sim
+        mates, mate = np.unique(g * max(len(count_d), 1) + d, return_inverse=True)
+        of_g, of_d = mates // max(len(count_d), 1), mates % max(len(count_d), 1)
+        potential = np.bincount(mate, np.divide(sim, whole, out=np.zeros_like(sim), where=whole > 0), len(mates))
+        gain = (potential / np.maximum(count_g[of_g] + count_d[of_d] - potential, 1e-12))[mate] * sim
+        order = np.lexsort((d, g, frame))
+        edge = np.flatnonzero(np.diff(frame[order], prepend=-1, append=-1)) if len(order) else []
+        chosen = []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = order[lo:hi]
+            if hi - lo == 1:
+                chosen.append(at[0])
+                continue
+            (ug, row), (ud, col) = np.unique(g[at], return_inverse=True), np.unique(d[at], return_inverse=True)
+            dense, item = np.zeros((len(ug), len(ud))), np.full((len(ug), len(ud)), -1)
+            dense[row, col], item[row, col] = gain[at], at
+            chosen += [item[i, j] for i, j in assign(dense) if item[i, j] >= 0]
+        chosen = np.array(chosen, int)
+        n_left, n_right = (np.bincount(x["video"], minlength=len(videos)) for x in (left, right))
+        # the video of each pair of ids that ever meets
+        home = np.zeros(len(mates), int)
+        home[mate] = video
         out = []
         for alpha in ALPHAS:
-            hit = [(g, d, s) for g, d, s in matches if s >= alpha - np.finfo(float).eps]
-            n = np.zeros((len(gi), len(di)))
-            for g, d, _ in hit:
-                n[g, d] += 1
-            tp = len(hit)
-            ass = [(n * n / np.maximum(1, w)).sum() / max(1, tp) if n.size else 0.0 for w in (count_g[:, None] + count_d[None] - n, count_g[:, None] + 0 * n, count_d[None] + 0 * n)]
-            out.append((video, alpha, tp, len(left) - tp, len(right) - tp, *ass, sum(s for _, _, s in hit) / max(1, tp) if tp else 1.0))
-        return pd.DataFrame(out, columns=["video", "alpha", "tp", "fn", "fp", "ass_a", "ass_re", "ass_pr", "loc_a"])
+            hit = chosen[sim[chosen] >= alpha - np.finfo(float).eps]
+            tp, n = np.bincount(video[hit], minlength=len(videos)), np.bincount(mate[hit], minlength=len(mates))
+            ass = [np.bincount(home, n * n / np.maximum(1, w), len(videos)) / np.maximum(1, tp) for w in (count_g[of_g] + count_d[of_d] - n, count_g[of_g], count_d[of_d])]
+            loc = np.where(tp > 0, np.bincount(video[hit], sim[hit], len(videos)) / np.maximum(1, tp), 1.0)
+            out.append(pd.DataFrame({"video": videos, "alpha": alpha, "tp": tp, "fn": n_left - tp, "fp": n_right - tp, "ass_a": ass[0], "ass_re": ass[1], "ass_pr": ass[2], "loc_a": loc}))
+        return pd.concat(out)
 
     kind = gt.schema["video"].dataType.simpleString()
-    return rows.groupBy("video").applyInPandas(one, f"video {kind}, alpha double, tp bigint, fn bigint, fp bigint, ass_a double, ass_re double, ass_pr double, loc_a double")
+    dealt = rows.withColumn("_bucket", bucket_of(gt, ["video"])).groupBy("_bucket")
+    return dealt.applyInPandas(one, f"video {kind}, alpha double, tp bigint, fn bigint, fp bigint, ass_a double, ass_re double, ass_pr double, loc_a double")
 
 
 def hota_combined(rows: DataFrame) -> DataFrame:

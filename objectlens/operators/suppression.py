@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 20_000
 
 
-def _bucket(rows: DataFrame, group: list[str]) -> Column:
+def bucket_of(rows: DataFrame, group: list[str]) -> Column:
     return F.pmod(F.xxhash64(*group), F.lit(max(1, -(-rows.count() // BUCKET_ROWS))))
 
 
@@ -64,7 +64,7 @@ def suppress(det: DataFrame, group: list[str], threshold: float, inclusive: bool
             keep[own] = greedy(iou_matrix(box[own], box[own], over), threshold, inclusive)
         return pdf[keep].drop(columns="_code")
 
-    return det.withColumn("_bucket", _bucket(det, group)).groupBy("_bucket").applyInPandas(one, det.schema)
+    return det.withColumn("_bucket", bucket_of(det, group)).groupBy("_bucket").applyInPandas(one, det.schema)
 
 
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -118,6 +118,6 @@ def matched(det: DataFrame, gt: DataFrame, group: str) -> DataFrame:
                 found.append(gain[i, j])
         return pd.DataFrame({group: left[group].to_numpy()[np.array(rows, int)], "det_id": left["det_id"].to_numpy()[np.array(rows, int)], "gt_id": right["gt_id"].to_numpy()[np.array(cols, int)], "iou": np.array(found, float)})
 
-    kind, bucket = det.schema[group].dataType.simpleString(), _bucket(det, [group])
+    kind, bucket = det.schema[group].dataType.simpleString(), bucket_of(det, [group])
     deal = lambda df, id_col: df.select(group, id_col, "x1", "y1", "w", "h").withColumn("_bucket", bucket).groupBy("_bucket")
     return deal(det, "det_id").cogroup(deal(gt, "gt_id")).applyInPandas(one, f"{group} {kind}, det_id string, gt_id string, iou double")
