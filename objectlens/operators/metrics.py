@@ -46,6 +46,27 @@ def f1_totals(rows: DataFrame) -> DataFrame:
     return sums.withColumn("positive_micro_f1", _f1(precision, recall))
 
 
+def f1_extended(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per threshold: macro F1 in which missed images count as 0, shares of images without any error, and cgF1 of both macro forms.
+
+    rows: of f1_rows; counts: one row of il_tp, il_fp, il_fn, il_tn.  A positive image is perfect if all its
+    ground truths are matched and nothing else is found, a negative one if nothing is found.  Without
+    positive images the macro forms are null.
+    """
+    positive = F.col("n_gt") > 0
+    local = _f1(F.col("tp") / (F.col("tp") + F.col("fp") + 1e-4), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-4))
+    sums = rows.groupBy("threshold").agg(
+        F.avg(F.when(positive & (F.col("n_dt") > 0), local)).alias("positive_macro_f1"),
+        F.avg(F.when(positive, F.when(F.col("n_dt") > 0, local).otherwise(0.0))).alias("positive_w0dt_macro_f1"),
+        F.count_if(positive & (F.col("fp") == 0) & (F.col("fn") == 0)).alias("_perfect"),
+    )
+    tp, fp, fn, tn = map(F.col, ("il_tp", "il_fp", "il_fn", "il_tn"))
+    told = sums.crossJoin(F.broadcast(counts))  # one row
+    told = told.withColumn("il_perfect_pos", F.col("_perfect") / (tp + fn + 1e-9)).withColumn("il_perfect_neg", tn / (tn + fp + 1e-9)).withColumn("_mcc", mcc(tp, fp, fn, tn))
+    named = {"cgf1_macro": "positive_macro_f1", "cgf1_w0dt": "positive_w0dt_macro_f1"}
+    return told.select("threshold", *named.values(), "il_perfect_pos", "il_perfect_neg", *[(F.col(c) * F.col("_mcc")).alias(n) for n, c in named.items()])
+
+
 def _f1(p: Column, r: Column) -> Column:
     return 2 * p * r / (p + r + 1e-4)
 

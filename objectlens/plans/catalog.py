@@ -352,6 +352,13 @@ def cgf1(v, t):
     return _f1(v).crossJoin(F.broadcast(il)).select("threshold", "positive_micro_f1", "il_mcc", (F.col("positive_micro_f1") * F.col("il_mcc")).alias("cgf1"))  # one row
 
 
+@_query()
+def f1_extended(v, t):
+    det = v("det").where("score >= 500")
+    rows = metrics.f1_rows(v("img"), v("gt"), det, suppression.matched(det, v("gt"), "image_id"), "image_id")
+    return metrics.f1_extended(rows, _il(v))
+
+
 def _tracks(v):
     gt = v("trk").select(F.col("video_id").alias("video"), "frame", F.col("track").alias("gt_id"))
     det = v("trk").where("score % 5 <> 0").select(F.col("video_id").alias("video"), "frame", F.when(F.col("frame") % 7 == 0, "other").otherwise(F.col("track")).alias("det_id"), (F.col("score") % 100 / 100).alias("sim"))

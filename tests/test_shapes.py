@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlens.functions import masks, shapes
-from objectlens.operators import selection
+from objectlens.operators import metrics, selection
 from objectlens.streaming import rules
 
 
@@ -180,3 +180,17 @@ def test_recent_occlusion(spark):
     assert not any(r.hidden for r in rules.recently_occluded(spark.createDataFrame(never, schema)).collect())
     gone = [("s", 0, "a", *out, False), ("s", 1, "a", *box, False), ("s", 1, "b", *box, True)]
     assert {r.track: r.hidden for r in rules.recently_occluded(spark.createDataFrame(gone, schema)).collect() if r.frame == 1} == {"a": False, "b": True}
+
+
+def test_extended_f1(spark):
+    # (image, n_gt, n_dt, tp): perfect, half found, missed, false alarm
+    cases = [(1, 2, 2, 2), (2, 2, 1, 1), (3, 1, 0, 0), (4, 0, 3, 0)]
+    rows = spark.createDataFrame([(i, 0.5, g, d, tp, d - tp, g - tp) for i, g, d, tp in cases], "image int, threshold double, n_gt long, n_dt long, tp long, fp long, fn long")
+    counts = spark.createDataFrame([(2, 1, 1, 1)], "il_tp long, il_fp long, il_fn long, il_tn long")
+    got = metrics.f1_extended(rows, counts).head()
+    mcc = (2 * 1 - 1 * 1) / (3 * 3 * 2 * 2) ** 0.5
+    local = [1.0, 2 / 3]
+    assert got.positive_macro_f1 == pytest.approx(sum(local) / 2, abs=1e-3) and got.positive_w0dt_macro_f1 == pytest.approx(sum(local) / 3, abs=1e-3)
+    assert (got.il_perfect_pos, got.il_perfect_neg) == (pytest.approx(1 / 3), pytest.approx(1 / 2))
+    assert got.cgf1_w0dt == pytest.approx(got.positive_w0dt_macro_f1 * mcc, abs=1e-3)
+    assert metrics.f1_extended(rows.where("false"), counts).count() == 0
