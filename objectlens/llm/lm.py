@@ -1,6 +1,7 @@
 """Operator 7: language-model scores from a hierarchical Pitman-Yor model.
 
-Words sit in one restaurant over all training tokens.  Its base is a spelling model: restaurants
+Each word has a restaurant of the words behind it (the end token's is of first words); the parent
+of these is one word restaurant, whose customers are their tables.  Its base is a spelling model: restaurants
 of byte contexts of up to ``ORDER`` bytes, where each context's parent is the context without its
 oldest byte, up to one restaurant over equal chances.  A customer of a restaurant is served a dish
 that is there already or opens a table, and each table sends one customer to the parent.
@@ -15,10 +16,11 @@ Words that training didn't meet count as one word, as they do in the base score:
 probability is what the spelling model leaves outside the training vocabulary.
 
 Where things are computed: documents are packed into blocks of whole texts; a block lists its
-distinct words and their training counts, counts are summed over all blocks by word, and each
-block fetches the sums of its own words.  So every training token counts, tables grow with the
-corpus's vocabulary, and none of them is broadcast or collected.  The first block that trains on
-a word owns it, so each word spells once into the byte counts.  Only the spelling model is sent
+distinct words and word pairs with their training counts, which are sent in ranges of sorted keys,
+summed over all blocks, and fetched back by each block for its own keys.  So every training token
+and pair counts, and no table of words or pairs is broadcast or collected.  The first block that
+trains on a key owns it: each word spells once into the byte counts, each pair is seated once a sweep
+and its tables are summed by word and by context the same way.  Only the spelling model is sent
 around: at most 64^4 cells over its alphabet of the 62 most frequent bytes, an end, and one symbol
 for all others, whose bytes share its chance equally.
 
@@ -28,6 +30,8 @@ base is 0 for every token and the model has the spelling base alone; repeated ro
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objectlens.llm import textops as tx
-from objectlens.llm.common import frozen
+from objectlens.llm.common import frozen, open_fs, scratch
 
 ORDER, SYMBOLS = 3, 64
 BLOCK_BYTES = 8 << 20
+#: Tokens to a range of keys whose sums are taken together.
+PART_TOKENS = 1 << 20
 #: Sweeps before the first seating that counts, seatings that count, and word sweeps that settle the number of tables.
 BURN_IN, SAMPLES, WORD_SWEEPS = 4, 6, 2
 STRENGTH = 1.0
@@ -189,7 +195,7 @@ def spelled(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np.n
     return s, code, word, place
 
 
-def word_log10(hashes: np.ndarray, count: np.ndarray, base: np.ndarray, n: int, tables: float, discount: float, outside: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def word_log10(hashes: np.ndarray, count: np.ndarray, base: np.ndarray, n: int, tables: float, discount: float, outside: float = 0.0, samples: range = range(SAMPLES)) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of words averaged over seatings, and their mean tables.
 
     outside: the log10 base probability of all words that training didn't meet, which are one
@@ -200,19 +206,14 @@ def word_log10(hashes: np.ndarray, count: np.ndarray, base: np.ndarray, n: int,
     p0 = np.power(10.0, np.maximum(base, -300))
     fresh = (STRENGTH + discount * tables) * p0
     share, seats = np.zeros(len(count)), np.zeros(len(count))
-    for sample in range(SAMPLES):
-
-        def draw(step, who, sample=sample):
-            x = tx.mix(hashes[who].view(tx.U64) + np.array([1 + sample * 100_003 + step], tx.U64) * tx.ODDS[30])
-            return (x >> tx.U64(11)).astype(np.float64) / (1 << 53)
-
-        t = seat(count, fresh, discount, draw)
+    for sample in samples:
+        t = drawn_tables(hashes, count, fresh, discount, sample)
         seats += t
         share += (count - discount * t + fresh) / (STRENGTH + n)
     with np.errstate(divide="ignore"):
-        known = np.log10(share / SAMPLES)
+        known = np.log10(share / len(samples))
     novel = outside + np.log10((STRENGTH + discount * tables) / (STRENGTH + n))
-    return np.where(count > 0, known, novel), seats / SAMPLES
+    return np.where(count > 0, known, novel), seats / len(samples)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -232,28 +233,75 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return tx.span_hash(tx.BYTE_VALUES[letters], starts, ends).view(np.int64)
+    return tx.span_hash(tx.BYTE_VALUES[letters], starts, ends)
+
+
+def _draws(keys: np.ndarray, sample: int):
+    """Uniform numbers for seat(), drawn from the dishes' keys: every block seats a dish alike."""
+
+    def draw(step, who):
+        x = tx.mix(keys[who] + np.array([1 + sample * 100_003 + step], tx.U64) * tx.ODDS[30])
+        return (x >> tx.U64(11)).astype(np.float64) / (1 << 53)
+
+    return draw
+
+
+def drawn_tables(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, sample: int) -> np.ndarray:
+    """Tables in one seating; a dish met once has one."""
+    tables = np.minimum(count, 1).astype(np.float64)
+    many = np.flatnonzero(count > 1)
+    tables[many] = seat(count[many], fresh[many], discount, _draws(keys[many], sample))
+    return tables
+
+
+def pair_log10(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, inside: np.ndarray, discount: float) -> np.ndarray:
+    """log10 probability of each pair's second word behind the first, averaged over seatings.
+
+    fresh: (strength + discount * tables of the first word's restaurant) * the word restaurant's
+    probability of the second; inside: customers of the first word's restaurant.
+    """
+    share = np.zeros(len(count))
+    for sample in range(SAMPLES):
+        share += (count - discount * drawn_tables(keys, count, fresh, discount, sample) + fresh) / (STRENGTH + inside)
+    return np.log10(share / SAMPLES)
+
+
+def _pairs(seq: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word before, word) of a block by key: (before, word, key, pair of each token).
+
+    The word before a text's first is the end token, which stands last in a block.
+    """
+    before = np.concatenate([seq[-1:], seq[:-1]]).astype(np.int64)
+    code, which = np.unique(before * len(hashes) + seq, return_inverse=True)
+    key = tx.mix(hashes[code // len(hashes)] * tx.ODDS[31] + hashes[code % len(hashes)])
+    order = np.argsort(key)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code = code[order]
+    return code // len(hashes), code % len(hashes), key[order], place[which]
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of whole documents: key, ids, flags, token counts, packed texts, and their distinct words."""
+    """Blocks of whole documents: key, ids, flags, token counts, tokens as places in the list of distinct words, and that list."""
 
     def run(batches):
         number = 0
         for batch in batches:
             data_all, off_all = tx.buffers(batch.column(2))
             for lo, hi in tx.spans(off_all, BLOCK_BYTES, len(off_all)):
-                texts, offs = [], [np.zeros(1, np.int64)]
+                texts, offs, found = [], [np.zeros(1, np.int64)], []
                 for a, b in tx.spans(off_all[lo : hi + 1]):
                     t, o = normalised(data_all[off_all[lo + a] : off_all[lo + b]], off_all[lo + a : lo + b + 1] - off_all[lo + a])
                     texts.append(t)
+                    h, starts, ends = tokens(t, o)
+                    found.append((h, starts + offs[-1][-1], ends + offs[-1][-1]))
                     offs.append(o[1:] + offs[-1][-1])
                 text, off = np.concatenate(texts), np.concatenate(offs)
-                h, starts, ends = tokens(text, off)
+                h, starts, ends = map(np.concatenate, zip(*found, strict=True))
                 train = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                owner = np.searchsorted(off, starts, "right") - 1
-                words, first, which = np.unique(h, return_index=True, return_inverse=True)
-                counts = np.bincount(which[train[owner]], minlength=len(words))
+                sizes = np.diff(np.searchsorted(starts, off))
+                words, first, which = np.unique(h.view(tx.U64), return_index=True, return_inverse=True)
+                counts = np.bincount(which[np.repeat(train, sizes)], minlength=len(words))
                 size = ends[first] - starts[first]
                 letters, at = gather(text, starts[first], ends[first])
                 spaced = np.full(len(letters) + len(size), 32, np.uint8)
@@ -263,16 +311,16 @@ def _blocks(rows: DataFrame) -> DataFrame:
                         "block": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
                         "ids": pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                         "train": pa.array([train.tolist()], pa.list_(pa.bool_())),
-                        "off": [_pack(off.astype("<i8"))],
-                        "text": [_pack(text)],
-                        "counts": [_pack(counts.astype("<i8"))],
+                        "sizes": [_pack(sizes.astype("<i8"))],
+                        "seq": [_pack(which.astype("<u4"))],
                         "letters": [_pack(spaced)],
+                        "n": pa.array([len(which)], pa.int64()),
                         "histogram": pa.array([np.bincount(letters[np.repeat(counts > 0, size)], minlength=256).tolist()], pa.list_(pa.int64())),
                     }
                 )
                 number += 1
 
-    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, off binary, text binary, counts binary, letters binary, histogram array<bigint>")
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, letters binary, n bigint, histogram array<bigint>")
 
 
 def _single(batches):
@@ -282,38 +330,109 @@ def _single(batches):
             yield batch.slice(i, 1)
 
 
-def _word_rows(blocks: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in _single(batches):
-            words, counts = _hashes(*_listed(b.column(1))), _unpack(b.column(2), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), b.column(0)[0].as_py())), pa.array(counts)], names=["word", "block", "n"])
-
-    return blocks.select("block", "letters", "counts").mapInArrow(run, "word bigint, block bigint, n bigint")
-
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    """As frozen(), in buckets by block, so that joins by block move only their other side."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = "objectlens_" + path.rsplit("-", 1)[1]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    df.write.option("path", path).bucketBy(buckets, "block").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return found
+
+
+def _forget(df: DataFrame) -> None:
+    """Delete the written files of df, which nothing reads any more."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        fs, at = open_fs(folder)
+        fs.delete_dir(at)
+
+
+#: A sending of a block to one range of keys: kind (0 words, 1 pairs), keys and k rows of numbers.
+SENDING = "kind int, part int, block bigint, keys binary, numbers binary, seats double, mass double"
+
+
+def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits: int, seats: float = 0.0, mass: float = 0.0):
+    """Sorted keys of a block with their numbers [k, keys], cut at the ranges of their highest bits."""
+    edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << tx.U64(64 - bits)), len(keys))
+    out: list[list] = [[], [], []]
+    for part in np.flatnonzero(np.diff(edges)):
+        a, b = edges[part], edges[part + 1]
+        steps = np.diff(keys[a:b], prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T
+        out[0].append(part)
+        out[1].append(_pack(np.ascontiguousarray(steps)))
+        out[2].append(_pack(np.ascontiguousarray(numbers[:, a:b]).astype("<i4")))
+    rows = len(out[0])
+    first = np.arange(rows) == 0
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(rows, kind, np.int32)), pa.array(np.array(out[0], np.int32)), pa.array(np.full(rows, block, np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.where(first, seats, 0.0)), pa.array(np.where(first, mass, 0.0))],
+        names=["kind", "part", "block", "keys", "numbers", "seats", "mass"],
+    )
+
+
+def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
+    """Sums of all blocks' numbers by key, back in the order of each block's keys.
+
+    Returns a row for each block, with the parts' sums and whether the block owns a key (is the first whose
+    first number isn't 0), and by kind the sums, keys above 0, at 1 and at 2 of the first number, seats and mass.
+    """
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """The fetched sums of each block's words in the order of its word list: (block, total, owned)."""
+    def settle(kind, part, pieces, seats, mass):
+        keys = np.concatenate([k for _, k, _ in pieces])
+        numbers = np.concatenate([x for _, _, x in pieces], axis=1)
+        found, at = np.unique(keys, return_inverse=True)
+        sums = np.stack([np.bincount(at, x, len(found)) for x in numbers]).astype("<i8")
+        some = np.flatnonzero(numbers[0])[::-1]
+        first = np.full(len(found), -1)
+        first[at[some]] = some
+        owned = np.zeros(len(keys), "u1")
+        owned[first[first >= 0]] = 1
+        a = 0
+        for i, (block, k, _) in enumerate(pieces):
+            b, own = a + len(k), i == 0
+            stats = [int(x) * own for x in (sums[0].sum(), (sums[0] > 0).sum(), (sums[0] == 1).sum(), (sums[0] == 2).sum())]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()),
+                    "sums": [_pack(np.ascontiguousarray(sums[:, at[a:b]]))], "owned": [_pack(owned[a:b])],
+                    "total": pa.array(stats[:1], pa.int64()), "types": pa.array(stats[1:2], pa.int64()), "once": pa.array(stats[2:3], pa.int64()), "twice": pa.array(stats[3:], pa.int64()),
+                    "seats": [seats * own], "mass": [mass * own],
+                }
+            )
+            a = b
 
     def run(batches):
-        key, totals, owned = None, [], []
-
-        def row():
-            return pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int64()), "total": [_pack(np.concatenate(totals).astype("<i8"))], "owned": [_pack(np.concatenate(owned).astype("u1"))]})
-
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if block[a] != key:
-                    if key is not None:
-                        yield row()
-                    key, totals, owned = int(block[a]), [], []
-                totals.append(batch.column(2).slice(a, b - a).to_numpy())
-                owned.append(batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False))
-        if key is not None:
-            yield row()
-
-    return rows.repartition("block").sortWithinPartitions("block", "word").mapInArrow(run, "block bigint, total binary, owned binary")
+        now, pieces, seats, mass = None, [], 0.0, 0.0
+        for b in _single(batches):
+            key = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            if key != now:
+                if pieces:
+                    yield from settle(*now, pieces, seats, mass)
+                now, pieces, seats, mass = key, [], 0.0, 0.0
+            steps = _unpack(b.column(3), "u1").reshape(8, -1)
+            keys = np.cumsum(np.ascontiguousarray(steps.T).view(tx.U64).ravel(), dtype=np.uint64)
+            pieces.append((b.column(2)[0].as_py(), keys, _unpack(b.column(4), "<i4").reshape(-1, len(keys))))
+            seats, mass = seats + b.column(5)[0].as_py(), mass + b.column(6)[0].as_py()
+        if pieces:
+            yield from settle(*now, pieces, seats, mass)
+
+    rows = sent.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
+    back = frozen(rows.mapInArrow(run, "kind int, part int, block bigint, sums binary, owned binary, total bigint, types bigint, once bigint, twice bigint, seats double, mass double"), name)
+    stats = {r["kind"]: tuple(r)[1:] for r in back.groupBy("kind").agg(*[F.sum(c) for c in ("total", "types", "once", "twice", "seats", "mass")]).collect()}
+    return back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back")), stats
+
+
+def _fetched(column: pa.Array, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums [width, keys], owned) of a block from the parts of one kind."""
+    parts = [x for x in column[0].as_py() if x["kind"] == kind]
+    sums = [np.frombuffer(zstandard.decompress(x["sums"]), "<i8").reshape(width, -1) for x in parts]
+    owned = [np.frombuffer(zstandard.decompress(x["owned"]), "?") for x in parts]
+    return np.concatenate(sums, axis=1), np.concatenate(owned)
+
+
+def _discount(once: int, twice: int) -> float:
+    return float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,71 +441,100 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     train: boolean column, the rows to learn from; null learns nothing.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    blocks = frozen(_blocks(rows), "lm-blocks")
-    listed = _word_rows(blocks)
-    types = frozen(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("total"), F.min("block").alias("owner")), "lm-words")
-    n, v, once, twice = types.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).head()
-    discount = float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
-    fetched = listed.join(types, "word", "left").select("block", "word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce(F.col("owner") == F.col("block"), F.lit(False)).alias("owned"))
-    known = frozen(blocks.select("block", "letters").join(_packed(fetched), "block"), "lm-known")
+    blocks = _bucketed(_blocks(rows), "lm-blocks")
+    bits = max(4, int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // PART_TOKENS).bit_length())
     histogram = np.zeros(256, np.int64)
     for r in blocks.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         histogram[r["pos"]] = r["n"]
 
+    def count(batches):
+        for b in _single(batches):
+            block, seq = b.column(0)[0].as_py(), _unpack(b.column(3), "<u4")
+            words = _hashes(*_listed(b.column(4)))
+            learnt = np.repeat(np.array(b.column(1)[0].as_py(), bool), _unpack(b.column(2), "<i8"))
+            yield from _sendings(block, 0, words, np.bincount(seq[learnt], minlength=len(words))[None], bits)
+            _, _, keys, which = _pairs(seq, words)
+            yield from _sendings(block, 1, keys, np.bincount(which[learnt], minlength=len(keys))[None], bits)
+
+    totals, stats = _summed(blocks.select("block", "train", "sizes", "seq", "letters").mapInArrow(count, SENDING), "lm-sums")
+    n, v = stats.get(0, (0, 0))[:2]
+    pair_discount = _discount(*stats.get(1, (0, 0, 0, 0))[2:4])
+    known = _bucketed(blocks.drop("n", "histogram").join(totals, "block"), "lm-known")
+    _forget(blocks)
+    _forget(totals)
+
     def cells(batches):
         symbol = symbols_of(histogram)
         for b in _single(batches):
-            own = _unpack(b.column(2), "?")
+            own = _fetched(b.column(1), 0, 1)[1]
             letters, starts, ends = _listed(b.column(0))
             letters, at = gather(letters, starts[own], ends[own])
             s, code, _, _ = spelled(letters, at, symbol)
             found, number = np.unique(code * SYMBOLS + s, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], names=["code", "n"])
 
-    counted = known.select("letters", "total", "owned").mapInArrow(cells, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+    words_of = F.filter("back", lambda x: x["kind"] == 0).alias("back")
+    counted = known.select("letters", words_of).mapInArrow(cells, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     sc = docs.sparkSession.sparkContext
     spelling = sc.broadcast(Spelling(histogram, (counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))))
 
-    def seatings(tables: float):
+    def opened(batches):
+        """Every pair with one table."""
+        for b in _single(batches):
+            words = _hashes(*_listed(b.column(2)))
+            first, second, _, _ = _pairs(_unpack(b.column(1), "<u4"), words)
+            own = _fetched(b.column(3), 1, 1)[1]
+            yield from _sendings(b.column(0)[0].as_py(), 0, words, np.stack([np.bincount(x[own], minlength=len(words)) for x in (second, first)]), bits)
+
+    def reseated(sample: int, customers: int, tables: float, discount: float):
+        """Pairs seated anew under the words' customers and the contexts' tables of the sweep before."""
+
         def run(batches):
             for b in _single(batches):
-                own = _unpack(b.column(2), "?")
-                letters, starts, ends = _listed(b.column(0))
-                words = _hashes(letters, starts, ends)[own]
-                letters, at = gather(letters, starts[own], ends[own])
-                base = spelling.value.log10(letters, at)
-                t = word_log10(words, _unpack(b.column(1), "<i8")[own], base, n, tables, discount)[1]
-                yield pa.RecordBatch.from_pydict({"t": [float(t.sum())], "mass": [float(np.power(10.0, base).sum())]})
+                letters, starts, ends = _listed(b.column(2))
+                words = _hashes(letters, starts, ends)
+                first, second, keys, _ = _pairs(_unpack(b.column(1), "<u4"), words)
+                total, own = _fetched(b.column(3), 1, 1)
+                (served, inside), mine = _fetched(b.column(4), 0, 2)
+                base = spelling.value.log10(*gather(letters, starts, ends))
+                logs, seats = word_log10(words, served, base, customers, tables, discount, samples=range(sample, sample + 1))
+                first, second = first[own], second[own]
+                fresh = (STRENGTH + pair_discount * inside[first]) * np.power(10.0, logs[second])
+                t = drawn_tables(keys[own], total[0][own], fresh, pair_discount, sample)
+                sums = np.stack([np.bincount(x, t, len(words)) for x in (second, first)])
+                yield from _sendings(b.column(0)[0].as_py(), 0, words, sums, bits, float(seats[mine].sum()), float(np.power(10.0, base[mine]).sum()))
 
         return run
 
-    tables, mass = float(v), 0.0
-    for _ in range(WORD_SWEEPS if v else 0):
-        tables, mass = known.select("letters", "total", "owned").mapInArrow(seatings(tables), "t double, mass double").agg(F.sum("t"), F.sum("mass")).head()
+    served, stats = _summed(known.select("block", "seq", "letters", "back").mapInArrow(opened, SENDING), "lm-seats")
+    customers, tables, once, twice = stats.get(0, (0, 0, 0, 0))[:4]
+    discount, mass = _discount(once, twice), 0.0
+    for sweep in range(WORD_SWEEPS if v else 0):
+        moved = known.select("block", "seq", "letters", "back").join(served.withColumnRenamed("back", "served"), "block")
+        last = served
+        served, stats = _summed(moved.mapInArrow(reseated(SAMPLES + sweep, customers, float(tables), discount), SENDING), "lm-seats")
+        customers, _, once, twice, tables, mass = stats[0]
+        _forget(last)
+        discount = _discount(once, twice)
 
     outside = float(np.log10(max(1 - mass, 1e-12)))
 
     def score(batches):
         for b in _single(batches):
-            total = _unpack(b.column(5), "<i8")
+            sizes, seq = _unpack(b.column(2), "<i8"), _unpack(b.column(3), "<u4")
             letters, starts, ends = _listed(b.column(4))
             words = _hashes(letters, starts, ends)
+            total = _fetched(b.column(5), 0, 1)[0][0]
+            inside = _fetched(b.column(6), 0, 2)[0]
             base = spelling.value.log10(*gather(letters, starts, ends))
-            logs = word_log10(words, total, base, n, tables, discount, outside)[0]
-            text, off = _unpack(b.column(3), "u1"), _unpack(b.column(2), "<i8")
-            out: list[list] = [[], [], [], []]
-            for lo, hi in tx.spans(off):
-                h, starts, _ = tokens(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                at = np.searchsorted(words, h)
-                first = np.searchsorted(starts, off[lo:hi] - off[lo])
-                count = total[at]
-                out[0].append(np.diff(np.append(first, len(h))))
-                out[1].append(np.add.reduceat((count > 0).astype(np.int64), first))
-                out[2].append(np.add.reduceat(np.log10((count + 1) / (n + v + 1)), first))
-                out[3].append(np.add.reduceat(logs[at], first))
-            sums = [np.concatenate(x) for x in out]
+            logs = word_log10(words, inside[0], base, customers, float(tables), discount, outside)[0]
+            first, second, keys, which = _pairs(seq, words)
+            fresh = (STRENGTH + pair_discount * inside[1][first]) * np.power(10.0, logs[second])
+            pairs = pair_log10(keys, _fetched(b.column(5), 1, 1)[0][0], fresh, total[first], pair_discount)
+            at = np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(x, at) for x in ((total > 0).astype(np.int64)[seq], np.log10((total + 1) / (n + v + 1))[seq], pairs[which])]
             ids, flags = b.column(0)[0].as_py(), b.column(1)[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(len(ids), n)), pa.array(sums[2]), pa.array(sums[3]), pa.array(np.power(10, -sums[3] / sums[0]))], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(ids), n)), pa.array(sums[1]), pa.array(sums[2]), pa.array(np.power(10, -sums[2] / sizes))], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    whole = blocks.select("block", "ids", "train", "off", "text").join(known, "block").select("ids", "train", "off", "text", "letters", "total")
+    whole = known.join(served.withColumnRenamed("back", "served"), "block").select("ids", "train", "sizes", "seq", "letters", "back", "served")
     return whole.mapInArrow(score, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)

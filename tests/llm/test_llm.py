@@ -167,6 +167,15 @@ def test_language_model(spark, texts, docs, odd):
     assert lm.score_texts(odd, F.lit(False)).where("base_score <> 0 OR train_tokens <> 0").count() == 0
 
 
+def test_word_order(spark):
+    """Pairs met in training are likelier in their order; the base score has no order."""
+    texts = ["alpha beta gamma delta", "delta gamma beta alpha", *["alpha beta gamma delta"] * 20, *["beta alpha delta omega gamma"] * 2]
+    rows = lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5), F.col("doc_id") > 1).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[0].base_score == pytest.approx(got[1].base_score)
+    assert got[0].score > got[1].score + 1
+
+
 def test_quality_and_language(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
