@@ -6,8 +6,10 @@ separators), the path is cut at everything that is no letter or digit, and a mul
 Bayes over host words and path tokens tells ``block`` from ``allow``.
 
 Unigrams and class counts are taken over all pages: distinct tokens with their counts (unigrams
-from paths and hyphenated names, where separators show the words; classes from hosts and paths), at most ``VOCABULARY`` of them (the most frequent; rarer ones count as unknown, with the
-chance of an unseen word).  The teaching labels are the seed words: a page whose host holds one
+from paths and hyphenated names, where separators show the words; classes from hosts and paths),
+kept as a written table.  Distinct names join their substrings to it, distinct hosts their words
+and distinct paths their tokens, so every counted token takes part; sums alone reach the driver.
+The teaching labels are the seed words: a page whose host holds one
 as a separate word teaches ``block``, any other teaches ``allow``.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and is
@@ -17,24 +19,21 @@ allowed; repeated pages count each time; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from functools import lru_cache
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlens.llm.common import fields
+from objectlens.llm.common import frozen
 
-VOCABULARY = 50_000
 #: Words that mark a host as one to block, with common partners of theirs that are neutral alone.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "farm", "free", "gambling", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "win", "xxx")
 #: Seeds that suffice alone; the others need a second seed in the same host.
 STRONG = ("adult", "ads", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
 #: Frequent names of web hosts, known to the segmentation beside the pages' own words.
 COMMON = ("blog", "com", "example", "home", "info", "mail", "mobile", "net", "news", "online", "org", "shop", "site", "store", "the", "web", "www")
-TOKEN = re.compile(r"[a-z]+|[0-9]+")
+TOKEN = "([a-z]+|[0-9]+)"
 
 
 def host(url: Column) -> Column:
@@ -57,13 +56,12 @@ def rule_columns(rules: list[tuple[str, str, str]], host_col: Column, path_col:
 
 
 class Segmenter:
-    """Unigram Viterbi over a counted vocabulary."""
+    """Unigram Viterbi over counted words; total and longest are of the whole vocabulary."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int, longest: int):
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if n > 0}
         self.unseen = math.log(total)
-        self.longest = max(map(len, self.cost), default=1)
+        self.longest = longest
 
     def split(self, name: str) -> list[str]:
         """The cheapest split; an unknown stretch costs more with each of its letters."""
@@ -83,58 +81,80 @@ class Segmenter:
         return words[::-1]
 
 
+@dataclass
 class UrlModel:
-    def __init__(self, unigrams: dict[str, int], blocked: dict[str, int], allowed: dict[str, int], pages: tuple[int, int]):
-        self.segmenter = Segmenter(unigrams)
-        size = len(set(blocked) | set(allowed)) + 1
-        sums = sum(blocked.values()) + size, sum(allowed.values()) + size
-        self.weight = {t: math.log((blocked.get(t, 0) + 1) / sums[0]) - math.log((allowed.get(t, 0) + 1) / sums[1]) for t in set(blocked) | set(allowed)}
-        self.prior = math.log(pages[0] + 1) - math.log(pages[1] + 1)
-        self._host = lru_cache(100_000)(self.host_words)
+    """unigrams: (word, n); weights: (t, weight), of host words h:.. and path tokens p:.."""
 
-    def __reduce__(self):
-        return _restore, (self.segmenter, self.weight, self.prior)
+    unigrams: DataFrame
+    total: int
+    longest: int
+    weights: DataFrame
+    prior: float
 
-    def host_words(self, name: str) -> tuple[str, ...]:
-        return tuple(w for token in TOKEN.findall(name) for w in self.segmenter.split(token))
 
-    def odds(self, name: str, url_path: str) -> float:
-        """Log odds that the page is to be blocked."""
-        tokens = [f"h:{w}" for w in self._host(name)] + [f"p:{t}" for t in TOKEN.findall(url_path.lower())]
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
+def _tokens(text) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
-def _restore(segmenter, weight, prior) -> UrlModel:
-    model = UrlModel({}, {}, {}, (0, 0))
-    model.segmenter, model.weight, model.prior = segmenter, weight, prior
-    return model
+def _patched(counts: DataFrame, key: str, least: dict[str, int]) -> DataFrame:
+    """Counts of (key, first number, ..) with the first number raised to what least says."""
+    names = counts.columns
+    found = {r[key]: list(r)[1:] for r in counts.where(F.col(key).isin(list(least))).collect()}
+    rows = []
+    for w, n in least.items():
+        first, *rest = found.get(w, [0] * (len(names) - 1))
+        rows.append((w, max(first, n), *rest))
+    special = counts.sparkSession.createDataFrame(rows, counts.schema)
+    return counts.where(~F.col(key).isin(list(least))).unionByName(special)
 
 
-def train(pages: DataFrame, url_col: str = "url", vocabulary: int = VOCABULARY) -> UrlModel:
-    """Count tokens over all pages in one distributed pass; only the vocabulary reaches the driver."""
+def train(pages: DataFrame, url_col: str = "url") -> UrlModel:
+    """Count tokens over all pages in one distributed pass; the counts stay a table."""
     url = F.col(f"`{url_col}`")
     rows = pages.select(host(url).alias("h"), F.lower(path(url)).alias("p")).where("h <> ''")
-    words = F.regexp_extract_all("h", F.lit("([a-z]+|[0-9]+)"), F.lit(1))
+    words = _tokens("h")
     strong, weak = F.array(*map(F.lit, STRONG)), F.array(*map(F.lit, SEEDS))
     bad = F.arrays_overlap(words, strong) | (F.size(F.array_intersect(words, weak)) >= 2)
-    tokens = F.concat(F.transform(words, lambda w: F.concat(F.lit("h:"), w)), F.transform(F.regexp_extract_all("p", F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda w: F.concat(F.lit("p:"), w)))
+    tokens = F.concat(F.transform(words, lambda w: F.concat(F.lit("h:"), w)), F.transform(_tokens("p"), lambda w: F.concat(F.lit("p:"), w)))
     # separators show words: parts of hyphenated names and path tokens teach the segmentation, whole names don't
-    parts = F.flatten(F.transform(F.filter(F.split("h", r"\\."), lambda x: x.contains("-")), lambda x: F.regexp_extract_all(x, F.lit("([a-z]+|[0-9]+)"), F.lit(1))))
+    parts = F.flatten(F.transform(F.filter(F.split("h", r"\\."), lambda x: x.contains("-")), _tokens))
     tokens = F.concat(tokens, F.transform(parts, lambda w: F.concat(F.lit("u:"), w)))
     marked = rows.select(bad.alias("bad"), tokens.alias("tokens"))
     numbers = {r["bad"]: r["n"] for r in marked.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"), F.sum((~F.col("bad")).cast("long")).alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "t").limit(vocabulary).collect()
-    unigrams = Counter()
-    for r in found:
-        if r["t"][0] != "h":
-            unigrams[r["t"][2:]] += r["a"] + r["b"]
-    most = max(unigrams.values(), default=1)
-    found = [r for r in found if r["t"][0] != "u"]
-    unigrams |= {w: max(unigrams.get(w, 0), most // 50 + 1) for w in (*SEEDS, *COMMON)}
-    blocked = {r["t"]: r["b"] for r in found if r["b"]}
+    marked = marked.select("bad", F.explode("tokens").alias("t"))
+    counts = frozen(marked.groupBy("t").agg(F.sum(F.col("bad").cast("long")).alias("b"), F.sum((~F.col("bad")).cast("long")).alias("a")), "url-counts")
+
+    unigrams = frozen(counts.where(~F.col("t").startswith("h")).groupBy(F.substring("t", 3, 1 << 30).alias("word")).agg(F.sum(F.col("a") + F.col("b")).alias("n")), "url-unigrams")
+    most = unigrams.agg(F.coalesce(F.max("n"), F.lit(1))).head()[0]
+    unigrams = _patched(unigrams, "word", dict.fromkeys((*SEEDS, *COMMON), most // 50 + 1))
+    total, longest = unigrams.agg(F.sum("n") + 1, F.max(F.length("word"))).head()
+
     # the seeds that no page has yet are known to the classes as well
-    blocked |= {f"h:{w}": max(blocked.get(f"h:{w}", 0), numbers.get(True, 0) // len(STRONG) + 1) for w in STRONG}
-    return UrlModel(unigrams, blocked, {r["t"]: r["a"] for r in found if r["a"]}, (numbers.get(True, 0), numbers.get(False, 0)))
+    classes = _patched(counts.where(~F.col("t").startswith("u")), "t", {f"h:{w}": numbers.get(True, 0) // len(STRONG) + 1 for w in STRONG})
+    size, blocked, allowed = classes.agg(F.count(F.lit(1)) + 1, F.sum("b"), F.sum("a")).head()
+    weight = F.log((F.col("b") + 1) / (blocked + size)) - F.log((F.col("a") + 1) / (allowed + size))
+    prior = math.log(numbers.get(True, 0) + 1) - math.log(numbers.get(False, 0) + 1)
+    return UrlModel(unigrams, total, longest, classes.select("t", weight.alias("weight")), prior)
+
+
+def _split_names(names: DataFrame, model: UrlModel) -> DataFrame:
+    """(name, split) of distinct names, each by the counts of all of its substrings."""
+    total, longest = model.total, model.longest
+    pieces = F.expr(f"array_distinct(flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least(length(name) - i + 1, {longest})), k -> substr(name, i, k)))))")
+    known = names.select("name", F.explode(pieces).alias("word")).join(model.unigrams, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    def run(batches):
+        for batch in batches:
+            given = batch.column(0).to_pylist()
+            split = [Segmenter({x["word"]: x["n"] for x in k or ()}, total, longest).split(name) for name, k in zip(given, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], names=["name", "split"])
+
+    return names.join(known, "name", "left").mapInArrow(run, "name string, split array<string>")
+
+
+def _weighed(rows: DataFrame, key: str, model: UrlModel) -> DataFrame:
+    """(key, its tokens' weights added up) from rows of a key and one token t, with repeats."""
+    return rows.join(model.weights, "t").groupBy(key).agg(F.sum("weight").alias(f"{key}_weight"))
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel, keep: list[str] | None = None, url_col: str = "url") -> DataFrame:
@@ -142,18 +162,20 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], model: Url
     new = ["host", "path", "rule", "verdict", "words", "odds"]
     keep = [c for c in (keep if keep is not None else pages.columns) if c not in new]
     url = F.col(f"`{url_col}`")
-    cut = pages.select(*[f"`{c}`" for c in keep], host(url).alias("host"), path(url).alias("path"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    cut = pages.select(kept.alias("kept"), host(url).alias("host"), path(url).alias("path")).withColumn("lowered", F.lower("path"))
+
+    hosts = cut.select("host").distinct()
+    places = hosts.select("host", F.posexplode(_tokens("host")).alias("place", "name"))
+    split = _split_names(places.select("name").distinct(), model)
+    found = frozen(places.join(split, "name").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "split"))), lambda x: x["split"])).alias("words")), "url-hosts")
+    by_host = found.join(_weighed(found.select("host", F.explode("words").alias("w")).select("host", F.concat(F.lit("h:"), "w").alias("t")), "host", model), "host", "left")
+    lowered = cut.select("lowered").distinct().select("lowered", F.explode(_tokens("lowered")).alias("w"))
+    by_path = _weighed(lowered.select("lowered", F.concat(F.lit("p:"), "w").alias("t")), "lowered", model)
+
+    odds = F.when(F.col("host") == "", -1.0).otherwise(model.prior + F.coalesce("host_weight", F.lit(0.0)) + F.coalesce("lowered_weight", F.lit(0.0)))
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    judged = cut.join(by_host, "host", "left").join(by_path, "lowered", "left").select("kept", "host", "path", words.alias("words"), odds.alias("odds"))
     name, verdict = rule_columns(rules, F.col("host"), F.col("path"))
-    cut = cut.select("*", name.alias("rule"), verdict.alias("verdict"))
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            hosts, paths, ruled = (batch.column(len(keep) + k).to_pylist() for k in (0, 1, 3))
-            own = sent.value
-            odds = [own.odds(h, p) if h else -1.0 for h, p in zip(hosts, paths, strict=True)]
-            words = [list(own._host(h)) for h in hosts]
-            final = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(final, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(odds, pa.float64())], names=[*batch.schema.names, "words", "odds"])
-
-    return cut.mapInArrow(run, ", ".join(filter(None, [fields(pages, keep), "host string, path string, rule string, verdict string, words array<string>, odds double"])))
+    verdict = F.coalesce(verdict, F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    return judged.select(*[F.col("kept")[c].alias(c) for c in keep], "host", "path", name.alias("rule"), verdict.alias("verdict"), "words", "odds")

@@ -207,6 +207,17 @@ def test_urls(spark):
     assert told(odd[8])[:2] == ("a.org", "")
 
 
+def test_urls_count_every_token(spark):
+    """Rare words take part however many other tokens are more frequent."""
+    pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://a.org/n', id, '/', id, '/n', id, '/', id) AS url")
+    rare = ["https://zebrafish-casino.org/quux", "http://zebrafishzebrafish.org/"]
+    pages = pages.union(spark.createDataFrame(list(enumerate(rare)), "page_id bigint, url string"))
+    model = urls.train(pages)
+    rows = {r.url: r for r in urls.url_verdicts(pages.where("url NOT LIKE 'http://a.org%'"), [], model, keep=["url"]).collect()}
+    assert rows[rare[1]].words == ["zebrafish", "zebrafish", "org"]
+    assert model.weights.where("t IN ('h:zebrafish', 'p:quux') AND weight > 0").count() == 2
+
+
 def test_shard_store(spark, docs, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=400_000)
     for k in range(5):
