@@ -1,16 +1,19 @@
 """Operator 7: language-model scores from a hierarchical Pitman-Yor model.
 
 Each word has a restaurant of the words behind it (the end token's is of first words); the parent
-of these is one word restaurant, whose customers are their tables.  Its base is a spelling model: restaurants
-of byte contexts of up to ``ORDER`` bytes, where each context's parent is the context without its
-oldest byte, up to one restaurant over equal chances.  A customer of a restaurant is served a dish
-that is there already or opens a table, and each table sends one customer to the parent.
+of these is one word restaurant, whose customers are their tables.  Its base is a spelling model,
+whose customers are the word restaurant's tables: restaurants of byte contexts of up to ``ORDER``
+bytes, where each context's parent is the context without its oldest byte, up to one restaurant
+over equal chances.  A customer of a restaurant is served a dish that is there already or opens a
+table, and each table sends one customer to the parent.
 
 Seating is sampled by Gibbs sweeps: in each sweep the customers of every dish leave and come back
-one after another, each opening a table with the chance the Chinese-restaurant process gives under
-the parent's probabilities and the restaurant's tables of the sweep before.  (Beyond 32 customers
-of one dish, runs of a sixteenth of those seated are drawn at once.)  Probabilities are averaged
-over sampled seatings.  Discounts come from the numbers of dishes met once and twice.
+one after another, each opening a table with the chance that the Chinese-restaurant process gives
+under the parent's probabilities and the restaurant's tables of the sweep before.  Sweeps go on
+until the word restaurant's tables change by less than ``SETTLED`` from one to the next (the third
+starts from their extrapolated limit), and the spelling model is fitted anew in each; then ``SAMPLES`` seatings are taken and probabilities are
+averaged over them.  In every seating the seats add up, so the chances of all words behind a word,
+unseen ones included, add up to 1.  Discounts come from the numbers of dishes met once and twice.
 
 Words that training didn't meet count as one word, as they do in the base score: its base
 probability is what the spelling model leaves outside the training vocabulary.
@@ -19,13 +22,14 @@ Where things are computed: documents are packed into blocks of whole texts; a bl
 distinct words and word pairs with their training counts, which are sent in ranges of sorted keys,
 summed over all blocks, and fetched back by each block for its own keys.  So every training token
 and pair counts, and no table of words or pairs is broadcast or collected.  The first block that
-trains on a key owns it: each word spells once into the byte counts, each pair is seated once a sweep
-and its tables are summed by word and by context the same way.  Only the spelling model is sent
-around: at most 64^4 cells over its alphabet of the 62 most frequent bytes, an end, and one symbol
-for all others, whose bytes share its chance equally.
+trains on a key owns it.  A pair met once always has one table, so sweeps go over the owned pairs
+met more often and the words they hold; tables by word and by context are summed the same way as
+counts.  Only the spelling model is sent around: at most 64^4 cells over its alphabet of the 62
+most frequent bytes, an end, and one symbol for all others, whose bytes share its chance equally.
 
 Defined results: a null or empty text is its end token alone; without training rows N = V = 0, the
-base is 0 for every token and the model has the spelling base alone; repeated rows count each time.
+base is 0 for X rows, also of one id
+or a null id, count each time; a text beyond ``tx.CHUNK_BYTES`` is read in pieces cut between words.
 """
 
 from __future__ import annotations
@@ -40,78 +44,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objectlens.llm import textops as tx
-from objectlens.llm.common import frozen, open_fs, scratch
+from objectlens.llm.common import forget, frozen, scratch, small_batches
 
 ORDER, SYMBOLS = 3, 64
 BLOCK_BYTES = 8 << 20
 #: Tokens to a range of keys whose sums are taken together.
 PART_TOKENS = 1 << 20
-#: Sweeps before the first seating that counts, seatings that count, and word sweeps that settle the number of tables.
-BURN_IN, SAMPLES, WORD_SWEEPS = 4, 6, 2
+#: Seatings of the spelling model that are passed over and that count.
+BURN_IN, SPELLINGS = 4, 6
+#: Seatings of words that count; the change of tables at which earlier sweeps end, and the most of these.
+SAMPLES, SETTLED, MOST_SWEEPS = 2, 0.01, 12
 STRENGTH = 1.0
 END = 10
 
 
-def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text as its lower-cased words, a space behind each, then the end byte: (bytes, offsets)."""
-    mapped = tx.SPACES_LOWER[data]
-    starts, _, counts = tx.word_bounds(mapped, off)
-    at = np.flatnonzero(mapped)
-    word = np.searchsorted(starts, at, "right") - 1
-    owner = np.repeat(np.arange(len(counts)), counts)
-    size = np.diff(np.searchsorted(at, off)) + counts + 1
-    out_off = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(out_off[-1], 32, np.uint8)
-    out[np.arange(len(at)) + word + (owner[word] if len(word) else 0)] = mapped[at]
-    out[out_off[1:] - 1] = END
-    return out, out_off
-
-
-def tokens(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every token of normalised texts; the end is a token of one byte."""
-    stop = np.flatnonzero((text == 32) | (text == END))
-    starts = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
-    ends = np.where(text[stop] == END, stop + 1, stop)
-    return tx.span_hash(tx.BYTE_VALUES[text], starts, ends).view(np.int64), starts, ends
+class Words:
+    """Distinct words of a block, found run by run."""
+
+    def __init__(self):
+        self.hashes, self.letters, self.sizes, self.which = [], [], [], []
+
+    def add(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Take in a run of texts; the words in each."""
+        h, starts, ends, counts = tx.words(data, off, tx.SPACES_LOWER)
+        found, first, which = np.unique(h, return_index=True, return_inverse=True)
+        letters, at = gather(tx.SPACES_LOWER[data], starts[first], ends[first])
+        self._keep(found, letters, np.diff(at), which.astype(np.uint32))
+        return counts
+
+    def _keep(self, found, letters, sizes, which) -> None:
+        self.hashes.append(found)
+        self.letters.append(letters)
+        self.sizes.append(sizes)
+        self.which.append(which)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(letters of the distinct words sorted by hash, a space behind each; words by number; sizes; the end's number)."""
+        ending = np.array([END], np.uint8)
+        self._keep(tx.span_hash(tx.BYTE_VALUES[ending], np.zeros(1, np.int64), np.ones(1, np.int64)), ending, np.ones(1, np.int64), np.zeros(1, np.uint32))
+        words, first, number = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        size = np.concatenate(self.sizes)
+        stop = np.cumsum(size)
+        letters, at = gather(np.concatenate(self.letters), stop[first] - size[first], stop[first])
+        size = np.diff(at)
+        spaced = np.full(len(letters) + len(size), 32, np.uint8)
+        spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+        base = np.cumsum([0, *map(len, self.hashes)])
+        which = [number[a + w].astype(np.uint32) for a, w in zip(base, self.which, strict=False)]
+        return spaced, np.concatenate(which[:-1]), size, int(which[-1][0])
+
+
+def runs(data: np.ndarray, off: np.ndarray, limit: int = tx.CHUNK_BYTES):
+    """(first text, bytes, offsets): runs of about limit bytes; a longer text goes in pieces cut between words."""
+    for a, b in tx.spans(off, limit):
+        lo, hi = int(off[a]), int(off[b])
+        while b == a + 1 and hi - lo > limit:
+            gaps = np.flatnonzero(tx.SPACES[data[lo + 1 : lo + limit]] == 0)
+            if not len(gaps):
+                break  # one word of this size
+            cut = lo + 1 + int(gaps[-1])
+            yield a, data[lo:cut], np.array([0, cut - lo])
+            lo = cut
+        yield a, data[lo:hi], np.maximum(off[a : b + 1], lo) - lo
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = ends - starts
-    off = np.concatenate([[0], np.cumsum(size)])
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     return data[np.repeat(starts - off[:-1], size) + np.arange(off[-1])], off
 
 
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Quantiles at u of binomials: summed up from 0 to a mean of 30, beyond by the normal limit."""
+    turn = p > 0.5
+    q, u = np.where(turn, 1 - p, p), np.where(turn, 1 - u, u)
+    a, x = 0.147, np.clip(2 * u - 1, -1 + 1e-12, 1 - 1e-12)
+    half = np.log(1 - x * x) / 2
+    z = np.sign(x) * np.sqrt(2 * (np.sqrt((2 / (np.pi * a) + half) ** 2 - 2 * half / a) - 2 / (np.pi * a) - half))
+    out = np.clip(np.rint(n * q + z * np.sqrt(n * q * (1 - q))), 0, n)
+    few = np.flatnonzero(n * q <= 30)
+    size, odds, left = n[few], q[few] / (1 - q[few]), u[few]
+    mass, got, open_ = (1 - q[few]) ** size, np.zeros(len(few)), np.arange(len(few))
+    while len(open_):
+        left[open_] -= mass[open_]
+        open_ = open_[(left[open_] > 0) & (got[open_] < size[open_])]
+        mass[open_] *= (size[open_] - got[open_]) / (got[open_] + 1) * odds[open_]
+        got[open_] += 1
+    out[few] = got
+    return np.where(turn, n - out, out)
+
+
 def seat(count: np.ndarray, fresh: np.ndarray, discount: float, draw) -> np.ndarray:
-    """Tables of each dish after its customers came one by one.
+    """Tables of each dish after its customers came, run by run.
 
     fresh: (strength + discount * tables of the restaurant) * parent's probability of the dish;
-    draw(step, who) gives uniform numbers.
+    draw(step, who) gives uniform numbers.  A run is a sixteenth of those seated, one customer at
+    least; its new tables are a binomial draw under the chance in its middle.
     """
     tables = np.minimum(count, 1).astype(np.float64)
     order = np.argsort(-count, kind="stable")
     c, f, t = count[order], fresh[order], tables[order]
     k, step = 1, 0
     while (live := int(np.searchsorted(-c, -k, "left"))) > 0:  # dishes with more than k customers
-        run = max(1, k // 16) if k >= 32 else 1
+        run = max(1, k // 16)
         many = np.minimum(run, c[:live] - k)
-        chance = f[:live] / (f[:live] + np.maximum(k - discount * t[:live], 1e-9))
-        t[:live] += np.floor(many * chance + draw(step, order[:live]))
-        t[:live] = np.minimum(t[:live], np.minimum(c[:live], k + run))
+        chance = f[:live] / (f[:live] + np.maximum(k + (many - 1) / 2 - discount * t[:live], 1e-9))
+        u = draw(step, order[:live])
+        t[:live] += (u < chance) if run == 1 else binomial(many, chance, u)
         k, step = k + run, step + 1
     tables[order] = t
     return tables
 
 
-def discount_of(count: np.ndarray) -> float:
-    once, twice = int((count == 1).sum()), int((count == 2).sum())
+def discount_of(once: int, twice: int) -> float:
     return float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
 
 
 class Spelling:
     """Averaged predictive probabilities of symbols in byte contexts: ``logs`` [contexts, symbols] in log10."""
 
-    def __init__(self, histogram: np.ndarray, cells: dict[int, int] | tuple[np.ndarray, np.ndarray], seed: int = 3):
-        """cells: counts by code, ((oldest * 64 + ..) * 64 + youngest) * 64 + symbol, 0 before a word."""
+    def __init__(self, histogram: np.ndarray, cells: tuple[np.ndarray, np.ndarray], seed: int = 3):
+        """cells: codes in ascending order, ((oldest * 64 + ..) * 64 + youngest) * 64 + symbol, 0 before a word; their counts."""
         self.symbol = symbols_of(histogram)
         rare = max(1, int((self.symbol == SYMBOLS - 1).sum()))
         self.rare_log = -np.log10(rare)
@@ -124,7 +177,7 @@ class Spelling:
         width, total = SYMBOLS, None
         shares = [np.full((len(lv[0]), width), 1 / width) for lv in levels]
         tables_in = [np.zeros(len(lv[0])) for lv in levels]
-        for sweep in range(BURN_IN + SAMPLES):
+        for sweep in range(BURN_IN + SPELLINGS):
             customers, below = numbers.astype(np.int64), codes
             stats = []
             for i, lv in enumerate(levels):  # customers climb from the longest contexts to the shortest
@@ -134,7 +187,7 @@ class Spelling:
                 count = np.bincount(at, customers, len(cell)).astype(np.int64)
                 row, sym = np.searchsorted(lv[0], cell // width), cell % width
                 parent = shares[i + 1][np.searchsorted(levels[i + 1][0], lv[0][row] % SYMBOLS ** (d - 1)) if d else 0, sym] if d else np.full(len(cell), 1 / width)
-                a = discount_of(count)
+                a = discount_of(int((count == 1).sum()), int((count == 2).sum()))
                 t = seat(count, (STRENGTH + a * tables_in[i][row]) * parent, a, lambda step, who: rng.rand(len(who)))
                 tables_in[i] = np.bincount(row, t, len(lv[0]))
                 stats.append((row, sym, count, t, a))
@@ -152,7 +205,7 @@ class Spelling:
                 shares[i] = above = share
             if sweep >= BURN_IN:
                 total = [s.copy() for s in shares] if total is None else [x + s for x, s in zip(total, shares, strict=True)]
-        rows = np.concatenate([x / SAMPLES for x in total[::-1]]) if len(codes) else np.full((1, width), 1 / width)
+        rows = np.concatenate([x / SPELLINGS for x in total[::-1]]) if len(codes) else np.full((1, width), 1 / width)
         self.logs = np.log10(np.maximum(rows, 1e-30)).astype(np.float32)
         # the longest known context of any three symbols
         self.row = np.zeros(SYMBOLS**ORDER, np.int32)
@@ -166,9 +219,12 @@ class Spelling:
 
     def log10(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each spelled token."""
-        s, code, word, raw = spelled(data, off, self.symbol)
-        value = self.logs[self.row[code], s].astype(np.float64) + np.where(s == SYMBOLS - 1, self.rare_log, 0.0)
-        return np.bincount(word, value, len(off) - 1)
+        out = []
+        for a, b in tx.spans(off, 1 << 20, len(off)):
+            s, code, word = spelled(data[off[a] : off[b]], off[a : b + 1] - off[a], self.symbol)
+            value = self.logs[self.row[code], s].astype(np.float64) + np.where(s == SYMBOLS - 1, self.rare_log, 0.0)
+            out.append(np.bincount(word, value, b - a))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def symbols_of(histogram: np.ndarray) -> np.ndarray:
@@ -179,8 +235,8 @@ def symbols_of(histogram: np.ndarray) -> np.ndarray:
     return out
 
 
-def spelled(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of tokens, an end (0) behind each: (symbol, code of the three before, token, place)."""
+def spelled(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of tokens, an end (0) behind each: (symbol, code of the three before, token)."""
     size = np.diff(off) + 1
     begin = np.cumsum(size) - size
     word = np.repeat(np.arange(len(size)), size)
@@ -192,93 +248,65 @@ def spelled(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np.n
         before = np.zeros(len(word), np.int64)
         before[k:] = s[:-k] if len(s) > k else s[:0]
         code = code * SYMBOLS + np.where(place >= k, before, 0)
-    return s, code, word, place
+    return s, code, word
 
 
-def word_log10(hashes: np.ndarray, count: np.ndarray, base: np.ndarray, n: int, tables: float, discount: float, outside: float = 0.0, samples: range = range(SAMPLES)) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of words averaged over seatings, and their mean tables.
-
-    outside: the log10 base probability of all words that training didn't meet, which are one
-    dish together: no seat is theirs, so only the chance of a new table leads there.
-
-    Numbers are drawn from the word's hash, so that every block seats a word alike.
-    """
-    p0 = np.power(10.0, np.maximum(base, -300))
-    fresh = (STRENGTH + discount * tables) * p0
-    share, seats = np.zeros(len(count)), np.zeros(len(count))
-    for sample in samples:
-        t = drawn_tables(hashes, count, fresh, discount, sample)
-        seats += t
-        share += (count - discount * t + fresh) / (STRENGTH + n)
-    with np.errstate(divide="ignore"):
-        known = np.log10(share / len(samples))
-    novel = outside + np.log10((STRENGTH + discount * tables) / (STRENGTH + n))
-    return np.where(count > 0, known, novel), seats / len(samples)
-
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, kind).tobytes())
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
+def _unpack(cell: pa.Scalar | bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(cell if isinstance(cell, bytes) else cell.as_py()), kind)
 
-def _unpack(column: pa.Array, kind: str) -> np.ndarray:
-    """The packed array of a batch's only row."""
-    return np.frombuffer(zstandard.decompress(column[0].as_py()), kind)
 
-
-def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, starts, ends) of a block's distinct words, which stand with a space behind each, sorted by hash."""
-    letters = _unpack(column, "u1")
+def _listed(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, offsets) of distinct words, which stand with a space behind each, sorted by hash."""
+    letters = _unpack(cell, "u1")
     ends = np.flatnonzero(letters == 32)
-    return letters, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends, ends
+    off = np.concatenate([[0], ends + 1 - np.arange(1, len(ends) + 1)])
+    return letters[letters != 32], off
 
 
-def _hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return tx.span_hash(tx.BYTE_VALUES[letters], starts, ends)
+def _hashes(letters: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return tx.span_hash(tx.BYTE_VALUES[letters], off[:-1], off[1:])
 
 
-def _draws(keys: np.ndarray, sample: int):
+def _draws(keys: np.ndarray, sweep: int):
     """Uniform numbers for seat(), drawn from the dishes' keys: every block seats a dish alike."""
 
     def draw(step, who):
-        x = tx.mix(keys[who] + np.array([1 + sample * 100_003 + step], tx.U64) * tx.ODDS[30])
+        x = tx.mix(keys[who] + np.array([1 + sweep * 100_003 + step], tx.U64) * tx.ODDS[30])
         return (x >> tx.U64(11)).astype(np.float64) / (1 << 53)
 
     return draw
 
 
-def drawn_tables(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, sample: int) -> np.ndarray:
+def drawn_tables(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, sweep: int) -> np.ndarray:
     """Tables in one seating; a dish met once has one."""
     tables = np.minimum(count, 1).astype(np.float64)
     many = np.flatnonzero(count > 1)
-    tables[many] = seat(count[many], fresh[many], discount, _draws(keys[many], sample))
+    tables[many] = seat(count[many], fresh[many], discount, _draws(keys[many], sweep))
     return tables
 
 
-def pair_log10(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, inside: np.ndarray, discount: float) -> np.ndarray:
-    """log10 probability of each pair's second word behind the first, averaged over seatings.
-
-    fresh: (strength + discount * tables of the first word's restaurant) * the word restaurant's
-    probability of the second; inside: customers of the first word's restaurant.
-    """
-    share = np.zeros(len(count))
-    for sample in range(SAMPLES):
-        share += (count - discount * drawn_tables(keys, count, fresh, discount, sample) + fresh) / (STRENGTH + inside)
-    return np.log10(share / SAMPLES)
+def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The key of pairs of words, given their hashes."""
+    return tx.mix(first * tx.ODDS[31] + second)
 
 
-def _pairs(seq: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, end: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word before, word) of a block by key: (before, word, key, pair of each token).
 
     The word before a text's first is the end token, which stands last in a block.
     """
-    before = np.concatenate([seq[-1:], seq[:-1]]).astype(np.int64)
-    code, which = np.unique(before * len(hashes) + seq, return_inverse=True)
-    key = tx.mix(hashes[code // len(hashes)] * tx.ODDS[31] + hashes[code % len(hashes)])
+    code = np.concatenate([seq[-1:], seq[:-1]]).astype(np.int64) * len(hashes) + seq
+    code, which = np.unique(code, return_inverse=True)
+    first, second = (code // len(hashes)).astype(np.uint32), (code % len(hashes)).astype(np.uint32)
+    key = _key(hashes[first], hashes[second])
     order = np.argsort(key)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    code = code[order]
-    return code // len(hashes), code % len(hashes), key[order], place[which]
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return first[order], second[order], key[order], place[which]
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -289,49 +317,41 @@ def _blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data_all, off_all = tx.buffers(batch.column(2))
             for lo, hi in tx.spans(off_all, BLOCK_BYTES, len(off_all)):
-                texts, offs, found = [], [np.zeros(1, np.int64)], []
-                for a, b in tx.spans(off_all[lo : hi + 1]):
-                    t, o = normalised(data_all[off_all[lo + a] : off_all[lo + b]], off_all[lo + a : lo + b + 1] - off_all[lo + a])
-                    texts.append(t)
-                    h, starts, ends = tokens(t, o)
-                    found.append((h, starts + offs[-1][-1], ends + offs[-1][-1]))
-                    offs.append(o[1:] + offs[-1][-1])
-                text, off = np.concatenate(texts), np.concatenate(offs)
-                h, starts, ends = map(np.concatenate, zip(*found, strict=True))
+                words, sizes = Words(), np.ones(hi - lo, np.int64)
+                for a, data, off in runs(data_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]):
+                    sizes[a : a + len(off) - 1] += words.add(data, off)
+                letters, flat, size, end = words.close()
+                seq = np.full(sizes.sum(), end, np.uint32)
+                seq[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = flat
                 train = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                sizes = np.diff(np.searchsorted(starts, off))
-                words, first, which = np.unique(h.view(tx.U64), return_index=True, return_inverse=True)
-                counts = np.bincount(which[np.repeat(train, sizes)], minlength=len(words))
-                size = ends[first] - starts[first]
-                letters, at = gather(text, starts[first], ends[first])
-                spaced = np.full(len(letters) + len(size), 32, np.uint8)
-                spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+                met = np.bincount(seq[np.repeat(train, sizes)], minlength=len(size)) > 0
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
                         "ids": pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                         "train": pa.array([train.tolist()], pa.list_(pa.bool_())),
-                        "sizes": [_pack(sizes.astype("<i8"))],
-                        "seq": [_pack(which.astype("<u4"))],
-                        "letters": [_pack(spaced)],
-                        "n": pa.array([len(which)], pa.int64()),
-                        "histogram": pa.array([np.bincount(letters[np.repeat(counts > 0, size)], minlength=256).tolist()], pa.list_(pa.int64())),
+                        "sizes": [_pack(sizes, "<i8")],
+                        "seq": [_pack(seq, "<u4")],
+                        "end": pa.array([end], pa.int64()),
+                        "letters": [_pack(letters, "u1")],
+                        "n": pa.array([len(seq)], pa.int64()),
+                        "histogram": pa.array([np.bincount(letters[np.repeat(met, size + 1)], minlength=256).tolist()], pa.list_(pa.int64())),
                     }
                 )
                 number += 1
 
-    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, letters binary, n bigint, histogram array<bigint>")
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, end bigint, letters binary, n bigint, histogram array<bigint>")
 
 
-def _single(batches):
-    """Batches of one row each."""
+def _rows(batches):
+    """Each row of the batches as a dictionary of scalars."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1)
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
-    """As frozen(), in buckets by block, so that joins by block move only their other side."""
+    """As frozen(), in buckets by block, so that joins by block move only sides that are not."""
     spark = df.sparkSession
     path = scratch(spark, name)
     table = "objectlens_" + path.rsplit("-", 1)[1]
@@ -342,51 +362,39 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def _forget(df: DataFrame) -> None:
-    """Delete the written files of df, which nothing reads any more."""
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        fs, at = open_fs(folder)
-        fs.delete_dir(at)
-
+#: A sending of a block to one range of keys: kind (0 words, 1 pairs), sorted keys and rows of numbers.
+SENDING = "kind int, part int, block bigint, keys binary, numbers binary"
 
-#: A sending of a block to one range of keys: kind (0 words, 1 pairs), keys and k rows of numbers.
-SENDING = "kind int, part int, block bigint, keys binary, numbers binary, seats double, mass double"
 
-
-def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits: int, seats: float = 0.0, mass: float = 0.0):
+def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits: int):
     """Sorted keys of a block with their numbers [k, keys], cut at the ranges of their highest bits."""
     edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << tx.U64(64 - bits)), len(keys))
-    out: list[list] = [[], [], []]
     for part in np.flatnonzero(np.diff(edges)):
         a, b = edges[part], edges[part + 1]
         steps = np.diff(keys[a:b], prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T
-        out[0].append(part)
-        out[1].append(_pack(np.ascontiguousarray(steps)))
-        out[2].append(_pack(np.ascontiguousarray(numbers[:, a:b]).astype("<i4")))
-    rows = len(out[0])
-    first = np.arange(rows) == 0
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(rows, kind, np.int32)), pa.array(np.array(out[0], np.int32)), pa.array(np.full(rows, block, np.int64)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(np.where(first, seats, 0.0)), pa.array(np.where(first, mass, 0.0))],
-        names=["kind", "part", "block", "keys", "numbers", "seats", "mass"],
-    )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([_pack(steps, "u1")]), pa.array([_pack(numbers[:, a:b], "<i4")])],
+            names=["kind", "part", "block", "keys", "numbers"],
+        )
 
 
 def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
     """Sums of all blocks' numbers by key, back in the order of each block's keys.
 
     Returns a row for each block, with the parts' sums and whether the block owns a key (is the first whose
-    first number isn't 0), and by kind the sums, keys above 0, at 1 and at 2 of the first number, seats and mass.
+    first number isn't 0), and by kind the sum, keys above 0, at 1 and at 2 of the first number.
     """
 
-    def settle(kind, part, pieces, seats, mass):
+    def settle(kind, part, pieces):
         keys = np.concatenate([k for _, k, _ in pieces])
         numbers = np.concatenate([x for _, _, x in pieces], axis=1)
         found, at = np.unique(keys, return_inverse=True)
+        del keys
         sums = np.stack([np.bincount(at, x, len(found)) for x in numbers]).astype("<i8")
         some = np.flatnonzero(numbers[0])[::-1]
         first = np.full(len(found), -1)
         first[at[some]] = some
-        owned = np.zeros(len(keys), "u1")
+        owned = np.zeros(len(at), "u1")
         owned[first[first >= 0]] = 1
         a = 0
         for i, (block, k, _) in enumerate(pieces):
@@ -395,146 +403,276 @@ def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()),
-                    "sums": [_pack(np.ascontiguousarray(sums[:, at[a:b]]))], "owned": [_pack(owned[a:b])],
+                    "sums": [_pack(sums[:, at[a:b]], "<i8")], "owned": [_pack(owned[a:b], "u1")],
                     "total": pa.array(stats[:1], pa.int64()), "types": pa.array(stats[1:2], pa.int64()), "once": pa.array(stats[2:3], pa.int64()), "twice": pa.array(stats[3:], pa.int64()),
-                    "seats": [seats * own], "mass": [mass * own],
                 }
             )
             a = b
 
     def run(batches):
-        now, pieces, seats, mass = None, [], 0.0, 0.0
-        for b in _single(batches):
-            key = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+        now, pieces = None, []
+        for r in _rows(batches):
+            key = r["kind"].as_py(), r["part"].as_py()
             if key != now:
                 if pieces:
-                    yield from settle(*now, pieces, seats, mass)
-                now, pieces, seats, mass = key, [], 0.0, 0.0
-            steps = _unpack(b.column(3), "u1").reshape(8, -1)
+                    yield from settle(*now, pieces)
+                now, pieces = key, []
+            steps = _unpack(r["keys"], "u1").reshape(8, -1)
             keys = np.cumsum(np.ascontiguousarray(steps.T).view(tx.U64).ravel(), dtype=np.uint64)
-            pieces.append((b.column(2)[0].as_py(), keys, _unpack(b.column(4), "<i4").reshape(-1, len(keys))))
-            seats, mass = seats + b.column(5)[0].as_py(), mass + b.column(6)[0].as_py()
+            pieces.append((r["block"].as_py(), keys, _unpack(r["numbers"], "<i4").reshape(-1, len(keys))))
         if pieces:
-            yield from settle(*now, pieces, seats, mass)
+            yield from settle(*now, pieces)
 
     rows = sent.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
-    back = frozen(rows.mapInArrow(run, "kind int, part int, block bigint, sums binary, owned binary, total bigint, types bigint, once bigint, twice bigint, seats double, mass double"), name)
-    stats = {r["kind"]: tuple(r)[1:] for r in back.groupBy("kind").agg(*[F.sum(c) for c in ("total", "types", "once", "twice", "seats", "mass")]).collect()}
-    return back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back")), stats
+    back = frozen(rows.mapInArrow(run, "kind int, part int, block bigint, sums binary, owned binary, total bigint, types bigint, once bigint, twice bigint"), name)
+    stats = {r["kind"]: tuple(r)[1:] for r in back.groupBy("kind").agg(*[F.sum(c) for c in ("total", "types", "once", "twice")]).collect()}
+    found = _bucketed(back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back")), name)
+    forget(back)
+    return found, stats
 
 
-def _fetched(column: pa.Array, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _fetched(cell: pa.Scalar, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sums [width, keys], owned) of a block from the parts of one kind."""
-    parts = [x for x in column[0].as_py() if x["kind"] == kind]
-    sums = [np.frombuffer(zstandard.decompress(x["sums"]), "<i8").reshape(width, -1) for x in parts]
-    owned = [np.frombuffer(zstandard.decompress(x["owned"]), "?") for x in parts]
-    return np.concatenate(sums, axis=1), np.concatenate(owned)
+    parts = [x for x in cell if x["kind"].as_py() == kind] if cell.is_valid else []
+    if not parts:
+        return np.zeros((width, 0), np.int64), np.zeros(0, bool)
+    return np.concatenate([_unpack(x["sums"], "<i8").reshape(width, -1) for x in parts], axis=1), np.concatenate([_unpack(x["owned"], "?") for x in parts])
 
 
-def _discount(once: int, twice: int) -> float:
-    return float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
+class Seating:
+    """The numbers of one state of the word restaurant: customers, tables before and now, discount."""
+
+    def __init__(self, customers: int, before: float, tables: float, discount: float, sweep: int):
+        self.customers, self.before, self.tables, self.discount, self.sweep = customers, before, tables, discount, sweep
 
+    def drawn(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return drawn_tables(hashes, served, (STRENGTH + self.discount * self.before) * base, self.discount, self.sweep)
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def chances(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Each word's probability in the word restaurant."""
+        share = served - self.discount * self.drawn(hashes, served, base) + (STRENGTH + self.discount * self.tables) * base
+        return (share / (STRENGTH + self.customers)).astype(np.float32)
+
+    def novel(self, outside: float) -> np.float32:
+        """The probability of the unseen word."""
+        return np.float32((STRENGTH + self.discount * self.tables) * outside / (STRENGTH + self.customers))
+
+
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", per_token: bool = False) -> DataFrame:
     """id_col, train, n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text.
 
-    train: boolean column, the rows to learn from; null learns nothing.
+    train: boolean column, the rows to learn from; null learns nothing.  per_token adds
+    ``token_scores``: the log10 probability of each token, the end's last.
     """
+    with small_batches(docs.sparkSession):
+        return _scored(docs, train, id_col, text_col, per_token)
+
+
+def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_token: bool) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    blocks = _bucketed(_blocks(rows), "lm-blocks")
+    with small_batches(docs.sparkSession, 10_000):
+        blocks = _bucketed(_blocks(rows), "lm-blocks")
     bits = max(4, int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // PART_TOKENS).bit_length())
     histogram = np.zeros(256, np.int64)
     for r in blocks.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         histogram[r["pos"]] = r["n"]
 
     def count(batches):
-        for b in _single(batches):
-            block, seq = b.column(0)[0].as_py(), _unpack(b.column(3), "<u4")
-            words = _hashes(*_listed(b.column(4)))
-            learnt = np.repeat(np.array(b.column(1)[0].as_py(), bool), _unpack(b.column(2), "<i8"))
+        for r in _rows(batches):
+            block, seq = r["block"].as_py(), _unpack(r["seq"], "<u4")
+            words = _hashes(*_listed(r["letters"]))
+            learnt = np.repeat(np.array(r["train"].as_py(), bool), _unpack(r["sizes"], "<i8"))
             yield from _sendings(block, 0, words, np.bincount(seq[learnt], minlength=len(words))[None], bits)
-            _, _, keys, which = _pairs(seq, words)
+            _, _, keys, which = _pairs(seq, r["end"].as_py(), words)
             yield from _sendings(block, 1, keys, np.bincount(which[learnt], minlength=len(keys))[None], bits)
 
-    totals, stats = _summed(blocks.select("block", "train", "sizes", "seq", "letters").mapInArrow(count, SENDING), "lm-sums")
+    totals, stats = _summed(blocks.select("block", "train", "sizes", "seq", "end", "letters").mapInArrow(count, SENDING), "lm-sums")
     n, v = stats.get(0, (0, 0))[:2]
-    pair_discount = _discount(*stats.get(1, (0, 0, 0, 0))[2:4])
-    known = _bucketed(blocks.drop("n", "histogram").join(totals, "block"), "lm-known")
-    _forget(blocks)
-    _forget(totals)
-
-    def cells(batches):
-        symbol = symbols_of(histogram)
-        for b in _single(batches):
-            own = _fetched(b.column(1), 0, 1)[1]
-            letters, starts, ends = _listed(b.column(0))
-            letters, at = gather(letters, starts[own], ends[own])
-            s, code, _, _ = spelled(letters, at, symbol)
-            found, number = np.unique(code * SYMBOLS + s, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], names=["code", "n"])
-
-    words_of = F.filter("back", lambda x: x["kind"] == 0).alias("back")
-    counted = known.select("letters", words_of).mapInArrow(cells, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
-    sc = docs.sparkSession.sparkContext
-    spelling = sc.broadcast(Spelling(histogram, (counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))))
+    pairs_n, pair_types, *met = stats.get(1, (0, 0, 0, 0))
+    pair_discount = discount_of(*met)
 
     def opened(batches):
-        """Every pair with one table."""
-        for b in _single(batches):
-            words = _hashes(*_listed(b.column(2)))
-            first, second, _, _ = _pairs(_unpack(b.column(1), "<u4"), words)
-            own = _fetched(b.column(3), 1, 1)[1]
-            yield from _sendings(b.column(0)[0].as_py(), 0, words, np.stack([np.bincount(x[own], minlength=len(words)) for x in (second, first)]), bits)
+        """Tables by word and by context where every pair has one."""
+        for r in _rows(batches):
+            words = _hashes(*_listed(r["letters"]))
+            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), words)
+            own = _fetched(r["back"], 1, 1)[1]
+            yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x[own], minlength=len(words)) for x in (second, first)]), bits)
+
+    known = blocks.join(totals, "block")
+    least, _ = _summed(known.select("block", "seq", "end", "letters", "back").mapInArrow(opened, SENDING), "lm-least")
+
+    def owned(batches):
+        """What a block seats: pairs met more than once, the words in them, and its own words."""
+        for r in _rows(batches):
+            letters, off = _listed(r["letters"])
+            words = _hashes(letters, off)
+            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), words)
+            total, own = _fetched(r["back"], 1, 1)
+            mine = _fetched(r["back"], 0, 1)[1]
+            heavy = np.flatnonzero(own & (total[0] > 1))
+            part = mine.copy()
+            part[first[heavy]] = part[second[heavy]] = True
+            place = np.cumsum(part, dtype=np.int64) - 1
+            spaced = _unpack(r["letters"], "u1")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([r["block"].as_py()], pa.int64()),
+                    "letters": [_pack(spaced[np.repeat(part, np.diff(off) + 1)], "u1")],
+                    "mine": [_pack(mine[part], "u1")],
+                    "least": [_pack(_fetched(r["least"], 0, 2)[0][:, part], "<i8")],
+                    "first": [_pack(place[first[heavy]], "<u4")],
+                    "second": [_pack(place[second[heavy]], "<u4")],
+                    "count": [_pack(total[0][heavy], "<i8")],
+                }
+            )
 
-    def reseated(sample: int, customers: int, tables: float, discount: float):
-        """Pairs seated anew under the words' customers and the contexts' tables of the sweep before."""
+    columns = known.select("block", "seq", "end", "letters", "back").join(least.withColumnRenamed("back", "least"), "block")
+    seats = _bucketed(columns.mapInArrow(owned, "block bigint, letters binary, mine binary, least binary, first binary, second binary, count binary"), "lm-owned")
+    forget(least)
+    context = docs.sparkSession.sparkContext
+
+    def state(r, column: str = "back") -> np.ndarray:
+        """Customers of each of a block's words in the word restaurant, and tables in its own: [2, words]."""
+        least = _unpack(r["least"], "<i8").reshape(2, -1)
+        return least + _fetched(r[column], 0, 2)[0] if r[column].is_valid else least
+
+    def shares(base: np.ndarray) -> np.ndarray:
+        return np.power(10.0, np.maximum(base, -300))
+
+    def words_seated(seated: DataFrame, spelling, now: Seating) -> tuple[np.ndarray, np.ndarray, list]:
+        """Byte cells of the word restaurant's tables, and its tables, dishes met once and twice, and base mass."""
 
         def run(batches):
-            for b in _single(batches):
-                letters, starts, ends = _listed(b.column(2))
-                words = _hashes(letters, starts, ends)
-                first, second, keys, _ = _pairs(_unpack(b.column(1), "<u4"), words)
-                total, own = _fetched(b.column(3), 1, 1)
-                (served, inside), mine = _fetched(b.column(4), 0, 2)
-                base = spelling.value.log10(*gather(letters, starts, ends))
-                logs, seats = word_log10(words, served, base, customers, tables, discount, samples=range(sample, sample + 1))
-                first, second = first[own], second[own]
-                fresh = (STRENGTH + pair_discount * inside[first]) * np.power(10.0, logs[second])
-                t = drawn_tables(keys[own], total[0][own], fresh, pair_discount, sample)
-                sums = np.stack([np.bincount(x, t, len(words)) for x in (second, first)])
-                yield from _sendings(b.column(0)[0].as_py(), 0, words, sums, bits, float(seats[mine].sum()), float(np.power(10.0, base[mine]).sum()))
-
-        return run
-
-    served, stats = _summed(known.select("block", "seq", "letters", "back").mapInArrow(opened, SENDING), "lm-seats")
-    customers, tables, once, twice = stats.get(0, (0, 0, 0, 0))[:4]
-    discount, mass = _discount(once, twice), 0.0
-    for sweep in range(WORD_SWEEPS if v else 0):
-        moved = known.select("block", "seq", "letters", "back").join(served.withColumnRenamed("back", "served"), "block")
-        last = served
-        served, stats = _summed(moved.mapInArrow(reseated(SAMPLES + sweep, customers, float(tables), discount), SENDING), "lm-seats")
-        customers, _, once, twice, tables, mass = stats[0]
-        _forget(last)
-        discount = _discount(once, twice)
-
-    outside = float(np.log10(max(1 - mass, 1e-12)))
+            symbol = symbols_of(histogram)
+            for r in _rows(batches):
+                letters, off = _listed(r["letters"])
+                mine = _unpack(r["mine"], "?")
+                served = state(r)[0][mine]
+                words = _hashes(letters, off)[mine]
+                letters, off = gather(letters, off[:-1][mine], off[1:][mine])
+                base = shares(spelling.value.log10(letters, off)) if spelling else np.zeros(len(words))
+                t = now.drawn(words, served, base) if spelling else np.minimum(served, 1)
+                tallies = [[float(t.sum()), float((served == 1).sum()), float((served == 2).sum()), float(base.sum())]]
+                for a, b in tx.spans(off, 1 << 20, len(off)):
+                    s, code, word = spelled(letters[off[a] : off[b]], off[a : b + 1] - off[a], symbol)
+                    found, at = np.unique(code * SYMBOLS + s, return_inverse=True)
+                    tallies.append([found, np.bincount(at, t[a:b][word], len(found))])
+                codes = np.concatenate([np.arange(-4, 0), *[x[0] for x in tallies[1:]]])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(np.concatenate([tallies[0], *[x[1] for x in tallies[1:]]]))], names=["code", "n"])
+
+        found = seated.mapInArrow(run, "code bigint, n double").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+        code, number = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+        tallied = dict(zip(code[code < 0].tolist(), number[code < 0].tolist(), strict=True))
+        return code[code >= 0], number[code >= 0].round().astype(np.int64), [tallied.get(k, 0.0) for k in range(-4, 0)]
+
+    def pairs_seated(seated: DataFrame, spelling, now: Seating) -> tuple[DataFrame, int]:
+        """Tables beyond the first of all pairs, by word and by context, and their number."""
+
+        def run(batches):
+            for r in _rows(batches):
+                letters, off = _listed(r["letters"])
+                words = _hashes(letters, off)
+                served, inside = state(r)
+                chances = now.chances(words, served, shares(spelling.value.log10(letters, off))).astype(np.float64)
+                first, second, total = _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["count"], "<i8")
+                fresh = (STRENGTH + pair_discount * inside[first]) * chances[second]
+                t = drawn_tables(_key(words[first], words[second]), total, fresh, pair_discount, now.sweep) - 1
+                yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x, t, len(words)) for x in (second, first)]), bits)
+
+        moved, told = _summed(seated.mapInArrow(run, SENDING), "lm-seats")
+        return moved, told.get(0, (0,))[0]
+
+    def with_state(moved: DataFrame | None) -> DataFrame:
+        return seats.join(moved, "block") if moved is not None else seats.withColumn("back", F.lit(None).cast(totals.schema["back"].dataType))
+
+    # sweeps until the tables settle; the spelling model is fitted to the tables of each
+    code, number, tallied = words_seated(with_state(None), None, Seating(pair_types, 0, 0, 0.5, 0))
+    spelling = context.broadcast(Spelling(histogram, (code, number)))
+    now, moved, sweep, states = Seating(pair_types, tallied[0], tallied[0], discount_of(*map(int, tallied[1:3])), 0), None, 0, []
+    course = [tallied[0]]
+    while v and sweep < MOST_SWEEPS:
+        sweep += 1
+        code, number, tallied = words_seated(with_state(moved), spelling, now)
+        course.append(tallied[0])
+        settled = abs(course[-1] - now.before) <= SETTLED * course[-1]
+        if sweep == 2 and (slowing := 2 * course[-2] - course[-1] - course[-3]) > 0:
+            course[-1] += (course[-1] - course[-2]) ** 2 / slowing
+        spelling = context.broadcast(Spelling(histogram, (code, number)))
+        now = Seating(now.customers, course[-1], course[-1], discount_of(*map(int, tallied[1:3])), sweep)
+        last = moved
+        moved, more = pairs_seated(with_state(moved), spelling, now)
+        if last is not None:
+            forget(last)
+        now = Seating(pair_types + more, now.tables, now.tables, now.discount, sweep + 1)
+        if settled:
+            break
+    # seatings that count, under one spelling model and one discount, each with its own sums
+    outside, seatings = 1.0, []
+    for sample in range(SAMPLES + 1 if v else 0):
+        tallied = words_seated(with_state(moved), spelling, now)[2]
+        outside = max(1 - tallied[3], 1e-12)
+        now = Seating(now.customers, now.before, tallied[0], now.discount, now.sweep)
+        seatings.append(now)
+        states.append(moved)
+        if sample < SAMPLES:
+            moved, more = pairs_seated(with_state(moved), spelling, now)
+            now = Seating(pair_types + more, now.tables, now.tables, now.discount, now.sweep + 1)
+
+    def told(batches):
+        """Each word's chance and tables in every seating, from the block that owns it."""
+        for r in _rows(batches):
+            letters, off = _listed(r["letters"])
+            words, mine = _hashes(letters, off), _unpack(r["mine"], "?")
+            base, numbers = shares(spelling.value.log10(letters, off)), []
+            for k, each in enumerate(seatings):
+                served, inside = state(r, f"s{k}")
+                numbers += [each.chances(words, served, base).view("<i4"), inside.astype("<i4")]
+            yield from _sendings(r["block"].as_py(), 0, words, np.stack(numbers) * mine, bits)
+
+    def asked(batches):
+        for r in _rows(batches):
+            words = _hashes(*_listed(r["letters"]))
+            yield from _sendings(r["block"].as_py() + (1 << 62), 0, words, np.zeros((2 * len(seatings), len(words)), "<i4"), bits)
+
+    final = None
+    if seatings:
+        every = seats
+        for k, moved in enumerate(states):
+            every = every.join(moved.withColumnRenamed("back", f"s{k}"), "block")
+        sent = every.mapInArrow(told, SENDING).unionByName(blocks.select("block", "letters").mapInArrow(asked, SENDING))
+        final, _ = _summed(sent, "lm-final")
+        final = final.where(F.col("block") >= 1 << 62).withColumn("block", F.col("block") - (1 << 62)).withColumnRenamed("back", "final")
 
     def score(batches):
-        for b in _single(batches):
-            sizes, seq = _unpack(b.column(2), "<i8"), _unpack(b.column(3), "<u4")
-            letters, starts, ends = _listed(b.column(4))
-            words = _hashes(letters, starts, ends)
-            total = _fetched(b.column(5), 0, 1)[0][0]
-            inside = _fetched(b.column(6), 0, 2)[0]
-            base = spelling.value.log10(*gather(letters, starts, ends))
-            logs = word_log10(words, inside[0], base, customers, float(tables), discount, outside)[0]
-            first, second, keys, which = _pairs(seq, words)
-            fresh = (STRENGTH + pair_discount * inside[1][first]) * np.power(10.0, logs[second])
-            pairs = pair_log10(keys, _fetched(b.column(5), 1, 1)[0][0], fresh, total[first], pair_discount)
+        for r in _rows(batches):
+            sizes, seq = _unpack(r["sizes"], "<i8"), _unpack(r["seq"], "<u4")
+            words = _hashes(*_listed(r["letters"]))
+            total = _fetched(r["back"], 0, 1)[0][0]
+            first, second, keys, which = _pairs(seq, r["end"].as_py(), words)
+            met = _fetched(r["back"], 1, 1)[0][0]
+            share = np.zeros(len(keys))
+            numbers = _fetched(r["final"], 0, 2 * len(seatings))[0] if seatings else None
+            for k, each in enumerate(seatings):
+                chance = np.where(total > 0, np.ascontiguousarray(numbers[2 * k].astype("<i4")).view("<f4"), each.novel(outside)).astype(np.float64)
+                inside = STRENGTH + pair_discount * numbers[2 * k + 1]
+                if k:
+                    t = drawn_tables(keys, met, fresh, pair_discount, seatings[k - 1].sweep)
+                    share += (met - pair_discount * t + inside[first] * chance[second]) / (STRENGTH + total[first])
+                fresh = inside[first] * chance[second]
+            values = np.log10(share / SAMPLES) if seatings else np.zeros(len(keys))
             at = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, at) for x in ((total > 0).astype(np.int64)[seq], np.log10((total + 1) / (n + v + 1))[seq], pairs[which])]
-            ids, flags = b.column(0)[0].as_py(), b.column(1)[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(ids), n)), pa.array(sums[1]), pa.array(sums[2]), pa.array(np.power(10, -sums[2] / sizes))], names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
-    whole = known.join(served.withColumnRenamed("back", "served"), "block").select("ids", "train", "sizes", "seq", "letters", "back", "served")
-    return whole.mapInArrow(score, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
+            sums = [np.add.reduceat(x, at) for x in ((total > 0).astype(np.int64)[seq], np.log10((total + 1) / (n + v + 1))[seq], values[which])]
+            ids, flags = r["ids"].as_py(), r["train"].as_py()
+            out = {"id": pa.array(ids, pa.int64()), "train": pa.array(flags), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2]), "perplexity": pa.array(np.power(10, -sums[2] / sizes))}
+            if per_token:
+                out["token_scores"] = pa.ListArray.from_arrays(pa.array(np.append(at, sizes.sum()), pa.int32()), pa.array(values[which]))
+            yield pa.RecordBatch.from_pydict(out)
+
+    whole = known.select("block", "ids", "train", "sizes", "seq", "end", "letters", "back")
+    whole = whole.join(final, "block") if final is not None else whole
+    schema = "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double" + ", token_scores array<double>" * per_token
+    found = frozen(whole.drop("block").mapInArrow(score, schema), "lm-scores").withColumnRenamed("id", id_col)
+    for left in (blocks, totals, seats, *states, *([final] if final is not None else [])):
+        forget(left)
+    return found

@@ -176,6 +176,69 @@ def test_word_order(spark):
     assert got[0].score > got[1].score + 1
 
 
+def test_word_chances_add_up(spark):
+    """Behind any word, known, unseen or the end, the chances of all words add up to 1."""
+    rng = np.random.RandomState(7)
+    vocab = [f"w{i}" for i in range(30)]
+    train = [" ".join(vocab[i] for i in rng.zipf(1.4, 40) % 30) for _ in range(60)]
+    known = sorted({w for t in train for w in t.split()})
+    behind = ["", known[0], known[-1], "unseen"]
+    asked = [f"{u} {w}".strip() for u in behind for w in [*known, "unseen", ""]]
+    frame = spark.createDataFrame(list(enumerate(train + asked)), "doc_id bigint, text string").repartition(3)
+    rows = {r.doc_id: r for r in lm.score_texts(frame, F.col("doc_id") < len(train), per_token=True).collect()}
+    per = len(known) + 2
+    for k, u in enumerate(behind):
+        own = [rows[len(train) + k * per + j] for j in range(per)]
+        assert all(r.score == pytest.approx(sum(r.token_scores)) and len(r.token_scores) == r.n_tokens for r in own)
+        assert sum(10 ** r.token_scores[1 if u else 0] for r in own) == pytest.approx(1, abs=1e-6)
+
+
+def test_seats_match_one_by_one_seating():
+    """Tables of dishes with few and many customers against a plain Chinese-restaurant process."""
+    rng = np.random.RandomState(5)
+    for count, fresh, discount in ((7, 0.5, 0.6), (200, 3.0, 0.5), (3000, 40.0, 0.4), (3000, 4000.0, 0.7)):
+        got = lm.seat(np.full(4000, count), np.full(4000, fresh), discount, lambda step, who: rng.rand(len(who)))
+        tables = np.ones(4000)
+        for k in range(1, count):
+            tables += rng.rand(4000) < fresh / (fresh + k - discount * tables)
+        assert got.mean() == pytest.approx(tables.mean(), rel=0.02)
+        assert got.std() == pytest.approx(tables.std(), rel=0.1)
+        assert got.min() >= 1 and got.max() <= count
+
+
+def test_binomial_quantiles():
+    rng = np.random.RandomState(2)
+    for n, p in ((5, 0.3), (100, 0.05), (100, 0.97), (5000, 0.4)):
+        got = lm.binomial(np.full(20000, n), np.full(20000, p), rng.rand(20000))
+        assert got.mean() == pytest.approx(n * p, rel=0.02) and got.std() == pytest.approx((n * p * (1 - p)) ** 0.5, rel=0.05)
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    long = "alpha beta " * 300 + "x" * 900 + " gamma" * 50
+    data, off = lm.tx.buffers(lm.pa.array(["a b", long, "", "c"]))
+    texts = ["", "", "", ""]
+    for first, part, at in lm.runs(data, off, 500):
+        for i in range(len(at) - 1):
+            texts[first + i] += part[at[i] : at[i + 1]].tobytes().decode()
+    assert texts == ["a b", long, "", "c"]
+    whole, pieces = lm.Words(), lm.Words()
+    counts = whole.add(data, off)
+    sizes = np.zeros(4, np.int64)
+    for first, part, at in lm.runs(data, off, 500):
+        sizes[first : first + len(at) - 1] += pieces.add(part, at)
+    assert (counts == sizes).all()
+    (a, b, _, c), (d, e, _, f) = whole.close(), pieces.close()
+    assert (a == d).all() and (b == e).all() and c == f
+
+
+def test_language_model_odd_rows(spark, odd):
+    """Null and repeated ids, null and empty texts, an empty table."""
+    rows = lm.score_texts(odd, F.lit(True)).collect()
+    assert len(rows) == len(ODD) and all(r.n_known == r.n_tokens and r.score < 0 for r in rows)
+    assert lm.score_texts(odd, F.lit(None).cast("boolean")).where("score <> 0").count() == 0
+    assert lm.score_texts(odd.limit(0), F.lit(True)).count() == 0
+
+
 def test_quality_and_language(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
