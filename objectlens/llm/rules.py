@@ -1,17 +1,19 @@
 """Operator 10: quality rules with risk-controlled thresholds.
 
-``text_counts`` measures every whole text.  ``calibrate`` chooses the cutoff of each rule in each
-stratum from labelled holdouts: a rule may reject good documents (label 1) with a rate of at most
-``ALPHA / rules``, so that all rules together stay below ``ALPHA`` in a stratum.  A cutoff counts
-as safe if the exact binomial test rejects "the rate is higher" (the one-sided Clopper-Pearson
-bound lies below the rate).  Within one chain, a rule in a stratum, cutoffs are tested from the
+``text_counts`` measures every whole text.  ``calibrate`` chooses cutoffs in each stratum from
+labelled holdouts: the learned rules together may reject good documents (label 1) that pass the
+base with a rate of at most ``ALPHA``.  All rules go one joint path of ``LEVELS`` from lenient to
+strict.  A level counts as certified if the exact binomial test rejects "the rate is higher" (the
+one-sided Clopper-Pearson bound lies below the rate).  Within a stratum levels are tested from the
 most lenient on and testing stops at the first that fails, which needs no correction; between the
-chains, Bonferroni's correction holds the chance of any false guarantee below ``DELTA``.  A chain
-with no safe cutoff rejects nothing.
+strata, Bonferroni's correction holds the chance of any false guarantee below ``DELTA``.  As all
+certified levels hold at once, the one that tells bad documents (label 0) from good ones best is
+taken; a stratum without a certified level that helps rejects nothing.  To certify a level that
+rejects no good document takes about 80 of them.
 
-Only sums by stratum, rule and cutoff leave the executors: 3 x 6 x 41 numbers, whatever the input.
+Only counts by stratum, label and level leave the executors: 3 x 2 x 42, whatever the input.
 
-Defined results: a null or empty text has no words, so it fails the base; labels other than 1 and
+Defined results: a null or empty text has no words, so it fails the base; labels other than 0 and 1 and
 documents without a label don't calibrate; without labels only the base rules reject; a document
 with several labels counts once for each; a null doc_id never joins a label.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from objectlens.llm import textops as tx
 from objectlens.llm.common import fields, frozen
 
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 #: Words at which the strata begin.
 STRATA = (0, 100, 400)
@@ -41,8 +43,9 @@ RATIOS = {
     "marks": ("n_marks", "n_words"),
     "digits": ("n_digits", "word_chars"),
 }
-#: Cutoffs of any rule, from lenient to strict.
-GRID = tuple(round(2 * 0.88**k, 6) for k in range(41))
+#: Where each rule's path begins, and what all of them are multiplied by from level to level.
+START = {"symbols": 2.0, "dup_lines": 2.0, "repeats": 2.0, "shouts": 2.0, "marks": 2.0, "digits": 2.0}
+LEVELS, STEP = 41, 0.88
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits"]
 
 
@@ -147,27 +150,49 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * float(np.exp(logs - top).sum()))
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """Safe cutoffs by (stratum, rule), from the good documents that pass the base."""
-    good = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("_id"))
-    held = counted.where(~base_failed()).join(good, F.col(f"`{id_col}`") == F.col("_id"), "inner")
-    sums = [F.sum((ratio(r) > c).cast("long")).alias(f"{r}_{k}") for r in RATIOS for k, c in enumerate(GRID)]
-    rows = {r["s"]: r for r in held.groupBy(stratum().alias("s")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
-    chains, cutoffs = len(STRATA) * len(RATIOS), {}
-    for s, row in rows.items():
-        for rule in RATIOS:
-            for k, cutoff in enumerate(GRID):
-                if binomial_tail(int(row[f"{rule}_{k}"]), int(row["n"]), alpha / len(RATIOS)) > delta / chains:
-                    break
-                cutoffs[s, rule] = cutoff
-    return cutoffs
+def cutoffs(rule: str) -> list[float]:
+    """The rule's cutoff at each level."""
+    return [round(START[rule] * STEP**k, 6) for k in range(LEVELS)]
+
+
+def _passed(rule: str) -> Column:
+    """The cutoffs of the rule's path that a document is not above."""
+    value = ratio(rule)
+    return F.size(F.filter(F.array(*map(F.lit, cutoffs(rule))), lambda c: c >= value))
+
 
+def first_level() -> Column:
+    """The most lenient level that rejects a document; LEVELS if none does."""
+    return F.least(*map(_passed, RATIOS))
 
-def rejected_by(cutoffs: dict[tuple[int, str], float]) -> Column:
-    """True where a certified cutoff is exceeded."""
+
+def calibrate(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[int, int]:
+    """The certified level of each stratum that has one."""
+    marked = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
+    held = counted.where(~base_failed()).select(F.col(f"`{id_col}`").alias("_doc"), stratum().alias("_s"), first_level().alias("_first"))
+    found = held.join(marked, F.col("_doc") == F.col("_id")).groupBy("_s", "_label", "_first").agg(F.count(F.lit(1)).alias("_n")).collect()
+    numbers = np.zeros((len(STRATA), 2, LEVELS + 1), np.int64)
+    for s, label, first, n in found:
+        numbers[s, label, first] = n
+    chosen = {}
+    for s in range(len(STRATA)):
+        (m, n), (wrong, right) = numbers[s].sum(1).tolist(), numbers[s].cumsum(1)[::-1]
+        best = 0.0
+        for k in range(LEVELS):
+            if binomial_tail(int(wrong[k]), n, alpha) > delta / len(STRATA):
+                break
+            gain = int(right[k]) / max(m, 1) - int(wrong[k]) / max(n, 1)
+            if gain > best:
+                best, chosen[s] = gain, k
+    return chosen
+
+
+def rejected_by(levels: dict[int, int]) -> Column:
+    """True where a certified level rejects."""
     out = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        out = out | ((stratum() == s) & (ratio(rule) > cutoff))
+    for s, level in sorted(levels.items()):
+        for rule in RATIOS:
+            out = out | ((stratum() == s) & (ratio(rule) > cutoffs(rule)[level]))
     return out
 
 
@@ -178,6 +203,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep: list[str], text_col:
     verdicts both start from there.
     """
     counted = frozen(text_counts(docs, list(dict.fromkeys([*keep, id_col])), text_col), "rules")
-    cutoffs = calibrate(counted, labels, id_col, label_col, alpha, delta)
-    judged = counted.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected_by(cutoffs)))
+    levels = calibrate(counted, labels, id_col, label_col, alpha, delta)
+    judged = counted.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected_by(levels)))
     return judged.select(*[f"`{c}`" for c in keep if c not in COUNTS], *COUNTS, "base_failed", "kept")

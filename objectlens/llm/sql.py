@@ -47,12 +47,10 @@ FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reps r ON r.print
 
 
 def quality_rules(alpha: float = rules.ALPHA, delta: float = rules.DELTA) -> str:
-    """The binomial tails are sums of exp(lgamma ...) and testing stops at a chain's first failure."""
-    chains, rate = len(rules.STRATA) * len(rules.RATIOS), alpha / len(rules.RATIOS)
+    """The binomial tails are sums of exp(lgamma ...) and testing stops at a stratum's first failure."""
     count = lambda chars: f"CAST(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')) AS BIGINT)"
     strata = " ".join(f"WHEN n_words >= {low} THEN {k}" for k, low in reversed(list(enumerate(rules.STRATA))))
-    spread = ", ".join(f"{{'rule': '{r}', 'value': CAST({a} AS DOUBLE) / greatest({b}, 1)}}" for r, (a, b) in rules.RATIOS.items())
-    grid = ", ".join(f"{{'k': {k}, 'cutoff': {c!r}e0}}" for k, c in enumerate(rules.GRID))
+    paths = ", ".join(f"len(list_filter([{', '.join(f'{c!r}e0' for c in rules.cutoffs(r))}], lambda c: c >= CAST({a} AS DOUBLE) / greatest({b}, 1)))" for r, (a, b) in rules.RATIOS.items())
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
 lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, {_SPACED}) GROUP BY r),
@@ -63,14 +61,15 @@ counted AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
   {count("A-Z")} AS n_upper, {count("!?")} AS n_marks, {count("0-9")} AS n_digits, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM docs d LEFT JOIN lines l ON l.r = d.r LEFT JOIN repeats p ON p.r = d.r),
 based AS (SELECT *, CASE {strata} END AS s, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
-ratios AS (SELECT r, doc_id, s, base_failed, e.rule AS rule, e.value AS value FROM (SELECT r, doc_id, s, base_failed, unnest([{spread}]) AS e FROM based)),
-grid AS (SELECT e.k AS k, e.cutoff AS cutoff FROM (SELECT unnest([{grid}]) AS e)),
-held AS (SELECT s, rule, value FROM ratios JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-tested AS (SELECT s, rule, g.k AS k, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS x FROM held CROSS JOIN grid g GROUP BY s, rule, g.k, cutoff),
-tails AS (SELECT s, rule, k, cutoff, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(rate)!r}e0 + (n - i) * {math.log1p(-rate)!r}e0))) > {delta / chains!r}e0 AS failed FROM tested),
-safe AS (SELECT s, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_or(failed) OVER (PARTITION BY s, rule ORDER BY k) AS stopped FROM tails) WHERE NOT stopped GROUP BY s, rule),
-gone AS (SELECT DISTINCT r FROM ratios JOIN safe USING (s, rule) WHERE value > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND g.r IS NULL AS kept FROM based b LEFT JOIN gone g ON g.r = b.r"""
+firsts AS (SELECT r, doc_id, s, base_failed, least({paths}) AS first FROM based),
+held AS (SELECT s, first, quality FROM firsts JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
+levels AS (SELECT s, k, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND first <= k) AS x, count(*) FILTER (quality = 0) AS m, count(*) FILTER (quality = 0 AND first <= k) AS y
+  FROM held, (SELECT unnest(range({rules.LEVELS})) AS k) GROUP BY s, k),
+tails AS (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * {math.log(alpha)!r}e0 + (n - i) * {math.log1p(-alpha)!r}e0))) > {delta / len(rules.STRATA)!r}e0 AS failed FROM levels),
+safe AS (SELECT s, k, CAST(y AS DOUBLE) / greatest(m, 1) - CAST(x AS DOUBLE) / greatest(n, 1) AS gain FROM (SELECT *, bool_or(failed) OVER (PARTITION BY s ORDER BY k) AS stopped FROM tails) WHERE NOT stopped),
+chosen AS (SELECT s, k FROM safe WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY s ORDER BY gain DESC, k) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed AS base_failed, NOT f.base_failed AND (c.k IS NULL OR f.first > c.k) AS kept
+FROM (SELECT * EXCLUDE (base_failed, s) FROM based) b JOIN (SELECT * EXCLUDE (doc_id) FROM firsts) f USING (r) LEFT JOIN chosen c ON c.s = f.s"""
 
 
 def oracle_sql() -> dict[str, str]:
