@@ -24,7 +24,7 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.url_verdicts(pages, URL_RULES, urls.train(pages), keep=["page_id"])
+    return urls.url_verdicts(pages, URL_RULES, urls.train(pages, URL_RULES), keep=["page_id"])
 
 
 def op3_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)
+    found = suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,27 +272,168 @@ def test_quality_and_language(spark, odd):
     assert {r.lang_pred for r in ppm.identify(odd, ppm.train(odd.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
 
 
+def test_network_by_brute_force():
+    """Forward pass and gradients of two documents, one of several chunks, against plain loops and differences."""
+    net = cnn.Network(3)
+    raw = [bytes(np.random.RandomState(k).randint(32, 120, n).astype(np.uint8)) for k, n in ((0, 1300), (1, 40))]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.array([0, 1300, 1340])
+
+    def plain(text):
+        vectors = []
+        for a in range(0, max(1, len(text) - (cnn.CHUNK - cnn.HOP)), cnn.HOP):
+            chunk = text[a : a + cnn.CHUNK].ljust(cnn.CHUNK, b"\0")
+            values = [np.concatenate([net.embed[c] for c in chunk[i : i + cnn.WIDTH]]) @ net.filters for i in range(cnn.CHUNK - cnn.WIDTH + 1)]
+            vectors.append(np.tanh(np.max(values, axis=0) + net.bias))
+        return 1 / (1 + math.exp(-(np.concatenate([np.mean(vectors, axis=0), np.max(vectors, axis=0)]) @ net.out + net.out_bias[0])))
+
+    assert net.score(data, off) == pytest.approx([plain(t) for t in raw], abs=1e-5)
+    starts, stops, first = cnn.cut(off)
+    assert len(starts) == 4 and all(b - a <= cnn.CHUNK for a, b in zip(starts, stops, strict=True))
+    chunks, target = cnn.taken(data, starts, stops), np.array([1, 0], np.float32)
+    loss = lambda: -np.mean(np.log(np.where(target == 1, s := net.score(data, off), 1 - s)))
+    for p, g in zip(net.parameters(), net.gradients(chunks, first, target), strict=True):
+        for at in [np.unravel_index(np.abs(g).argmax(), g.shape), tuple(0 for _ in g.shape)]:
+            keep, near = p[at], []
+            for step in (1e-3, -1e-3):
+                p[at] = keep + step
+                near.append(loss())
+            p[at] = keep
+            assert (near[0] - near[1]) / 2e-3 == pytest.approx(g[at], rel=0.05, abs=2e-3)
+
+
+def test_trees_by_brute_force():
+    from objectlens.llm import ppm
+
+    texts = {"a": ["abra cadabra", "Ábra 12 abc"], "b": ["xyz zyx xx", "bxa"], "c": []}
+    trees = ppm.Trees(texts)
+
+    def fold(t):
+        return [int(trees.symbol[x]) for x in t.encode()]
+
+    def share(lang, context):
+        counts = Counter()
+        for t in texts[lang]:
+            s = [0] * ppm.ORDER + fold(t)
+            for i in range(ppm.ORDER, len(s)):
+                if s[i - len(context) : i] == context:
+                    counts[s[i]] += 1
+        parent = share(lang, context[1:]) if context else [1 / trees.width] * trees.width
+        if not counts:
+            return parent
+        total, left = sum(counts.values()), sum(p for x, p in enumerate(parent) if not counts[x])
+        whole = total + len(counts) if left > 0 else total
+        return [counts[x] / whole if counts[x] else len(counts) / whole * p / left for x, p in enumerate(parent)]
+
+    asked = ["abra", "zyx abc", "q", "Á1b", "cad xx"]
+    data, off = lm.tx.buffers(lm.pa.array(asked))
+    got = trees.code_lengths(data, off)
+    for i, t in enumerate(asked):
+        s = [0] * ppm.ORDER + fold(t)
+        for j, lang in enumerate(trees.langs):
+            # a context counts from the longest that any language has
+            want = 0.0
+            for k in range(ppm.ORDER, len(s)):
+                n = next(n for n in range(ppm.ORDER, -1, -1) if n == 0 or any(s[k - n : k] == (w := [0] * ppm.ORDER + fold(u))[e - n : e] for v in texts.values() for u in v for e in range(ppm.ORDER, ppm.ORDER + len(fold(u)))))
+                want -= math.log2(share(lang, s[k - n : k])[s[k]])
+            assert got[i, j] == pytest.approx(want, rel=1e-5)
+
+
+def test_language_odd_rows(spark, odd):
+    """Null and repeated ids, null languages, a language whose copies are a third of all rows, an empty table."""
+    from objectlens.llm import ppm
+
+    rows = [(None, "die katze", "de"), (None, "die katze", "de"), (1, "the cat", "en"), (1, "the dog", "en"), (2, None, "en"), (3, "x", None), (None, "", "de")] + [(9, "the hat", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    told = ppm.identify(docs, ppm.train(docs, sample_bytes=400))
+    assert told.count() == len(rows)
+    assert {r.lang_pred for r in told.where("text IS NULL OR text = ''").collect()} == {"und"}
+    assert {r.lang_pred for r in told.where("text LIKE 'the%'").collect()} == {"en"}
+    trees = ppm.train(odd.withColumn("lang", F.lit("zz")))
+    assert ppm.identify(odd, trees).where("lang_pred = 'und'").count() == sum(not re.search(r"[^\W\d_]", t or "") for t in ODD)
+    assert ppm.identify(odd.limit(0), trees).count() == 0
+
+
+def test_quality_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (3, 0), (None, 1), (5, None), (6, 7), (7, 1)], "doc_id bigint, quality int")
+    net = cnn.train(odd, labels, sample=2)
+    rows = cnn.quality_scores(odd, net).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert len({r.score for r in rows if not r.text}) == 1
+    assert cnn.quality_scores(odd.limit(0), net).count() == 0
+
+
+def plain_verdicts(pages, rules):
+    """words, odds, rule and verdict of each URL by plain loops."""
+    def cut(url):
+        found = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
+        return (lower(found[1]), found[2]) if found else ("", "")
+
+    def rule(h, p):
+        fits = [(len(a + b), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return max(fits)[1:] if fits else (None, None)
+
+    token = re.compile("[a-z]+|[0-9]+")
+    unigrams = Counter(w for u in pages for h, p in [cut(u)] if h for w in [*(w for x in h.split(".") if "-" in x for w in token.findall(x)), *token.findall(p.lower())])
+    total = sum(unigrams.values()) + 1
+
+    def split(name):
+        best = [(0.0, 0)]
+        for e in range(1, len(name) + 1):
+            best.append(min((best[s][0] + (-math.log(unigrams[w] / total) if unigrams[w := name[s:e]] else math.log(total) + 1.5 * (e - s)), s) for s in range(e)))
+        words, e = [], len(name)
+        while e:
+            words, e = [name[best[e][1] : e], *words], best[e][1]
+        return words
+
+    told = lambda h, p: [f"h:{w}" for x in token.findall(h) for w in split(x)] + [f"p:{w}" for w in token.findall(p.lower())]
+    taught = [(rule(*cut(u))[1], told(*cut(u))) for u in pages if cut(u)[0] and rule(*cut(u))[1]]
+    n = {v: Counter(t for x, ts in taught if x == v for t in ts) for v in ("block", "allow")}
+    size = len(n["block"] | n["allow"]) + 1
+    odds_of = lambda t: math.log((n["block"][t] + 1) / (n["block"].total() + size)) - math.log((n["allow"][t] + 1) / (n["allow"].total() + size)) if t in n["block"] or t in n["allow"] else 0.0
+    prior = math.log(sum(v == "block" for v, _ in taught) + 1) - math.log(sum(v == "allow" for v, _ in taught) + 1)
+    out = {}
+    for u in pages:
+        h, p = cut(u)
+        odds = prior + sum(map(odds_of, told(h, p))) if h else -1.0
+        name, verdict = rule(h, p)
+        out[u] = h, p, name, verdict or ("block" if odds > 0 else "allow"), [t[2:] for t in told(h, p) if t[0] == "h"], odds
+    return out
+
+
 def test_urls(spark):
-    seen = ["https://www.cheap-pills.example.org/en/1"] * 3 + [f"http://blog.name{i}.example.org/en/{i}" for i in range(40)]
-    odd = ["http://a.NET/x", "http://a.net", "https://m.example.net/en/5?x", "http://x.example.com/de/", "http://z.org/fr/", None, "nothing", "http://cheappills.example.org/q", "http://a.org?u=://b.net/"]
-    pages = spark.createDataFrame(list(enumerate(seen + odd)), "page_id bigint, url string")
-    rows = {r.url: r for r in urls.url_verdicts(pages, queries.URL_RULES, urls.train(pages)).collect()}
-    told = lambda u: (rows[u].host, rows[u].path, rows[u].rule, rows[u].verdict)
-    assert told(odd[0]) == ("a.net", "/x", "net/", "block")
-    assert told(odd[1])[:3] == ("a.net", "", None)
-    assert told(odd[2]) == ("m.example.net", "/en/5", "example.net/en/", "allow")
-    assert told(odd[3])[2:] == ("example.com/de/", "block") and told(odd[4])[2:] == ("org/fr/", "allow")
-    assert told(None) == ("", "", None, "allow") and told("nothing") == ("", "", None, "allow")
-    assert rows[odd[7]].words[:2] == ["cheap", "pills"] and rows[odd[7]].verdict == "block"
-    assert told(odd[8])[:2] == ("a.org", "")
+    """Segmentation, classes and rules against plain loops, on given pages and odd ones."""
+    odd = ["http://a.NET/x", "http://a.net", "https://m.example.net/en/5?x", "http://x.example.com/de/", "http://z.org/fr/", None, "nothing", "http://cheappillsfarm.org/q", "http://a.org?u=://b.net/", "http://cheap-pills.net/buy/farm", "http://" + "long" * 20 + ".net/", "http://a.net", "http://Ä-b.com/É/x"]
+    given = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()]
+    pages = spark.createDataFrame([(i, u, "w", 1.5) for i, u in enumerate(given + odd)], "page_id bigint, url string, words string, kept double")
+    model = urls.train(pages, queries.URL_RULES)
+    found = urls.url_verdicts(pages, queries.URL_RULES, model)
+    assert found.columns == ["page_id", "url", "kept", "host", "path", "rule", "verdict", "words", "odds"]
+    rows, want = found.collect(), plain_verdicts(given + odd[:10] + odd[11:], queries.URL_RULES)
+    assert len(rows) == len(given + odd)
+    assert rows and {r.verdict for r in rows if not r.rule} == {"allow", "block"}
+    for r in rows:
+        if r.url in want and r.url != "http://Ä-b.com/É/x":
+            assert (r.host, r.path, r.rule, r.verdict, r.words) == want[r.url][:5]
+    told = {r.url: r for r in rows}
+    assert told["http://cheappillsfarm.org/q"].words == ["cheap", "pills", "farm", "org"]
+    assert told[None][3:7] == ("", "", None, "allow") and told[odd[10]].words == ["long" * 20, "net"]
+    assert urls.url_verdicts(pages.limit(0), queries.URL_RULES, urls.train(pages.limit(0), queries.URL_RULES)).count() == 0
+
+
+def test_urls_odds(spark):
+    given = ["http://www.casino-win.net/x/1", "http://casinowin.org/y", "http://casino.com/x", "http://a.org/fr/x", "http://b.org/fr/y", "http://b.com/y"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string")
+    want = plain_verdicts(given, queries.URL_RULES)
+    for r in urls.url_verdicts(pages, queries.URL_RULES, urls.train(pages, queries.URL_RULES), keep=["url"]).collect():
+        assert (r.words, r.odds, r.verdict) == (want[r.url][4], pytest.approx(want[r.url][5]), want[r.url][3])
 
 
 def test_urls_count_every_token(spark):
     """Rare words take part however many other tokens are more frequent."""
     pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://a.org/n', id, '/', id, '/n', id, '/', id) AS url")
-    rare = ["https://zebrafish-casino.org/quux", "http://zebrafishzebrafish.org/"]
+    rare = ["https://zebrafish-casino.net/quux", "http://zebrafishzebrafish.org/"]
     pages = pages.union(spark.createDataFrame(list(enumerate(rare)), "page_id bigint, url string"))
-    model = urls.train(pages)
+    model = urls.train(pages, queries.URL_RULES)
     rows = {r.url: r for r in urls.url_verdicts(pages.where("url NOT LIKE 'http://a.org%'"), [], model, keep=["url"]).collect()}
     assert rows[rare[1]].words == ["zebrafish", "zebrafish", "org"]
     assert model.weights.where("t IN ('h:zebrafish', 'p:quux') AND weight > 0").count() == 2
