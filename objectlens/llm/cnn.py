@@ -7,11 +7,14 @@ in the chunk is kept.  The document's vector is the mean and the maximum of its
 and a logistic unit turns it into one probability.
 
 Only the text is an input.  The network is fitted on the driver on a bounded sample of labelled
-documents: about ``SAMPLE`` of each label, chosen by a hash of doc_id, and at most
-``TRAIN_CHUNKS`` chunks of each, spread over the document.  Scoring always covers whole texts.
+documents: about ``SAMPLE`` of each label, chosen by a hash of doc_id, never more than four times
+that many.  Fitting and scoring cover whole texts.
 
 Defined results: null and empty texts have one chunk of padding; without labels, or with one label
-only, the score is that label's share (0.5 without any); labels other than 0 and 1 are ignored.
+only, the score is that label's share (0.5 without any); labels other than 0 and 1 are ignored, and
+a repeated label of a document counts once; a null doc_id never joins a label; equal texts score
+alike; an empty table gives no rows.  Chunks of a long text are taken from its bytes a few at a
+time, and each leaves ``FILTERS`` numbers.
 """
 
 from __future__ import annotations
@@ -24,24 +27,32 @@ from pyspark.sql import functions as F
 from objectlens.llm import textops as tx
 from objectlens.llm.common import fields
 
-CHUNK, WIDTH, STEP = 512, 8, 2
+CHUNK, WIDTH = 512, 8
 HOP = CHUNK - 32
 EMBED, FILTERS = 8, 32
-SAMPLE, TRAIN_CHUNKS, STEPS, BATCH = 2000, 4, 500, 48
+SAMPLE, STEPS, BATCH = 2000, 500, 48
+#: Chunks that the filters slide over at a time.
+GROUP = 16
 #: Score from which a document counts as good.
 CUTOFF = 0.7
 
 
-def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of the documents [chunks, CHUNK], and the first chunk of each document."""
+def cut(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the chunks of documents begin and end, and the first chunk of each document."""
     size = np.diff(off)
     per = np.maximum(1, -(-(size - (CHUNK - HOP)) // HOP))
     first = np.cumsum(per) - per
     owner = np.repeat(np.arange(len(size)), per)
-    at = off[:-1][owner] + (np.arange(per.sum()) - first[owner]) * HOP
-    place = at[:, None] + np.arange(CHUNK)
-    inside = place < off[1:][owner][:, None]
-    return np.where(inside, data[np.minimum(place, len(data) - 1)] if len(data) else 0, 0).astype(np.uint8), first
+    starts = off[:-1][owner] + (np.arange(per.sum()) - first[owner]) * HOP
+    return starts, np.minimum(starts + CHUNK, off[1:][owner]), first
+
+
+def taken(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The bytes of chunks [chunks, CHUNK], 0 behind a document's end."""
+    if not len(data):
+        return np.zeros((len(starts), CHUNK), np.uint8)
+    place = starts[:, None] + np.arange(CHUNK)
+    return np.where(place < stops[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
 
 
 class Network:
@@ -59,21 +70,20 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.out, self.out_bias]
 
-    def pooled(self, chunks: np.ndarray, where: bool = False):
-        """Largest response of each filter in each chunk, and with ``where`` its place."""
-        n = (CHUNK - WIDTH) // STEP + 1
-        tables = (self.embed @ self.filters.reshape(WIDTH, EMBED, FILTERS).transpose(1, 0, 2).reshape(EMBED, -1)).reshape(256, WIDTH, FILTERS)
-        tables = [np.ascontiguousarray(tables[:, k]) for k in range(WIDTH)]
+    def responses(self, chunks: np.ndarray) -> np.ndarray:
+        """Each filter at each place of each chunk [chunks, places, FILTERS], without bias."""
+        rows = self.embed[chunks].reshape(len(chunks), -1)
+        spans = np.lib.stride_tricks.sliding_window_view(rows, WIDTH * EMBED, axis=1)[:, ::EMBED]
+        return (spans.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(chunks), -1, FILTERS)
+
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter in each chunk, and its place."""
         best, place = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
-        for a in range(0, len(chunks), 16):
-            own = chunks[a : a + 16]
-            total = np.take(tables[0], own[:, : n * STEP : STEP], axis=0)
-            for k in range(1, WIDTH):
-                total += np.take(tables[k], own[:, k : k + (n - 1) * STEP + 1 : STEP], axis=0)
-            best[a : a + 16] = total.max(1)
-            if where:
-                place[a : a + 16] = total.argmax(1)
-        return (best + self.bias, place) if where else best + self.bias
+        for a in range(0, len(chunks), GROUP):
+            total = self.responses(chunks[a : a + GROUP])
+            place[a : a + GROUP] = at = total.argmax(1)
+            best[a : a + GROUP] = np.take_along_axis(total, at[:, None], 1)[:, 0]
+        return best + self.bias, place
 
     def combine(self, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of each document, its vector, and its chunks' vectors."""
@@ -85,11 +95,12 @@ class Network:
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
-        chunks, first = cut(data, off)
-        return self.combine(self.pooled(chunks), first)[0].astype(np.float64)
+        starts, stops, first = cut(off)
+        best = [self.responses(taken(data, starts[a : a + GROUP], stops[a : a + GROUP])).max(1) for a in range(0, len(starts), GROUP)]
+        return self.combine(np.concatenate(best) + self.bias, first)[0].astype(np.float64)
 
     def gradients(self, chunks: np.ndarray, first: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        pooled, place = self.pooled(chunks, True)
+        pooled, place = self.pooled(chunks)
         score, vector, active = self.combine(pooled, first)
         d = ((score - target) / len(target)).astype(np.float32)
         per = np.diff(np.append(first, len(active)))
@@ -99,9 +110,9 @@ class Network:
         d_active = wide[owner, :FILTERS] / per[owner][:, None] + wide[owner, FILTERS:] * top
         d_pooled = d_active * (1 - active**2)
         # only the place of the largest response passes a gradient on
-        codes = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] * STEP + np.arange(WIDTH)]
+        codes = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] + np.arange(WIDTH)]
         seen = self.embed[codes].reshape(len(chunks), FILTERS, -1)
-        d_filters = np.einsum("cf,cfk->kf", d_pooled, seen)
+        d_filters = np.matmul(seen.transpose(1, 2, 0), d_pooled.T[:, :, None])[:, :, 0].T
         d_embed = np.zeros_like(self.embed)
         np.add.at(d_embed, codes.reshape(-1), (d_pooled[:, :, None] * self.filters.T).reshape(-1, EMBED))
         return [d_embed, d_filters, d_pooled.sum(0), d @ vector, np.array([d.sum()], np.float32)]
@@ -118,8 +129,7 @@ def fit(texts: list[str], targets: list[int], seed: int = 1) -> Network:
     docs = []
     for text in texts:
         raw = np.frombuffer((text or "").encode(), np.uint8)
-        chunks = cut(raw, np.array([0, len(raw)]))[0]
-        docs.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int))])
+        docs.append(taken(raw, *cut(np.array([0, len(raw)]))[:2]))
     m, v, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
     order = np.concatenate([rng.permutation(len(docs)) for _ in range(STEPS * BATCH // len(docs) + 1)])
     while step < STEPS:
@@ -135,14 +145,14 @@ def fit(texts: list[str], targets: list[int], seed: int = 1) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
-    """Fit on about ``sample`` documents of each label, chosen by hash; at most twice that many reach the driver."""
+    """Fit on about ``sample`` documents of each label, chosen by hash; at most four times ``sample`` reach the driver."""
     marks = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label"))
     sizes = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = F.lit(False)
     for label, n in sizes.items():
-        chosen = chosen | ((F.col("_label") == label) & (F.pmod(F.xxhash64("_id", F.lit("cnn")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n))))
-    few = marks.where(chosen)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(few), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_label").orderBy("_doc", "_text", "_label").limit(4 * sample).collect()
+        chosen = chosen | ((F.col("_label") == label) & (F.pmod(F.xxhash64("_id", F.lit("cnn")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / n))))
+    few = marks.where(chosen).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(few), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_label").orderBy(F.xxhash64("_doc", "_text"), "_doc", "_text", "_label").limit(4 * sample).collect()
     net = fit([r["_text"] for r in rows], [r["_label"] for r in rows])
     if net.constant is None:  # the sample has other shares than all labels
         ones = sum(r["_label"] for r in rows)
