@@ -9,9 +9,10 @@ table, and each table sends one customer to the parent.
 
 Seating is sampled by Gibbs sweeps: in each sweep the customers of every dish leave and come back
 one after another, each opening a table with the chance that the Chinese-restaurant process gives
-under the parent's probabilities and the restaurant's tables of the sweep before.  Sweeps go on
-until the word restaurant's tables change by less than ``SETTLED`` from one to the next (the third
-starts from their extrapolated limit), and the spelling model is fitted anew in each; then ``SAMPLES`` seatings are taken and probabilities are
+under the parent's probabilities and the restaurant's tables of the sweep before.  The word
+restaurant is seated under several guesses of its tables at once, and goes on from where guess and
+outcome agree.  Sweeps go on until tables and customers of the word restaurant change by less than
+``SETTLED`` from one to the next, and the spelling model is fitted anew in each; then ``SAMPLES`` seatings are taken and probabilities are
 averaged over them.  In every seating the seats add up, so the chances of all words behind a word,
 unseen ones included, add up to 1.  Discounts come from the numbers of dishes met once and twice.
 
@@ -53,7 +54,7 @@ PART_TOKENS = 1 << 20
 #: Seatings of the spelling model that are passed over and that count.
 BURN_IN, SPELLINGS = 4, 6
 #: Seatings of words that count; the change of tables at which earlier sweeps end, and the most of these.
-SAMPLES, SETTLED, MOST_SWEEPS = 2, 0.01, 12
+SAMPLES, SETTLED, MOST_SWEEPS = 2, 0.02, 12
 STRENGTH = 1.0
 END = 10
 
@@ -267,6 +268,11 @@ def _listed(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return letters[letters != 32], off
 
 
+def _chosen(letters: np.ndarray, off: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The letters and spaces of some words of a list."""
+    return letters[np.repeat(part, np.diff(off) + 1)]
+
+
 def _hashes(letters: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tx.span_hash(tx.BYTE_VALUES[letters], off[:-1], off[1:])
 
@@ -439,14 +445,36 @@ def _fetched(cell: pa.Scalar, kind: int, width: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([_unpack(x["sums"], "<i8").reshape(width, -1) for x in parts], axis=1), np.concatenate([_unpack(x["owned"], "?") for x in parts])
 
 
+def _cells(code: np.ndarray, s: np.ndarray, weight: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells and their weights added up; symbols below ``used``, and the last, occur."""
+    place, width = np.append(np.arange(used), np.full(SYMBOLS - used, used)), used + 1
+    if width ** (ORDER + 1) > 4 << 20:
+        found, at = np.unique(code * SYMBOLS + s, return_inverse=True)
+        return found, np.bincount(at, weight, len(found))
+    narrow, full = place[s], np.append(np.arange(used), SYMBOLS - 1)
+    for k in range(ORDER):
+        narrow = narrow + place[code // SYMBOLS**k % SYMBOLS] * width ** (k + 1)
+    sums = np.bincount(narrow, weight)
+    found = np.flatnonzero(sums)
+    return sum(full[found // width**k % width] * SYMBOLS**k for k in range(ORDER + 1)), sums[found]
+
+
+def agreed(guesses: np.ndarray, outcomes: np.ndarray) -> float:
+    """Where outcomes, which grow less than their guesses, agree with these."""
+    over = outcomes - guesses
+    at = int(np.clip(np.flatnonzero(over >= 0).max(initial=0), 0, len(over) - 2))
+    slope = (over[at + 1] - over[at]) / (guesses[at + 1] - guesses[at]) if guesses[at + 1] > guesses[at] else -1.0
+    return float(guesses[at] - over[at] / slope) if slope < 0 else float(outcomes[-1])
+
+
 class Seating:
     """The numbers of one state of the word restaurant: customers, tables before and now, discount."""
 
     def __init__(self, customers: int, before: float, tables: float, discount: float, sweep: int):
         self.customers, self.before, self.tables, self.discount, self.sweep = customers, before, tables, discount, sweep
 
-    def drawn(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray) -> np.ndarray:
-        return drawn_tables(hashes, served, (STRENGTH + self.discount * self.before) * base, self.discount, self.sweep)
+    def drawn(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray, before: float | None = None) -> np.ndarray:
+        return drawn_tables(hashes, served, (STRENGTH + self.discount * (self.before if before is None else before)) * base, self.discount, self.sweep)
 
     def chances(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Each word's probability in the word restaurant."""
@@ -491,44 +519,61 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
     pairs_n, pair_types, *met = stats.get(1, (0, 0, 0, 0))
     pair_discount = discount_of(*met)
 
-    def opened(batches):
-        """Tables by word and by context where every pair has one."""
-        for r in _rows(batches):
-            words = _hashes(*_listed(r["letters"]))
-            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), words)
-            own = _fetched(r["back"], 1, 1)[1]
-            yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x[own], minlength=len(words)) for x in (second, first)]), bits)
-
     known = blocks.join(totals, "block")
-    least, _ = _summed(known.select("block", "seq", "end", "letters", "back").mapInArrow(opened, SENDING), "lm-least")
 
     def owned(batches):
-        """What a block seats: pairs met more than once, the words in them, and its own words."""
+        """The pairs that a block owns: those met more than once, tables of all by word and by context, and their words."""
         for r in _rows(batches):
             letters, off = _listed(r["letters"])
-            words = _hashes(letters, off)
-            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), words)
+            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), _hashes(letters, off))
             total, own = _fetched(r["back"], 1, 1)
             mine = _fetched(r["back"], 0, 1)[1]
+            opened = np.stack([np.bincount(x[own], minlength=len(mine)) for x in (second, first)])
             heavy = np.flatnonzero(own & (total[0] > 1))
-            part = mine.copy()
-            part[first[heavy]] = part[second[heavy]] = True
+            part = mine | (opened.sum(0) > 0)
             place = np.cumsum(part, dtype=np.int64) - 1
-            spaced = _unpack(r["letters"], "u1")
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([r["block"].as_py()], pa.int64()),
-                    "letters": [_pack(spaced[np.repeat(part, np.diff(off) + 1)], "u1")],
+                    "letters": [_pack(_chosen(_unpack(r["letters"], "u1"), off, part), "u1")],
                     "mine": [_pack(mine[part], "u1")],
-                    "least": [_pack(_fetched(r["least"], 0, 2)[0][:, part], "<i8")],
+                    "least": [_pack(opened[:, part], "<i8")],
                     "first": [_pack(place[first[heavy]], "<u4")],
                     "second": [_pack(place[second[heavy]], "<u4")],
                     "count": [_pack(total[0][heavy], "<i8")],
                 }
             )
 
-    columns = known.select("block", "seq", "end", "letters", "back").join(least.withColumnRenamed("back", "least"), "block")
-    seats = _bucketed(columns.mapInArrow(owned, "block bigint, letters binary, mine binary, least binary, first binary, second binary, count binary"), "lm-owned")
+    def opened(batches):
+        """Tables by word and by context where every pair has one."""
+        for r in _rows(batches):
+            yield from _sendings(r["block"].as_py(), 0, _hashes(*_listed(r["letters"])), _unpack(r["least"], "<i8").reshape(2, -1), bits)
+
+    def narrowed(batches):
+        """Only words that a block seats: its own ones and those in its pairs met more than once."""
+        for r in _rows(batches):
+            letters, off = _listed(r["letters"])
+            first, second, mine = _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["mine"], "?")
+            part = mine.copy()
+            part[first] = part[second] = True
+            place = np.cumsum(part, dtype=np.int64) - 1
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([r["block"].as_py()], pa.int64()),
+                    "letters": [_pack(_chosen(_unpack(r["letters"], "u1"), off, part), "u1")],
+                    "mine": [_pack(mine[part], "u1")],
+                    "least": [_pack(_fetched(r["back"], 0, 2)[0][:, part], "<i8")],
+                    "first": [_pack(place[first], "<u4")],
+                    "second": [_pack(place[second], "<u4")],
+                    "count": [r["count"].as_py()],
+                }
+            )
+
+    seating = "block bigint, letters binary, mine binary, least binary, first binary, second binary, count binary"
+    held = _bucketed(known.select("block", "seq", "end", "letters", "back").mapInArrow(owned, seating), "lm-owned")
+    least, _ = _summed(held.select("block", "letters", "least").mapInArrow(opened, SENDING), "lm-least")
+    seats = _bucketed(held.drop("least").join(least, "block").mapInArrow(narrowed, seating), "lm-seats")
+    forget(held)
     forget(least)
     context = docs.sparkSession.sparkContext
 
@@ -540,8 +585,9 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
     def shares(base: np.ndarray) -> np.ndarray:
         return np.power(10.0, np.maximum(base, -300))
 
-    def words_seated(seated: DataFrame, spelling, now: Seating) -> tuple[np.ndarray, np.ndarray, list]:
-        """Byte cells of the word restaurant's tables, and its tables, dishes met once and twice, and base mass."""
+    def words_seated(seated: DataFrame, spelling, now: Seating, cells: bool, guesses: list[float]) -> tuple[np.ndarray, np.ndarray, list[float]]:
+        """Byte cells of the word restaurant's tables; its tables, dishes met once and twice, base mass, and tables under guesses."""
+        tallies = 4 + len(guesses)
 
         def run(batches):
             symbol = symbols_of(histogram)
@@ -552,19 +598,20 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                 words = _hashes(letters, off)[mine]
                 letters, off = gather(letters, off[:-1][mine], off[1:][mine])
                 base = shares(spelling.value.log10(letters, off)) if spelling else np.zeros(len(words))
-                t = now.drawn(words, served, base) if spelling else np.minimum(served, 1)
-                tallies = [[float(t.sum()), float((served == 1).sum()), float((served == 2).sum()), float(base.sum())]]
-                for a, b in tx.spans(off, 1 << 20, len(off)):
+                t = now.drawn(words, served, base) if spelling else served  # at first each customer has a table
+                others = [now.drawn(words, served, base, guess).sum() for guess in guesses]
+                codes, numbers = [np.arange(-tallies, 0)], [[t.sum(), (served == 1).sum(), (served == 2).sum(), base.sum(), *others]]
+                for a, b in tx.spans(off, 1 << 20, len(off)) if cells else ():
                     s, code, word = spelled(letters[off[a] : off[b]], off[a : b + 1] - off[a], symbol)
-                    found, at = np.unique(code * SYMBOLS + s, return_inverse=True)
-                    tallies.append([found, np.bincount(at, t[a:b][word], len(found))])
-                codes = np.concatenate([np.arange(-4, 0), *[x[0] for x in tallies[1:]]])
-                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(np.concatenate([tallies[0], *[x[1] for x in tallies[1:]]]))], names=["code", "n"])
+                    found, count = _cells(code, s, t[a:b][word], int(symbol[symbol < SYMBOLS - 1].max(initial=0)) + 1)
+                    codes.append(found)
+                    numbers.append(count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).astype(np.int64)), pa.array(np.concatenate(numbers).astype(np.float64))], names=["code", "n"])
 
         found = seated.mapInArrow(run, "code bigint, n double").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
         code, number = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
         tallied = dict(zip(code[code < 0].tolist(), number[code < 0].tolist(), strict=True))
-        return code[code >= 0], number[code >= 0].round().astype(np.int64), [tallied.get(k, 0.0) for k in range(-4, 0)]
+        return code[code >= 0], number[code >= 0].round().astype(np.int64), [tallied.get(k, 0.0) for k in range(-tallies, 0)]
 
     def pairs_seated(seated: DataFrame, spelling, now: Seating) -> tuple[DataFrame, int]:
         """Tables beyond the first of all pairs, by word and by context, and their number."""
@@ -587,30 +634,28 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         return seats.join(moved, "block") if moved is not None else seats.withColumn("back", F.lit(None).cast(totals.schema["back"].dataType))
 
     # sweeps until the tables settle; the spelling model is fitted to the tables of each
-    code, number, tallied = words_seated(with_state(None), None, Seating(pair_types, 0, 0, 0.5, 0))
+    code, number, tallied = words_seated(with_state(None), None, Seating(pair_types, 0, 0, 0.5, 0), True, [])
     spelling = context.broadcast(Spelling(histogram, (code, number)))
-    now, moved, sweep, states = Seating(pair_types, tallied[0], tallied[0], discount_of(*map(int, tallied[1:3])), 0), None, 0, []
-    course = [tallied[0]]
-    while v and sweep < MOST_SWEEPS:
+    now, moved, sweep, states, settled = Seating(pair_types, tallied[0], tallied[0], discount_of(*map(int, tallied[1:3])), 0), None, 0, [], not v
+    guesses = np.geomspace(max(v, 1), max(pair_types, v, 1), 5).tolist()
+    while not settled and sweep < MOST_SWEEPS:
         sweep += 1
-        code, number, tallied = words_seated(with_state(moved), spelling, now)
-        course.append(tallied[0])
-        settled = abs(course[-1] - now.before) <= SETTLED * course[-1]
-        if sweep == 2 and (slowing := 2 * course[-2] - course[-1] - course[-3]) > 0:
-            course[-1] += (course[-1] - course[-2]) ** 2 / slowing
+        code, number, tallied = words_seated(with_state(moved), spelling, now, True, guesses)
+        tables = agreed(np.array(guesses), np.array(tallied[4:]))
+        settled = abs(tables - now.before) <= SETTLED * tables
+        spelling.destroy()
         spelling = context.broadcast(Spelling(histogram, (code, number)))
-        now = Seating(now.customers, course[-1], course[-1], discount_of(*map(int, tallied[1:3])), sweep)
-        last = moved
+        now, last = Seating(now.customers, tables, tables, discount_of(*map(int, tallied[1:3])), sweep), moved
         moved, more = pairs_seated(with_state(moved), spelling, now)
         if last is not None:
             forget(last)
-        now = Seating(pair_types + more, now.tables, now.tables, now.discount, sweep + 1)
-        if settled:
-            break
+        settled &= abs(pair_types + more - now.customers) <= SETTLED * now.customers
+        now = Seating(pair_types + more, tables, tables, now.discount, sweep + 1)
+        guesses = [0.85 * tables, tables, 1.15 * tables]
     # seatings that count, under one spelling model and one discount, each with its own sums
     outside, seatings = 1.0, []
     for sample in range(SAMPLES + 1 if v else 0):
-        tallied = words_seated(with_state(moved), spelling, now)[2]
+        tallied = words_seated(with_state(moved), spelling, now, False, [])[2]
         outside = max(1 - tallied[3], 1e-12)
         now = Seating(now.customers, now.before, tallied[0], now.discount, now.sweep)
         seatings.append(now)
