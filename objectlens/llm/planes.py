@@ -10,14 +10,18 @@ into its planes (``kind="bit"``: one plane for each bit that any id of the block
 footer's chunk index names offset and length of every plane, so that a reader can fetch any block
 alone.  Document ids and lengths are columns of their own in the file.
 
-Layout: documents go to shards by ranges of doc_id; ids are sorted inside a shard, and shards are
-numbered in ascending order, so that all files together hold the ids in ascending doc_id order.
-Defined results: a null or empty text has only the end id; a null doc_id sorts first; rows of the
-same doc_id keep the order of their ids' bytes; an empty table gives no shard.
+Layout: documents go to shards by ranges of (doc_id, a hash of the text, place in the input), so that
+rows of one doc_id, however many, can be dealt to several shards; they are sorted the same way inside
+a shard, and shards are numbered in ascending order, so that all files together hold the ids in
+ascending doc_id order.  The number of shards grows with the text.  Defined results: a null or empty
+text has only the end id; a null doc_id sorts first; rows of the same doc_id follow the hash of their
+texts; other columns are left alone whatever their names; an empty table gives no shard.  A very long
+text is encoded as one row and waits whole for its blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +38,8 @@ from objectlens.llm import bpe
 from objectlens.llm.common import open_fs, scratch, write_once
 
 BLOCK_IDS = 1 << 16
-#: Bytes of text that one shard is meant to hold, and the most shards that quantiles are asked for.
+#: Bytes of text that one shard is meant to hold.
 SHARD_TEXT_BYTES = 48 << 20
-MOST_SHARDS = 10_000
 MAGIC, END = b"BPLN", b"NLPB"
 
 
@@ -153,57 +157,40 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Encode every whole text, append end_id, and write shards in ascending id order into folder.
 
     Returns the manifest, also stored as ``manifest.json``: shard, path, docs, ids, start.  The
-    driver holds one entry for each shard, never one for each document.  Each text is encoded
-    once, in the task that reads it; only ids are shuffled, two bytes each where they fit.
+    driver holds one entry for each shard, never one for each document.  Texts are dealt by range
+    and each is encoded once, in the task that writes it.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    shards = int(min(MOST_SHARDS, size // shard_text_bytes + 1))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 4 * MOST_SHARDS)).head()[0] if shards > 1 else None
-    cuts = sorted(set(cuts or []))
-
-    def encode(batches):
-        tok = bpe.load(tokenizer)
-        narrow = max(len(tok.tokens) - 1, end_id) < 1 << 16
-        kind_of, edges = np.dtype("<u2" if narrow else "<u4"), np.array(cuts, np.int64)
-        for batch in batches:
-            blobs = []
-            for _, ids, off in bpe.encoded(batch.column(1), tok):
-                flat, tail = ids.astype(kind_of), np.array([end_id], kind_of).tobytes()
-                blobs += [flat[a:b].tobytes() + tail for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            own = batch.column(0)
-            bucket = np.searchsorted(edges, own.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), own, pa.array(np.full(len(own), kind_of.itemsize), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "width", "ids"])
+    place = [F.asc_nulls_first("doc_id"), F.asc("spread"), F.asc("place")]
+    dealt = rows.withColumns({"spread": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(int(size // shard_text_bytes) + 1, *place).sortWithinPartitions(*place)
 
     def store(batches):
-        def rows_of():
-            for batch in batches:
-                for bucket, doc, width, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    yield bucket, doc, np.frombuffer(blob, f"<u{width}").astype(np.uint32)
-
-        stream = rows_of()
-        row = next(stream, None)
-        while row is not None:
-            bucket, told = row[0], {}
-
-            def fill(out, bucket=bucket, told=told):
-                nonlocal row
-                shard = ShardWriter(out, kind, block)
-                while row is not None and row[0] == bucket:
-                    shard.add(row[1], row[2])
-                    row = next(stream, None)
-                shard.close()
-                told |= {"docs": len(shard.docs), "ids": sum(shard.lengths)}
-
-            path = f"{folder}/shard-{bucket:06d}.bpl"
-            write_once(path, fill)
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, **told}], schema=pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
-
-    found = rows.mapInArrow(encode, "bucket int, doc_id bigint, width int, ids binary").repartition(shards, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids").mapInArrow(store, "bucket int, path string, docs bigint, ids bigint").collect()
+        shard, tok = TaskContext.get().partitionId(), bpe.load(tokenizer)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        told = {}
+
+        def fill(out):
+            writer = ShardWriter(out, kind, block)
+            end = np.array([end_id], np.uint32)
+            for batch in itertools.chain([first], batches):
+                docs_of = iter(batch.column(0).to_pylist())
+                for _, ids, off in bpe.encoded(batch.column(1), tok):
+                    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                        writer.add(next(docs_of), np.append(ids[a:b].astype(np.uint32), end))
+            writer.close()
+            told.update(docs=len(writer.docs), ids=sum(writer.lengths))
+
+        path = f"{folder}/shard-{shard:06d}.bpl"
+        write_once(path, fill)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, **told}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+
+    found = dealt.select("doc_id", "text").mapInArrow(store, "shard int, path string, docs bigint, ids bigint").collect()
     manifest, start = [], 0
-    for r in sorted(found, key=lambda r: r["bucket"]):
-        manifest.append({"shard": r["bucket"], "path": r["path"], "docs": r["docs"], "ids": r["ids"], "start": start})
+    for r in sorted(found, key=lambda r: r["shard"]):
+        manifest.append({"shard": r["shard"], "path": r["path"], "docs": r["docs"], "ids": r["ids"], "start": start})
         start += r["ids"]
     write_once(f"{folder}/manifest.json", lambda out: out.write(json.dumps(manifest).encode()))
     return manifest
