@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objectlens.llm import textops as tx
-from objectlens.llm.common import frozen
+from objectlens.llm.common import forget, frozen
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Standard deviations below the threshold: at 0.8, 128 values have one of 0.035, and 0.64 is 4.5 of them.
-DEVIATIONS = 4.5
+#: Standard deviations below the threshold from which estimates go to the exact step: at 0.8, 128 values
+#: have one of 0.035, and a pair at 0.8 has fewer than 0.59 alike with a chance of 2e-8, less than missing all bands.
+DEVIATIONS = 6
 TILE = 256
 #: Members that one task compares with their head.
 SALT_ROWS = 2000
@@ -141,17 +142,23 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that each node of an edge (u, v) can reach."""
+    """(node, label): the least node that each node of an edge (u, v) can reach.
+
+    The least neighbours get an exchange of their own, so that adaptive execution can split the
+    rows of a centre with very many neighbours over several tasks.
+    """
     edges = frozen(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = frozen(large, "large-star")
+        forget(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(least.repartition("u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = frozen(small, "small-star")
+        forget(large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if now == mark:
             return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
@@ -285,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     linkable = told.where("n_shingles > 0 AND id IS NOT NULL")
     classes = frozen(linkable.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     buckets = frozen(_banded(classes), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").repartition("bucket")
     votes = buckets.join(shared, "bucket").where("rep <> head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(F.col("rep").alias("member")).agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
     pairs = frozen(best.select("head", "member"), "pairs")
@@ -306,6 +313,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         apart = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("family", "n")
         links = frozen(_exact(members.join(apart, "family").join(texts, F.col("rep") == F.col("id")), k, percent), "links")
         labels = frozen(components(links.unionByName(old)), "labels")
+    for done in (buckets, pairs, tested, likely):
+        forget(done)
     known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.coalesce("label", "rep").alias("component"))
     out = told.select("id", "n_shingles", "fa", "fb").join(known, ["fa", "fb"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))

@@ -66,6 +66,48 @@ def test_token_files(spark, docs, texts, tmp_path):
     assert planes.token_files(docs.limit(0), PATH, f"file://{tmp_path}/none").count() == 0
 
 
+def assert_longest(words, matches, items, pattern):
+    """Each match is there, and no item has a longer one at its first word."""
+    split = {str(i): re.findall(pattern, lower(t)) for i, t in items}
+    for m in matches:
+        own, item = words[m.word_start :], split[m.item_id]
+        assert item[m.item_word : m.item_word + m.n_words] == own[: m.n_words]
+        if m.n_words >= 10:
+            top = max(next((k for k, (a, b) in enumerate(zip(own, w[j:], strict=False)) if a != b), min(len(own), len(w) - j)) for w in split.values() for j in range(len(w)))
+            assert m.n_words == top
+
+
+def test_token_files_odd_rows(spark, odd, tmp_path):
+    """Null and repeated ids, among them one id with most of the rows, which several shards share."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    rows = [(r.doc_id, r.text, "s") for r in odd.collect()] + [(7, f"text {k} " * 20, "s") for k in range(300)] + [(7, "same", "s")] * 40
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, start string")
+    manifest = planes.write_token_files(frame, PATH, f"file://{tmp_path}", block=500, shard_text_bytes=9_000)
+    assert sum(m["docs"] for m in manifest) == len(rows) and max(m["docs"] for m in manifest) < 250
+    got = planes.read_token_files(spark, manifest).collect()
+    want = Counter((i, (ids := [*tok.encode(t or "", add_special_tokens=False).ids, 1]) and len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == np.cumsum([0, *[r.n_tokens for r in order[:-1]]]).tolist()
+    ids = [r.doc_id for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_decontamination_of_repetitions():
+    """One word over and over on both sides: one match a text, however many pairs of places there are."""
+    side = suffixes.Suffixes([(str(k), "a " * 200) for k in range(10)] + [("s", "a a a"), ("t", "b " * 30 + "a " * 12)])
+    data, off = lm.tx.buffers(lm.pa.array(["a " * 5000, "c " + "b " * 12 + "c", "b " * 3 + "a " * 11]))
+    h, _, _, counts = lm.tx.words(data, off, lm.tx.ALNUM_LOWER)
+    places, which, ids = side.found(h, counts)
+    assert len(places) < 3 * len(h)
+    first, size, item, at = side.longest(places, which, ids, counts)
+    whole = sorted((f, z) for f, z in zip(first.tolist(), size.tolist(), strict=True) if z >= 10)
+    assert (4990, 10) not in whole and (0, 200) in whole and (4800, 200) in whole
+    assert (5001, 12) in whole and (5014, 14) in whole
+
+
 def test_decontamination(spark, docs, texts, odd):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "short item"), (901, None), (902, "x")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -89,6 +131,10 @@ def test_decontamination(spark, docs, texts, odd):
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(names), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
             assert {p for m in r.matches for p in range(m.word_start, m.word_start + m.n_words)} == hit
+            if block_words == 10**6:
+                assert_longest(w, r.matches, items, pattern)
+    nulls = suffixes.decontaminate(odd, spark.createDataFrame([(None, "it's 'sting he'll"), (None, "x")], "item_id bigint, text string")).where("contaminated").collect()
+    assert {r.n_items for r in nulls} == {1} and len(nulls) == 1 and suffixes.decontaminate(odd.limit(0), bench).count() == 0
     assert suffixes.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
