@@ -23,11 +23,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores below its cutoff go.
 
-    Learns from the labelled documents of its input; without labels of both kinds all documents
-    have one score, and without any label all go.  Null and empty texts are scored like others;
-    every row is judged by its own text, whatever its id.
+    Learns from the labelled documents of its input; without labels of both kinds nothing is
+    learned and all documents stay.  Null and empty texts are scored like others; every row is
+    judged by its own text, whatever its id.
     """
     net = cnn.train(docs, table(spark, sf_dir, "labels"))
+    if net.constant is not None:
+        return docs.select(*COLUMNS)
     return cnn.quality_scores(docs, net, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
