@@ -27,17 +27,58 @@ def attribute_text(*values: Column) -> Column:
     return F.array_join(F.filter(F.array(*values), lambda v: v.isNotNull() & (v != "") & (v != "unknown")), " ")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _between(text: Column, tag: str) -> Column:
+    """Behind the last opening tag (or from the beginning) up to the closing one (or the end), stripped."""
+    return _stripped(F.substring_index(F.substring_index(text, f"<{tag}>", -1), f"</{tag}>", 1))
+
+
 def tool_call(text: Column) -> Column:
-    """The JSON between tool tags, with a doubled closing brace mended; null without a call."""
-    inner = F.regexp_extract(text, r"(?s)<tool>(.*?)</tool>", 1)
-    return F.when(inner != "", F.regexp_replace(F.trim(inner), r"\}\}\}", "}}"))
+    """The call in what stands before the first closing tool tag, from the last opening one on; a doubled closing brace is mended."""
+    return F.replace(_between(F.substring_index(text, "</tool>", 1), "tool"), F.lit("}}}"), F.lit("}}"))
 
 
-def verdict(text: Column) -> Column:
-    """Accept or Reject if exactly one stands in the verdict tag."""
-    inner = F.regexp_extract(text, r"(?s)<verdict>(.*?)</verdict>", 1)
+def verdict(text: Column, strict: bool = False) -> Column:
+    """Accept or Reject, whichever the last verdict tag (or the whole text) holds.
+
+    With both or neither the result is null; strict raises then.
+    """
+    inner = _between(text, "verdict")
     yes, no = inner.contains("Accept"), inner.contains("Reject")
-    return F.when(yes & ~no, "Accept").when(no & ~yes, "Reject")
+    other = F.raise_error(F.concat(F.lit("verdict is neither Accept nor Reject: "), text)) if strict else F.lit(None)
+    return F.when(yes & ~no, "Accept").when(no & ~yes, "Reject").otherwise(other.cast("string"))
+
+
+def segment_call(role: Column, text: Column) -> Column:
+    """Whether a turn is the assistant's and calls the segmentation tool."""
+    return (role == "assistant") & text.contains("<tool>") & text.contains("segment_phrase")
+
+
+def count_images(kinds: Column) -> Column:
+    """Images among the kinds of a message's content items; other than a list counts as none."""
+    return F.coalesce(F.size(F.filter(kinds, lambda k: k == "image")), F.lit(0))
+
+
+def used_before(prompts: Column, latest: Column) -> Column:
+    """Prompts used before, without the latest one."""
+    return F.when(F.coalesce(latest, F.lit("")) != "", F.filter(prompts, lambda p: p != latest)).otherwise(prompts)
+
+
+# The wording of the second turn where prompts were used before.
+_ASKED = "The above image is the raw input image. The initial user input query is: '%s'."
+_WARNING = (
+    'Note that we have previously called the segment_phrase tool with each "text_prompt" in this list: [%s], but none of the generated results were satisfactory. '
+    'So make sure that you do not use any of these phrases as the "text_prompt" to call the segment_phrase tool again.'
+)
+
+
+def warned(query: Column, used: Column) -> Column:
+    """The second turn's text that warns of prompts used before."""
+    listed = F.array_join(F.transform(used, lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", ")
+    return F.concat_ws(" ", F.format_string(_ASKED, query), F.format_string(_WARNING, listed))
 
 
 def canonical(text: Column) -> Column:
@@ -47,8 +88,8 @@ def canonical(text: Column) -> Column:
 
 
 def prune_messages(turns: DataFrame, marker: Column) -> DataFrame:
-    """The first two turns and everything from the last marked turn on; without a marked turn, all."""
+    """The first two turns, and everything from the last marked later turn on; without one, the first two alone."""
     w = Window.partitionBy("conv_id")
-    last = F.max(F.when(marker, F.col("turn"))).over(w)
-    rank = F.row_number().over(w.orderBy("turn"))
-    return turns.select("*", last.alias("_last"), rank.alias("_rank")).where("_rank <= 2 OR _last IS NULL OR turn >= _last").drop("_last", "_rank")
+    ranked = turns.withColumn("_rank", F.row_number().over(w.orderBy("turn"))).withColumn("_mark", marker)
+    last = F.max(F.when(F.col("_mark") & (F.col("_rank") > 2), F.col("_rank"))).over(w)
+    return ranked.withColumn("_last", last).where("_rank <= 2 OR _rank >= _last").drop("_last", "_rank", "_mark")

@@ -68,15 +68,19 @@ def first_appearance(rows: DataFrame, video: str, track: str, frame: str) -> Dat
     return rows.groupBy(video, track).agg(F.min(frame).alias("first_frame"))
 
 
-def duplicate_tracks(matches: DataFrame, video: str, det: list[str], track: str, frame: str, at_least: int) -> DataFrame:
+def duplicate_tracks(matches: DataFrame, video: str, det: list[str], track: str, frame: str, at_least: int, delay: int) -> DataFrame:
     """Tracks to remove: those that share a detection, in ``at_least`` frames, with the track of it that appeared first.
 
-    Of tracks that appeared in the same frame, the smaller id counts as first.
+    A track is judged in the frame that completes the count and only if it appeared within the last
+    ``delay`` frames then; later counts come too late.  Of tracks that appeared in the same frame, the
+    smaller id counts as first.
     """
     born = matches.join(first_appearance(matches, video, track, frame), [video, track])
     first = F.min(F.struct("first_frame", track)).over(Window.partitionBy(video, frame, *det))
-    pairs = born.withColumn("_first", first[track]).where(F.col(track) != F.col("_first"))
-    return pairs.groupBy(video, "_first", track).agg(F.countDistinct(frame).alias("n")).where(F.col("n") >= at_least).select(video, track).distinct()
+    pairs = born.withColumn("_first", first[track]).where(F.col(track) != F.col("_first")).select(video, "_first", track, frame, "first_frame").distinct()
+    count = F.row_number().over(Window.partitionBy(video, "_first", track).orderBy(frame))
+    full = pairs.withColumn("_n", count).where((F.col("_n") == at_least) & (F.col("first_frame") > F.col(frame) - delay))
+    return full.select(video, track).distinct()
 
 
 def under_cap(new: DataFrame, held: DataFrame, video: str, score: str, id_col: str, cap: int) -> DataFrame:

@@ -439,21 +439,50 @@ def rle_intersection(v, t):
 
 
 # texts and conversations
-@_query("SELECT conv_id, turn, 'call ' || turn AS call FROM turns WHERE turn % 2 = 0", "turns")
+# one text for each shape of an answer: closed, two calls, unclosed, a call behind the first end, none
+_CALLS = ["x <tool> {\"a\": {\"b\": 1}}} </tool> y", "<tool>one</tool> <tool>two</tool>", "old <tool>first <tool> last", "no call </tool> <tool>late</tool>", "  plain  "]
+_VERDICTS = ["<verdict>Accept</verdict>", "<verdict>Accept</verdict> then <verdict> Reject </verdict> end", "I Accept it", "<verdict>Accept", "<verdict>Accept or Reject</verdict>", "neither"]
+
+
+def _one_of(texts: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), (F.col("turn") % len(texts) + 1).cast("int"))
+
+
+def _listed(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + f"][turn % {len(texts)} + 1]"
+
+
+@_query(f", m AS (SELECT conv_id, turn, string_split({_listed(_CALLS)}, '</tool>')[1] AS cut FROM turns) SELECT conv_id, turn, replace(regexp_replace(string_split(cut, '<tool>')[-1], '^\\s+|\\s+$', '', 'g'), '}}}}}}', '}}}}') AS call FROM m", "turns")
 def tool_call_parse(v, t):
-    made = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x <tool> call "), F.col("turn").cast("string"), F.lit(" </tool> y"))).otherwise(F.col("role"))
-    return v("turns").select("conv_id", "turn", tx.tool_call(made).alias("call")).where("call IS NOT NULL")
+    return v("turns").select("conv_id", "turn", tx.tool_call(_one_of(_CALLS)).alias("call"))
 
 
-@_query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Accept' WHEN 1 THEN 'Reject' END AS verdict FROM turns", "turns")
+@_query(f", m AS (SELECT conv_id, turn, string_split(string_split({_listed(_VERDICTS)}, '<verdict>')[-1], '</verdict>')[1] AS said FROM turns) SELECT conv_id, turn, CASE WHEN contains(said, 'Accept') AND NOT contains(said, 'Reject') THEN 'Accept' WHEN contains(said, 'Reject') AND NOT contains(said, 'Accept') THEN 'Reject' END AS verdict FROM m", "turns")
 def verdict_parse(v, t):
-    said = F.element_at(F.array(F.lit("Accept"), F.lit("Reject"), F.lit("Accept or Reject")), (F.col("turn") % 3 + 1).cast("int"))
-    return v("turns").select("conv_id", "turn", tx.verdict(F.concat(F.lit("<verdict>"), said, F.lit("</verdict>"))).alias("verdict"))
+    return v("turns").select("conv_id", "turn", tx.verdict(_one_of(_VERDICTS)).alias("verdict"))
+
 
+_SAID = ["<tool> segment_phrase cat", "segment_phrase", "<tool> zoom"]
 
-@_query("SELECT conv_id, turn FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM turns) WHERE r <= 2 OR l IS NULL OR turn >= l", "turns")
+
+@_query(f", m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, role = 'assistant' AND contains({_listed(_SAID)}, '<tool>') AND contains({_listed(_SAID)}, 'segment_phrase') AS mark FROM turns) SELECT conv_id, turn FROM m a WHERE r <= 2 OR r >= (SELECT max(r) FROM m b WHERE b.conv_id = a.conv_id AND b.mark AND b.r > 2)", "turns")
 def message_prune(v, t):
-    return tx.prune_messages(v("turns"), F.col("role") == "assistant").select("conv_id", "turn")
+    return tx.prune_messages(v("turns"), tx.segment_call(F.col("role"), _one_of(_SAID))).select("conv_id", "turn")
+
+
+_WARNED = "'The above image is the raw input image. The initial user input query is: ' || chr(39) || 'q' || chr(39) || '. Note that we have previously called the segment_phrase tool with each \"text_prompt\" in this list: [' || array_to_string([chr(39) || x || chr(39) FOR x IN used], ', ') || '], but none of the generated results were satisfactory. So make sure that you do not use any of these phrases as the \"text_prompt\" to call the segment_phrase tool again.'"
+
+
+@_query(f", u AS (SELECT conv_id, list(role ORDER BY turn) AS used FROM turns GROUP BY 1), p AS (SELECT conv_id, [x FOR x IN used IF x <> used[-1]] AS used FROM u) SELECT conv_id, {_WARNED} AS warning FROM p", "turns")
+def message_warning(v, t):
+    listed = v("turns").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role")))["role"].alias("used"))
+    return listed.select("conv_id", tx.warned(F.lit("q"), tx.used_before(F.col("used"), F.element_at("used", -1))).alias("warning"))
+
+
+@_query("SELECT conv_id, count(*) FILTER (WHERE turn % 3 = 0) AS images FROM turns GROUP BY 1", "turns")
+def message_images(v, t):
+    kinds = F.collect_list(F.when(F.col("turn") % 3 == 0, "image").otherwise("text"))
+    return v("turns").groupBy("conv_id").agg(kinds.alias("kinds")).select("conv_id", tx.count_images(F.col("kinds")).cast("bigint").alias("images"))
 
 
 @_query("SELECT page_id, trim(regexp_replace(regexp_replace(lower(replace(url, '_', ' ')), '[^a-z0-9 \\n\\t]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
@@ -469,7 +498,8 @@ def confirm_runs(v, t):
 
 @_query()
 def session_tracks(v, t):
-    return tracks.batch(v("trk").select(F.col("video_id").alias("session"), "frame", "track", "score"))
+    rows = v("trk").select(F.col("video_id").alias("session"), "frame", "track", "score")
+    return tracks.batch(rows, tracks.Rules(init=3, delay=5, unmatched=4, confirm=2, only_within=False))
 
 
 # masks as spans
@@ -661,12 +691,12 @@ def first_appearance(v, t):
 
 
 @_query(
-    ", s AS (SELECT *, score % 3 AS det, frame // 2 AS f FROM trk), b AS (SELECT *, min(f) OVER (PARTITION BY video_id, track) AS born FROM s), c AS (SELECT *, first_value(track) OVER (PARTITION BY video_id, f, det ORDER BY born, track) AS first FROM b), n AS (SELECT video_id, first, track, count(DISTINCT f) AS n FROM c WHERE track <> first GROUP BY 1, 2, 3) SELECT DISTINCT video_id, track FROM n WHERE n >= 2",
+    ", s AS (SELECT *, score % 3 AS det, frame // 2 AS f FROM trk), b AS (SELECT *, min(f) OVER (PARTITION BY video_id, track) AS born FROM s), c AS (SELECT *, first_value(track) OVER (PARTITION BY video_id, f, det ORDER BY born, track) AS first FROM b), n AS (SELECT DISTINCT video_id, first, track, f, born FROM c WHERE track <> first), k AS (SELECT *, row_number() OVER (PARTITION BY video_id, first, track ORDER BY f) AS k FROM n) SELECT DISTINCT video_id, track FROM k WHERE k = 2 AND born > f - 9",
     "trk",
 )
 def duplicate_track_removal(v, t):
     rows = v("trk").withColumn("det", F.col("score") % 3).withColumn("f", F.floor(F.col("frame") / 2))
-    return filters.duplicate_tracks(rows, "video_id", ["det"], "track", "f", 2)
+    return filters.duplicate_tracks(rows, "video_id", ["det"], "track", "f", 2, 9)
 
 
 @_query(", r AS (SELECT d.*, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS k, (SELECT count(*) FROM gt t WHERE t.image_id = d.image_id) AS held FROM det d) SELECT DISTINCT det_id FROM r WHERE k <= 5 - held", "det", "gt")

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from objectlens.operators.suppression import iou_matrix
-from objectlens.streaming.tracks import DELAY, INIT, LEAST, MOST, UNMATCHED
 
+INIT, MOST, LEAST, DELAY, UNMATCHED = 3, 8, -4, 5, 4
 NEVER, ALWAYS, SHARED = -1, 100_000, 2
 COUNTERS = "session string, frame bigint, track string, alive bigint, missed bigint, removed boolean, suppressed boolean"
 HIDDEN = "session string, frame bigint, track string, hidden boolean, last_occluded bigint"

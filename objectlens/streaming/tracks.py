@@ -1,63 +1,106 @@
 """Per-session track state with delayed emission, in batch and as a Structured Streaming query.
 
-Rows are (session, frame, track, score): a track seen, matched to a detection, in a frame.  A
-frame of no track is a row with a null track.  One ``Session`` holds the rules for both modes:
-
-- keep-alive starts at ``INIT``, +1 when matched up to ``MOST``, -1 when not down to ``LEAST``;
-- a track is removed if, first seen within the last ``DELAY`` frames, it went unmatched in
-  ``UNMATCHED`` frames; it is hidden while its keep-alive is at most 0;
-- a track is confirmed after ``CONFIRM`` consecutive matches and stays so;
-- frames leave a buffer of ``DELAY`` frames, oldest first, without the tracks that are removed by
-  then; what is left is flushed when the session ends (a row with frame -1 in a stream).
+Rows are (session, frame, track, score) and, where known, det (the detection that the track is matched
+to), unmatched and empty.  Without a det column each row stands for a detection of its own; a frame of
+no track is a row with a null track.  One ``Session`` holds the rules for both modes:
+
+- a track starts with a keep-alive of ``init``; a later match adds one up to ``most``, a frame in which
+  it is unmatched takes one down to ``least``.  Unmatched are known tracks that are flagged so, even if
+  matched, and those with neither a detection nor an ``empty`` flag; an empty one loses one if
+  ``empty_costs``;
+- a track first seen within the last ``delay`` frames is removed once it was unmatched in
+  ``unmatched`` frames, or once it shared its detection with the same earlier track in ``duplicates`` frames;
+- a track is hidden while its keep-alive is at most 0, if it was ever unmatched and ``only_within``
+  doesn't confine the rules to the first frames;
+- a track is confirmed after ``confirm`` consecutive frames with a detection and stays so;
+- frames leave a buffer of ``delay`` frames, oldest first, without the tracks that are removed by
+  then; what is left is flushed when the session ends: with a row of frame -1 in a stream, or when
+  nothing came for the time given.
 
 A frame at or below the last one of its session is late: it changes nothing and comes out as late.
+State is of the size of a session's tracks and buffer.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-INIT, MOST, LEAST, DELAY, UNMATCHED, CONFIRM = 3, 8, -4, 5, 4, 2
 OUT = "session string, frame bigint, track string, score double, confirmed boolean, hidden boolean, late boolean"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds; the defaults are those of the source."""
+
+    init: int = 0
+    most: int = 8
+    least: int = -4
+    delay: int = 0
+    unmatched: int = 3
+    duplicates: int = 3
+    confirm: int = 3
+    only_within: bool = True
+    empty_costs: bool = False
+
+
 class Session:
-    def __init__(self, state: str | None = None):
-        told = json.loads(state) if state else {"last": -1, "alive": {}, "first": {}, "missed": {}, "run": {}, "sure": [], "gone": [], "buffer": []}
-        self.__dict__.update(told)
+    def __init__(self, rules: Rules, state: str | None = None):
+        told = json.loads(state) if state else {}
+        self.rules, self.last, self.buffer = rules, told.get("last", -1), told.get("buffer", [])
+        self.alive, self.first, self.missed, self.run, self.shared = (told.get(k, {}) for k in ("alive", "first", "missed", "run", "shared"))
+        self.sure, self.gone = set(told.get("sure", [])), set(told.get("gone", []))
 
     def state(self) -> str:
-        return json.dumps(self.__dict__)
+        return json.dumps({k: sorted(v) if isinstance(v, set) else v for k, v in self.__dict__.items() if k != "rules"})
 
-    def step(self, frame: int, seen: list[tuple[str, float]]) -> Iterator[tuple]:
-        """Take one frame; give the rows that leave the buffer."""
+    def step(self, frame: int, seen: list[tuple]) -> Iterator[tuple]:
+        """Take one frame of (track, score, det, unmatched, empty); give the rows that leave the buffer."""
         if frame <= self.last:
-            for track, score in seen:
+            for track, score, *_ in seen:
                 yield frame, track, score, False, False, True
             return
-        self.last = frame
-        here = {t for t, _ in seen}
-        for track in here:
+        self.last, r = frame, self.rules
+        seen = [s for s in seen if s[0] not in self.gone]
+        known = set(self.first) - self.gone
+        for track, *_ in seen:
             if track not in self.first:
-                self.first[track], self.alive[track], self.missed[track], self.run[track] = frame, INIT, 0, 0
-            self.alive[track] = min(MOST, self.alive[track] + 1)
-            self.run[track] += 1
-            if self.run[track] >= CONFIRM and track not in self.sure:
-                self.sure.append(track)
-        for track in self.first:
-            if track not in here:
-                self.alive[track] = max(LEAST, self.alive[track] - 1)
-                self.run[track] = 0
-                self.missed[track] += 1
-                if self.missed[track] >= UNMATCHED and frame - self.first[track] < DELAY and track not in self.gone:
-                    self.gone.append(track)
-        self.buffer.append([frame, sorted([t, s, self.alive[t] <= 0] for t, s in seen)])
-        if len(self.buffer) > DELAY:
+                self.first[track], self.alive[track], self.missed[track], self.run[track] = frame, r.init, 0, 0
+        by_det: dict = {}
+        for track, _, det, _, _ in seen:
+            if det is not None and track in known:
+                by_det.setdefault(det, set()).add(track)
+        matched = set().union(*by_det.values())
+        empty = {s[0] for s in seen if s[4]} & known
+        lost = (known - matched - empty) | ({s[0] for s in seen if s[3]} & known)
+        for track in matched:
+            self.alive[track] = min(r.most, self.alive[track] + 1)
+        for track in lost:
+            self.missed[track] += 1
+            self.alive[track] = max(r.least, self.alive[track] - 1)
+        for track in empty if r.empty_costs else ():
+            self.alive[track] = max(r.least, self.alive[track] - 1)
+        found = matched | (set(self.first) - known - self.gone)
+        for track in set(self.first) - self.gone:
+            self.run[track] = self.run[track] + 1 if track in found else 0
+        self.sure |= {t for t in found if self.run[t] >= r.confirm}
+        young = {t for t in self.first if self.first[t] > frame - r.delay}
+        self.gone |= {t for t in young if self.missed[t] >= r.unmatched}
+        for mates in by_det.values():
+            head = min(mates, key=lambda t: (self.first[t], t))
+            for track in mates - {head}:
+                counts = self.shared.setdefault(track, {})
+                counts[head] = counts.get(head, 0) + 1
+        self.gone |= {t for t in young & set(self.shared) if max(self.shared[t].values()) >= r.duplicates}
+        hides = lambda t: not r.only_within and self.alive[t] <= 0 and self.missed[t] > 0
+        self.buffer.append([frame, sorted([s[0], s[1], hides(s[0])] for s in seen)])
+        if len(self.buffer) > r.delay:
             yield from self._leave()
 
     def _leave(self) -> Iterator[tuple]:
@@ -71,34 +114,67 @@ class Session:
             yield from self._leave()
 
 
-def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple[str, float]]]]:
-    for frame, own in pdf.groupby("frame", sort=True):
-        yield int(frame), [(str(t), float(s)) for t, s in zip(own["track"], own["score"], strict=True) if t is not None]
+def _typed(rows: DataFrame) -> DataFrame:
+    det = "CAST(det AS STRING) det" if "det" in rows.columns else "CAST(track AS STRING) det"
+    flags = [f"coalesce({c}, false) {c}" if c in rows.columns else f"false {c}" for c in ("unmatched", "empty")]
+    return rows.selectExpr("CAST(session AS STRING) session", "CAST(frame AS BIGINT) frame", "CAST(track AS STRING) track", "CAST(score AS DOUBLE) score", det, *flags)
 
 
-def _table(session: str, rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(session, *r) for r in rows], columns=COLUMNS)
+def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple]]]:
+    """The frames of sorted rows of one session."""
+    now, seen = None, []
+    for frame, *told in zip(*[pdf[c] for c in ("frame", "track", "score", "det", "unmatched", "empty")], strict=True):
+        if now is not None and frame != now:
+            yield now, seen
+            seen = []
+        now = int(frame)
+        if told[0] is not None:
+            seen.append(tuple(told))
+    if now is not None:
+        yield now, seen
 
 
-def batch(rows: DataFrame) -> DataFrame:
-    """All sessions of a table, each in one pass over its frames."""
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, out = Session(), []
-        for frame, seen in _frames(pdf):
-            out += own.step(frame, seen)
-        return _table(key[0], [*out, *own.flush()])
 
-    return rows.selectExpr("CAST(session AS STRING) session", "frame", "CAST(track AS STRING) track", "CAST(score AS DOUBLE) score").groupBy("session").applyInPandas(one, OUT)
+def batch(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """All sessions of a table, each in one pass over its frames, which are read as a stream; frames below 0 end nothing."""
+
+    def run(parts):
+        name, own, frame, seen, out = None, None, None, [], []
+        for pdf in parts:
+            for session, at, track, *told in pdf.itertuples(index=False):
+                key = (session,)
+                if own is not None and (key != name or at != frame):
+                    out += [(name[0], *row) for row in own.step(int(frame), seen)]
+                    seen = []
+                if key != name:
+                    out += [(name[0], *row) for row in own.flush()] if own is not None else []
+                    name, own = key, Session(rules)
+                frame = at
+                if track is not None:
+                    seen.append((track, *told))
+            yield _table(out)
+            out = []
+        if own is not None:
+            yield _table([(name[0], *row) for row in [*own.step(int(frame), seen), *own.flush()]])
 
+    typed = _typed(rows).where("frame >= 0").repartition("session")
+    return typed.sortWithinPartitions("session", "frame", "track").mapInPandas(run, OUT)
 
-def stream(rows: DataFrame) -> DataFrame:
-    """The same as a streaming DataFrame; a row with frame -1 ends its session and clears its state."""
+
+def stream(rows: DataFrame, rules: Rules = Rules(), expiry_ms: int | None = None) -> DataFrame:  # noqa: B008
+    """The same as a streaming DataFrame; a row with frame -1, or expiry_ms without rows, ends a session and clears its state."""
 
     def one(key, parts, state):
-        own, out = Session(state.get[0] if state.exists else None), []
-        pdf = pd.concat(list(parts))
-        for frame, seen in _frames(pdf[pdf["frame"] >= 0]):
+        own = Session(rules, state.get[0] if state.exists else None)
+        if state.hasTimedOut:
+            state.remove()
+            yield _table([(key[0], *row) for row in own.flush()])
+            return
+        pdf, out = pd.concat(list(parts)), []
+        for frame, seen in _frames(pdf[pdf["frame"] >= 0].sort_values(["frame", "track"])):
             out += own.step(frame, seen)
         if (pdf["frame"] < 0).any():
             out += own.flush()
@@ -106,7 +182,9 @@ def stream(rows: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update((own.state(),))
-        yield _table(key[0], out)
+            if expiry_ms:
+                state.setTimeoutDuration(expiry_ms)
+        yield _table([(key[0], *row) for row in out])
 
-    typed = rows.selectExpr("CAST(session AS STRING) session", "CAST(frame AS BIGINT) frame", "CAST(track AS STRING) track", "CAST(score AS DOUBLE) score")
-    return typed.groupBy("session").applyInPandasWithState(one, OUT, "state string", "append", "NoTimeout")
+    timeout = "ProcessingTimeTimeout" if expiry_ms else "NoTimeout"
+    return _typed(rows).groupBy(F.col("session")).applyInPandasWithState(one, OUT, "state string", "append", timeout)

@@ -1,6 +1,7 @@
 """Properties of the sequential operators, and batch against stream."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -36,16 +37,86 @@ def test_rle(spark):
     assert (row.a, row.i) == (4, 2)
 
 
+RULES = tracks.Rules(init=1, delay=4, unmatched=2, duplicates=2, confirm=2, only_within=False)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.RandomState(3)
     rows = [(f"s{k % 3}", k // 3, f"t{rng.randint(3)}", float(k)) for k in range(60)]
     schema = "session string, frame bigint, track string, score double"
-    want = sorted(map(tuple, tracks.batch(spark.createDataFrame(rows, schema)).collect()))
+    want = sorted(map(tuple, tracks.batch(spark.createDataFrame(rows, schema), RULES).collect()))
+    assert want
     for part in range(3):
         own = [r for r in rows if r[1] // 7 == part] + ([(f"s{k}", -1, None, None) for k in range(3)] if part == 2 else [])
         spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = tracks.stream(source).writeStream.format("memory").queryName("emitted").outputMode("append").start()
+    query = tracks.stream(source, RULES).writeStream.format("memory").queryName("emitted").outputMode("append").start()
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("emitted").collect())) == want
+
+
+def test_session_expires(spark, tmp_path):
+    """A session that falls silent gives what its buffer holds."""
+    schema = "session string, frame bigint, track string, score double"
+    spark.createDataFrame([("a", 0, "t", 1.0), ("a", 1, "t", 2.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = tracks.stream(source, RULES, expiry_ms=500).writeStream.format("memory").queryName("expired").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("expired").count() == 2:
+                break
+            time.sleep(0.5)
+        assert sorted(r.frame for r in spark.table("expired").collect()) == [0, 1]
+    finally:
+        query.stop()
+
+
+def told(rules, frames):
+    """(frame, track) to (confirmed, hidden), and the session after the frames."""
+    own = tracks.Session(rules)
+    rows = [r for f, seen in enumerate(frames) for r in own.step(f, seen)]
+    return {(f, t): (sure, hidden) for f, t, _, sure, hidden, _ in [*rows, *own.flush()]}, own
+
+
+def test_session_rules():
+    hit = lambda t, det=None: (t, 1.0, det or t, False, False)
+    # a new track has its start value, and gains only from the next match on
+    assert told(tracks.Rules(init=3), [[hit("a")]])[1].alive == {"a": 3}
+    assert told(tracks.Rules(init=3, most=4), [[hit("a")]] * 5)[1].alive == {"a": 4}
+    # matched and yet unmatched: one up, one down, and the frame counts
+    both = told(tracks.Rules(init=3), [[hit("a")], [("a", 1.0, "d", True, False)]])[1]
+    assert (both.alive["a"], both.missed["a"]) == (3, 1)
+    # an empty track isn't unmatched, and loses only where that is asked for
+    gap = [[hit("a")], [("a", 1.0, None, False, True)]]
+    assert told(tracks.Rules(init=3), gap)[1].alive == {"a": 3} and told(tracks.Rules(init=3, empty_costs=True), gap)[1].alive == {"a": 2}
+    # removal only within the first frames
+    early, late = [[hit("a"), hit("b")], [hit("b")], [hit("b")], [hit("a"), hit("b")]], [[hit("a"), hit("b")]] * 4 + [[hit("b")]] * 3
+    rules = tracks.Rules(delay=4, unmatched=2, duplicates=2, init=1, only_within=False)
+    assert {t for _, t in told(rules, early)[0]} == {"b"}
+    assert {t for _, t in told(rules, late)[0]} == {"a", "b"}
+    # hidden: at or below 0 after an unmatched frame; never where the rules end with the first frames
+    back = [[hit("a")]] * 2 + [[], [], [], [("a", 1.0, None, True, False)]]
+    assert told(tracks.Rules(only_within=False, unmatched=9), back)[0][5, "a"] == (False, True)
+    assert told(tracks.Rules(unmatched=9), back)[0][5, "a"] == (False, False)
+    # of two tracks of one detection the later goes, if it is young enough when the count is full
+    pair = [[hit("a")], [hit("a"), hit("b")], [hit("a", "d"), hit("b", "d")], [hit("a", "d"), hit("b", "d")], [hit("a")]]
+    assert {t for _, t in told(rules, pair)[0]} == {"a"}
+    old = [*pair[:2], *[[hit("a"), hit("b")]] * 4, *pair[2:4]]
+    assert {t for _, t in told(rules, old)[0]} == {"a", "b"}
+
+
+def test_turns(spark):
+    """Pruning: marks in the first two turns don't count, and without a later one only these stay."""
+    from pyspark.sql import functions as F
+
+    from objectlens.functions import text
+
+    call = "<tool> segment_phrase"
+    said = {1: ["u", "u", call, "x", call, "y"], 2: ["u", call, "x"], 3: ["u"], 4: ["u", "u", "<tool> zoom", "segment_phrase"]}
+    rows = [(c, 10 * k, "assistant" if "t" in s or "x" in s else "user", s) for c, texts in said.items() for k, s in enumerate(texts)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    kept = text.prune_messages(turns, text.segment_call(F.col("role"), F.col("text"))).collect()
+    assert sorted((r.conv_id, r.turn) for r in kept) == [(1, 0), (1, 10), (1, 40), (1, 50), (2, 0), (2, 10), (3, 0), (4, 0), (4, 10)]
+    with pytest.raises(Exception, match="neither Accept nor Reject"):
+        turns.select(text.verdict(F.col("text"), strict=True)).collect()
