@@ -50,17 +50,15 @@ def forget(df: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1, size: str = "16m"):
-    """Actions inside send Python batches of so many rows and bytes at most (one row at least)."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {name: spark.conf.get(name) for name in names}
+def small_batches(spark: SparkSession, size: str):
+    """Actions inside send Python batches that end with the row that brings them to this size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
     try:
-        for name, value in names.items():
-            spark.conf.set(name, value)
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(name, before)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

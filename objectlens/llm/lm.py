@@ -9,12 +9,14 @@ table, and each table sends one customer to the parent.
 
 Seating is sampled by Gibbs sweeps: in each sweep the customers of every dish leave and come back
 one after another, each opening a table with the chance that the Chinese-restaurant process gives
-under the parent's probabilities and the restaurant's tables of the sweep before.  The word
-restaurant is seated under several guesses of its tables at once, and goes on from where guess and
-outcome agree.  Sweeps go on until tables and customers of the word restaurant change by less than
-``SETTLED`` from one to the next, and the spelling model is fitted anew in each; then ``SAMPLES`` seatings are taken and probabilities are
-averaged over them.  In every seating the seats add up, so the chances of all words behind a word,
-unseen ones included, add up to 1.  Discounts come from the numbers of dishes met once and twice.
+under the parent's probabilities and the restaurant's tables of the sweep before.  The spelling
+model is fitted to the tables of the first ``FITS`` sweeps.  In each sweep the word restaurant is
+seated under several guesses of its tables and goes on from where guess and outcome agree (in the
+second, twice as far, as tables and spelling pull each other on).  Once tables and customers of the
+word restaurant change by less than ``SETTLED`` from one sweep to the next, ``SAMPLES`` seatings are
+taken and probabilities are averaged over them.  In every seating the seats add up, so the chances
+of all words behind a word, unseen ones included, add up to 1.  Discounts come from the numbers of
+dishes met once and twice.
 
 Words that training didn't meet count as one word, as they do in the base score: its base
 probability is what the spelling model leaves outside the training vocabulary.
@@ -28,9 +30,10 @@ met more often and the words they hold; tables by word and by context are summed
 counts.  Only the spelling model is sent around: at most 64^4 cells over its alphabet of the 62
 most frequent bytes, an end, and one symbol for all others, whose bytes share its chance equally.
 
-Defined results: a null or empty text is its end token alone; without training rows N = V = 0, the
-base is 0 for X rows, also of one id
-or a null id, count each time; a text beyond ``tx.CHUNK_BYTES`` is read in pieces cut between words.
+Defined results: a null or empty text is its end token alone; without training rows N = V = 0 and
+all tokens are one unseen word, whose base and score are 0; repeated rows, also of one id or a
+null id, count each time; an empty table gives no rows; a text beyond ``tx.CHUNK_BYTES`` is read in
+pieces cut between words.
 """
 
 from __future__ import annotations
@@ -52,13 +55,25 @@ BLOCK_BYTES = 8 << 20
 #: Tokens to a range of keys whose sums are taken together.
 PART_TOKENS = 1 << 20
 #: Seatings of the spelling model that are passed over and that count.
-BURN_IN, SPELLINGS = 4, 6
-#: Seatings of words that count; the change of tables at which earlier sweeps end, and the most of these.
-SAMPLES, SETTLED, MOST_SWEEPS = 2, 0.02, 12
+BURN_IN, SPELLINGS = 2, 3
+#: Seatings of words that count; the change of tables at which earlier sweeps end, the most of these, and
+#: those that fit the spelling model anew.
+SAMPLES, SETTLED, MOST_SWEEPS, FITS = 2, 0.02, 12, 2
 STRENGTH = 1.0
 END = 10
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each key's number."""
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.empty(len(keys), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return found[new], order[new], number
+
+
 class Words:
     """Distinct words of a block, found run by run."""
 
@@ -68,9 +83,9 @@ class Words:
     def add(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Take in a run of texts; the words in each."""
         h, starts, ends, counts = tx.words(data, off, tx.SPACES_LOWER)
-        found, first, which = np.unique(h, return_index=True, return_inverse=True)
+        found, first, which = distinct(h)
         letters, at = gather(tx.SPACES_LOWER[data], starts[first], ends[first])
-        self._keep(found, letters, np.diff(at), which.astype(np.uint32))
+        self._keep(found, letters, np.diff(at), which)
         return counts
 
     def _keep(self, found, letters, sizes, which) -> None:
@@ -83,7 +98,7 @@ class Words:
         """(letters of the distinct words sorted by hash, a space behind each; words by number; sizes; the end's number)."""
         ending = np.array([END], np.uint8)
         self._keep(tx.span_hash(tx.BYTE_VALUES[ending], np.zeros(1, np.int64), np.ones(1, np.int64)), ending, np.ones(1, np.int64), np.zeros(1, np.uint32))
-        words, first, number = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        _, first, number = distinct(np.concatenate(self.hashes))
         size = np.concatenate(self.sizes)
         stop = np.cumsum(size)
         letters, at = gather(np.concatenate(self.letters), stop[first] - size[first], stop[first])
@@ -91,7 +106,7 @@ class Words:
         spaced = np.full(len(letters) + len(size), 32, np.uint8)
         spaced[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
         base = np.cumsum([0, *map(len, self.hashes)])
-        which = [number[a + w].astype(np.uint32) for a, w in zip(base, self.which, strict=False)]
+        which = [number[a + w] for a, w in zip(base, self.which, strict=False)]
         return spaced, np.concatenate(which[:-1]), size, int(which[-1][0])
 
 
@@ -116,14 +131,14 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Quantiles at u of binomials: summed up from 0 to a mean of 30, beyond by the normal limit."""
+    """Quantiles at u of binomials: summed up from 0 to a mean of 8, beyond by the normal limit."""
     turn = p > 0.5
     q, u = np.where(turn, 1 - p, p), np.where(turn, 1 - u, u)
     a, x = 0.147, np.clip(2 * u - 1, -1 + 1e-12, 1 - 1e-12)
     half = np.log(1 - x * x) / 2
     z = np.sign(x) * np.sqrt(2 * (np.sqrt((2 / (np.pi * a) + half) ** 2 - 2 * half / a) - 2 / (np.pi * a) - half))
     out = np.clip(np.rint(n * q + z * np.sqrt(n * q * (1 - q))), 0, n)
-    few = np.flatnonzero(n * q <= 30)
+    few = np.flatnonzero(n * q <= 8)
     size, odds, left = n[few], q[few] / (1 - q[few]), u[few]
     mass, got, open_ = (1 - q[few]) ** size, np.zeros(len(few)), np.arange(len(few))
     while len(open_):
@@ -139,21 +154,22 @@ def seat(count: np.ndarray, fresh: np.ndarray, discount: float, draw) -> np.ndar
     """Tables of each dish after its customers came, run by run.
 
     fresh: (strength + discount * tables of the restaurant) * parent's probability of the dish;
-    draw(step, who) gives uniform numbers.  A run is a sixteenth of those seated, one customer at
+    draw(step, who) gives uniform numbers.  A run is a sixth of those seated, one customer at
     least; its new tables are a binomial draw under the chance in its middle.
     """
     tables = np.minimum(count, 1).astype(np.float64)
-    order = np.argsort(-count, kind="stable")
-    c, f, t = count[order], fresh[order], tables[order]
-    k, step = 1, 0
-    while (live := int(np.searchsorted(-c, -k, "left"))) > 0:  # dishes with more than k customers
-        run = max(1, k // 16)
-        many = np.minimum(run, c[:live] - k)
-        chance = f[:live] / (f[:live] + np.maximum(k + (many - 1) / 2 - discount * t[:live], 1e-9))
-        u = draw(step, order[:live])
-        t[:live] += (u < chance) if run == 1 else binomial(many, chance, u)
+    live = np.flatnonzero(count > 1)
+    c, f, t, k, step = count[live], fresh[live], tables[live], 1, 0
+    while len(live):  # dishes with more than k customers
+        run = max(1, k // 6)
+        many = np.minimum(run, c - k)
+        chance = f / (f + np.maximum(k + (many - 1) / 2 - discount * t, 1e-9)) if run > 1 else f / (f + np.maximum(k - discount * t, 1e-9))
+        u = draw(step, live)
+        t = t + ((u < chance) if run == 1 else binomial(many, chance, u))
         k, step = k + run, step + 1
-    tables[order] = t
+        on = c > k
+        tables[live[~on]] = t[~on]
+        live, c, f, t = live[on], c[on], f[on], t[on]
     return tables
 
 
@@ -288,11 +304,8 @@ def _draws(keys: np.ndarray, sweep: int):
 
 
 def drawn_tables(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, sweep: int) -> np.ndarray:
-    """Tables in one seating; a dish met once has one."""
-    tables = np.minimum(count, 1).astype(np.float64)
-    many = np.flatnonzero(count > 1)
-    tables[many] = seat(count[many], fresh[many], discount, _draws(keys[many], sweep))
-    return tables
+    """Tables of one sweep's seating; a dish met once has one."""
+    return seat(count, fresh, discount, _draws(keys, sweep))
 
 
 def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -300,19 +313,14 @@ def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return tx.mix(first * tx.ODDS[31] + second)
 
 
-def _pairs(seq: np.ndarray, end: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word before, word) of a block by key: (before, word, key, pair of each token).
 
     The word before a text's first is the end token, which stands last in a block.
     """
-    code = np.concatenate([seq[-1:], seq[:-1]]).astype(np.int64) * len(hashes) + seq
-    code, which = np.unique(code, return_inverse=True)
-    first, second = (code // len(hashes)).astype(np.uint32), (code % len(hashes)).astype(np.uint32)
-    key = _key(hashes[first], hashes[second])
-    order = np.argsort(key)
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    return first[order], second[order], key[order], place[which]
+    before = np.concatenate([seq[-1:], seq[:-1]])
+    key, at, which = distinct(_key(hashes[before], hashes[seq]))
+    return before[at], seq[at], key, which
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -338,7 +346,6 @@ def _blocks(rows: DataFrame) -> DataFrame:
                         "train": pa.array([train.tolist()], pa.list_(pa.bool_())),
                         "sizes": [_pack(sizes, "<i8")],
                         "seq": [_pack(seq, "<u4")],
-                        "end": pa.array([end], pa.int64()),
                         "letters": [_pack(letters, "u1")],
                         "n": pa.array([len(seq)], pa.int64()),
                         "histogram": pa.array([np.bincount(letters[np.repeat(met, size + 1)], minlength=256).tolist()], pa.list_(pa.int64())),
@@ -346,7 +353,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 )
                 number += 1
 
-    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, end bigint, letters binary, n bigint, histogram array<bigint>")
+    return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, letters binary, n bigint, histogram array<bigint>")
 
 
 def _rows(batches):
@@ -373,15 +380,18 @@ SENDING = "kind int, part int, block bigint, keys binary, numbers binary"
 
 
 def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits: int):
-    """Sorted keys of a block with their numbers [k, keys], cut at the ranges of their highest bits."""
+    """Sorted keys of a block with their numbers [k, keys], cut at the ranges of their highest bits; all ranges in one batch."""
     edges = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << tx.U64(64 - bits)), len(keys))
-    for part in np.flatnonzero(np.diff(edges)):
+    parts = np.flatnonzero(np.diff(edges))
+    steps, cells = [], []
+    for part in parts:
         a, b = edges[part], edges[part + 1]
-        steps = np.diff(keys[a:b], prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([_pack(steps, "u1")]), pa.array([_pack(numbers[:, a:b], "<i4")])],
-            names=["kind", "part", "block", "keys", "numbers"],
-        )
+        steps.append(_pack(np.diff(keys[a:b], prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T, "u1"))
+        cells.append(_pack(numbers[:, a:b], "<i4"))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(parts), kind), pa.int32()), pa.array(parts, pa.int32()), pa.array(np.full(len(parts), block), pa.int64()), pa.array(steps, pa.binary()), pa.array(cells, pa.binary())],
+        names=["kind", "part", "block", "keys", "numbers"],
+    )
 
 
 def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
@@ -402,18 +412,17 @@ def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
         first[at[some]] = some
         owned = np.zeros(len(at), "u1")
         owned[first[first >= 0]] = 1
-        a = 0
-        for i, (block, k, _) in enumerate(pieces):
-            b, own = a + len(k), i == 0
-            stats = [int(x) * own for x in (sums[0].sum(), (sums[0] > 0).sum(), (sums[0] == 1).sum(), (sums[0] == 2).sum())]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()),
-                    "sums": [_pack(sums[:, at[a:b]], "<i8")], "owned": [_pack(owned[a:b], "u1")],
-                    "total": pa.array(stats[:1], pa.int64()), "types": pa.array(stats[1:2], pa.int64()), "once": pa.array(stats[2:3], pa.int64()), "twice": pa.array(stats[3:], pa.int64()),
-                }
-            )
-            a = b
+        stop = np.cumsum([len(k) for _, k, _ in pieces])
+        spans = list(zip(stop - [len(k) for _, k, _ in pieces], stop, strict=True))
+        stats = [int(sums[0].sum()), *[int(x.sum()) for x in (sums[0] > 0, sums[0] == 1, sums[0] == 2)]]
+        told = lambda value: pa.array([value] + [0] * (len(pieces) - 1), pa.int64())  # noqa: E731, stands in the first row
+        yield pa.RecordBatch.from_pydict(
+            {
+                "kind": pa.array([kind] * len(pieces), pa.int32()), "part": pa.array([part] * len(pieces), pa.int32()), "block": pa.array([block for block, _, _ in pieces], pa.int64()),
+                "sums": pa.array([_pack(sums[:, at[a:b]], "<i8") for a, b in spans], pa.binary()), "owned": pa.array([_pack(owned[a:b], "u1") for a, b in spans], pa.binary()),
+                **dict(zip(("total", "types", "once", "twice"), map(told, stats), strict=True)),
+            }
+        )
 
     def run(batches):
         now, pieces = None, []
@@ -492,15 +501,16 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     train: boolean column, the rows to learn from; null learns nothing.  per_token adds
     ``token_scores``: the log10 probability of each token, the end's last.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, "4m"):
         return _scored(docs, train, id_col, text_col, per_token)
 
 
 def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_token: bool) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    with small_batches(docs.sparkSession, 10_000):
+    with small_batches(docs.sparkSession, "16m"):
         blocks = _bucketed(_blocks(rows), "lm-blocks")
-    bits = max(4, int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // PART_TOKENS).bit_length())
+    bits = int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] // PART_TOKENS).bit_length()
+    bits = max(4, bits - 3), max(4, bits)  # a block has some eight times as many pairs as words
     histogram = np.zeros(256, np.int64)
     for r in blocks.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         histogram[r["pos"]] = r["n"]
@@ -510,11 +520,11 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             block, seq = r["block"].as_py(), _unpack(r["seq"], "<u4")
             words = _hashes(*_listed(r["letters"]))
             learnt = np.repeat(np.array(r["train"].as_py(), bool), _unpack(r["sizes"], "<i8"))
-            yield from _sendings(block, 0, words, np.bincount(seq[learnt], minlength=len(words))[None], bits)
-            _, _, keys, which = _pairs(seq, r["end"].as_py(), words)
-            yield from _sendings(block, 1, keys, np.bincount(which[learnt], minlength=len(keys))[None], bits)
+            yield from _sendings(block, 0, words, np.bincount(seq[learnt], minlength=len(words))[None], bits[0])
+            _, _, keys, which = _pairs(seq, words)
+            yield from _sendings(block, 1, keys, np.bincount(which[learnt], minlength=len(keys))[None], bits[1])
 
-    totals, stats = _summed(blocks.select("block", "train", "sizes", "seq", "end", "letters").mapInArrow(count, SENDING), "lm-sums")
+    totals, stats = _summed(blocks.select("block", "train", "sizes", "seq", "letters").mapInArrow(count, SENDING), "lm-sums")
     n, v = stats.get(0, (0, 0))[:2]
     pairs_n, pair_types, *met = stats.get(1, (0, 0, 0, 0))
     pair_discount = discount_of(*met)
@@ -525,7 +535,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         """The pairs that a block owns: those met more than once, tables of all by word and by context, and their words."""
         for r in _rows(batches):
             letters, off = _listed(r["letters"])
-            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), r["end"].as_py(), _hashes(letters, off))
+            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), _hashes(letters, off))
             total, own = _fetched(r["back"], 1, 1)
             mine = _fetched(r["back"], 0, 1)[1]
             opened = np.stack([np.bincount(x[own], minlength=len(mine)) for x in (second, first)])
@@ -547,7 +557,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
     def opened(batches):
         """Tables by word and by context where every pair has one."""
         for r in _rows(batches):
-            yield from _sendings(r["block"].as_py(), 0, _hashes(*_listed(r["letters"])), _unpack(r["least"], "<i8").reshape(2, -1), bits)
+            yield from _sendings(r["block"].as_py(), 0, _hashes(*_listed(r["letters"])), _unpack(r["least"], "<i8").reshape(2, -1), bits[0])
 
     def narrowed(batches):
         """Only words that a block seats: its own ones and those in its pairs met more than once."""
@@ -570,7 +580,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             )
 
     seating = "block bigint, letters binary, mine binary, least binary, first binary, second binary, count binary"
-    held = _bucketed(known.select("block", "seq", "end", "letters", "back").mapInArrow(owned, seating), "lm-owned")
+    held = _bucketed(known.select("block", "seq", "letters", "back").mapInArrow(owned, seating), "lm-owned")
     least, _ = _summed(held.select("block", "letters", "least").mapInArrow(opened, SENDING), "lm-least")
     seats = _bucketed(held.drop("least").join(least, "block").mapInArrow(narrowed, seating), "lm-seats")
     forget(held)
@@ -582,28 +592,42 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         least = _unpack(r["least"], "<i8").reshape(2, -1)
         return least + _fetched(r[column], 0, 2)[0] if r[column].is_valid else least
 
-    def shares(base: np.ndarray) -> np.ndarray:
-        return np.power(10.0, np.maximum(base, -300))
+    def spelled_out(seated: DataFrame, spelling) -> DataFrame:
+        """Blocks with the spelling model's chance of each of their words, written anew."""
+
+        def run(batches):
+            for r in _rows(batches):
+                base = spelling.value.log10(*_listed(r["letters"]))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"].as_py()], pa.int64()), "base": [_pack(np.power(10.0, np.maximum(base, -300)), "<f8")]})
 
-    def words_seated(seated: DataFrame, spelling, now: Seating, cells: bool, guesses: list[float]) -> tuple[np.ndarray, np.ndarray, list[float]]:
-        """Byte cells of the word restaurant's tables; its tables, dishes met once and twice, base mass, and tables under guesses."""
+        based = _bucketed(seated.select("block", "letters").mapInArrow(run, "block bigint, base binary"), "lm-base")
+        spelling.destroy()
+        return based
+
+    def words_seated(seated: DataFrame, now: Seating, first: bool, cells: bool, guesses: list[float]) -> tuple[np.ndarray, np.ndarray, list[float]]:
+        """Byte cells of the word restaurant's tables; its tables, dishes met once and twice, base mass, and tables under guesses.
+
+        first: each customer has a table.
+        """
         tallies = 4 + len(guesses)
 
         def run(batches):
             symbol = symbols_of(histogram)
+            used = int(symbol[symbol < SYMBOLS - 1].max(initial=0)) + 1
             for r in _rows(batches):
                 letters, off = _listed(r["letters"])
                 mine = _unpack(r["mine"], "?")
                 served = state(r)[0][mine]
                 words = _hashes(letters, off)[mine]
-                letters, off = gather(letters, off[:-1][mine], off[1:][mine])
-                base = shares(spelling.value.log10(letters, off)) if spelling else np.zeros(len(words))
-                t = now.drawn(words, served, base) if spelling else served  # at first each customer has a table
+                base = np.zeros(len(words)) if first else _unpack(r["base"], "<f8")[mine]
+                t = served if first else now.drawn(words, served, base)
                 others = [now.drawn(words, served, base, guess).sum() for guess in guesses]
                 codes, numbers = [np.arange(-tallies, 0)], [[t.sum(), (served == 1).sum(), (served == 2).sum(), base.sum(), *others]]
+                if cells:
+                    letters, off = gather(letters, off[:-1][mine], off[1:][mine])
                 for a, b in tx.spans(off, 1 << 20, len(off)) if cells else ():
                     s, code, word = spelled(letters[off[a] : off[b]], off[a : b + 1] - off[a], symbol)
-                    found, count = _cells(code, s, t[a:b][word], int(symbol[symbol < SYMBOLS - 1].max(initial=0)) + 1)
+                    found, count = _cells(code, s, t[a:b][word], used)
                     codes.append(found)
                     numbers.append(count)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).astype(np.int64)), pa.array(np.concatenate(numbers).astype(np.float64))], names=["code", "n"])
@@ -613,76 +637,81 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         tallied = dict(zip(code[code < 0].tolist(), number[code < 0].tolist(), strict=True))
         return code[code >= 0], number[code >= 0].round().astype(np.int64), [tallied.get(k, 0.0) for k in range(-tallies, 0)]
 
-    def pairs_seated(seated: DataFrame, spelling, now: Seating) -> tuple[DataFrame, int]:
+    def pairs_seated(seated: DataFrame, now: Seating) -> tuple[DataFrame, int]:
         """Tables beyond the first of all pairs, by word and by context, and their number."""
 
         def run(batches):
             for r in _rows(batches):
-                letters, off = _listed(r["letters"])
-                words = _hashes(letters, off)
+                words = _hashes(*_listed(r["letters"]))
                 served, inside = state(r)
-                chances = now.chances(words, served, shares(spelling.value.log10(letters, off))).astype(np.float64)
+                chances = now.chances(words, served, _unpack(r["base"], "<f8")).astype(np.float64)
                 first, second, total = _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["count"], "<i8")
                 fresh = (STRENGTH + pair_discount * inside[first]) * chances[second]
                 t = drawn_tables(_key(words[first], words[second]), total, fresh, pair_discount, now.sweep) - 1
-                yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x, t, len(words)) for x in (second, first)]), bits)
+                yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x, t, len(words)) for x in (second, first)]), bits[0])
 
         moved, told = _summed(seated.mapInArrow(run, SENDING), "lm-seats")
         return moved, told.get(0, (0,))[0]
 
-    def with_state(moved: DataFrame | None) -> DataFrame:
-        return seats.join(moved, "block") if moved is not None else seats.withColumn("back", F.lit(None).cast(totals.schema["back"].dataType))
+    def with_state(based: DataFrame | None, moved: DataFrame | None) -> DataFrame:
+        rows = seats.join(based, "block") if based is not None else seats
+        return rows.join(moved, "block") if moved is not None else rows.withColumn("back", F.lit(None).cast(totals.schema["back"].dataType))
 
-    # sweeps until the tables settle; the spelling model is fitted to the tables of each
-    code, number, tallied = words_seated(with_state(None), None, Seating(pair_types, 0, 0, 0.5, 0), True, [])
-    spelling = context.broadcast(Spelling(histogram, (code, number)))
+    def fitted(code: np.ndarray, number: np.ndarray, last: DataFrame | None) -> DataFrame:
+        if last is not None:
+            forget(last)
+        return spelled_out(seats, context.broadcast(Spelling(histogram, (code, number))))
+
+    # sweeps until the tables settle
+    code, number, tallied = words_seated(with_state(None, None), Seating(pair_types, 0, 0, 0.5, 0), True, True, [])
+    based = fitted(code, number, None)
     now, moved, sweep, states, settled = Seating(pair_types, tallied[0], tallied[0], discount_of(*map(int, tallied[1:3])), 0), None, 0, [], not v
     guesses = np.geomspace(max(v, 1), max(pair_types, v, 1), 5).tolist()
     while not settled and sweep < MOST_SWEEPS:
         sweep += 1
-        code, number, tallied = words_seated(with_state(moved), spelling, now, True, guesses)
+        code, number, tallied = words_seated(with_state(based, moved), now, False, sweep <= FITS, guesses)
         tables = agreed(np.array(guesses), np.array(tallied[4:]))
-        settled = abs(tables - now.before) <= SETTLED * tables
-        spelling.destroy()
-        spelling = context.broadcast(Spelling(histogram, (code, number)))
+        settled = sweep > FITS and abs(tables - now.before) <= SETTLED * tables
+        if sweep <= FITS:
+            based = fitted(code, number, based)
+        if sweep == 2:
+            tables = float(np.clip(2 * tables - now.before, v, now.customers))
         now, last = Seating(now.customers, tables, tables, discount_of(*map(int, tallied[1:3])), sweep), moved
-        moved, more = pairs_seated(with_state(moved), spelling, now)
+        moved, more = pairs_seated(with_state(based, moved), now)
         if last is not None:
             forget(last)
-        settled &= abs(pair_types + more - now.customers) <= SETTLED * now.customers
+        settled = settled and abs(pair_types + more - now.customers) <= SETTLED * now.customers
         now = Seating(pair_types + more, tables, tables, now.discount, sweep + 1)
-        guesses = [0.85 * tables, tables, 1.15 * tables]
+        guesses = [0.9 * tables, 1.1 * tables]
     # seatings that count, under one spelling model and one discount, each with its own sums
     outside, seatings = 1.0, []
     for sample in range(SAMPLES + 1 if v else 0):
-        tallied = words_seated(with_state(moved), spelling, now, False, [])[2]
+        tallied = words_seated(with_state(based, moved), now, False, False, [])[2]
         outside = max(1 - tallied[3], 1e-12)
         now = Seating(now.customers, now.before, tallied[0], now.discount, now.sweep)
         seatings.append(now)
         states.append(moved)
         if sample < SAMPLES:
-            moved, more = pairs_seated(with_state(moved), spelling, now)
+            moved, more = pairs_seated(with_state(based, moved), now)
             now = Seating(pair_types + more, now.tables, now.tables, now.discount, now.sweep + 1)
 
     def told(batches):
         """Each word's chance and tables in every seating, from the block that owns it."""
         for r in _rows(batches):
-            letters, off = _listed(r["letters"])
-            words, mine = _hashes(letters, off), _unpack(r["mine"], "?")
-            base, numbers = shares(spelling.value.log10(letters, off)), []
+            words, mine, base, numbers = _hashes(*_listed(r["letters"])), _unpack(r["mine"], "?"), _unpack(r["base"], "<f8"), []
             for k, each in enumerate(seatings):
                 served, inside = state(r, f"s{k}")
                 numbers += [each.chances(words, served, base).view("<i4"), inside.astype("<i4")]
-            yield from _sendings(r["block"].as_py(), 0, words, np.stack(numbers) * mine, bits)
+            yield from _sendings(r["block"].as_py(), 0, words, np.stack(numbers) * mine, bits[0])
 
     def asked(batches):
         for r in _rows(batches):
             words = _hashes(*_listed(r["letters"]))
-            yield from _sendings(r["block"].as_py() + (1 << 62), 0, words, np.zeros((2 * len(seatings), len(words)), "<i4"), bits)
+            yield from _sendings(r["block"].as_py() + (1 << 62), 0, words, np.zeros((2 * len(seatings), len(words)), "<i4"), bits[0])
 
     final = None
     if seatings:
-        every = seats
+        every = seats.join(based, "block")
         for k, moved in enumerate(states):
             every = every.join(moved.withColumnRenamed("back", f"s{k}"), "block")
         sent = every.mapInArrow(told, SENDING).unionByName(blocks.select("block", "letters").mapInArrow(asked, SENDING))
@@ -694,7 +723,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             sizes, seq = _unpack(r["sizes"], "<i8"), _unpack(r["seq"], "<u4")
             words = _hashes(*_listed(r["letters"]))
             total = _fetched(r["back"], 0, 1)[0][0]
-            first, second, keys, which = _pairs(seq, r["end"].as_py(), words)
+            first, second, keys, which = _pairs(seq, words)
             met = _fetched(r["back"], 1, 1)[0][0]
             share = np.zeros(len(keys))
             numbers = _fetched(r["final"], 0, 2 * len(seatings))[0] if seatings else None
@@ -714,10 +743,10 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                 out["token_scores"] = pa.ListArray.from_arrays(pa.array(np.append(at, sizes.sum()), pa.int32()), pa.array(values[which]))
             yield pa.RecordBatch.from_pydict(out)
 
-    whole = known.select("block", "ids", "train", "sizes", "seq", "end", "letters", "back")
+    whole = known.select("block", "ids", "train", "sizes", "seq", "letters", "back")
     whole = whole.join(final, "block") if final is not None else whole
     schema = "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double" + ", token_scores array<double>" * per_token
     found = frozen(whole.drop("block").mapInArrow(score, schema), "lm-scores").withColumnRenamed("id", id_col)
-    for left in (blocks, totals, seats, *states, *([final] if final is not None else [])):
+    for left in (blocks, totals, seats, based, *states, *([final] if final is not None else [])):
         forget(left)
     return found
