@@ -41,8 +41,9 @@ def class_agnostic(rows: DataFrame, video: str, category: str) -> DataFrame:
 
 
 def keep_max_queries(rows: DataFrame, group: str, key: str, most: int, positive: Column, seed: int = 0) -> DataFrame:
-    """At most ``most`` queries of each group, positives first, then by a seeded hash."""
-    order = Window.partitionBy(group).orderBy(positive.cast("int").desc(), F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """At most ``most`` queries of each group, positives first, then by a seeded digest."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    order = Window.partitionBy(group).orderBy(positive.cast("int").desc(), digest, F.col(key))
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 

@@ -51,8 +51,8 @@ def _xyxy(pdf: pd.DataFrame) -> np.ndarray:
     return box
 
 
-def suppress(det: DataFrame, group: list[str], threshold: float, inclusive: bool = False, over: str = "union", id_col: str = "det_id") -> DataFrame:
-    """The detections that survive greedy suppression within each group."""
+def suppress(det: DataFrame, group: list[str], threshold: float, inclusive: bool = False, over: str = "union", id_col: str = "det_id", mark: str | None = None) -> DataFrame:
+    """The detections that survive greedy suppression within each group; with mark, all of them and whether they do."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_bucket")
@@ -62,9 +62,26 @@ def suppress(det: DataFrame, group: list[str], threshold: float, inclusive: bool
         for i in np.flatnonzero(np.diff(at) > 1):
             own = slice(at[i], at[i + 1])
             keep[own] = greedy(iou_matrix(box[own], box[own], over), threshold, inclusive)
-        return pdf[keep].drop(columns="_code")
+        pdf = pdf.drop(columns="_code")
+        return pdf.assign(**{mark: keep}) if mark else pdf[keep]
 
-    return det.withColumn("_bucket", bucket_of(det, group)).groupBy("_bucket").applyInPandas(one, det.schema)
+    schema = det.withColumn(mark, F.lit(True)).schema if mark else det.schema
+    return det.withColumn("_bucket", bucket_of(det, group)).groupBy("_bucket").applyInPandas(one, schema)
+
+
+def nulled(det: DataFrame, group: list[str], threshold: float, id_col: str = "det_id") -> DataFrame:
+    """All detections; the boxes that frame suppression drops are null."""
+    marked = suppress(det, group, threshold, inclusive=True, id_col=id_col, mark="_kept")
+    return marked.withColumns({c: F.when(F.col("_kept"), F.col(c)) for c in ("x1", "y1", "w", "h")}).select(*det.columns)
+
+
+def overlap_lists(det: DataFrame, group: str, threshold: float, id_col: str = "det_id") -> DataFrame:
+    """Each group's kept and removed places, in the order of ids; groups of one detection have no lists."""
+    marked = suppress(det, [group], threshold, over="least", id_col=id_col, mark="_kept")
+    told = marked.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(id_col, F.col("_kept").alias("k")))).alias("_e"))
+    places = F.transform("_e", lambda e, i: F.struct(i.alias("i"), e["k"].alias("k")))
+    listed = lambda on: F.when(F.size("_e") > 1, F.filter(places, lambda e: e["k"] if on else ~e["k"])["i"])
+    return told.select(group, listed(True).alias("kept_indices"), listed(False).alias("removed_indices"), F.lit(threshold).alias("iom_threshold"))
 
 
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:

@@ -11,37 +11,18 @@ from objectlens.functions import geometry as g
 from objectlens.functions import masks, rotated, scalar, shapes
 from objectlens.functions import text as tx
 from objectlens.operators import filters, library, matching, metrics, relational, reshape, rollups, selection, suppression
-from objectlens.session import table
-from objectlens.sources.views import view, with_views
+from objectlens.plans import registry
+from objectlens.plans.registry import query as _query
 from objectlens.streaming import rules, tracks
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None, *views: str):
-    """Register a function of (view, tab), which give a view or a table by name."""
-
-    def add(f):
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda n: view(spark, sf_dir, n), lambda n: table(spark, sf_dir, n))
-
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from objectlens.plans import extended  # noqa: F401, its queries register themselves
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: registry.SQL[k] for k in queries() if k in registry.SQL}
 
 
 def _box(p: str = "") -> tuple:
@@ -380,22 +361,6 @@ def count_metric(v, t):
     return v("trk").groupBy("video_id").agg(F.count(F.lit(1)).alias("dets"), F.countDistinct("track").alias("ids"), (F.max("frame") + 1).alias("frames"))
 
 
-# suppression
-@_query()
-def greedy_nms(v, t):
-    return suppression.suppress(v("det"), ["image_id"], 0.5).select("det_id")
-
-
-@_query()
-def frame_nms(v, t):
-    return suppression.suppress(v("det"), ["image_id", "category_id"], 0.3, inclusive=True).select("det_id")
-
-
-@_query()
-def overlap_removal(v, t):
-    return suppression.suppress(v("det"), ["image_id"], 0.3, over="least").select("det_id")
-
-
 # reshape
 @_query("SELECT video_id, track, frame, score AS value FROM trk", "trk")
 def tracks_to_frames(v, t):
@@ -414,7 +379,7 @@ def text_affix(v, t):
     return v("turns").select("conv_id", "turn", reshape.text_affix(F.col("role"), "the ", ".", ["User"]).alias("role"))
 
 
-@_query()
+@_query("SELECT image_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CAST(score >= 500 AS INT) DESC, md5(concat_ws(':', det_id, 0)), det_id) AS k FROM det) WHERE k <= 3", "det")
 def keep_max_queries(v, t):
     return reshape.keep_max_queries(v("det"), "image_id", "det_id", 3, F.col("score") >= 500).select("image_id", "det_id")
 
