@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.operators.metrics import THRESHOLDS, average_precision
+from objectlens.operators.metrics import THRESHOLDS, average_precision, precision_recall
 from objectlens.operators.suppression import iou_matrix
 
 #: Area ranges by name, both ends included.
@@ -99,13 +99,9 @@ def precision_by_area(evaluated: DataFrame, n_gt: DataFrame, images: DataFrame |
     """(category_id, area, threshold, ap, ar) from matched_by_area; images confines it to some images, as a rarity bucket."""
     rows = evaluated.join(images.select("image_id").distinct(), "image_id", "left_semi") if images is not None else evaluated
     cell = ["category_id", "area", "threshold"]
-    counted = rows.where("NOT ignored").join(n_gt, ["category_id", "area"])
-    w = Window.partitionBy(*cell).orderBy(F.desc("score"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumn("tp", F.sum(F.col("hit").cast("bigint")).over(w)).withColumn("rank", F.count(F.lit(1)).over(w))
-    run = run.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / F.col("n_gt"))
-    back = Window.partitionBy(*cell).orderBy(F.asc("score"), F.desc("image_id"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = run.withColumn("envelope", F.max("precision").over(back)).withColumn("_cell", F.struct(*cell))
-    ap = average_precision(curve, "_cell").select("_cell.*", "ap")
+    counted = rows.where("NOT ignored").join(n_gt, ["category_id", "area"]).withColumn("_cell", F.struct(*cell))
+    run = precision_recall(counted, "_cell", [F.desc("score"), F.asc("image_id"), F.asc("det_id")], "hit", F.col("n_gt"))
+    ap = average_precision(run, "_cell").select("_cell.*", "ap")
     ar = run.groupBy(*cell).agg(F.max("recall").alias("ar"))
     every = n_gt.select("category_id", "area", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
     return every.join(ap, cell, "left").join(ar, cell, "left").fillna(0.0, ["ap", "ar"])

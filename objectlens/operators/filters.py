@@ -103,7 +103,14 @@ def nearest_frames(current: DataFrame, cond: DataFrame, video: str, frame: str,
 
     Ties in distance go to the earlier frame.
     """
-    pairs = current.select(video, frame).join(cond.select(video, F.col(frame).alias("cond")), video).withColumn("_before", F.col("cond") < F.col(frame)).withColumn("_far", F.abs(F.col("cond") - F.col(frame)))
+    if k < 0:
+        pairs = current.select(video, frame).join(cond.select(video, F.col(frame).alias("cond")), video)
+    else:  # the k frames before and the k from it on hold all that can be taken
+        listed = cond.groupBy(video).agg(F.sort_array(F.collect_list(frame)).alias("_c"))
+        placed = current.select(video, frame).join(listed, video).withColumn("_p", F.size(F.filter("_c", lambda c: c < F.col(frame))))
+        near = F.slice("_c", F.greatest(F.col("_p") - k, F.lit(0)) + 1, F.least(F.col("_p"), F.lit(k)) + k)
+        pairs = placed.select(video, frame, F.explode(near).alias("cond"))
+    pairs = pairs.withColumn("_before", F.col("cond") < F.col(frame)).withColumn("_far", F.abs(F.col("cond") - F.col(frame)))
     side = F.row_number().over(Window.partitionBy(video, frame, "_before").orderBy("_far"))
     order = Window.partitionBy(video, frame).orderBy((F.col("_side") > 1).cast("int"), "_far", "cond")
     ranked = pairs.withColumn("_side", side).withColumn("_rank", F.row_number().over(order))

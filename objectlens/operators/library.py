@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.session import written
+from objectlens.session import forget, written
 
-BLOCK_ROWS = 512
+BLOCK_ROWS, PIVOTS = 512, 2
 
 
 def l2_normalised(vector: Column) -> Column:
@@ -25,29 +27,40 @@ def standardised(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(moments)).select(id_col, F.zip_with(column, "stats", lambda x, s: (x.cast("double") - s["m"]) / s["s"]).alias(column))
 
 
-def cosine_neighbours(rows: DataFrame, id_col: str, column: str, eps: float, blocks: int | None = None) -> DataFrame:
+def cosine_neighbours(rows: DataFrame, id_col: str, column: str, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, distance) of all pairs a < b with a cosine distance of at most eps, exactly.
 
-    Rows are dealt to blocks, and each pair of blocks meets in one task as a matrix product.  The
-    number of blocks grows with the rows, so a task's memory is bounded.
+    Unit vectors at a cosine distance of at most eps are at most sqrt(2 eps) apart, so their
+    distances to any pivot differ by no more.  Rows are dealt to rings of that width around
+    ``PIVOTS`` pivots at once: a row meets only rows of its own and the neighbouring rings, and a
+    ring is cut into blocks of about block_rows by hash, whose pairs meet in one task as a matrix product.
     """
-    blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.select(F.col(id_col).alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("t"))
-    placed = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "v")
-
-    def near(table: pa.Table) -> pa.Table:
-        ids, tile = table["id"].to_numpy(), table["t"].to_numpy()
+    unit = rows.select(F.col(id_col).alias("id"), l2_normalised(F.transform(column, lambda x: x.cast("double"))).alias("v"))
+    pivots = [r["v"] for r in unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
+    reach = max((2 * eps) ** 0.5 * (1 + 1e-9), 0.02)  # not below, so that rings stay few
+    away = lambda v, p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(v, F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    ring = F.array(*[F.floor(away(F.col("v"), p) / reach) for p in pivots]) if pivots else F.array().cast("array<bigint>")
+    dealt = written(unit.withColumn("ring", ring), "rings")
+    sizes = dealt.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))  # at most 101 rings around each pivot
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in itertools.product((0, 1, -1), repeat=len(pivots))]) if pivots else F.array(F.array().cast("array<bigint>"))
+    shift = lambda r, s: F.zip_with(r, s, lambda a, b: a + b)
+    near = sizes.select(F.col("ring").alias("own"), F.explode(F.transform(steps, lambda s: shift(F.col("ring"), s))).alias("other")).join(sizes.select(F.col("ring").alias("other"), F.col("n").alias("m")), "other").where("own <= other")
+    near = near.join(sizes.select(F.col("ring").alias("own"), "n"), "own")
+    cells = near.select("own", "other", F.ceil(F.col("n") / block_rows).alias("p"), F.ceil(F.col("m") / block_rows).alias("q"))
+    left = dealt.join(F.broadcast(cells), F.col("ring") == F.col("own")).select("own", "other", F.pmod(F.xxhash64("id"), F.col("p")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = dealt.join(F.broadcast(cells), F.col("ring") == F.col("other")).select("own", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("q")).alias("j"), F.lit(1).alias("side"), "id", "v")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
         v = np.array(table["v"].to_pylist(), float).reshape(len(ids), -1)
-        norm = np.linalg.norm(v, axis=1)
-        v = v / np.where(norm > 0, norm, 1)[:, None]
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        distance = 1 - v[left] @ v[right].T
-        p, q = np.nonzero((distance <= eps) & ((ids[left][:, None] < ids[right][None]) if i == j else np.ones_like(distance, bool)))
-        a, b = ids[left][p], ids[right][q]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": distance[p, q]})
+        same = table["own"][0].as_py() == table["other"][0].as_py()
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        distance = 1 - v[p] @ v[q].T
+        i, j = np.nonzero((distance <= eps) & ((ids[p][:, None] < ids[q][None]) if same else (ids[p][:, None] != ids[q][None])))
+        a, b = ids[p][i], ids[q][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": distance[i, j]})
 
-    return placed.groupBy("i", "j").applyInArrow(near, "a bigint, b bigint, distance double")
+    return left.unionByName(right).groupBy("own", "other", "i", "j").applyInArrow(meet, "a bigint, b bigint, distance double")
 
 
 def clusters(rows: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
@@ -60,12 +73,17 @@ def clusters(rows: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     labels = edges.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id"))
     mark = None
     while True:
-        least = edges.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("m"))
+        # an exchange of its own lets adaptive execution split a centre's many edges
+        least = edges.join(labels.repartition("id"), F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("m"))
         hop = labels.join(least, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = hop.select(F.col("id").alias("j"), F.col("label").alias("jl"))
+        last = labels
         labels = written(hop.join(jump, F.col("label") == F.col("j"), "left").select("id", F.least("label", F.coalesce("jl", "label")).alias("label")), "labels")
         now = tuple(labels.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("decimal(38,0)"))).head())
+        if mark is not None:
+            forget(last)
         if now == mark:
+            forget(edges)
             return rows.select(id_col).join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
         mark = now
 
@@ -86,6 +104,12 @@ def library(rows: DataFrame, group: str, keys: list[str], seq: str, path: str, m
     return majority(rows, group, keys, seq).join(members, group).join(shown, group)
 
 
+def members(rows: DataFrame, group: str, seq: str, path: str) -> DataFrame:
+    """(group, place, path): every instance of every object, in order; what the index shows the first of."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(seq))
+    return rows.select(group, place.alias("place"), F.col(path).alias("path"))
+
+
 def browse(entries: DataFrame, filters: dict[str, str], sort: str | None) -> DataFrame:
     """Entries that meet all non-empty filters, sorted by count or by a key; an unknown sort keeps the order."""
     for column, value in filters.items():

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from objectlens.operators.suppression import assign, bucket_of
+from objectlens.session import written
 
 #: IoU thresholds of the evaluation, in hundredths, so that they compare exactly.
 THRESHOLDS = list(range(50, 100, 5))
 ALPHAS = [k / 100 for k in range(5, 100, 5)]
+#: Bounds of score ranges, all that the driver holds of a curve.
+RANGES = 200
 
 
 def image_counts(images: DataFrame, gt: DataFrame, det: DataFrame, key: str) -> DataFrame:
@@ -41,7 +44,7 @@ def f1_rows(images: DataFrame, gt: DataFrame, det: DataFrame, matches: DataFrame
 def f1_totals(rows: DataFrame) -> DataFrame:
     """Per threshold: tp, fp, fn, pm_fp (on images with both sides), positive_micro_f1, positive_macro_f1."""
     local = F.when((F.col("n_gt") > 0) & (F.col("n_dt") > 0), _f1(F.col("tp") / (F.col("tp") + F.col("fp") + 1e-4), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-4)))
-    sums = rows.where("n_gt > 0 OR n_dt > 0").groupBy("threshold").agg(F.sum("tp").alias("tp"), F.sum(F.when(F.col("n_gt") > 0, F.col("fp")).otherwise(F.col("fp"))).alias("fp"), F.sum("fn").alias("fn"), F.coalesce(F.sum(F.when(local.isNotNull(), F.col("fp"))), F.lit(0)).alias("pm_fp"), F.avg(local).alias("positive_macro_f1"))
+    sums = rows.where("n_gt > 0 OR n_dt > 0").groupBy("threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.coalesce(F.sum(F.when(local.isNotNull(), F.col("fp"))), F.lit(0)).alias("pm_fp"), F.avg(local).alias("positive_macro_f1"))
     precision, recall = F.col("tp") / (F.col("tp") + F.col("pm_fp") + 1e-4), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-4)
     return sums.withColumn("positive_micro_f1", _f1(precision, recall))
 
@@ -71,14 +74,28 @@ def _f1(p: Column, r: Column) -> Column:
     return 2 * p * r / (p + r + 1e-4)
 
 
-def precision_recall(det: DataFrame, group: str, order: list[Column], hit: str, n_gt: Column) -> DataFrame:
-    """Running precision and recall by score within a group, and precision made monotone from the right."""
-    w = Window.partitionBy(group).orderBy(*order)
-    run = det.withColumn("tp", F.sum(F.col(hit).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    run = run.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / n_gt)
+def precision_recall(det: DataFrame, group: str, order: list[Column], hit: str, n_gt: Column, by: str = "score", ranges: int = RANGES) -> DataFrame:
+    """Running precision and recall by score within a group, and precision made monotone from the right.
+
+    order begins with the fall of ``by``.  A group's rows are dealt to ranges of ``by``, whose bounds are
+    values chosen by hash; numbers run inside a range and are moved by the sums of the ranges before, as the
+    maxima are by those behind.  So no task sees all rows of a group but where they share one score.
+    """
+    chosen = sorted(r[0] for r in det.select(by).where(F.col(by).isNotNull()).distinct().orderBy(F.xxhash64(by), by).limit(ranges).collect())
+    above = F.filter(F.array(*map(F.lit, chosen)), lambda c: c > F.col(by)) if chosen else None
+    dealt = det.withColumn("_range", F.size(above) if chosen else F.lit(0))
+    cell, hits = [group, "_range"], F.col(hit).cast("bigint")
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum(hits).alias("h"))
+    before = sums.select(*cell, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "h")])
+    w = Window.partitionBy(*cell).orderBy(*order)
+    run = dealt.join(before, cell).withColumn("tp", F.sum(hits).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_h")).withColumn("rank", F.row_number().over(w) + F.col("_n"))
+    run = written(run.withColumn("precision", F.col("tp") / F.col("rank")).withColumn("recall", F.col("tp") / n_gt), "curve")
+    behind = Window.partitionBy(group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = run.groupBy(*cell).agg(F.max("precision").alias("t")).select(*cell, F.coalesce(F.max("t").over(behind), F.lit(0.0)).alias("_later"))
     # from the last rank back: a frame that only grows is linear, one that shrinks is computed anew for each row
-    back = Window.partitionBy(group).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return run.withColumn("envelope", F.max("precision").over(back))
+    back = Window.partitionBy(*cell).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return run.join(tops, cell).withColumn("envelope", F.greatest(F.max("precision").over(back), F.col("_later"))).drop("_range", "_n", "_h", "_later")
 
 
 def average_precision(curve: DataFrame, group: str) -> DataFrame:

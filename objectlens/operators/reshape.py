@@ -62,7 +62,9 @@ def rle_area(counts: Column) -> Column:
 
 def rle_spans(counts: Column) -> Column:
     """Foreground runs as (start, end) places in column-major order."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda k: F.aggregate(F.slice(counts, 1, k), F.lit(0).cast("bigint"), lambda s, c: s + c))
+    # one pass: the array of ends grows by the last end plus the next run
+    none = F.array().cast("array<bigint>")
+    ends = F.aggregate(counts, none, lambda done, c: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0).cast("bigint")) + c)))
     spans = F.zip_with(counts, ends, lambda c, e: F.struct((e - c).alias("start"), e.alias("end")))
     return F.filter(F.filter(spans, lambda s, i: i % 2 == 1), lambda s: s["end"] > s["start"])
 
