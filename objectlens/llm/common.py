@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL(None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -77,6 +81,13 @@ def write_once(path: str, write) -> None:
     fs.move(part, at)
 
 
+def give_back() -> None:
+    """Hand memory that a worker has freed back to the system; workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def fields(df: DataFrame, names: list[str]) -> str:
     """Schema text of some columns."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{n}`" for n in names]).schema)

@@ -48,10 +48,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objectlens.llm import textops as tx
-from objectlens.llm.common import forget, frozen, scratch, small_batches
+from objectlens.llm.common import forget, frozen, give_back, scratch, small_batches
 
 ORDER, SYMBOLS = 3, 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Tokens to a range of keys whose sums are taken together.
 PART_TOKENS = 1 << 20
 #: Seatings of the spelling model that are passed over and that count.
@@ -319,7 +319,9 @@ def _pairs(seq: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     The word before a text's first is the end token, which stands last in a block.
     """
     before = np.concatenate([seq[-1:], seq[:-1]])
-    key, at, which = distinct(_key(hashes[before], hashes[seq]))
+    key = (hashes * tx.ODDS[31])[before]
+    key += hashes[seq]
+    key, at, which = distinct(tx.mix(key))
     return before[at], seq[at], key, which
 
 
@@ -351,16 +353,19 @@ def _blocks(rows: DataFrame) -> DataFrame:
                         "histogram": pa.array([np.bincount(letters[np.repeat(met, size + 1)], minlength=256).tolist()], pa.list_(pa.int64())),
                     }
                 )
+                del words, flat, seq, letters
+                give_back()
                 number += 1
 
     return rows.mapInArrow(run, "block bigint, ids array<bigint>, train array<boolean>, sizes binary, seq binary, letters binary, n bigint, histogram array<bigint>")
 
 
 def _rows(batches):
-    """Each row of the batches as a dictionary of scalars."""
+    """Each row of the batches as a dictionary of scalars; what a row needed is given back to the system before the next."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i] for name in batch.schema.names}
+            give_back()
 
 
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
