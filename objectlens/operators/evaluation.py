@@ -6,12 +6,15 @@ tasks by hash and read as sorted streams, so no count of the table is taken befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.operators.metrics import THRESHOLDS, average_precision, precision_recall
+from objectlens.operators.metrics import THRESHOLDS, average_precision, hota, hota_combined, precision_recall
 from objectlens.operators.suppression import iou_matrix
 
 #: Area ranges by name, both ends included.
@@ -176,3 +179,28 @@ def class_slices(gt: DataFrame, det: DataFrame, keys: list[str], cls: str, gt_id
     known = gt.select(keys[0], cls).distinct()
     dense = lambda df, c: df.withColumn(c, F.dense_rank().over(Window.partitionBy(keys[0], cls).orderBy(c)) - 1)
     return dense(gt, gt_id), dense(det.join(known, [keys[0], cls], "left_semi"), det_id)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric as four functions of DataFrames: of sequences, and their combinations over sequences and classes."""
+
+    per_sequence: Callable[..., DataFrame]
+    sequences: Callable[[DataFrame], DataFrame]
+    classes: Callable[[DataFrame, str], DataFrame]
+    detections: Callable[[DataFrame], DataFrame]
+
+
+#: Metrics by name; register others here.
+METRICS = {"hota": Metric(hota, hota_combined, class_averaged, detection_averaged)}
+
+
+def evaluated(metric: str, data: Callable[[], tuple], combine: str = "sequences", *rest) -> DataFrame:
+    """A registered metric of what a dataset function gives, combined in one of its ways."""
+    plug = METRICS[metric]
+    return getattr(plug, combine)(plug.per_sequence(*data()), *rest)
+
+
+def run_all(evaluators: dict[str, Callable[..., DataFrame]], *frames: DataFrame) -> dict[str, DataFrame]:
+    """Each evaluator's result over the same predictions, by name."""
+    return {name: f(*frames) for name, f in evaluators.items()}

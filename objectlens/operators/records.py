@@ -238,3 +238,8 @@ def masklet_record(boxes: Column, width: Column, height: Column) -> Column:
     scale = F.array(width, height, width, height)
     pixels = lambda b: F.array_max(b) > 1
     return F.transform(boxes, lambda b: F.when(pixels(b), F.zip_with(b, scale, lambda v, s: v / s)).otherwise(b))
+
+
+def replaced(cache: DataFrame, anew: DataFrame, keys: list[str]) -> DataFrame:
+    """Cached output in which the frames computed anew stand in place of the old ones, also where they are empty of the old rows."""
+    return cache.join(anew.select(*keys).distinct(), keys, "left_anti").unionByName(anew)

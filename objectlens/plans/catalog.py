@@ -321,18 +321,6 @@ def _f1(v) -> DataFrame:
     return metrics.f1_totals(metrics.f1_rows(v("img"), v("gt"), det, suppression.matched(det, v("gt"), "image_id"), "image_id"))
 
 
-@_query()
-def f1_thresholds(v, t):
-    return _f1(v)
-
-
-@_query()
-def cgf1(v, t):
-    tp, fp, fn, tn = map(F.col, ("il_tp", "il_fp", "il_fn", "il_tn"))
-    il = _il(v).select(metrics.mcc(tp, fp, fn, tn).alias("il_mcc"))
-    return _f1(v).crossJoin(F.broadcast(il)).select("threshold", "positive_micro_f1", "il_mcc", (F.col("positive_micro_f1") * F.col("il_mcc")).alias("cgf1"))  # one row
-
-
 @_query()
 def f1_extended(v, t):
     det = v("det").where("score >= 500")
@@ -346,16 +334,6 @@ def _tracks(v):
     return gt, det, gt.join(det, ["video", "frame"])
 
 
-@_query()
-def hota(v, t):
-    return metrics.hota(*_tracks(v))
-
-
-@_query()
-def hota_combine(v, t):
-    return metrics.hota_combined(metrics.hota(*_tracks(v)))
-
-
 @_query("SELECT video_id, count(*) AS dets, count(DISTINCT track) AS ids, max(frame) + 1 AS frames FROM trk GROUP BY 1", "trk")
 def count_metric(v, t):
     return v("trk").groupBy("video_id").agg(F.count(F.lit(1)).alias("dets"), F.countDistinct("track").alias("ids"), (F.max("frame") + 1).alias("frames"))

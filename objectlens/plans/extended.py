@@ -276,33 +276,39 @@ _HOTA = ", g AS (SELECT video_id AS video, frame, track AS g FROM trk), d AS (SE
 _SHARES = ["ass_a", "ass_re", "ass_pr", "loc_a"]
 
 
-@_query(_HOTA + " SELECT video, alpha, tp, fn, fp, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SHARES) + " FROM h", "trk")
-def sequence_hota(v, t):
-    return _sequences(v).select("video", "alpha", "tp", "fn", "fp", *[_r(F.col(c)).alias(c) for c in _SHARES])
+@_query(_HOTA + " SELECT video, alpha, tp, fn, fp, " + ", ".join(f"round({c}, 9) AS {c}" for c in _SHARES) + " FROM h", "trk")
+def hota(v, t):
+    return _sequences(v).select("video", "alpha", "tp", "fn", "fp", *[_r(F.col(c), 9).alias(c) for c in _SHARES])
+
+
+@_query(_HOTA + ", y AS (SELECT alpha, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(ass_a * tp) / greatest(1, sum(tp)) AS ass_a, sum(loc_a * tp) / greatest(1, sum(tp)) AS loc_a FROM h GROUP BY 1) SELECT alpha, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, round(ass_a, 9) AS ass_a, round(loc_a, 9) AS loc_a, round(tp * 1.0e0 / greatest(1, tp + fn + fp), 9) AS det_a, round(sqrt(tp * 1.0e0 / greatest(1, tp + fn + fp) * ass_a), 9) AS hota, round(sqrt(tp * 1.0e0 / greatest(1, tp + fn) * ass_a), 9) AS owta FROM y", "trk")
+def hota_combine(v, t):
+    out = metrics.hota_combined(_sequences(v))
+    return out.select("alpha", "tp", "fn", "fp", *[_r(F.col(c), 9).alias(c) for c in ("ass_a", "loc_a", "det_a", "hota", "owta")])
 
 
 _DET = "sum(tp) * 1.0e0 / greatest(1, sum(tp) + sum(fn) + sum(fp))"
 
 
-@_query(_HOTA + f" SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, round({_DET}, 6) AS det_a, round(sum(ass_a * tp) / greatest(1, sum(tp)), 6) AS ass_a, round(sqrt({_DET} * sum(ass_a * tp) / greatest(1, sum(tp))), 6) AS hota, round(greatest(1e-10, sum(loc_a * tp)) / greatest(1e-10, sum(tp)), 6) AS loc_a FROM h GROUP BY 1", "trk")
+@_query(_HOTA + f" SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, round({_DET}, 9) AS det_a, round(sum(ass_a * tp) / greatest(1, sum(tp)), 9) AS ass_a, round(sqrt({_DET} * sum(ass_a * tp) / greatest(1, sum(tp))), 9) AS hota, round(greatest(1e-10, sum(loc_a * tp)) / greatest(1e-10, sum(tp)), 9) AS loc_a FROM h GROUP BY 1", "trk")
 def classes_by_detections(v, t):
     out = evaluation.detection_averaged(_sequences(v))
-    return out.select("alpha", "tp", *[_r(F.col(c)).alias(c) for c in ("det_a", "ass_a", "hota", "loc_a")])
+    return out.select("alpha", "tp", *[_r(F.col(c), 9).alias(c) for c in ("det_a", "ass_a", "hota", "loc_a")])
 
 
 _SINGLE = ", f AS (SELECT *, tp * 1.0e0 / greatest(1, tp + fn + fp) AS det_a, sqrt(tp * 1.0e0 / greatest(1, tp + fn + fp) * ass_a) AS hota FROM h)"
 
 
-@_query(_HOTA + _SINGLE + " SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, round(avg(det_a), 6) AS det_a, round(avg(hota), 6) AS hota FROM f GROUP BY 1", "trk")
+@_query(_HOTA + _SINGLE + " SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, round(avg(det_a), 9) AS det_a, round(avg(hota), 9) AS hota FROM f GROUP BY 1", "trk")
 def classes_averaged(v, t):
     out = evaluation.class_averaged(evaluation.final_fields(_sequences(v)), "video", ignore_empty=True)
-    return out.select("alpha", "tp", _r(F.col("det_a")).alias("det_a"), _r(F.col("hota")).alias("hota"))
+    return out.select("alpha", "tp", _r(F.col("det_a"), 9).alias("det_a"), _r(F.col("hota"), 9).alias("hota"))
 
 
-@_query(_HOTA + _SINGLE + " SELECT video, round(hota, 6) AS hota0, round(loc_a, 6) AS loc_a0, round(hota * loc_a, 6) AS hota_loc_a0 FROM f WHERE alpha = 0.05e0", "trk")
+@_query(_HOTA + _SINGLE + " SELECT video, round(hota, 9) AS hota0, round(loc_a, 9) AS loc_a0, round(hota * loc_a, 9) AS hota_loc_a0 FROM f WHERE alpha = 0.05e0", "trk")
 def first_alpha_fields(v, t):
     out = evaluation.at_first_alpha(evaluation.final_fields(_sequences(v)), "video")
-    return out.select("video", *[_r(F.col(c)).alias(c) for c in ("hota0", "loc_a0", "hota_loc_a0")])
+    return out.select("video", *[_r(F.col(c), 9).alias(c) for c in ("hota0", "loc_a0", "hota_loc_a0")])
 
 
 @_query(_HOTA + " SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp FROM h WHERE video % 3 = 1 GROUP BY 1", "trk")
@@ -415,3 +421,56 @@ def overlap_lists(v, t):
     lists = suppression.overlap_lists(v("det"), "image_id", 0.3)
     text = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(",", F.col(c).cast("array<string>")))
     return lists.select("image_id", text("kept_indices").alias("kept"), text("removed_indices").alias("removed"))
+
+
+@_query("SELECT video_id, frame, track, score FROM trk WHERE frame % 5 <> 2 OR video_id % 2 = 1 UNION ALL SELECT DISTINCT video_id, frame, 'anew', 0 FROM trk WHERE frame % 5 = 2 AND video_id % 2 = 0", "trk")
+def partial_rerun(v, t):
+    cache = v("trk").select("video_id", "frame", "track", "score")
+    anew = cache.where("frame % 5 = 2 AND video_id % 2 = 0").select("video_id", "frame").distinct().withColumn("track", F.lit("anew")).withColumn("score", F.lit(0).cast("bigint"))
+    return records.replaced(cache, anew, ["video_id", "frame"])
+
+
+@_query("SELECT label, count(*) AS n, string_agg(crop_path, '|' ORDER BY seq) AS paths FROM attr GROUP BY 1", "attr")
+def library_members(v, t):
+    from objectlens.operators import library
+
+    every = library.members(v("attr"), "label", "seq", "crop_path")
+    return every.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(F.struct("place", "path")))["path"], "|").alias("paths"))
+
+
+# F1 totals: the greatest total overlap found by trying every matching of an image's few boxes
+_F1 = (
+    f"WITH RECURSIVE det AS ({VIEWS['det']}), gt AS ({VIEWS['gt']}), img AS ({VIEWS['img']}),"
+    " d AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY det_id) - 1 AS j FROM det WHERE score >= 500), t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gt_id) - 1 AS i FROM gt),"
+    " q AS (SELECT d.image_id, t.i, d.j, greatest(least(d.x1+d.w, t.x1+t.w) - greatest(d.x1, t.x1), 0) * greatest(least(d.y1+d.h, t.y1+t.h) - greatest(d.y1, t.y1), 0) AS o, d.w*d.h + t.w*t.h AS a FROM d JOIN t USING (image_id)),"
+    " p AS (SELECT image_id, i, j, o * 1.0e0 / (a - o) AS iou FROM q WHERE o > 0 UNION ALL SELECT image_id, i, NULL, 0 FROM t),"
+    " n AS (SELECT image_id, (SELECT count(*) FROM t WHERE t.image_id = img.image_id) AS nt, (SELECT count(*) FROM d WHERE d.image_id = img.image_id) AS nd FROM img),"
+    " r AS (SELECT image_id, nt, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, 0.0e0 AS total, CAST([] AS DOUBLE[]) AS hits FROM n WHERE nt > 0 UNION ALL"
+    " SELECT r.image_id, nt, r.i + 1, CASE WHEN p.j IS NULL THEN used ELSE used | (CAST(1 AS BIGINT) << p.j) END, total + p.iou, CASE WHEN p.j IS NULL THEN hits ELSE list_append(hits, p.iou) END FROM r JOIN p ON p.image_id = r.image_id AND p.i = r.i AND (p.j IS NULL OR (used >> p.j) & 1 = 0)),"
+    " best AS (SELECT image_id, arg_max(hits, total) AS hits FROM r WHERE i = nt GROUP BY image_id), th AS (SELECT unnest(range(50, 100, 5)) AS threshold),"
+    " f AS (SELECT threshold, nt, nd, coalesce(len(list_filter(hits, lambda x: floor(x * 100 + 1e-9) >= threshold)), 0) AS tp FROM n CROSS JOIN th LEFT JOIN best USING (image_id) WHERE nt + nd > 0),"
+    " l AS (SELECT *, tp / (nd + 1e-4) AS pr, tp / (nt + 1e-4) AS re FROM f),"
+    " s AS (SELECT threshold, sum(tp) AS tp, sum(nd - tp) AS fp, sum(nt - tp) AS fn, coalesce(sum(nd - tp) FILTER (nt > 0 AND nd > 0), 0) AS pm_fp, avg(2 * pr * re / (pr + re + 1e-4)) FILTER (nt > 0 AND nd > 0) AS macro FROM l GROUP BY 1),"
+    " m AS (SELECT *, tp / (tp + pm_fp + 1e-4) AS mp, tp / (tp + fn + 1e-4) AS mr FROM s), z AS (SELECT *, 2 * mp * mr / (mp + mr + 1e-4) AS micro FROM m)"
+)
+
+
+def _f1(v) -> DataFrame:
+    det = v("det").where("score >= 500")
+    return metrics.f1_totals(metrics.f1_rows(v("img"), v("gt"), det, suppression.matched(det, v("gt"), "image_id"), "image_id"))
+
+
+@_query(_F1 + " SELECT CAST(threshold AS INT) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(pm_fp AS BIGINT) AS pm_fp, round(macro, 6) AS positive_macro_f1, round(micro, 6) AS positive_micro_f1 FROM z")
+def f1_thresholds(v, t):
+    return _f1(v).select("threshold", "tp", "fp", "fn", "pm_fp", *[_r(F.col(c)).alias(c) for c in ("positive_macro_f1", "positive_micro_f1")])
+
+
+@_query(_F1 + ", c AS (SELECT count(*) FILTER (nt > 0 AND nd > 0)::DOUBLE AS a, count(*) FILTER (nt = 0 AND nd > 0)::DOUBLE AS b, count(*) FILTER (nt > 0 AND nd = 0)::DOUBLE AS e, count(*) FILTER (nt = 0 AND nd = 0)::DOUBLE AS g FROM n), k AS (SELECT (a * g - b * e) / (sqrt((a + b) * (a + e) * (g + b) * (g + e)) + 1e-6) AS mcc FROM c) SELECT CAST(threshold AS INT) AS threshold, round(micro, 6) AS positive_micro_f1, round(mcc, 6) AS il_mcc, round(micro * mcc, 6) AS cgf1 FROM z, k")
+def cgf1(v, t):
+    """Positive micro F1 times the image-level coefficient."""
+    from objectlens.plans.catalog import _il
+
+    tp, fp, fn, tn = map(F.col, ("il_tp", "il_fp", "il_fn", "il_tn"))
+    il = _il(v).select(metrics.mcc(tp, fp, fn, tn).alias("mcc"))
+    joined = _f1(v).crossJoin(F.broadcast(il))  # one row
+    return joined.select("threshold", _r(F.col("positive_micro_f1")).alias("positive_micro_f1"), _r(F.col("mcc")).alias("il_mcc"), _r(F.col("positive_micro_f1") * F.col("mcc")).alias("cgf1"))

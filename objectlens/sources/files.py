@@ -108,3 +108,81 @@ def write_library(library: DataFrame, path: str, shown: int = 50) -> None:
 
 def write_summary(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """More lines in a log of JSON lines; what it holds stays."""
+    rows.write.mode("append").json(path)
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """Metrics, a few rows, as one file of JSON lines."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_library(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The library's index; a missing one is empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/index")
+    return spark.read.schema(schema).json(f"{path}/index") if at.getFileSystem(conf).exists(at) else spark.createDataFrame([], schema)
+
+
+def keep_canonical(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Entries of a library written again: an id that had a canonical image keeps it."""
+    kept = old.select("id", F.col("canonical_path").alias("_old"))
+    return new.join(kept, "id", "left").withColumn("canonical_path", F.coalesce("_old", "canonical_path")).drop("_old")
+
+
+def write_annotations(tables: dict[str, DataFrame], images: DataFrame, path: str) -> None:
+    """The tables confined to some images, at a path of their own; the original stays as it is."""
+    ids = images.select("id").distinct()
+    tables["images"].join(ids, "id", "left_semi").write.mode("overwrite").json(f"{path}/images")
+    own = tables["annotations"].join(ids.withColumnRenamed("id", "image_id"), "image_id", "left_semi")
+    own.write.mode("overwrite").json(f"{path}/annotations")
+    for name in set(tables) - {"images", "annotations"}:
+        tables[name].write.mode("overwrite").json(f"{path}/{name}")
+
+
+def reindexed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Images, annotations and categories with ids from 1 on where a table's begin at 0, and their references."""
+    shift = {n: tables[n].agg(F.coalesce(F.max((F.col("id") == 0).cast("int")), F.lit(0)).alias(f"_{n}")) for n in ("images", "annotations", "categories")}
+    moved = lambda df, n, c: df.crossJoin(F.broadcast(shift[n])).withColumn(c, F.col(c) + F.col(f"_{n}")).drop(f"_{n}")  # noqa: E731, one row
+    out = {n: moved(tables[n], n, "id") for n in shift}
+    out["annotations"] = moved(moved(out["annotations"], "images", "image_id"), "categories", "category_id")
+    return {**tables, **out}
+
+
+def image_frames(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:
+    """(frame, path, content) of a folder of images in the order of their numbers, then names."""
+    from pyspark.sql import Window
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][^./]*$', 1) AS BIGINT)")
+    return found.withColumn("frame", F.row_number().over(Window.orderBy(F.asc_nulls_last(number), "path")) - 1).select("frame", "path", "content")  # one video's frames
+
+
+def dummy_frames(spark: SparkSession, n: int) -> DataFrame:
+    """n frames without content."""
+    return spark.range(n).select(F.col("id").alias("frame"), F.lit(None).cast("binary").alias("content"))
+
+
+def read_catalogue(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of a CSV catalogue whose id is asked for."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.join(ids.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
+
+
+#: Readers by name, for callers that are told which one to use.
+READERS = {"manifest": read_manifest, "annotations": read_annotations, "mot": read_mot, "images": image_frames, "dummy": dummy_frames}
+
+
+def html_page(cards: DataFrame, facets: DataFrame, title: str, card: str = "card", order: str = "label") -> DataFrame:
+    """One row: the page of all cards in order, with the counts of facet values beside them.
+
+    The page is one file by nature; cards hold text and paths, no images.
+    """
+    body = cards.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, card))), lambda e: e[card]), "").alias("body"))
+    line = F.concat(F.lit("<li>"), F.col("facet"), F.lit(": "), F.col("value"), F.lit(" ("), F.col("n").cast("string"), F.lit(")</li>"))
+    side = facets.agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("side"))
+    page = F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{title}</title></head><body><ul>"), "side", F.lit("</ul><main>"), "body", F.lit("</main></body></html>"))
+    return body.crossJoin(F.broadcast(side)).select(page.alias("page"))  # one row each

@@ -17,6 +17,10 @@ no track is a row with a null track.  One ``Session`` holds the rules for both m
   then; what is left is flushed when the session ends: with a row of frame -1 in a stream, or when
   nothing came for the time given.
 
+A row with a ``command`` controls its session before the other rows of its frame: ``remove`` takes a
+track away for good, ``cancel`` drops what the buffer holds, ``reset`` forgets the session's tracks and
+frames.  A frame of commands alone is no frame.
+
 A frame at or below the last one of its session is late: it changes nothing and comes out as late.
 State is of the size of a session's tracks and buffer.
 """
@@ -60,6 +64,23 @@ class Session:
     def state(self) -> str:
         return json.dumps({k: sorted(v) if isinstance(v, set) else v for k, v in self.__dict__.items() if k != "rules"})
 
+    def control(self, command: str, track: str | None) -> None:
+        """Take one command; unknown ones change nothing."""
+        if command == "remove":
+            self.gone.add(track)
+        elif command == "cancel":
+            self.buffer.clear()
+        elif command == "reset":
+            self.__init__(self.rules)
+
+    def take(self, frame: int, rows: list[tuple]) -> Iterator[tuple]:
+        """A frame's rows (track, score, det, unmatched, empty, command): commands, then what was seen."""
+        for track, *_, command in rows:
+            if command is not None:
+                self.control(command, track)
+        if any(r[-1] is None for r in rows):
+            yield from self.step(frame, [r[:-1] for r in rows if r[-1] is None and r[0] is not None])
+
     def step(self, frame: int, seen: list[tuple]) -> Iterator[tuple]:
         """Take one frame of (track, score, det, unmatched, empty); give the rows that leave the buffer."""
         if frame <= self.last:
@@ -117,19 +138,19 @@ class Session:
 def _typed(rows: DataFrame) -> DataFrame:
     det = "CAST(det AS STRING) det" if "det" in rows.columns else "CAST(track AS STRING) det"
     flags = [f"coalesce({c}, false) {c}" if c in rows.columns else f"false {c}" for c in ("unmatched", "empty")]
-    return rows.selectExpr("CAST(session AS STRING) session", "CAST(frame AS BIGINT) frame", "CAST(track AS STRING) track", "CAST(score AS DOUBLE) score", det, *flags)
+    command = "CAST(command AS STRING) command" if "command" in rows.columns else "CAST(NULL AS STRING) command"
+    return rows.selectExpr("CAST(session AS STRING) session", "CAST(frame AS BIGINT) frame", "CAST(track AS STRING) track", "CAST(score AS DOUBLE) score", det, *flags, command)
 
 
 def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple]]]:
     """The frames of sorted rows of one session."""
     now, seen = None, []
-    for frame, *told in zip(*[pdf[c] for c in ("frame", "track", "score", "det", "unmatched", "empty")], strict=True):
+    for frame, *told in zip(*[pdf[c] for c in ("frame", "track", "score", "det", "unmatched", "empty", "command")], strict=True):
         if now is not None and frame != now:
             yield now, seen
             seen = []
         now = int(frame)
-        if told[0] is not None:
-            seen.append(tuple(told))
+        seen.append(tuple(told))
     if now is not None:
         yield now, seen
 
@@ -147,18 +168,17 @@ def batch(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
             for session, at, track, *told in pdf.itertuples(index=False):
                 key = (session,)
                 if own is not None and (key != name or at != frame):
-                    out += [(name[0], *row) for row in own.step(int(frame), seen)]
+                    out += [(name[0], *row) for row in own.take(int(frame), seen)]
                     seen = []
                 if key != name:
                     out += [(name[0], *row) for row in own.flush()] if own is not None else []
                     name, own = key, Session(rules)
                 frame = at
-                if track is not None:
-                    seen.append((track, *told))
+                seen.append((track, *told))
             yield _table(out)
             out = []
         if own is not None:
-            yield _table([(name[0], *row) for row in [*own.step(int(frame), seen), *own.flush()]])
+            yield _table([(name[0], *row) for row in [*own.take(int(frame), seen), *own.flush()]])
 
     typed = _typed(rows).where("frame >= 0").repartition("session")
     return typed.sortWithinPartitions("session", "frame", "track").mapInPandas(run, OUT)
@@ -175,7 +195,7 @@ def stream(rows: DataFrame, rules: Rules = Rules(), expiry_ms: int | None = None
             return
         pdf, out = pd.concat(list(parts)), []
         for frame, seen in _frames(pdf[pdf["frame"] >= 0].sort_values(["frame", "track"])):
-            out += own.step(frame, seen)
+            out += own.take(frame, seen)
         if (pdf["frame"] < 0).any():
             out += own.flush()
             if state.exists:

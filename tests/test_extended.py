@@ -182,3 +182,39 @@ def test_strict_records(spark):
     with pytest.raises(Exception, match="no image for video 2, frame 0"):
         records.prediction_frames(tracks, found, [], strict=True).collect()
     assert records.first_n(spark.range(5), 0, "id").count() == 5 and records.first_n(spark.range(5), 2, F.desc("id")).collect()[0].id == 4
+
+
+def test_sinks(spark, tmp_path):
+    from objectlens.sources import files
+
+    log = f"{tmp_path}/log"
+    for k in (1, 2):
+        files.append_log(spark.createDataFrame([(k,)], "k int"), log)
+    assert sorted(r.k for r in spark.read.json(log).collect()) == [1, 2]
+    schema = "id string, canonical_path string"
+    assert files.read_library(spark, f"{tmp_path}/none", schema).count() == 0
+    new, old = spark.createDataFrame([("a", "n"), ("b", "n")], schema), spark.createDataFrame([("a", "o")], schema)
+    assert dict(files.keep_canonical(new, old).collect()) == {"a": "o", "b": "n"}
+    tables = {"images": spark.createDataFrame([(0,), (1,)], "id int"), "annotations": spark.createDataFrame([(5, 0, 3), (6, 1, 3)], "id int, image_id int, category_id int"), "categories": spark.createDataFrame([(3, "x")], "id int, name string")}
+    moved = files.reindexed(tables)
+    assert sorted(moved["images"].collect()) == [(1,), (2,)] and sorted((r.id, r.image_id, r.category_id) for r in moved["annotations"].collect()) == [(5, 1, 3), (6, 2, 3)]
+    files.write_annotations(tables, tables["images"].where("id = 1"), f"{tmp_path}/own")
+    assert [r.id for r in spark.read.json(f"{tmp_path}/own/annotations").collect()] == [6]
+    for name in ("f_10", "f_2", "x"):
+        (tmp_path / "frames").mkdir(exist_ok=True)
+        (tmp_path / "frames" / f"{name}.jpg").write_bytes(name.encode())
+    assert [bytes(r.content).decode() for r in files.image_frames(spark, str(tmp_path / "frames")).orderBy("frame").collect()] == ["f_2", "f_10", "x"]
+    assert files.dummy_frames(spark, 3).count() == 3
+    cards = spark.createDataFrame([(2, "<p>b</p>"), (1, "<p>a</p>")], "label int, card string")
+    page = files.html_page(cards, spark.createDataFrame([("color", "red", 2)], "facet string, value string, n bigint"), "Objects").head().page
+    assert "<p>a</p><p>b</p>" in page and "<li>color: red (2)</li>" in page
+
+
+def test_plug_ins(spark):
+    gt = spark.createDataFrame([("v", f, "a") for f in range(4)], "video string, frame int, gt_id string")
+    det = spark.createDataFrame([("v", f, "x") for f in range(4)], "video string, frame int, det_id string")
+    sim = gt.join(det, ["video", "frame"]).withColumn("sim", F.lit(0.8))
+    out = evaluation.evaluated("hota", lambda: (gt, det, sim))
+    assert {r.alpha: (r.tp, r.hota) for r in out.collect()}[0.5] == (4, 1.0)
+    counted = evaluation.run_all({"rows": lambda a, b: a.agg(F.count("*")), "both": lambda a, b: a.join(b, ["video", "frame"])}, gt, det)
+    assert counted["both"].count() == 4 and counted["rows"].head()[0] == 4

@@ -120,3 +120,11 @@ def test_turns(spark):
     assert sorted((r.conv_id, r.turn) for r in kept) == [(1, 0), (1, 10), (1, 40), (1, 50), (2, 0), (2, 10), (3, 0), (4, 0), (4, 10)]
     with pytest.raises(Exception, match="neither Accept nor Reject"):
         turns.select(text.verdict(F.col("text"), strict=True)).collect()
+
+
+def test_session_commands():
+    row = lambda t, c=None: (t, 1.0, t, False, False, c)
+    own = tracks.Session(tracks.Rules(delay=2))
+    out = [r for f, rows in enumerate([[row("a"), row("b")], [row("a", "remove"), row("b")], [row("b")], [row(None, "cancel"), row("b")], [row("b")], [row("b")]]) for r in own.take(f, rows)]
+    assert [(f, t) for f, t, *_ in [*out, *own.flush()]] == [(0, "b"), (3, "b"), (4, "b"), (5, "b")]
+    assert not list(own.take(6, [row(None, "reset")])) and own.first == {} and own.last == -1
