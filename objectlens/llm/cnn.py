@@ -1,9 +1,9 @@
 """Operator 4: quality classifier, a byte-level convolutional network in numpy.
 
 A document is cut into overlapping chunks of ``CHUNK`` bytes that cover all of it (they overlap
-by at least a filter's width, so that a filter meets every stretch of bytes).  Bytes have learned
-embeddings; learned filters of ``WIDTH`` bytes slide over a chunk; each filter's largest response
-in the chunk is kept.  The document's vector is the mean and the maximum of its chunks' vectors,
+by at least a filter's width).  Bytes have learned embeddings; learned filters of ``WIDTH`` bytes
+slide over a chunk ``STEP`` bytes at a time, so a filter meets every byte but begins at every
+``STEP``-th one only; each filter's largest response in the chunk is kept.  The document's vector is the mean and the maximum of its chunks' vectors,
 and a logistic unit turns it into one probability.
 
 Only the text is an input.  The network is fitted on the driver on a bounded sample of labelled
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from objectlens.llm import textops as tx
 from objectlens.llm.common import fields
 
-CHUNK, WIDTH = 512, 8
+CHUNK, WIDTH, STEP = 512, 8, 2
 HOP = CHUNK - 32
 EMBED, FILTERS = 8, 32
-SAMPLE, STEPS, BATCH = 2000, 500, 48
+SAMPLE, STEPS, BATCH = 2000, 300, 32
 #: Chunks that the filters slide over at a time.
 GROUP = 16
 #: Score from which a document counts as good.
@@ -70,17 +70,26 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.out, self.out_bias]
 
-    def responses(self, chunks: np.ndarray) -> np.ndarray:
+    def tables(self) -> list[np.ndarray]:
+        """What a byte adds to each filter, for each place in the filter: WIDTH times [256, FILTERS]."""
+        both = np.einsum("be,kef->kbf", self.embed, self.filters.reshape(WIDTH, EMBED, FILTERS))
+        return [np.ascontiguousarray(t) for t in both]
+
+    @staticmethod
+    def responses(chunks: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """Each filter at each place of each chunk [chunks, places, FILTERS], without bias."""
-        rows = self.embed[chunks].reshape(len(chunks), -1)
-        spans = np.lib.stride_tricks.sliding_window_view(rows, WIDTH * EMBED, axis=1)[:, ::EMBED]
-        return (spans.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(chunks), -1, FILTERS)
+        last = (CHUNK - WIDTH) // STEP * STEP + 1
+        total = np.take(tables[0], chunks[:, :last:STEP], axis=0)
+        for k in range(1, WIDTH):
+            total += np.take(tables[k], chunks[:, k : k + last : STEP], axis=0)
+        return total
 
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each chunk, and its place."""
         best, place = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        tables = self.tables()
         for a in range(0, len(chunks), GROUP):
-            total = self.responses(chunks[a : a + GROUP])
+            total = self.responses(chunks[a : a + GROUP], tables)
             place[a : a + GROUP] = at = total.argmax(1)
             best[a : a + GROUP] = np.take_along_axis(total, at[:, None], 1)[:, 0]
         return best + self.bias, place
@@ -95,8 +104,8 @@ class Network:
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
-        starts, stops, first = cut(off)
-        best = [self.responses(taken(data, starts[a : a + GROUP], stops[a : a + GROUP])).max(1) for a in range(0, len(starts), GROUP)]
+        (starts, stops, first), tables = cut(off), self.tables()
+        best = [self.responses(taken(data, starts[a : a + GROUP], stops[a : a + GROUP]), tables).max(1) for a in range(0, len(starts), GROUP)]
         return self.combine(np.concatenate(best) + self.bias, first)[0].astype(np.float64)
 
     def gradients(self, chunks: np.ndarray, first: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
@@ -110,7 +119,7 @@ class Network:
         d_active = wide[owner, :FILTERS] / per[owner][:, None] + wide[owner, FILTERS:] * top
         d_pooled = d_active * (1 - active**2)
         # only the place of the largest response passes a gradient on
-        codes = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] + np.arange(WIDTH)]
+        codes = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] * STEP + np.arange(WIDTH)]
         seen = self.embed[codes].reshape(len(chunks), FILTERS, -1)
         d_filters = np.matmul(seen.transpose(1, 2, 0), d_pooled.T[:, :, None])[:, :, 0].T
         d_embed = np.zeros_like(self.embed)

@@ -328,7 +328,7 @@ def test_network_by_brute_force():
         vectors = []
         for a in range(0, max(1, len(text) - (cnn.CHUNK - cnn.HOP)), cnn.HOP):
             chunk = text[a : a + cnn.CHUNK].ljust(cnn.CHUNK, b"\0")
-            values = [np.concatenate([net.embed[c] for c in chunk[i : i + cnn.WIDTH]]) @ net.filters for i in range(cnn.CHUNK - cnn.WIDTH + 1)]
+            values = [np.concatenate([net.embed[c] for c in chunk[i : i + cnn.WIDTH]]) @ net.filters for i in range(0, cnn.CHUNK - cnn.WIDTH + 1, cnn.STEP)]
             vectors.append(np.tanh(np.max(values, axis=0) + net.bias))
         return 1 / (1 + math.exp(-(np.concatenate([np.mean(vectors, axis=0), np.max(vectors, axis=0)]) @ net.out + net.out_bias[0])))
 
