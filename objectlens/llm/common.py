@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -65,6 +66,12 @@ def small_batches(spark: SparkSession, size: str):
         spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of plans that are done with, so that Spark's cleaner deletes the files of their shuffles now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path for a URI or a plain path."""
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objectlens.llm import textops as tx
-from objectlens.llm.common import forget, frozen, give_back, scratch, small_batches
+from objectlens.llm.common import forget, frozen, give_back, scratch, small_batches, tidy
 
 ORDER, SYMBOLS = 3, 64
 BLOCK_BYTES = 5 << 20
@@ -448,6 +448,7 @@ def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
     stats = {r["kind"]: tuple(r)[1:] for r in back.groupBy("kind").agg(*[F.sum(c) for c in ("total", "types", "once", "twice")]).collect()}
     found = _bucketed(back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back")), name)
     forget(back)
+    tidy(sent.sparkSession)
     return found, stats
 
 
@@ -590,6 +591,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
     seats = _bucketed(held.drop("least").join(least, "block").mapInArrow(narrowed, seating), "lm-seats")
     forget(held)
     forget(least)
+    tidy(docs.sparkSession)
     context = docs.sparkSession.sparkContext
 
     def state(r, column: str = "back") -> np.ndarray:
