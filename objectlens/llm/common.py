@@ -78,14 +78,19 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_once(path: str, write) -> None:
-    """Let write(stream) fill a file that appears at path as a whole or not at all; a second attempt replaces it with the same bytes."""
+    """Let write(stream) fill a file that appears at path as a whole or not at all; a second attempt, which has the same bytes, replaces it or leaves it."""
     fs, at = open_fs(path)
     fs.create_dir(os.path.dirname(at), recursive=True)
     context = TaskContext.get()
     part = f"{at}.{context.taskAttemptId() if context else 'driver'}-{uuid.uuid4().hex[:8]}.tmp"
     with fs.open_output_stream(part) as out:
         write(out)
-    fs.move(part, at)
+    try:
+        fs.move(part, at)
+    except OSError:  # some file systems don't move onto what is there
+        if fs.get_file_info(at).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(part)
 
 
 def give_back() -> None:
