@@ -504,6 +504,16 @@ def test_shard_store(spark, docs, tmp_path):
     assert empty.read().count() == 0
 
 
+def test_shard_store_keeps_rows(spark, odd, tmp_path):
+    """Null and repeated ids, odd texts and columns with clashing names come back whole, through two compactions."""
+    store = shards.ShardStore(spark, f"file://{tmp_path}/o", target_bytes=20_000)
+    for _ in range(3):
+        store.append(odd.unionByName(odd), rows_per_shard=3)
+        store.compact()
+    got = store.read().select(*odd.columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, odd.collect() * 6))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 def test_sql_twins(spark, name, sf):
