@@ -399,11 +399,12 @@ def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits
     )
 
 
-def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
+def _summed(sent: DataFrame, name: str, wanted: int = 0) -> tuple[DataFrame, dict[int, tuple]]:
     """Sums of all blocks' numbers by key, back in the order of each block's keys.
 
     Returns a row for each block, with the parts' sums and whether the block owns a key (is the first whose
-    first number isn't 0), and by kind the sum, keys above 0, at 1 and at 2 of the first number.
+    first number isn't 0), and by kind the sum, keys above 0, at 1 and at 2 of the first number.  Blocks
+    below wanted send numbers but get no row.
     """
 
     def settle(kind, part, pieces):
@@ -420,6 +421,10 @@ def _summed(sent: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple]]:
         stop = np.cumsum([len(k) for _, k, _ in pieces])
         spans = list(zip(stop - [len(k) for _, k, _ in pieces], stop, strict=True))
         stats = [int(sums[0].sum()), *[int(x.sum()) for x in (sums[0] > 0, sums[0] == 1, sums[0] == 2)]]
+        kept = [i for i, (block, _, _) in enumerate(pieces) if block >= wanted]
+        if not kept:
+            return
+        pieces, spans = [pieces[i] for i in kept], [spans[i] for i in kept]
         told = lambda value: pa.array([value] + [0] * (len(pieces) - 1), pa.int64())  # noqa: E731, stands in the first row
         yield pa.RecordBatch.from_pydict(
             {
@@ -722,8 +727,8 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         for k, moved in enumerate(states):
             every = every.join(moved.withColumnRenamed("back", f"s{k}"), "block")
         sent = every.mapInArrow(told, SENDING).unionByName(blocks.select("block", "letters").mapInArrow(asked, SENDING))
-        final, _ = _summed(sent, "lm-final")
-        final = final.where(F.col("block") >= 1 << 62).withColumn("block", F.col("block") - (1 << 62)).withColumnRenamed("back", "final")
+        final, _ = _summed(sent, "lm-final", 1 << 62)
+        final = final.withColumn("block", F.col("block") - (1 << 62)).withColumnRenamed("back", "final")
 
     def score(batches):
         for r in _rows(batches):
