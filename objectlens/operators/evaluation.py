@@ -80,9 +80,14 @@ def matched_by_area(det: DataFrame, gt: DataFrame, areas: dict[str, tuple[float,
         out = []
         for (image, category), own in pdf.groupby(["image_id", "category_id"], sort=False):
             hit, ignored, left = group(own)
-            n, cells = len(left), len(areas) * len(need)
-            out.append(pd.DataFrame({"image_id": image, "category_id": category, "area": np.tile(np.repeat(list(areas), len(need)), n), "threshold": np.tile(THRESHOLDS, n * len(areas)), "det_id": np.repeat(left["id"].to_numpy(), cells), "score": np.repeat(left["score"].to_numpy(), cells), "hit": hit.ravel(), "ignored": ignored.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in EVALUATED.split(", ")])
+            out.append((image, category, left["id"].to_numpy(), left["score"].to_numpy(), hit.ravel(), ignored.ravel()))
+        if not out:
+            return pd.DataFrame(columns=[c.split()[0] for c in EVALUATED.split(", ")])
+        images, categories, ids, scores, hits, skipped = zip(*out, strict=True)
+        n, cells = [len(x) for x in ids], len(areas) * len(need)
+        ids, total = np.concatenate(ids), sum(n)
+        spread = lambda x: np.repeat(np.repeat(np.array(x), n), cells)
+        return pd.DataFrame({"image_id": spread(images), "category_id": spread(categories), "area": np.tile(np.repeat(list(areas), len(need)), total), "threshold": np.tile(THRESHOLDS, total * len(areas)), "det_id": np.repeat(ids, cells), "score": np.repeat(np.concatenate(scores), cells), "hit": np.concatenate(hits), "ignored": np.concatenate(skipped)})
 
     kind = lambda c: det.schema[c].dataType.simpleString()
     dealt = rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "side", F.desc("score"), "id")
