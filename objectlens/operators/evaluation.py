@@ -10,88 +10,122 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from objectlens.operators.metrics import THRESHOLDS, average_precision, hota, hota_combined, precision_recall
-from objectlens.operators.suppression import iou_matrix
 
 #: Area ranges by name, both ends included.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
-EVALUATED = "image_id {k}, category_id {c}, area string, threshold int, det_id string, score double, hit boolean, ignored boolean"
+MASKS = "image_id {k}, category_id {c}, det_id string, score double, hits array<int>, skips array<int>"
+#: Cells of one step of matching, whose tables take a few hundred MB at most.
+STEP_CELLS = 2_000_000
 
 
-def matched_by_area(det: DataFrame, gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, most: int = 100) -> DataFrame:
-    """Each prediction at each area range and threshold: whether it hits, and whether it counts.
+def _pair_iou(a: np.ndarray, b: np.ndarray, crowds: np.ndarray) -> np.ndarray:
+    """Overlap of boxes x1, y1, w, h row by row; a crowd counts by the share of the prediction inside it."""
+    inter = np.clip(np.minimum(a[:, :2] + a[:, 2:], b[:, :2] + b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None).prod(1)
+    area = a[:, 2:].prod(1)
+    whole = np.where(crowds, np.maximum(area, 1e-12), area + b[:, 2:].prod(1) - inter)
+    return np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0)
 
-    det: image_id, category_id, det_id, score, x1, y1, w, h; gt: the same with gt_id and, if there is one, iscrowd.
-    Predictions of a group are taken by falling score, ``most`` at most, ties by id.  Each takes the free
-    ground truth of greatest overlap from the threshold on; those that count come before ignored ones (crowds and
-    areas out of range), and a crowd may be taken again.  What matched an ignored one, or matched nothing and has an
-    area out of range itself, is ignored.
+
+def _match_groups(d: np.ndarray, at: np.ndarray, n: np.ndarray, g: np.ndarray, to: np.ndarray, m: np.ndarray, crowds: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hits and ignored [predictions, areas, thresholds]; group k has n[k] predictions from at[k] on and m[k] ground truths from to[k] on.
+
+    The k-th predictions of all groups are matched at once.
     """
+    area_d, area_g = d[:, 2:].prod(1), g[:, 2:].prod(1)
+    out = (area_d[:, None] < low) | (area_d[:, None] > high)
+    skip = crowds[:, None] | (area_g[:, None] < low) | (area_g[:, None] > high)
+    hit = np.zeros((len(d), len(low), len(need)), bool)
+    ignored = np.repeat(out[:, :, None], len(need), 2)
+    free = np.ones((len(g), len(low), len(need)), bool)
+    for k in range(n.max(initial=0)):
+        active = np.flatnonzero((n > k) & (m > 0))
+        ends = np.cumsum(m[active]) * len(low) * len(need) // STEP_CELLS
+        for own in np.split(active, np.flatnonzero(np.diff(ends)) + 1):
+            if not len(own):
+                continue
+            size, row = m[own], at[own] + k
+            begin = np.cumsum(size) - size
+            item = np.arange(size.sum()) - np.repeat(begin - to[own], size)
+            over = _pair_iou(np.repeat(d[row], size, 0), g[item], crowds[item])
+            fits = (over[:, None] >= need)[:, None] & (free[item] | crowds[item, None, None])
+            best = np.where(fits, (over[:, None] + 2 * ~skip[item])[:, :, None], -1.0)
+            last = np.broadcast_to(item[:, None, None], best.shape)
+            if (size > 1).any():
+                gain, best = best, np.maximum.reduceat(best, begin, 0)
+                last = np.maximum.reduceat(np.where(gain == np.repeat(best, size, 0), last, -1), begin, 0)  # of equal overlaps the last
+            found = best >= 0
+            i, a, t = np.nonzero(found)
+            free[last[i, a, t], a, t] = False
+            skipped = skip[last, np.arange(len(low))[None, :, None]]
+            hit[row] = found & ~skipped
+            ignored[row] = np.where(found, skipped, out[row][:, :, None])
+    return hit, ignored
+
+
+def match_masks(det: DataFrame, gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, most: int = 100) -> DataFrame:
+    """The predictions of matched_by_area, each once: for every area a number whose bits are the thresholds it hits or is ignored at."""
     cols = ("x1", "y1", "w", "h")
     crowd = F.coalesce(F.col("iscrowd").cast("boolean"), F.lit(False)) if "iscrowd" in gt.columns else F.lit(False)
-    side = lambda df, k, name, score, c: df.select("image_id", "category_id", F.lit(k).alias("side"), F.col(name).cast("string").alias("id"), score.cast("double").alias("score"), *[F.col(x).cast("double").alias(x) for x in cols], c.alias("crowd"))
-    rows = side(det, 1, "det_id", F.col("score"), F.lit(False)).unionByName(side(gt, 0, "gt_id", F.lit(0.0), crowd))
-    low, high = (np.array([a[k] for a in areas.values()])[:, None] for k in (0, 1))
+    side = lambda df, k, name, score, c: df.select("image_id", "category_id", F.lit(k).alias("side"), F.col(name).cast("string").alias("det_id"), score.cast("double").alias("score"), *[F.col(x).cast("double").alias(x) for x in cols], c.alias("crowd"))
+    known = gt.where("image_id IS NOT NULL AND category_id IS NOT NULL")
+    rows = side(det, 1, "det_id", F.col("score"), F.lit(False)).unionByName(side(known, 0, "gt_id", F.lit(0.0), crowd))
+    low, high = (np.array([float(a[k]) for a in areas.values()]) for k in (0, 1))
     need = np.minimum(np.array(THRESHOLDS) / 100, 1 - 1e-10)
+    bits = 1 << np.arange(len(need))
 
-    def group(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
-        """Hits and ignored [predictions, areas, thresholds] of one group, and its predictions."""
-        left, right = own[own["side"] == 1].head(most), own[own["side"] == 0]
-        d, g = left[list(cols)].to_numpy(), right[list(cols)].to_numpy()
-        area_d, area_g, crowds = d[:, 2] * d[:, 3], g[:, 2] * g[:, 3], right["crowd"].to_numpy(bool)
-        box = lambda b: np.concatenate([b[:, :2], b[:, :2] + b[:, 2:]], 1)
-        over = iou_matrix(box(d), box(g))
-        if crowds.any():  # a crowd counts by the share of the prediction inside it
-            inter = over * (area_d[:, None] + area_g[None]) / (1 + over)
-            over = np.where(crowds[None], inter / np.maximum(area_d[:, None], 1e-12), over)
-        skip = crowds[None] | (area_g[None] < low) | (area_g[None] > high)  # [areas, ground truths]
-        free = np.ones((len(low), len(need), len(g)), bool)
-        hit, ignored = np.zeros((len(d), len(low), len(need)), bool), np.zeros((len(d), len(low), len(need)), bool)
-        a, t = np.indices((len(low), len(need)))
-        for i in range(len(d)):
-            out = (area_d[i] < low[:, 0]) | (area_d[i] > high[:, 0])
-            if not len(g):
-                ignored[i] = out[:, None]
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            fits = (over[i][None, None] >= need[None, :, None]) & (free | crowds)
-            gain = np.where(fits, over[i][None, None] + 2 * ~skip[:, None], -1.0)
-            last = gain.shape[2] - 1 - gain[:, :, ::-1].argmax(2)  # of equal overlaps the last
-            found = gain[a, t, last] >= 0
-            free[a[found], t[found], last[found]] = False
-            hit[i] = found & ~skip[a, last]
-            ignored[i] = (found & skip[a, last]) | (~found & out[:, None])
-        return hit, ignored, left
-
-    def run(parts):
-        rest = None
-        for pdf in parts:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            ends = np.flatnonzero((pdf[["image_id", "category_id"]].shift(-1) != pdf[["image_id", "category_id"]]).any(axis=1).to_numpy())
-            whole, rest = pdf.iloc[: ends[-2] + 1] if len(ends) > 1 else pdf.iloc[:0], pdf.iloc[ends[-2] + 1 :] if len(ends) > 1 else pdf
-            yield table(whole)
-        if rest is not None:
-            yield table(rest)
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (image, category), own in pdf.groupby(["image_id", "category_id"], sort=False):
-            hit, ignored, left = group(own)
-            out.append((image, category, left["id"].to_numpy(), left["score"].to_numpy(), hit.ravel(), ignored.ravel()))
-        if not out:
-            return pd.DataFrame(columns=[c.split()[0] for c in EVALUATED.split(", ")])
-        images, categories, ids, scores, hits, skipped = zip(*out, strict=True)
-        n, cells = [len(x) for x in ids], len(areas) * len(need)
-        ids, total = np.concatenate(ids), sum(n)
-        spread = lambda x: np.repeat(np.repeat(np.array(x), n), cells)
-        return pd.DataFrame({"image_id": spread(images), "category_id": spread(categories), "area": np.tile(np.repeat(list(areas), len(need)), total), "threshold": np.tile(THRESHOLDS, total * len(areas)), "det_id": np.repeat(ids, cells), "score": np.repeat(np.concatenate(scores), cells), "hit": np.concatenate(hits), "ignored": np.concatenate(skipped)})
+            code = batch["_code"].to_numpy()
+            cut = int(np.flatnonzero(code != code[-1]).max(initial=-1)) + 1
+            if cut or (held and held[-1]["_code"][0].as_py() != code[-1]):
+                yield table(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield table(pa.Table.from_batches(held))
+
+    def table(own: pa.Table) -> pa.RecordBatch:
+        """Masks of whole groups; a group's ground truths come before its predictions."""
+        code, right = own["_code"].to_numpy(), own["side"].to_numpy() == 0
+        group = np.cumsum(np.diff(code, prepend=code[:1]) != 0)
+        n, m = (np.bincount(group[x], minlength=group[-1] + 1) for x in (~right, right))
+        first = np.cumsum(n) - n
+        chosen = np.flatnonzero(~right)[np.arange(n.sum()) - first[group[~right]] < most]
+        n = np.minimum(n, most)
+        box = np.column_stack([own[c].to_numpy() for c in cols])
+        found = _match_groups(box[chosen], np.cumsum(n) - n, n, box[right], np.cumsum(m) - m, m, own["crowd"].to_numpy()[right], low, high, need)
+        left, places = own.take(chosen), np.arange(len(chosen) + 1, dtype=np.int32) * len(low)
+        lists = [pa.ListArray.from_arrays(places, pa.array((x @ bits).astype(np.int32).ravel())) for x in found]
+        plain = [left[c].combine_chunks() for c in ("image_id", "category_id", "det_id", "score")]
+        return pa.RecordBatch.from_arrays([*plain, *lists], names=["image_id", "category_id", "det_id", "score", "hits", "skips"])
 
     kind = lambda c: det.schema[c].dataType.simpleString()
-    dealt = rows.repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "side", F.desc("score"), "id")
-    return dealt.mapInPandas(run, EVALUATED.format(k=kind("image_id"), c=kind("category_id")))
+    # dealt by a number: a repartition by the keys that both sides of a union are already dealt by is left out, though their partitions may then be merged differently
+    dealt = rows.withColumn("_code", F.xxhash64("image_id", "category_id")).repartition("_code").sortWithinPartitions("image_id", "category_id", "side", F.desc("score"), "det_id")
+    return dealt.mapInArrow(run, MASKS.format(k=kind("image_id"), c=kind("category_id")))
+
+
+def matched_by_area(det: DataFrame, gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, most: int = 100) -> DataFrame:
+    """Each prediction at each area range and threshold: whether it hits, and whether it counts.
+
+    det: image_id, category_id, det_id, score, x1, y1, w, h; gt: the same with gt_id and, if there is one, iscrowd.
+    Predictions of a group are taken by falling score, ``most`` at most, ties by id.  Each takes the free
+    ground truth of greatest overlap from the threshold on; those that count come before ignored ones (crowds and
+    areas out of range), and a crowd may be taken again.  What matched an ignored one, or matched nothing and has an
+    area out of range itself, is ignored.  Ground truths without an image or a category match nothing.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(i).alias("i"), F.lit(t).alias("threshold"), F.lit(1 << k).alias("bit")) for i, n in enumerate(areas) for k, t in enumerate(THRESHOLDS)])
+    on = lambda c: F.get(c, F.col("c.i")).bitwiseAND(F.col("c.bit")) != 0
+    spread = match_masks(det, gt, areas, most).withColumn("c", F.explode(cells))
+    return spread.select("image_id", "category_id", "c.area", "c.threshold", "det_id", "score", on("hits").alias("hit"), on("skips").alias("ignored"))
 
 
 def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS) -> DataFrame:

@@ -218,3 +218,16 @@ def test_plug_ins(spark):
     assert {r.alpha: (r.tp, r.hota) for r in out.collect()}[0.5] == (4, 1.0)
     counted = evaluation.run_all({"rows": lambda a, b: a.agg(F.count("*")), "both": lambda a, b: a.join(b, ["video", "frame"])}, gt, det)
     assert counted["both"].count() == 4 and counted["rows"].head()[0] == 4
+
+
+def test_matching_deals_both_sides(spark):
+    """Sides dealt by the keys already are dealt again as one; their partitions may be merged differently."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("image_id", "category_id")
+    rows = [(k % 7, k % 3, f"d{k}", 1.0, 0.0, 0.0, 10.0, 10.0) for k in range(30)]
+    det = spark.createDataFrame(rows, DET).withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 0")
+    got = evaluation.matched_by_area(det, det.withColumnRenamed("det_id", "gt_id"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan[: plan.index("Union")]
+    assert got.where("area = 'all' AND threshold = 95 AND hit").count() == 30
