@@ -1,7 +1,7 @@
 """Evaluation by category, area range and image, its summaries, and combinations over classes.
 
-Matching goes through the predictions of one (image, category) by score; whole groups are dealt to
-tasks by hash and read as sorted streams, so no count of the table is taken before.
+Matching goes through the predictions of each (image, category) by score, those of one place in all groups
+of a batch at once; whole groups are dealt to tasks by hash and read as sorted streams.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.operators.metrics import THRESHOLDS, average_precision, hota, hota_combined, precision_recall
+from objectlens.operators.metrics import RANGES, THRESHOLDS, hota, hota_combined
+from objectlens.session import written
 
 #: Area ranges by name, both ends included.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -137,16 +138,69 @@ def positives(gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS) -> D
     return gt.where(~F.coalesce(counts, F.lit(False))).select("category_id", F.explode(inside).alias("r")).groupBy("category_id", F.col("r.area").alias("area")).agg(F.count(F.lit(1)).alias("n_gt"))
 
 
+def _range_of(by: str, bounds: list) -> Column:
+    """How many of the rising bounds lie above a value; rows without one come last.  Comparisons as a tree, so few a row."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(len(bounds) - lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(by) < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return F.when(F.col(by).isNull(), F.lit(len(bounds) + 1)).otherwise(tree(0, len(bounds)))
+
+
 def precision_by_area(evaluated: DataFrame, n_gt: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """(category_id, area, threshold, ap, ar) from matched_by_area; images confines it to some images, as a rarity bucket."""
-    rows = evaluated.join(images.select("image_id").distinct(), "image_id", "left_semi") if images is not None else evaluated
-    cell = ["category_id", "area", "threshold"]
-    counted = rows.where("NOT ignored").join(n_gt, ["category_id", "area"]).withColumn("_cell", F.struct(*cell))
-    run = precision_recall(counted, "_cell", [F.desc("score"), F.asc("image_id"), F.asc("det_id")], "hit", F.col("n_gt"))
-    ap = average_precision(run, "_cell").select("_cell.*", "ap")
-    ar = run.groupBy(*cell).agg(F.max("recall").alias("ar"))
-    every = n_gt.select("category_id", "area", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
-    return every.join(ap, cell, "left").join(ar, cell, "left").fillna(0.0, ["ap", "ar"])
+    bit = F.element_at(F.create_map(*[F.lit(v) for k, t in enumerate(THRESHOLDS) for v in (t, 1 << k)]), F.col("threshold"))
+    marked = lambda c: F.sum(F.when(F.col(c), bit).otherwise(0)).cast("int").alias(c)
+    keys = ["image_id", "category_id", "area", "det_id", "score"]
+    return _precision(evaluated.groupBy(*keys).agg(marked("hit"), marked("ignored")), n_gt, images)
+
+
+def precision_of_masks(masks: DataFrame, n_gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, images: DataFrame | None = None) -> DataFrame:
+    """precision_by_area from match_masks, without a row for each threshold."""
+    cells = F.array(*[F.struct(F.lit(n).alias("area"), F.get("hits", F.lit(i)).alias("hit"), F.get("skips", F.lit(i)).alias("ignored")) for i, n in enumerate(areas)])
+    return _precision(masks.withColumn("c", F.explode(cells)).select("image_id", "category_id", "c.area", "det_id", "score", "c.hit", "c.ignored"), n_gt, images)
+
+
+def _precision(rows: DataFrame, n_gt: DataFrame, images: DataFrame | None) -> DataFrame:
+    """Precision from rows whose hit and ignored are bits of thresholds.
+
+    A cell's rows are dealt to ranges of score, whose bounds are scores chosen by hash.  Running sums of all
+    thresholds go over one order and begin with the sums of the ranges before, so no task sees all rows of a cell but
+    where they share one score.  Of each hundredth of recall the best precision is kept; the greatest of it and of
+    those behind is the interpolated precision.
+    """
+    rows = rows.join(images.select("image_id").distinct(), "image_id", "left_semi") if images is not None else rows
+    every, n = (1 << len(THRESHOLDS)) - 1, range(len(THRESHOLDS))
+    rows = written(rows.where(F.col("ignored") != every).join(n_gt, ["category_id", "area"]), "evaluated")
+    scores = rows.select("score").where("score IS NOT NULL AND NOT isnan(score)").distinct()
+    bounds = sorted(r[0] for r in scores.orderBy(F.xxhash64("score"), "score").limit(RANGES).collect())
+    cell = ["category_id", "area", "_range"]
+    dealt = rows.withColumn("_range", _range_of("score", bounds))
+    on = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit(1)).cast("bigint")
+    sums = [f(k) for k in n for f in (lambda k: F.sum(1 - on("ignored", k)), lambda k: F.sum(on("hit", k)))]
+    names = [f"{c}{k}" for k in n for c in ("n", "h")]
+    totals = dealt.groupBy(*cell, "n_gt").agg(*[c.alias(m) for c, m in zip(sums, names, strict=True)])
+    earlier = Window.partitionBy("category_id", "area").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*cell, *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}") for m in names])
+    w = Window.partitionBy(*cell).orderBy(F.desc("score"), F.asc("image_id"), F.asc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.select(*cell, "n_gt", "hit", *[c.over(w).alias(m) for c, m in zip(sums, names, strict=True)]).where("hit != 0")
+    points = F.array(*[F.struct(F.lit(t).alias("threshold"), (on("hit", k) == 1).alias("on"), (F.col(f"h{k}") + F.col(f"_h{k}")).alias("tp"), (F.col(f"n{k}") + F.col(f"_n{k}")).alias("rank")) for k, t in enumerate(THRESHOLDS)])
+    hits = run.join(before, cell).select("category_id", "area", "n_gt", F.explode(F.filter(points, lambda p: p["on"])).alias("p"))
+    level = F.floor(F.col("p.tp") / F.col("n_gt") * 100 + 1e-9).cast("int")
+    best = hits.groupBy("category_id", "area", F.col("p.threshold").alias("threshold"), level.alias("level")).agg(F.max(F.col("p.tp") / F.col("p.rank")).alias("p"))
+    own = Window.partitionBy("category_id", "area", "threshold").orderBy(F.desc("level"))
+    covered = F.col("level") - F.coalesce(F.lead("level").over(own), F.lit(-1))
+    steps = best.withColumn("_part", F.max("p").over(own.rowsBetween(Window.unboundedPreceding, 0)) * covered)
+    ap = steps.groupBy("category_id", "area", "threshold").agg((F.sum("_part") / 101).alias("ap"))
+    found = totals.groupBy("category_id", "area", "n_gt").agg(*[F.sum(f"h{k}").alias(f"h{k}") for k in n])
+    spread = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), (F.col(f"h{k}") / F.col("n_gt")).alias("ar")) for k, t in enumerate(THRESHOLDS)]))
+    ar = found.select("category_id", "area", spread.alias("r")).select("category_id", "area", "r.*")
+    keys = ["category_id", "area", "threshold"]
+    cells = n_gt.select("category_id", "area", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
+    return cells.join(ap, keys, "left").join(ar, keys, "left").fillna(0.0, ["ap", "ar"])
 
 
 def summary(value: Column) -> Column:

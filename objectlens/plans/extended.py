@@ -359,12 +359,12 @@ def evaluation_by_area(v, t):
 
 @_query()
 def precision_by_area(v, t):
-    return evaluation.precision_by_area(_evaluated(v, v("det"), v("gt")), evaluation.positives(v("gt"), _AREAS))
+    return evaluation.precision_of_masks(evaluation.match_masks(v("det"), v("gt"), _AREAS), evaluation.positives(v("gt"), _AREAS), _AREAS)
 
 
 @_query()
 def evaluation_report(v, t):
-    rows = evaluation.precision_by_area(_evaluated(v, v("det"), v("gt")), evaluation.positives(v("gt"), _AREAS)).where("area = 'all'")
+    rows = precision_by_area(v, t).where("area = 'all'")
     return evaluation.report(rows, "threshold", ["ap", "ar"])
 
 

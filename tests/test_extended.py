@@ -231,3 +231,16 @@ def test_matching_deals_both_sides(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan[: plan.index("Union")]
     assert got.where("area = 'all' AND threshold = 95 AND hit").count() == 30
+
+
+def test_precision_without_rows_of_thresholds(spark):
+    """Precision from masks is that of the rows, for ties and for predictions without a score too."""
+    rng = np.random.RandomState(9)
+    rows = [(int(rng.randint(9)), int(rng.randint(2)), f"d{k}", float(rng.randint(6)) if k % 9 else None, float(rng.randint(8)), 0.0, float(rng.randint(6, 14)), 10.0) for k in range(150)]
+    det, areas = spark.createDataFrame(rows, DET), {"all": (0, 1e10), "small": (0, 90)}
+    gt = det.where("CAST(substr(det_id, 2) AS INT) % 3 = 0").withColumn("x1", F.col("x1") + 1).withColumnRenamed("det_id", "gt_id")
+    n_gt = evaluation.positives(gt, areas)
+    told = lambda df: sorted((r.category_id, r.area, r.threshold, round(r.ap, 9), r.ar) for r in df.collect())
+    got = told(evaluation.precision_of_masks(evaluation.match_masks(det, gt, areas), n_gt, areas))
+    assert got == told(evaluation.precision_by_area(evaluation.matched_by_area(det, gt, areas), n_gt))
+    assert len(got) == 40 and 0 < sum(r[3] for r in got)
