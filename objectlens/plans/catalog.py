@@ -13,6 +13,7 @@ from objectlens.functions import text as tx
 from objectlens.operators import filters, library, matching, metrics, relational, reshape, rollups, selection, suppression
 from objectlens.plans import registry
 from objectlens.plans.registry import query as _query
+from objectlens.plans.registry import rounded as _r
 from objectlens.streaming import rules, tracks
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,10 +31,6 @@ def _box(p: str = "") -> tuple:
     return c("x1"), c("y1"), c("x1") + c("w"), c("y1") + c("h")
 
 
-def _r(c, places: int = 6):
-    return F.round(c, places)
-
-
 def _pairs(v) -> DataFrame:
     return v("det").alias("d").join(v("gt").alias("t"), "image_id")
 

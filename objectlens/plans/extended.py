@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from objectlens.functions import rle
 from objectlens.operators import evaluation, metrics, records, suppression
 from objectlens.plans.registry import query as _query
+from objectlens.plans.registry import rounded as _r
 from objectlens.sources.views import VIEWS
 
 
-def _r(c, places: int = 6):
-    return F.round(c, places)
-
-
 # limits, ids and records
 @_query("SELECT page_id FROM pages ORDER BY page_id LIMIT 7")
 def first_rows(v, t):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from objectlens.session import table
 from objectlens.sources.views import view, with_views
@@ -28,3 +29,8 @@ def query(sql: str | None = None, *views: str):
         return f
 
     return add
+
+
+def rounded(c: Column, places: int = 6) -> Column:
+    """c rounded as DuckDB rounds doubles: the scaled double to a whole number; Spark alone would round its decimal digits, which differs at ties."""
+    return F.round(c.cast("double") * 10.0**places) / 10.0**places

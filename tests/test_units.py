@@ -128,3 +128,16 @@ def test_session_commands():
     out = [r for f, rows in enumerate([[row("a"), row("b")], [row("a", "remove"), row("b")], [row("b")], [row(None, "cancel"), row("b")], [row("b")], [row("b")]]) for r in own.take(f, rows)]
     assert [(f, t) for f, t, *_ in [*out, *own.flush()]] == [(0, "b"), (3, "b"), (4, "b"), (5, "b")]
     assert not list(own.take(6, [row(None, "reset")])) and own.first == {} and own.last == -1
+
+
+def test_rounding_at_ties(spark):
+    """41 / 640 is 0.0640625: DuckDB rounds the scaled double down where decimal digits would go up."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from objectlens.plans.registry import rounded
+
+    pairs = [(41, 640), (323, 640), (333, 640), (1, 3200), (-41, 640), (2, 3)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double")
+    got = [r[0] for r in df.select(rounded(F.col("a") / F.col("b"))).collect()]
+    assert got == [duckdb.sql(f"SELECT round({a} * 1.0e0 / {b}, 6)").fetchall()[0][0] for a, b in pairs]
