@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from objectlens.operators.suppression import greedy
+from objectlens.operators.suppression import bucket_of
+
+
+#: Pairs of rows that track suppression holds at once.
+PAIRS = 1_000_000
 
 
 def zero_box(box: Column) -> Column:
@@ -135,25 +139,39 @@ def track_suppression(rows: DataFrame, video: str, track: str, frame: str, thres
     rows: video, track, frame, score, x1, y1, w, h.  Overlap of two tracks is the sum of intersections over
     the sum of unions in frames that both have; tracks are ordered by mean score, then id.
     """
-
-    boxes = ("x1", "y1", "w", "h")
+    boxes = ["x1", "y1", "w", "h"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.groupby(track)["score"].mean().reset_index().sort_values(["score", track], ascending=[False, True])[track].tolist()
-        place = {t: i for i, t in enumerate(order)}
-        inter, union = np.zeros((len(order),) * 2), np.zeros((len(order),) * 2)
-        for _, own in pdf.dropna(subset=["x1"]).groupby(frame):
-            at = own[track].map(place).to_numpy()
-            low, size = own[["x1", "y1"]].to_numpy(float), own[["w", "h"]].to_numpy(float)
-            high = low + size
-            both = np.clip(np.minimum(high[:, None], high[None]) - np.maximum(low[:, None], low[None]), 0, None).prod(2)
-            np.add.at(inter, np.ix_(at, at), both)
-            np.add.at(union, np.ix_(at, at), size.prod(1)[:, None] + size.prod(1)[None] - both)
-        kept = greedy(np.divide(inter, union, out=np.zeros_like(inter), where=union > 0), threshold, True)
-        gone = ~kept[pdf[track].map(place).to_numpy()]
-        pdf = pdf.copy()
-        pdf.loc[gone, list(boxes)] = np.nan
+        pdf = pdf.drop(columns="_bucket").reset_index(drop=True)
+        code = pd.factorize(pdf[video], use_na_sentinel=False)[0]
+        tracks = pdf.assign(_v=code).groupby(["_v", track], dropna=False)
+        means = tracks["score"].mean().reset_index()
+        order = means.sort_values(["_v", "score", track], ascending=[True, False, True]).index.to_numpy()
+        place = np.argsort(order)[tracks.ngroup().to_numpy()]  # of a row's track in its bucket
+        kept, n = np.ones(len(order), bool), len(order)
+        if threshold <= 0:  # tracks that never meet suppress each other too
+            kept = np.diff(means["_v"].to_numpy()[order], prepend=-1) != 0
+        seen = np.flatnonzero((pdf["x1"].notna() & pdf[frame].notna()).to_numpy())
+        cell = pdf.assign(_v=code).iloc[seen].groupby(["_v", frame]).ngroup().to_numpy()
+        by = np.argsort(cell, kind="stable")
+        seen, cell = seen[by], cell[by]
+        size, begin = np.bincount(cell)[cell], np.searchsorted(cell, cell)
+        at, low, wide = place[seen], pdf[boxes[:2]].to_numpy(float)[seen], pdf[boxes[2:]].to_numpy(float)[seen]
+        high, area, sums = low + wide, wide.prod(1), pd.DataFrame({"inter": [], "union": []}, index=pd.Index([], dtype=np.int64))
+        for rows in np.split(np.arange(len(seen)), np.flatnonzero(np.diff(np.cumsum(size) // PAIRS)) + 1):
+            i = np.repeat(rows, size[rows])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(size[rows]) - size[rows] - begin[rows], size[rows])
+            i, j = (x[at[i] < at[j]] for x in (i, j))
+            both = np.clip(np.minimum(high[i], high[j]) - np.maximum(low[i], low[j]), 0, None).prod(1)
+            own = pd.DataFrame({"inter": both, "union": area[i] + area[j] - both}).groupby(at[i] * n + at[j]).sum()
+            sums = own if not len(sums) else sums.add(own, fill_value=0.0)
+        hits = sums.index.to_numpy()[(np.divide(sums["inter"], sums["union"], out=np.zeros(len(sums)), where=sums["union"] > 0) >= threshold).to_numpy()] if threshold > 0 else np.zeros(0, np.int64)
+        first, second = np.divmod(hits, max(n, 1))
+        for i, to in zip(np.unique(first), np.split(second, np.flatnonzero(np.diff(first)) + 1), strict=False):
+            if kept[i]:
+                kept[to] = False
+        pdf.loc[~kept[place], boxes] = np.nan
         return pdf
 
     typed = rows.select(*[F.col(c).cast("double").alias(c) if c in boxes else F.col(c) for c in rows.columns])
-    return typed.groupBy(video).applyInPandas(one, typed.schema)
+    return typed.withColumn("_bucket", bucket_of(typed, [video])).groupBy("_bucket").applyInPandas(one, typed.schema)

@@ -181,3 +181,28 @@ def test_ranked(spark, n):
     got = sorted((r.place, r.a, r.b) for r in reshape.ranked(df, ["a", "b"], "place", ranges=7).collect())
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == [(i, *r) for i, r in enumerate(want, 1)]
+
+
+def test_track_suppression_of_many_videos(spark):
+    """Videos of one bucket are suppressed apart, as track by track."""
+    rng = np.random.RandomState(5)
+    rows = [(v, t, int(f), float(rng.randint(4)), *map(float, rng.randint(0, 6, 2)), *map(float, rng.randint(4, 9, 2))) for v in range(30) for t in range(4) for f in rng.randint(0, 3, 2)]
+    df = spark.createDataFrame(rows, "video int, track int, frame int, score double, x1 double, y1 double, w double, h double")
+    gone = {(r.video, r.track) for r in filters.track_suppression(df, "video", "track", "frame", 0.4).collect() if r.x1 is None}
+    want = set()
+    for v in range(30):
+        own = {t: [r for r in rows if r[:2] == (v, t)] for t in range(4)}
+        kept = []
+        for t in sorted(own, key=lambda t: (-np.mean([r[3] for r in own[t]]), t)):
+            for k in kept:
+                inter = whole = 0.0
+                for a, b in itertools.product(own[k], own[t]):
+                    if a[2] == b[2]:
+                        both = max(min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]), 0) * max(min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5]), 0)
+                        inter, whole = inter + both, whole + a[6] * a[7] + b[6] * b[7] - both
+                if whole and inter / whole >= 0.4:
+                    want.add((v, t))
+                    break
+            else:
+                kept.append(t)
+    assert gone == want and want
