@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objectlens.operators.suppression import assign, iou_matrix
+from objectlens.operators.suppression import _runs, assign, assign_all, bucket_of, iou_matrix
 
 FORBIDDEN = 1e9
+#: Costs that are held at once.
+SHAPE_CELLS = 1_000_000
 
 
 def class_cost(prob: np.ndarray, focal: bool, alpha: float = 0.25, gamma: float = 2.0) -> np.ndarray:
@@ -23,9 +25,9 @@ def class_cost(prob: np.ndarray, focal: bool, alpha: float = 0.25, gamma: float
 
 
 def giou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    hull = np.prod(np.maximum(a[:, None, 2:], b[None, :, 2:]) - np.minimum(a[:, None, :2], b[None, :, :2]), 2)
+    hull = np.prod(np.maximum(a[..., :, None, 2:], b[..., None, :, 2:]) - np.minimum(a[..., :, None, :2], b[..., None, :, :2]), -1)
     overlap = iou_matrix(a, b)
-    areas = np.prod(a[:, 2:] - a[:, :2], 1)[:, None] + np.prod(b[:, 2:] - b[:, :2], 1)[None]
+    areas = np.prod(a[..., 2:] - a[..., :2], -1)[..., :, None] + np.prod(b[..., 2:] - b[..., :2], -1)[..., None, :]
     union = areas / (1 + overlap)  # overlap = both / union and both + union = areas
     return overlap - np.divide(hull - union, hull, out=np.zeros_like(hull), where=hull > 0)
 
@@ -40,22 +42,33 @@ def set_match(pred: DataFrame, target: DataFrame, group: str, weights: tuple[flo
     box = ["x1", "y1", "x2", "y2"]
 
     def centred(b):
-        return np.concatenate([(b[:, :2] + b[:, 2:]) / 2, b[:, 2:] - b[:, :2]], 1)
+        return np.concatenate([(b[..., :2] + b[..., 2:]) / 2, b[..., 2:] - b[..., :2]], -1)
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("det_id"), right.sort_values("gt_id")
-        rows = []
-        if len(left) and len(right):
-            a, b = left[box].to_numpy(float), right[box].to_numpy(float)
-            cost = weights[0] * class_cost(left["prob"].to_numpy(float), focal)[:, None] + weights[1] * np.abs(centred(a)[:, None] - centred(b)[None]).sum(2) - weights[2] * giou_matrix(a, b)
-            if "valid" in left.columns:
-                cost[~left["valid"].to_numpy(bool)] = FORBIDDEN
-            cost = np.tile(cost, (1, repeats))
-            rows = [(left[group].iloc[i], left["det_id"].iloc[i], right["gt_id"].iloc[j % len(right)]) for i, j in assign(-cost) if cost[i, j] < FORBIDDEN / 10]
-        return pd.DataFrame(rows, columns=[group, "det_id", "gt_id"])
-
-    kind = pred.schema[group].dataType.simpleString()
-    return pred.groupBy(group).cogroup(target.groupBy(group)).applyInPandas(one, f"{group} {kind}, det_id {pred.schema['det_id'].dataType.simpleString()}, gt_id {target.schema['gt_id'].dataType.simpleString()}")
+        codes, names = pd.factorize(pd.concat([left[group], right[group]]), use_na_sentinel=False)
+        left, right = left.assign(_code=codes[: len(left)]).sort_values(["_code", "det_id"]), right.assign(_code=codes[len(left) :]).sort_values(["_code", "gt_id"])
+        at, to = _runs(left["_code"].to_numpy(), len(names)), _runs(right["_code"].to_numpy(), len(names))
+        a, b, prob = left[box].to_numpy(float), right[box].to_numpy(float), left["prob"].to_numpy(float)
+        valid = left["valid"].to_numpy(bool) if "valid" in left.columns else None
+        rows, cols = [np.zeros(0, int)], [np.zeros(0, int)]
+        sizes = pd.DataFrame({"n": np.diff(at), "m": np.diff(to)}).query("n > 0 and m > 0")
+        for (n, m), own in sizes.groupby(["n", "m"]).groups.items():  # groups of one shape at once
+            for part in np.array_split(own.to_numpy(), -(-len(own) * n * m * repeats // SHAPE_CELLS)):
+                i, j = at[part][:, None] + np.arange(n), to[part][:, None] + np.arange(m)
+                cost = weights[0] * class_cost(prob[i], focal)[:, :, None] + weights[1] * np.abs(centred(a[i])[:, :, None] - centred(b[j])[:, None]).sum(3) - weights[2] * giou_matrix(a[i], b[j])
+                if valid is not None:
+                    cost[~valid[i]] = FORBIDDEN
+                cost = np.tile(cost, (1, 1, repeats))
+                k, row, col = assign_all(-cost)
+                fits = cost[k, row, col] < FORBIDDEN / 10
+                rows.append(i[k, row][fits])
+                cols.append(j[k, col % m][fits])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return pd.DataFrame({c: df[c].to_numpy()[x] for c, df, x in ((group, left, rows), ("det_id", left, rows), ("gt_id", right, cols))})
+
+    kind, bucket = pred.schema[group].dataType.simpleString(), bucket_of(pred, [group])
+    deal = lambda df: df.withColumn("_bucket", bucket).groupBy("_bucket")
+    return deal(pred).cogroup(deal(target)).applyInPandas(one, f"{group} {kind}, det_id {pred.schema['det_id'].dataType.simpleString()}, gt_id {target.schema['gt_id'].dataType.simpleString()}")
 
 
 def one_to_many(pairs: DataFrame, group: str, prob: Column, iou: Column, alpha: float = 0.3, threshold: float = 0.4, top: int = 6) -> DataFrame:

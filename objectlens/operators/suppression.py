@@ -25,12 +25,13 @@ def _runs(code: np.ndarray, n: int) -> np.ndarray:
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, over: str = "union") -> np.ndarray:
-    """Overlap of xyxy boxes [n, 4] and [m, 4], over the union or over the smaller area ("least")."""
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.clip(high - low, 0, None).prod(2)
-    area_a, area_b = (a[:, 2:] - a[:, :2]).prod(1), (b[:, 2:] - b[:, :2]).prod(1)
-    whole = np.minimum(area_a[:, None], area_b[None]) if over == "least" else area_a[:, None] + area_b[None] - inter
+    """Overlap of xyxy boxes [..., n, 4] and [..., m, 4], over the union or over the smaller area ("least")."""
+    low = np.maximum(a[..., :, None, :2], b[..., None, :, :2])
+    high = np.minimum(a[..., :, None, 2:], b[..., None, :, 2:])
+    inter = np.clip(high - low, 0, None).prod(-1)
+    area_a, area_b = (x[..., 2:] - x[..., :2] for x in (a, b))
+    area_a, area_b = area_a.prod(-1)[..., :, None], area_b.prod(-1)[..., None, :]
+    whole = np.minimum(area_a, area_b) if over == "least" else area_a + area_b - inter
     return np.divide(inter, whole, out=np.zeros_like(inter, dtype=float), where=whole > 0)
 
 
@@ -119,6 +120,46 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def assign_all(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, row and column of the pairs that ``assign`` gives for each of equally large tables [k, n, m], all at once."""
+    if not gain.size:
+        return (np.zeros(0, int),) * 3
+    flip = gain.shape[1] > gain.shape[2]
+    cost = -(gain.transpose(0, 2, 1) if flip else gain)
+    k, n, m = cost.shape
+    u, v, owner = np.zeros((k, n + 1)), np.zeros((k, m + 1)), np.zeros((k, m + 1), int)
+    for i in range(1, n + 1):
+        owner[:, 0], j0 = i, np.zeros(k, int)
+        least, back, used = np.full((k, m), np.inf), np.zeros((k, m + 1), int), np.zeros((k, m + 1), bool)
+        on = np.arange(k)
+        while len(on):
+            used[on, j0[on]] = True
+            own = owner[on, j0[on]]
+            free = ~used[on, 1:]
+            reduced = cost[on, own - 1] - u[on, own][:, None] - v[on, 1:]
+            better = free & (reduced < least[on])
+            low = np.where(better, reduced, least[on])
+            back[on, 1:] = np.where(better, j0[on, None], back[on, 1:])
+            j1 = np.where(free, low, np.inf).argmin(1)
+            step = low[np.arange(len(on)), j1]
+            at, col = np.nonzero(used[on])
+            u[on[at], owner[on[at], col]] += step[at]
+            v[on[at], col] -= step[at]
+            least[on] = np.where(free, low - step[:, None], low)
+            j0[on] = j1 + 1
+            on = on[owner[on, j0[on]] > 0]
+        on = np.flatnonzero(j0)
+        while len(on):
+            owner[on, j0[on]] = owner[on, back[on, j0[on]]]
+            j0[on] = back[on, j0[on]]
+            on = on[j0[on] > 0]
+    at, col = np.nonzero(owner[:, 1:])
+    row = owner[at, col + 1] - 1
+    row, col = (col, row) if flip else (row, col)
+    order = np.lexsort((col, row, at))
+    return at[order], row[order], col[order]
+
+
 def matched(det: DataFrame, gt: DataFrame, group: str) -> DataFrame:
     """(group, det_id, gt_id, iou) of the assignment of greatest total IoU in each group that has both sides."""
 

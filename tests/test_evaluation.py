@@ -206,3 +206,13 @@ def test_track_suppression_of_many_videos(spark):
             else:
                 kept.append(t)
     assert gone == want and want
+
+
+def test_tables_assigned_at_once():
+    from objectlens.operators import suppression
+
+    rng = np.random.RandomState(0)
+    for n, m in itertools.product(range(1, 5), range(1, 5)):
+        gain = rng.randint(0, 4, (20, n, m)) / 4.0
+        at, row, col = suppression.assign_all(gain)
+        assert [[(int(r), int(c)) for r, c in zip(row[at == k], col[at == k], strict=True)] for k in range(20)] == [suppression.assign(g) for g in gain]
