@@ -220,13 +220,19 @@ def teta(gt: DataFrame, det: DataFrame, similarity: DataFrame, exhaustive: bool
         video, eps = pdf["video"].iloc[0], np.finfo(float).eps
         gi = {g: i for i, g in enumerate(sorted(pdf.loc[pdf["kind"] == 0, "g"].unique()))}
         di = {d: i for i, d in enumerate(sorted(pdf.loc[pdf["kind"] == 1, "d"].unique()))}
-        frames = []
-        for _, own in pdf.groupby("frame"):
-            left, right, pair = (own[own["kind"] == k] for k in range(3))
-            g, d = left["g"].map(gi).to_numpy(int), right["d"].map(di).to_numpy(int)
-            sim = np.zeros((len(gi), len(di)))
-            sim[pair["g"].map(gi).to_numpy(int), pair["d"].map(di).to_numpy(int)] = pair["sim"].to_numpy()
-            frames.append((g, left["cls"].to_numpy(), d, right["cls"].to_numpy(), sim[np.ix_(g, d)]))
+        pdf = pdf[pdf["frame"].notna()].sort_values(["frame", "kind"], kind="stable")
+        kinds, cls = pdf["kind"].to_numpy(), pdf["cls"].to_numpy()
+        g_at, d_at = (pdf[c].map(i).fillna(-1).to_numpy(int) for c, i in (("g", gi), ("d", di)))
+        values, sim, frames = pdf["sim"].to_numpy(), np.zeros((len(gi), len(di))), []
+        cuts = np.flatnonzero((pdf["frame"] != pdf["frame"].shift()).to_numpy())
+        for lo, hi in zip(cuts, [*cuts[1:], len(pdf)], strict=False):
+            mid, end = lo + np.searchsorted(kinds[lo:hi], (1, 2))
+            g, d, pairs_g, pairs_d = g_at[lo:mid], d_at[mid:end], g_at[end:hi], d_at[end:hi]
+            both = (pairs_g >= 0) & (pairs_d >= 0)
+            pairs_g, pairs_d = pairs_g[both], pairs_d[both]
+            sim[pairs_g, pairs_d] = values[end:hi][both]
+            frames.append((g, cls[lo:mid], d, cls[mid:end], sim[np.ix_(g, d)]))
+            sim[pairs_g, pairs_d] = 0.0
         shape = (len(gi), len(di))
         whole = _alignment([(g, d, s) for g, _, d, _, s in frames], shape)[0]
         given = [[(i, j) for i, j in assign(whole[np.ix_(g, d)] * s) if s[i, j] >= OVERLAP - eps] for g, _, d, _, s in frames]
@@ -245,31 +251,30 @@ def teta(gt: DataFrame, det: DataFrame, similarity: DataFrame, exhaustive: bool
             if not ids:
                 own["loc_fn"] += sum(int((gc == cls).sum()) for _, gc, _, _, _ in frames)
                 continue
-            cut = []
+            cut, member = [], np.zeros(len(di), bool)
+            member[list(ids)] = True
             for (g, gc, d, dc, s), near in zip(frames, overlapping, strict=True):
-                mine = np.isin(d, list(ids))
+                mine = member[d]
                 cut.append((g[gc == cls], d[mine], dc[mine], near[mine], s[gc == cls][:, mine]))
             align, count_g, count_d = _alignment([(g, d, s) for g, d, _, _, s in cut], shape)
-            hits = np.zeros((len(TETA_ALPHAS), *shape))
+            hits, levels = np.zeros((len(TETA_ALPHAS), *shape)), np.array(TETA_ALPHAS) - eps
             for g, d, dc, near, s in cut:
                 if not len(g):
                     continue
                 pairs = assign(align[np.ix_(g, d)] * s)
-                for a, alpha in enumerate(TETA_ALPHAS):
-                    met = [(i, j) for i, j in pairs if s[i, j] >= alpha - eps]
-                    taken = [j for _, j in met]
-                    own["loc_tp"][a] += len(met)
-                    own["loc_fn"][a] += len(g) - len(met)
-                    own["loc_fp"][a] += len(set(np.flatnonzero(near)) - set(taken))
-                    for i, j in met:
-                        hits[a, g[i], d[j]] += 1
-                    if alpha >= 0.5:
-                        right = sum(dc[j] == cls for j in taken)
-                        own["cls_tp"][a] += right
-                        own["cls_fn"][a] += len(met) - right
-                        for j in taken:
-                            if dc[j] != cls and dc[j] in known:
-                                sums[dc[j]]["cls_fp"][a] += 1
+                i, j = np.array(pairs, int).reshape(-1, 2).T
+                met = s[i, j][None] >= levels[:, None]  # [alphas, pairs]
+                count, high = met.sum(1), levels >= 0.5 - eps
+                own["loc_tp"] += count
+                own["loc_fn"] += len(g) - count
+                own["loc_fp"] += near.sum() - (met & near[j]).sum(1)
+                np.add.at(hits, (slice(None), g[i], d[j]), met)
+                right = (met & (dc[j] == cls)).sum(1)
+                own["cls_tp"] += np.where(high, right, 0)
+                own["cls_fn"] += np.where(high, count - right, 0)
+                for k, x in enumerate(j):
+                    if dc[x] != cls and dc[x] in known:
+                        sums[dc[x]]["cls_fp"] += met[:, k] & high
             for a in range(len(TETA_ALPHAS)):
                 n, tp = hits[a], max(1.0, own["loc_tp"][a])
                 for name, base in (("assoc_a", count_g[:, None] + count_d[None] - n), ("assoc_re", count_g[:, None] + 0 * n), ("assoc_pr", count_d[None] + 0 * n)):

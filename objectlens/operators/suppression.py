@@ -92,6 +92,8 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     """
     if not gain.size:
         return []
+    if gain.size == 1:
+        return [(0, 0)]
     flip = gain.shape[0] > gain.shape[1]
     cost = -(gain.T if flip else gain)
     n, m = cost.shape

@@ -216,3 +216,13 @@ def test_tables_assigned_at_once():
         gain = rng.randint(0, 4, (20, n, m)) / 4.0
         at, row, col = suppression.assign_all(gain)
         assert [[(int(r), int(c)) for r, c in zip(row[at == k], col[at == k], strict=True)] for k in range(20)] == [suppression.assign(g) for g in gain]
+
+
+def test_teta_passes_over_unknown_ids(spark):
+    """A similarity of ids that neither side has in the video changes nothing."""
+    gt = spark.createDataFrame([(0, f, "g", "a") for f in range(3)], "video int, frame int, gt_id string, cls string")
+    det = spark.createDataFrame([(0, f, "d", "a") for f in range(3)], "video int, frame int, det_id string, cls string")
+    rows = [(0, f, "g", "d", 0.75) for f in range(3)] + [(0, 0, "x", "d", 0.9), (0, 1, "g", "y", 0.9)]
+    sim = spark.createDataFrame(rows, "video int, frame int, gt_id string, det_id string, sim double")
+    got = {round(r.alpha, 2): (r.loc_tp, r.loc_fn, r.loc_fp, r.assoc_a, r.cls_tp) for r in metrics.teta(gt, det, sim).collect()}
+    assert got[0.5] == (3.0, 0.0, 0.0, 1.0, 3.0) and got[0.8][:3] == (0.0, 3.0, 3.0)
