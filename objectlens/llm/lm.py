@@ -52,6 +52,8 @@ from objectlens.llm.common import forget, frozen, give_back, scratch, small_batc
 
 ORDER, SYMBOLS = 3, 64
 BLOCK_BYTES = 5 << 20
+#: Text whose words are found together, so that their numbers fit a processor's cache.
+RUN_BYTES = 1 << 18
 #: Tokens to a range of keys whose sums are taken together.
 PART_TOKENS = 1 << 20
 #: Seatings of the spelling model that are passed over and that count.
@@ -60,6 +62,8 @@ BURN_IN, SPELLINGS = 2, 3
 #: those that fit the spelling model anew.
 SAMPLES, SETTLED, MOST_SWEEPS, FITS = 2, 0.02, 12, 2
 STRENGTH = 1.0
+#: Dishes that are seated together.
+SEATED = 1 << 14
 END = 10
 
 
@@ -134,19 +138,30 @@ def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Quantiles at u of binomials: summed up from 0 to a mean of 8, beyond by the normal limit."""
     turn = p > 0.5
     q, u = np.where(turn, 1 - p, p), np.where(turn, 1 - u, u)
-    a, x = 0.147, np.clip(2 * u - 1, -1 + 1e-12, 1 - 1e-12)
-    half = np.log(1 - x * x) / 2
-    z = np.sign(x) * np.sqrt(2 * (np.sqrt((2 / (np.pi * a) + half) ** 2 - 2 * half / a) - 2 / (np.pi * a) - half))
-    out = np.clip(np.rint(n * q + z * np.sqrt(n * q * (1 - q))), 0, n)
-    few = np.flatnonzero(n * q <= 8)
+    mean, out = n * q, np.zeros(len(n))
+    many = np.flatnonzero(mean > 8)
+    if len(many):
+        a, x = 0.147, np.clip(2 * u[many] - 1, -1 + 1e-12, 1 - 1e-12)
+        half = np.log(1 - x * x) / 2
+        z = np.sign(x) * np.sqrt(2 * (np.sqrt((2 / (np.pi * a) + half) ** 2 - 2 * half / a) - 2 / (np.pi * a) - half))
+        out[many] = np.clip(np.rint(mean[many] + z * np.sqrt(mean[many] * (1 - q[many]))), 0, n[many])
+    few = np.flatnonzero(mean <= 8)
     size, odds, left = n[few], q[few] / (1 - q[few]), u[few]
-    mass, got, open_ = (1 - q[few]) ** size, np.zeros(len(few)), np.arange(len(few))
-    while len(open_):
-        left[open_] -= mass[open_]
-        open_ = open_[(left[open_] > 0) & (got[open_] < size[open_])]
-        mass[open_] *= (size[open_] - got[open_]) / (got[open_] + 1) * odds[open_]
-        got[open_] += 1
-    out[few] = got
+    mass, got = (1 - q[few]) ** size, 0
+    if 0 < len(few) <= 256:  # all masses that a draw can tell from 0 side by side, fewer calls than one number after another
+        most = mean[few].max()
+        steps = np.arange(int(most + 9 * np.sqrt(most)) + 12)
+        table = np.cumprod(np.maximum(size[:, None] - steps, 0) / (steps + 1) * odds[:, None], axis=1)
+        sums = np.cumsum(np.concatenate([mass[:, None], mass[:, None] * table], axis=1), axis=1)
+        out[few] = np.minimum((sums < left[:, None]).sum(1), size)
+        few = few[:0]
+    while len(few):
+        left = left - mass
+        on = np.flatnonzero((left > 0) & (got < size))
+        few, size, odds, left, mass = few[on], size[on], odds[on], left[on], mass[on]
+        mass = mass * (size - got) / (got + 1) * odds
+        got += 1
+        out[few] = got
     return np.where(turn, n - out, out)
 
 
@@ -156,20 +171,33 @@ def seat(count: np.ndarray, fresh: np.ndarray, discount: float, draw) -> np.ndar
     fresh: (strength + discount * tables of the restaurant) * parent's probability of the dish;
     draw(step, who) gives uniform numbers.  A run is a sixth of those seated, one customer at
     least; its new tables are a binomial draw under the chance in its middle.
+
+    Dishes go by falling count, so those with customers left stand first, in groups that fit a
+    processor's cache.  A run opens none with a chance of 1 - many * chance at least, so only
+    draws above that need a binomial's quantile.
     """
     tables = np.minimum(count, 1).astype(np.float64)
-    live = np.flatnonzero(count > 1)
-    c, f, t, k, step = count[live], fresh[live], tables[live], 1, 0
-    while len(live):  # dishes with more than k customers
-        run = max(1, k // 6)
-        many = np.minimum(run, c - k)
-        chance = f / (f + np.maximum(k + (many - 1) / 2 - discount * t, 1e-9)) if run > 1 else f / (f + np.maximum(k - discount * t, 1e-9))
-        u = draw(step, live)
-        t = t + ((u < chance) if run == 1 else binomial(many, chance, u))
-        k, step = k + run, step + 1
-        on = c > k
-        tables[live[~on]] = t[~on]
-        live, c, f, t = live[on], c[on], f[on], t[on]
+    dishes = np.flatnonzero(count > 1)
+    dishes = dishes[np.argsort((65535 - np.minimum(count[dishes], 65535)).astype(np.uint16), kind="stable")]
+    top = int(np.searchsorted(-count[dishes], -65534))
+    dishes[:top] = dishes[:top][np.argsort(-count[dishes[:top]], kind="stable")]
+    for a in range(0, len(dishes), SEATED):
+        who = dishes[a : a + SEATED]
+        c, f, t, k, step, live = count[who], fresh[who], np.ones(len(who)), 1, 0, len(who)
+        falling = -c
+        while live:  # dishes with more than k customers
+            run, fs, ts = max(1, k // 6), f[:live], t[:live]
+            u = draw(step, who[:live])
+            if run == 1:
+                ts += u < fs / (fs + np.maximum(k - discount * ts, 1e-9))
+            else:
+                many = np.minimum(run, c[:live] - k)
+                chance = fs / (fs + np.maximum(k + (many - 1) / 2 - discount * ts, 1e-9))
+                some = np.flatnonzero(u >= 1 - many * chance)
+                ts[some] += binomial(many[some], chance[some], u[some])
+            k, step = k + run, step + 1
+            live = int(np.searchsorted(falling, -k))
+        tables[who] = t
     return tables
 
 
@@ -237,7 +265,7 @@ class Spelling:
     def log10(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each spelled token."""
         out = []
-        for a, b in tx.spans(off, 1 << 20, len(off)):
+        for a, b in tx.spans(off, 1 << 17, len(off)):
             s, code, word = spelled(data[off[a] : off[b]], off[a : b + 1] - off[a], self.symbol)
             value = self.logs[self.row[code], s].astype(np.float64) + np.where(s == SYMBOLS - 1, self.rare_log, 0.0)
             out.append(np.bincount(word, value, b - a))
@@ -268,12 +296,27 @@ def spelled(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np.n
     return s, code, word
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(values: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, kind).tobytes())
+    """Values in bytes: how many of a value's lower bytes are kept (those above are 0 in all), then each of them for all values."""
+    raw = np.ascontiguousarray(values, kind)
+    width = raw.itemsize
+    used = max(1, -(-int(raw.view(f"u{width}").max(initial=0)).bit_length() // 8))
+    if width > 1:
+        raw = np.ascontiguousarray(raw.reshape(-1).view("u1").reshape(-1, width)[:, :used].T)
+    return bytes([used]) + _packer.compress(raw)
 
 
 def _unpack(cell: pa.Scalar | bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(cell if isinstance(cell, bytes) else cell.as_py()), kind)
+    cell = memoryview(cell if isinstance(cell, bytes) else cell.as_buffer())
+    used, width, raw = cell[0], np.dtype(kind).itemsize, np.frombuffer(_unpacker.decompress(cell[1:]), "u1")
+    if width == 1:
+        return raw.view(kind)
+    out = np.zeros((len(raw) // used, width), "u1")
+    out[:, :used] = raw.reshape(used, -1).T
+    return out.view(kind).reshape(-1)
 
 
 def _listed(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -293,19 +336,47 @@ def _hashes(letters: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tx.span_hash(tx.BYTE_VALUES[letters], off[:-1], off[1:])
 
 
-def _draws(keys: np.ndarray, sweep: int):
+def _draws(keys: np.ndarray):
     """Uniform numbers for seat(), drawn from the dishes' keys: every block seats a dish alike."""
 
     def draw(step, who):
-        x = tx.mix(keys[who] + np.array([1 + sweep * 100_003 + step], tx.U64) * tx.ODDS[30])
-        return (x >> tx.U64(11)).astype(np.float64) / (1 << 53)
+        x = keys.take(who)
+        x += np.array([step], tx.U64) * tx.ODDS[30]
+        x = tx.mix(x)
+        x >>= tx.U64(11)
+        out = x.astype(np.float64)
+        out *= 2.0**-53
+        return out
 
     return draw
 
 
 def drawn_tables(keys: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, sweep: int) -> np.ndarray:
     """Tables of one sweep's seating; a dish met once has one."""
-    return seat(count, fresh, discount, _draws(keys, sweep))
+    return drawn_together(keys, [(count, fresh, sweep)], discount)[0]
+
+
+def drawn_together(keys: np.ndarray, seatings: list[tuple], discount: float) -> list[np.ndarray]:
+    """Tables of several seatings (count, fresh, sweep) of the same dishes, which take their steps together."""
+    live = [np.flatnonzero(count > 1) for count, _, _ in seatings]
+    own = np.concatenate([keys[x] + np.array([1 + sweep * 100_003], tx.U64) * tx.ODDS[30] for x, (_, _, sweep) in zip(live, seatings, strict=True)])
+    count, fresh = (np.concatenate([each[i][x] for x, each in zip(live, seatings, strict=True)]) for i in (0, 1))
+    seated, at, out = seat(count, fresh, discount, _draws(own)), 0, []
+    for x, (count, _, _) in zip(live, seatings, strict=True):
+        tables = np.minimum(count, 1).astype(np.float64)
+        tables[x] = seated[at : at + len(x)]
+        out.append(tables)
+        at += len(x)
+    return out
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as the steps between them."""
+    return _pack(np.diff(keys, prepend=tx.U64(0)), "<u8")
+
+
+def _words(cell: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(cell, "<u8"), dtype=np.uint64)
 
 
 def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -334,7 +405,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             data_all, off_all = tx.buffers(batch.column(2))
             for lo, hi in tx.spans(off_all, BLOCK_BYTES, len(off_all)):
                 words, sizes = Words(), np.ones(hi - lo, np.int64)
-                for a, data, off in runs(data_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]):
+                for a, data, off in runs(data_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo], RUN_BYTES):
                     sizes[a : a + len(off) - 1] += words.add(data, off)
                 letters, flat, size, end = words.close()
                 seq = np.full(sizes.sum(), end, np.uint32)
@@ -361,11 +432,16 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _rows(batches):
-    """Each row of the batches as a dictionary of scalars; what a row needed is given back to the system before the next."""
+    """Each row of the batches as a dictionary of scalars; what a batch, which ends with its first large row, needed is given back to the system before the next."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i] for name in batch.schema.names}
-            give_back()
+        give_back()
+
+
+def _buckets(spark) -> int:
+    """Half as many as shuffle partitions: what a block's rows need is little beside what a task costs."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 1)
 
 
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
@@ -373,8 +449,7 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     table = "objectlens_" + path.rsplit("-", 1)[1]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    df.write.option("path", path).bucketBy(buckets, "block").saveAsTable(table)
+    df.write.option("path", path).bucketBy(_buckets(spark), "block").saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the files stay
     return found
@@ -391,7 +466,7 @@ def _sendings(block: int, kind: int, keys: np.ndarray, numbers: np.ndarray, bits
     steps, cells = [], []
     for part in parts:
         a, b = edges[part], edges[part + 1]
-        steps.append(_pack(np.diff(keys[a:b], prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T, "u1"))
+        steps.append(_steps(keys[a:b]))
         cells.append(_pack(numbers[:, a:b], "<i4"))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(parts), kind), pa.int32()), pa.array(parts, pa.int32()), pa.array(np.full(len(parts), block), pa.int64()), pa.array(steps, pa.binary()), pa.array(cells, pa.binary())],
@@ -442,17 +517,17 @@ def _summed(sent: DataFrame, name: str, wanted: int = 0) -> tuple[DataFrame, dic
                 if pieces:
                     yield from settle(*now, pieces)
                 now, pieces = key, []
-            steps = _unpack(r["keys"], "u1").reshape(8, -1)
-            keys = np.cumsum(np.ascontiguousarray(steps.T).view(tx.U64).ravel(), dtype=np.uint64)
+            keys = _words(r["keys"])
             pieces.append((r["block"].as_py(), keys, _unpack(r["numbers"], "<i4").reshape(-1, len(keys))))
         if pieces:
             yield from settle(*now, pieces)
 
     rows = sent.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
-    back = frozen(rows.mapInArrow(run, "kind int, part int, block bigint, sums binary, owned binary, total bigint, types bigint, once bigint, twice bigint"), name)
-    stats = {r["kind"]: tuple(r)[1:] for r in back.groupBy("kind").agg(*[F.sum(c) for c in ("total", "types", "once", "twice")]).collect()}
-    found = _bucketed(back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back")), name)
-    forget(back)
+    back = rows.mapInArrow(run, "kind int, part int, block bigint, sums binary, owned binary, total bigint, types bigint, once bigint, twice bigint")
+    told = [F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}{kind}") for kind in (0, 1) for c in ("total", "types", "once", "twice")]
+    found = _bucketed(back.repartition(_buckets(sent.sparkSession), "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "sums", "owned"))).alias("back"), *told), name)
+    told = found.agg(*[F.sum(c) for c in found.columns[2:]]).head()
+    stats, found = {kind: tuple(told[4 * kind : 4 * kind + 4]) for kind in (0, 1) if told[4 * kind] is not None}, found.select("block", "back")
     tidy(sent.sparkSession)
     return found, stats
 
@@ -469,7 +544,7 @@ def _cells(code: np.ndarray, s: np.ndarray, weight: np.ndarray, used: int) -> tu
     """Distinct cells and their weights added up; symbols below ``used``, and the last, occur."""
     place, width = np.append(np.arange(used), np.full(SYMBOLS - used, used)), used + 1
     if width ** (ORDER + 1) > 4 << 20:
-        found, at = np.unique(code * SYMBOLS + s, return_inverse=True)
+        found, at = np.unique((code * SYMBOLS + s).astype(np.int32), return_inverse=True)
         return found, np.bincount(at, weight, len(found))
     narrow, full = place[s], np.append(np.arange(used), SYMBOLS - 1)
     for k in range(ORDER):
@@ -493,12 +568,12 @@ class Seating:
     def __init__(self, customers: int, before: float, tables: float, discount: float, sweep: int):
         self.customers, self.before, self.tables, self.discount, self.sweep = customers, before, tables, discount, sweep
 
-    def drawn(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray, before: float | None = None) -> np.ndarray:
-        return drawn_tables(hashes, served, (STRENGTH + self.discount * (self.before if before is None else before)) * base, self.discount, self.sweep)
+    def fresh(self, base: np.ndarray, before: float | None = None) -> np.ndarray:
+        return (STRENGTH + self.discount * (self.before if before is None else before)) * base
 
-    def chances(self, hashes: np.ndarray, served: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Each word's probability in the word restaurant."""
-        share = served - self.discount * self.drawn(hashes, served, base) + (STRENGTH + self.discount * self.tables) * base
+    def chances(self, served: np.ndarray, base: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Each word's probability in the word restaurant, given the tables drawn for it."""
+        share = served - self.discount * tables + (STRENGTH + self.discount * self.tables) * base
         return (share / (STRENGTH + self.customers)).astype(np.float32)
 
     def novel(self, outside: float) -> np.float32:
@@ -506,6 +581,27 @@ class Seating:
         return np.float32((STRENGTH + self.discount * self.tables) * outside / (STRENGTH + self.customers))
 
 
+class Drawn:
+    """Tables of often served dishes that a task has drawn under one seating; the next of its blocks need the same."""
+
+    def __init__(self, often: int = 12, most: int = 1 << 18):
+        self.often, self.most, self.keys, self.held = often, most, np.zeros(0, np.uint64), np.zeros(0)
+
+    def tables(self, keys: np.ndarray, served: np.ndarray, fresh: np.ndarray, now: Seating) -> np.ndarray:
+        """keys: sorted."""
+        t, often = np.zeros(len(keys)), np.flatnonzero(served > self.often)
+        at = np.searchsorted(self.keys, keys[often])
+        known = self.keys.take(at, mode="clip") == keys[often] if len(self.keys) else np.zeros(len(often), bool)
+        t[often[known]] = self.held[at[known]]
+        new = np.ones(len(keys), bool)
+        new[often[known]] = False
+        new, often = np.flatnonzero(new), often[~known][: self.most - len(self.keys)]
+        t[new] = drawn_tables(keys[new], served[new], fresh[new], now.discount, now.sweep)
+        place = np.searchsorted(self.keys, keys[often])
+        self.keys, self.held = np.insert(self.keys, place, keys[often]), np.insert(self.held, place, t[often])
+        return t
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", per_token: bool = False) -> DataFrame:
     """id_col, train, n_tokens, n_known, train_tokens, base_score, score and perplexity of every whole text.
 
@@ -546,7 +642,8 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         """The pairs that a block owns: those met more than once, tables of all by word and by context, and their words."""
         for r in _rows(batches):
             letters, off = _listed(r["letters"])
-            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), _hashes(letters, off))
+            words = _hashes(letters, off)
+            first, second, _, _ = _pairs(_unpack(r["seq"], "<u4"), words)
             total, own = _fetched(r["back"], 1, 1)
             mine = _fetched(r["back"], 0, 1)[1]
             opened = np.stack([np.bincount(x[own], minlength=len(mine)) for x in (second, first)])
@@ -557,6 +654,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                 {
                     "block": pa.array([r["block"].as_py()], pa.int64()),
                     "letters": [_pack(_chosen(_unpack(r["letters"], "u1"), off, part), "u1")],
+                    "keys": [_steps(words[part])],
                     "mine": [_pack(mine[part], "u1")],
                     "least": [_pack(opened[:, part], "<i8")],
                     "first": [_pack(place[first[heavy]], "<u4")],
@@ -568,7 +666,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
     def opened(batches):
         """Tables by word and by context where every pair has one."""
         for r in _rows(batches):
-            yield from _sendings(r["block"].as_py(), 0, _hashes(*_listed(r["letters"])), _unpack(r["least"], "<i8").reshape(2, -1), bits[0])
+            yield from _sendings(r["block"].as_py(), 0, _words(r["keys"]), _unpack(r["least"], "<i8").reshape(2, -1), bits[0])
 
     def narrowed(batches):
         """Only words that a block seats: its own ones and those in its pairs met more than once."""
@@ -582,6 +680,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                 {
                     "block": pa.array([r["block"].as_py()], pa.int64()),
                     "letters": [_pack(_chosen(_unpack(r["letters"], "u1"), off, part), "u1")],
+                    "keys": [_steps(_words(r["keys"])[part])],
                     "mine": [_pack(mine[part], "u1")],
                     "least": [_pack(_fetched(r["back"], 0, 2)[0][:, part], "<i8")],
                     "first": [_pack(place[first], "<u4")],
@@ -590,9 +689,9 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                 }
             )
 
-    seating = "block bigint, letters binary, mine binary, least binary, first binary, second binary, count binary"
+    seating = "block bigint, letters binary, keys binary, mine binary, least binary, first binary, second binary, count binary"
     held = _bucketed(known.select("block", "seq", "letters", "back").mapInArrow(owned, seating), "lm-owned")
-    least, _ = _summed(held.select("block", "letters", "least").mapInArrow(opened, SENDING), "lm-least")
+    least, _ = _summed(held.select("block", "keys", "least").mapInArrow(opened, SENDING), "lm-least")
     seats = _bucketed(held.drop("least").join(least, "block").mapInArrow(narrowed, seating), "lm-seats")
     forget(held)
     forget(least)
@@ -627,15 +726,14 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             symbol = symbols_of(histogram)
             used = int(symbol[symbol < SYMBOLS - 1].max(initial=0)) + 1
             for r in _rows(batches):
-                letters, off = _listed(r["letters"])
                 mine = _unpack(r["mine"], "?")
                 served = state(r)[0][mine]
-                words = _hashes(letters, off)[mine]
+                words = _words(r["keys"])[mine]
                 base = np.zeros(len(words)) if first else _unpack(r["base"], "<f8")[mine]
-                t = served if first else now.drawn(words, served, base)
-                others = [now.drawn(words, served, base, guess).sum() for guess in guesses]
-                codes, numbers = [np.arange(-tallies, 0)], [[t.sum(), (served == 1).sum(), (served == 2).sum(), base.sum(), *others]]
+                t, *others = [served] if first else drawn_together(words, [(served, now.fresh(base, x), now.sweep) for x in (None, *guesses)], now.discount)
+                codes, numbers = [np.arange(-tallies, 0)], [[t.sum(), (served == 1).sum(), (served == 2).sum(), base.sum(), *[x.sum() for x in others]]]
                 if cells:
+                    letters, off = _listed(r["letters"])
                     letters, off = gather(letters, off[:-1][mine], off[1:][mine])
                 for a, b in tx.spans(off, 1 << 20, len(off)) if cells else ():
                     s, code, word = spelled(letters[off[a] : off[b]], off[a : b + 1] - off[a], symbol)
@@ -644,7 +742,8 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
                     numbers.append(count)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).astype(np.int64)), pa.array(np.concatenate(numbers).astype(np.float64))], names=["code", "n"])
 
-        found = seated.mapInArrow(run, "code bigint, n double").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+        rows = seated.select(*[c for c in seated.columns if c in ("block", "keys", "mine", "least", "base", "back", *["letters"] * cells)])
+        found = rows.mapInArrow(run, "code bigint, n double").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
         code, number = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
         tallied = dict(zip(code[code < 0].tolist(), number[code < 0].tolist(), strict=True))
         return code[code >= 0], number[code >= 0].round().astype(np.int64), [tallied.get(k, 0.0) for k in range(-tallies, 0)]
@@ -653,16 +752,21 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         """Tables beyond the first of all pairs, by word and by context, and their number."""
 
         def run(batches):
+            drawn = Drawn()
             for r in _rows(batches):
-                words = _hashes(*_listed(r["letters"]))
+                words = _words(r["keys"])
                 served, inside = state(r)
-                chances = now.chances(words, served, _unpack(r["base"], "<f8")).astype(np.float64)
+                base = _unpack(r["base"], "<f8")
                 first, second, total = _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["count"], "<i8")
+                asked = np.bincount(second, minlength=len(words)) > 0
+                t = np.zeros(len(words))
+                t[asked] = drawn.tables(words[asked], served[asked], now.fresh(base[asked]), now)
+                chances = now.chances(served, base, t).astype(np.float64)  # of the words asked for
                 fresh = (STRENGTH + pair_discount * inside[first]) * chances[second]
                 t = drawn_tables(_key(words[first], words[second]), total, fresh, pair_discount, now.sweep) - 1
                 yield from _sendings(r["block"].as_py(), 0, words, np.stack([np.bincount(x, t, len(words)) for x in (second, first)]), bits[0])
 
-        moved, told = _summed(seated.mapInArrow(run, SENDING), "lm-seats")
+        moved, told = _summed(seated.drop("letters", "mine").mapInArrow(run, SENDING), "lm-seats")
         return moved, told.get(0, (0,))[0]
 
     def with_state(based: DataFrame | None, moved: DataFrame | None) -> DataFrame:
@@ -708,13 +812,14 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             now = Seating(pair_types + more, now.tables, now.tables, now.discount, now.sweep + 1)
 
     def told(batches):
-        """Each word's chance and tables in every seating, from the block that owns it."""
+        """The chance and tables in every seating of the words that a block owns."""
         for r in _rows(batches):
-            words, mine, base, numbers = _hashes(*_listed(r["letters"])), _unpack(r["mine"], "?"), _unpack(r["base"], "<f8"), []
-            for k, each in enumerate(seatings):
-                served, inside = state(r, f"s{k}")
-                numbers += [each.chances(words, served, base).view("<i4"), inside.astype("<i4")]
-            yield from _sendings(r["block"].as_py(), 0, words, np.stack(numbers) * mine, bits[0])
+            mine = _unpack(r["mine"], "?")
+            words, base = _words(r["keys"])[mine], _unpack(r["base"], "<f8")[mine]
+            found = [state(r, f"s{k}")[:, mine] for k in range(len(seatings))]
+            drawn = drawn_together(words, [(served, each.fresh(base), each.sweep) for (served, _), each in zip(found, seatings, strict=True)], seatings[0].discount)
+            numbers = [x for (served, inside), each, t in zip(found, seatings, drawn, strict=True) for x in (each.chances(served, base, t).view("<i4"), inside.astype("<i4"))]
+            yield from _sendings(r["block"].as_py(), 0, words, np.stack(numbers), bits[0])
 
     def asked(batches):
         for r in _rows(batches):
@@ -723,7 +828,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
 
     final = None
     if seatings:
-        every = seats.join(based, "block")
+        every = seats.select("block", "keys", "mine", "least").join(based, "block")
         for k, moved in enumerate(states):
             every = every.join(moved.withColumnRenamed("back", f"s{k}"), "block")
         sent = every.mapInArrow(told, SENDING).unionByName(blocks.select("block", "letters").mapInArrow(asked, SENDING))
@@ -731,6 +836,7 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
         final = final.withColumn("block", F.col("block") - (1 << 62)).withColumnRenamed("back", "final")
 
     def score(batches):
+        drawn = [Drawn() for _ in seatings[:-1]]
         for r in _rows(batches):
             sizes, seq = _unpack(r["sizes"], "<i8"), _unpack(r["seq"], "<u4")
             words = _hashes(*_listed(r["letters"]))
@@ -739,13 +845,19 @@ def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str, per_toke
             met = _fetched(r["back"], 1, 1)[0][0]
             share = np.zeros(len(keys))
             numbers = _fetched(r["final"], 0, 2 * len(seatings))[0] if seatings else None
+            chances, insides = [], []
             for k, each in enumerate(seatings):
-                chance = np.where(total > 0, np.ascontiguousarray(numbers[2 * k].astype("<i4")).view("<f4"), each.novel(outside)).astype(np.float64)
-                inside = STRENGTH + pair_discount * numbers[2 * k + 1]
-                if k:
-                    t = drawn_tables(keys, met, fresh, pair_discount, seatings[k - 1].sweep)
-                    share += (met - pair_discount * t + inside[first] * chance[second]) / (STRENGTH + total[first])
-                fresh = inside[first] * chance[second]
+                chances.append(np.where(total > 0, np.ascontiguousarray(numbers[2 * k].astype("<i4")).view("<f4"), each.novel(outside)).astype(np.float64))
+                insides.append(STRENGTH + pair_discount * numbers[2 * k + 1])
+            if seatings:
+                del numbers
+                more = np.flatnonzero(met > 1)
+                t = np.minimum(met, 1).astype(np.float64)
+                for k in range(SAMPLES):
+                    fresh = insides[k][first[more]] * chances[k][second[more]]
+                    t[more] = drawn[k].tables(keys[more], met[more], fresh, Seating(0, 0, 0, pair_discount, seatings[k].sweep))
+                    share += (met - pair_discount * t + insides[k + 1][first] * chances[k + 1][second]) / (STRENGTH + total[first])
+                del t, fresh, more
             values = np.log10(share / SAMPLES) if seatings else np.zeros(len(keys))
             at = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, at) for x in ((total > 0).astype(np.int64)[seq], np.log10((total + 1) / (n + v + 1))[seq], values[which])]

@@ -302,6 +302,54 @@ def test_language_model_odd_rows(spark, odd):
     assert lm.score_texts(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_only_likely_runs_need_a_binomial(monkeypatch):
+    """Runs of customers that open no table for sure are settled without a quantile, and nothing else is."""
+    rng, asked, plain = np.random.RandomState(4), [], lm.binomial
+    count, fresh, keys = np.full(4000, 300), np.geomspace(1e-6, 20, 4000), rng.randint(0, 1 << 62, 4000).astype(np.uint64)
+    monkeypatch.setattr(lm, "binomial", lambda n, p, u: asked.append(len(n)) or plain(n, p, u))
+    got = lm.drawn_tables(keys, count, fresh, 0.5, 3)
+    draw = lambda step: (lm.tx.mix(keys + np.array([1 + 3 * 100_003 + step], np.uint64) * lm.tx.ODDS[30]) >> np.uint64(11)) / 2.0**53
+    want, k, step = np.ones(4000), 1, 0
+    while k < 300:
+        run = max(1, k // 6)
+        many = np.full(4000, min(run, 300 - k))
+        chance = fresh / (fresh + np.maximum(k + (many - 1) / 2 * (run > 1) - 0.5 * want, 1e-9))
+        want += plain(many, chance, draw(step)) if run > 1 else draw(step) < chance
+        k, step = k + run, step + 1
+    assert (got == want).all() and 0 < sum(asked) < 4000 * (step - 11) / 3
+
+
+def test_common_words_are_drawn_once_a_task():
+    rng = np.random.RandomState(3)
+    keys = np.unique(rng.randint(0, 1 << 62, 500).astype(np.uint64))
+    served, base = rng.zipf(1.3, len(keys)).clip(1, 5000), rng.rand(len(keys)) / 100
+    now, drawn = lm.Seating(9000, 700, 700, 0.6, 5), lm.Drawn(most=200)
+    for _ in range(4):
+        part = np.sort(rng.choice(len(keys), 300, replace=False))
+        want = lm.drawn_tables(keys[part], served[part], now.fresh(base[part]), now.discount, now.sweep)
+        assert (drawn.tables(keys[part], served[part], now.fresh(base[part]), now) == want).all()
+    assert 0 < len(drawn.keys) <= 200 and (np.diff(drawn.keys.astype(object)) > 0).all()
+    together = lm.drawn_together(keys, [(served, now.fresh(base, x), x) for x in (3, 70)], 0.6)
+    assert all((t == lm.drawn_tables(keys, served, now.fresh(base, x), 0.6, x)).all() for t, x in zip(together, (3, 70), strict=True))
+
+
+def test_numbers_keep_only_bytes_in_use():
+    rng = np.random.RandomState(6)
+    for kind, values in (("<i8", rng.randint(0, 200, (2, 50_000))), ("<i8", np.array([0, 1 << 40, 7])), ("<u4", rng.randint(0, 1 << 31, 99)), ("<f8", rng.rand(9)), ("u1", np.arange(5)), ("<i8", np.zeros((3, 0)))):
+        assert (lm._unpack(lm._pack(values, kind), kind) == values.ravel()).all()
+    assert len(lm._pack(rng.randint(0, 200, 50_000), "<i8")) < 50_100
+    keys = np.sort(rng.randint(0, 1 << 62, 99).astype(np.uint64))
+    assert (lm._words(lm.pa.scalar(lm._steps(keys))) == keys).all()
+
+
+def test_sums_are_written_once(spark, monkeypatch):
+    """Sums of blocks go to the blocks' own table, with no copy on the disk before it."""
+    written, plain = [], lm.frozen
+    monkeypatch.setattr(lm, "frozen", lambda df, name: written.append(name) or plain(df, name))
+    assert lm.score_texts(spark.createDataFrame([(k, "a b a b c") for k in range(9)], "doc_id bigint, text string"), F.lit(True)).count() == 9
+    assert written == ["lm-scores"]
+
+
 def test_quality_and_language(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
